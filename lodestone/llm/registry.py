@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .forest import op9_lsh_forest
+from .langid import op5_string_kernel
 from .packing import op10_best_fit_packing
+from .quality import op4_line_frequency
 from .secrets import op6_secret_ledger
 from .shards import op7_rendezvous_shards
 
-QUERIES = {f.__name__: f for f in (op6_secret_ledger, op7_rendezvous_shards, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op4_line_frequency, op5_string_kernel, op6_secret_ledger, op7_rendezvous_shards, op9_lsh_forest, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}

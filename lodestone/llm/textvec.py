@@ -87,3 +87,19 @@ def shingles(word_hashes: np.ndarray, size: int) -> np.ndarray:
 def distinct(values: np.ndarray) -> np.ndarray:
     values = np.sort(values)
     return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
+def doc_chunks(offsets: np.ndarray, limit: int = 1 << 22):
+    """(first, last) runs of documents of about limit bytes; a longer one comes alone."""
+    n, at = len(offsets) - 1, 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        yield at, to
+        at = to
+
+
+def sums(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Totals of flags[first[d]:first[d+1]] for each d."""
+    total = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=total[1:])
+    return np.diff(total[first])
