@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, table, utf8
 from .textvec import LOWER, SAME, doc_chunks, mix, span_hashes, sums, words
@@ -80,10 +81,7 @@ def _statistics(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     new[1:] = (line[1:] != line[:-1]) | (line_doc[1:] != line_doc[:-1])
     heads = np.flatnonzero(new)
     out["lines"] = (line[heads], np.add.reduceat(size, heads) if len(heads) else size, np.bincount(line_doc[heads], minlength=n))
-    whole = span_hashes(raw, offsets[:-1], offsets[1:], SAME)
-    out["text_lo"] = whole.view(np.int64)
-    # A second, independent hash of the text: its words in order, and its length.
-    out["text_hi"] = mix(span_hashes(h, first[:-1], first[1:]) + np.diff(offsets).astype(np.uint64), 3).view(np.int64)
+    out["text_lo"], out["text_hi"] = _names(raw, offsets)
     return out
 
 
@@ -150,3 +148,64 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = cut(statistics(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
     out = verdicts(stats)
     return out.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
+def clean(docs: DataFrame, text: str, host: str, stats: DataFrame, least: int = LEAST, share: float = SHARE, left: float = LEFT) -> DataFrame:
+    """The rows of docs that are kept, without their boilerplate lines; columns as in docs.
+
+    stats: statistics(docs).  A verdict is the same for equal texts of a host, so rows meet it by host
+    and text hashes, one verdict row each; adaptive execution can split a text with very many rows.
+    """
+    verdict = verdicts(stats, least, share, left).filter("kept").select("host", "text_lo", "text_hi", "removed_words").distinct()
+    common = frequent_lines(stats, least, share).select(F.col("host").alias("h"), F.col("line").alias("l"))
+    held = stats.select("host", "text_lo", "text_hi", F.explode("lines").alias("x")).select("host", "text_lo", "text_hi", "x.line")
+    lines = held.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).groupBy("text_lo", "text_hi", F.col("host").alias("h")).agg(F.collect_set("line").alias("removed"))
+    verdict = verdict.alias("v").join(lines.withColumnsRenamed({"text_lo": "lo", "text_hi": "hi"}), (F.col("text_lo") == F.col("lo")) & (F.col("text_hi") == F.col("hi")) & F.col("host").eqNullSafe(F.col("h")), "left")
+    verdict = verdict.select(F.col("text_lo").alias("v_lo"), F.col("text_hi").alias("v_hi"), F.col("host").alias("v_host"), "removed")
+    names = docs.columns
+    at = names.index(text)
+    named = T.StructType([*docs.schema.fields, T.StructField("q_lo", T.LongType()), T.StructField("q_hi", T.LongType())])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8(batch.column(at))
+            lo, hi = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in doc_chunks(offsets):
+                own = _names(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                lo.append(own[0])
+                hi.append(own[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(lo)), pa.array(np.concatenate(hi))], [*names, "q_lo", "q_hi"])
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for d, gone in enumerate(batch.column(len(names)).to_pylist()):
+                if gone:
+                    texts[d] = without_lines(texts[d], set(gone))
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    met = docs.mapInArrow(name, named).join(verdict, (F.col("q_lo") == F.col("v_lo")) & (F.col("q_hi") == F.col("v_hi")) & F.col(host).cast("string").eqNullSafe(F.col("v_host")))
+    return met.select(*names, "removed").mapInArrow(strip, docs.schema)
+
+
+def _names(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes that name a text."""
+    starts, ends, first = words(raw, offsets)
+    h = span_hashes(raw, starts, ends, SAME)
+    lo = span_hashes(raw, offsets[:-1], offsets[1:], SAME)
+    # A second, independent hash: the words in order, and the length.
+    hi = mix(span_hashes(h, first[:-1], first[1:]) + np.diff(offsets).astype(np.uint64), 3)
+    return lo.view(np.int64), hi.view(np.int64)
+
+
+def without_lines(text: str, gone: set[int]) -> str:
+    """The text without the lines whose normalised hash is in gone; its other lines stay as they are."""
+    lines = text.split("\n")
+    data = [line.encode() for line in lines]
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in data])))
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    starts, ends, first = words(raw, offsets)
+    hashes = span_hashes(span_hashes(raw, starts, ends, _NORMAL), first[:-1], first[1:]).view(np.int64)
+    return "\n".join(line for line, h, n in zip(lines, hashes.tolist(), np.diff(first).tolist()) if not n or h not in gone)
