@@ -32,7 +32,7 @@ from .textvec import LOWER, doc_chunks, mix, span_hashes, words
 
 BUCKETS = 1 << 16
 LENGTH = 30.0
-FRACTION = 0.8
+FRACTION = 0.85
 SMOOTH = 1.0
 SEED = 11
 BINS = 4096
