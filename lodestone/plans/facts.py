@@ -60,7 +60,7 @@ def line_symbols_regex(t: Tables) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, len(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{Nd}]+'), lambda x: length(x) >= 2 AND NOT regexp_matches(x, '[0-9]')))) AS tokens,
+    r"""SELECT doc_id, len(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}]+'), lambda x: length(x) >= 2))) AS tokens,
   len(list_intersect(['the', 'and', 'with', 'under'], string_split_regex(lower(text), '[^\p{L}\p{Nd}]+'))) AS matched, CAST(ceil(length(text) / 4.0) AS BIGINT) AS token_estimate FROM documents"""
 )
 def tokens_per_document(t: Tables) -> DataFrame:
