@@ -213,7 +213,7 @@ _FORMATS = {
     "date": r"\d{4}([-/.])\d{1,2}\1\d{1,2}(?![\w]|[-/.]\d)|\d{1,2}([-/.])\d{1,2}\2\d{4}(?![\w]|[-/.]\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
     "ip": r"\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "card": r"\d{4}(?:[ -]\d{4}){3}(?![\w]|[ -]\d{4})|\d{13,19}(?![\w])",
+    "card": r"\d{4}(?:[ -]\d{4}){3}(?![\w]|[ -]\d{4}(?!\d))|\d{13,19}(?![\w])",
     "phone": r"(?:\+\d{1,3}[ ])?\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}[ ]\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|(?<!\d)\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
 }
 KINDS = tuple(_FORMATS)
