@@ -17,9 +17,9 @@ def by_priority(uses: DataFrame, candidates: DataFrame, key: str, use_id: str, o
     for k in range(len(tiers) - 1, -1, -1):
         rank = F.when(tiers[k][1], F.lit(k)).otherwise(rank)
     joined = uses.join(candidates, key).withColumn("_tier", rank).filter(F.col("_tier").isNotNull())
-    best = joined.groupBy(use_id).agg(F.min(F.struct("_tier", order, result)).alias("m"))
+    best = joined.groupBy(use_id).agg(F.min(F.struct("_tier", F.col(order).alias("_order"), F.col(result).alias("_result"))).alias("m"))
     names = F.array(*(F.lit(n) for n, _ in tiers))
-    return best.select(use_id, F.col(f"m.{result}").alias(result), F.get(names, F.col("m._tier")).alias("tier"))
+    return best.select(use_id, F.col("m._result").alias(result), F.get(names, F.col("m._tier")).alias("tier"))
 
 
 def with_cardinality(uses: DataFrame, candidates: DataFrame, key: str, use_id: str, result: str) -> DataFrame:

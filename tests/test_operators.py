@@ -206,3 +206,59 @@ def test_tasks_page_through(spark):
     assert [r["resolution"] for r in tasks.run("symbol-resolve", "NAME1")[0].collect()] == ["EXACT"]
     with pytest.raises(ValueError):
         tasks.run("no-such-task")
+
+
+def test_calls_resolve_and_flows_walk(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import flows
+
+    functions = spark.createDataFrame(
+        [(1, "go", "a.go", "", "handler", "function", 1), (2, "go", "a.go", "", "load", "function", 5), (3, "go", "b.go", "Repo", "find", "method", 1), (4, "go", "apps/x/c.go", "", "far", "function", 1), (5, "go", "a_test.go", "", "TestLoad", "test", 1)],
+        "fn_id int, language string, file string, owner string, name string, kind string, line int",
+    )
+    calls = spark.createDataFrame([(1, 1, "", "", "load", 2, ""), (2, 2, "$Repo", "", "find", 6, ""), (3, 1, "", "", "far", 3, ""), (4, 5, "", "", "load", 2, ""), (5, 3, "", "", "load", 2, "effect")], "call_id int, fn_id int, receiver string, owner string, method string, line int, usage string")
+    edges = flows.call_edges(functions, calls)
+    got = {(r["from_name"], r["to_name"], r["reason"]) for r in edges.collect()}
+    assert got == {("handler", "load", "go static call match"), ("load", "find", "go static call match"), ("TestLoad", "load", "go static call match"), ("find", "load", "go effect call match")}
+    assert [(r["test_method"], r["target_method"]) for r in flows.test_map(edges).collect()] == [("TestLoad", "load")]
+    starts = spark.createDataFrame([("r", "a.go##handler")], "route_id string, key string")
+    # The depth-first walk emits a step before it tests the target for a visit; the queue does not.
+    assert [r["name"] for r in flows.code_flows(starts, edges).orderBy("pos").collect()] == ["load", "find", "load"]
+    assert [r["name"] for r in flows.endpoint_flows(starts, edges).orderBy("pos").collect()] == ["load", "find"]
+    routes = spark.createDataFrame([("r", "go", "a.go", "", "", "pkg.handler")], "route_id string, language string, file string, app string, package string, handler string")
+    assert [(r["route_id"], r["fn_id"]) for r in flows.route_handlers(routes, functions).collect()] == [("r", 1)]
+    assert one(spark, F.struct(*flows.test_case(F.lit("returnsNotFound")))) == ("not_found", "404")
+
+
+def test_flow_records(spark):
+    from lodestone.operators import flows
+
+    nodes = spark.createDataFrame([("f", "e", "endpoint", 0), ("f", "a", "api_call", 1), ("f", "b", "component", 2), ("f", "t", "test", 3)], "flow_id string, id string, kind string, pos int")
+    edges = spark.createDataFrame([("f", "a", "e"), ("f", "e", "a"), ("f", "b", "a")], "flow_id string, from_id string, to_id string")
+    at = lambda d, u=False: tuple(flows.impact_summary(nodes, edges, d, u).select("target", "direct", "indirect", "tests", "api", "risk").first())
+    assert at(1) == ("e", 1, 0, 1, 2, "medium") and at(2) == ("e", 1, 2, 1, 2, "medium") and at(1, True)[-1] == "high"
+    stages = spark.createDataFrame([("f", "request", 0, "GET /x"), ("f", "persistence", 0, "Repo.find"), ("f", "response_field", 0, "name")], "flow_id string, stage string, pos int, label string")
+    chain, gaps = flows.data_flow(stages)
+    assert {(r["from_label"], r["to_label"], r["relation"]) for r in chain.collect()} == {("GET /x", "Repo.find", "persists"), ("Repo.find", "name", "returns")}
+    assert {r["stage"] for r in gaps.collect()} == {"transformation", "request"}
+    tests = spark.createDataFrame([("f", "t1", "MATCHED"), ("f", "t2", "WEAK_MATCH")], "flow_id string, test string, confidence string")
+    links = flows.test_links(spark.createDataFrame([("f",), ("g",)], "flow_id string"), tests)
+    assert {(r["flow_id"], r["link"]) for r in links.collect()} == {("f", "direct"), ("f", "candidate"), ("g", "not_detected")}
+    requests = spark.createDataFrame([("t", "get", "/a/7")], "test_id string, http_method string, path string")
+    endpoints = spark.createDataFrame([("1", "GET", "/a/{id}"), ("2", "GET", "/a/b")], "endpoint_id string, http_method string, path string")
+    assert [r["endpoint_id"] for r in flows.endpoint_tests(requests, endpoints).collect()] == ["1"]
+
+
+def test_traces_have_entries_and_exits(spark):
+    from lodestone.operators import flows
+
+    cols = "trace_id api_project api_http_method api_path api_file api_line api_caller backend_project backend_http_method backend_path backend_file backend_line backend_handler confidence".split()
+    kinds = {"api_line": "int", "backend_line": "int"}
+    matches = spark.createDataFrame([("t", "web", "GET", "/x", "a.ts", 3, "load", "svc", "GET", "/x", "C.java", 9, "C.get", "RESOLVED")], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in cols))
+    steps = lambda rows: spark.createDataFrame(rows, "trace_id string, pos int, name string, file string, line int")
+    trace = flows.trace_steps(matches, steps([("t", 1, "Page", "p.tsx", 1)]), steps([("t", 1, "UserRepository.find", "R.java", 2), ("t", 2, "UserRepository.find", "R.java", 2)]), steps([("t", 1, "CTest.ok", "T.java", 4)]))
+    nodes, edges = flows.directed_traces(trace)
+    got = [(r["role"], r["is_entry"], r["is_exit"]) for r in nodes.orderBy("n").collect()]
+    assert [g[0] for g in got] == ["event_handler", "api_client", "http_route", "controller", "repository", "test"]
+    assert got[0][1:] == (True, False) and got[-1][1:] == (False, True) and edges.count() == 5
