@@ -14,10 +14,10 @@ def contract_summary(matches: DataFrame, *by: str) -> DataFrame:
     """Each match in the first bucket that fits."""
     issue, level = F.col("issue"), F.col("confidence")
     bucket = (
-        F.when((issue == "matched") & (level == "RESOLVED"), "resolved")
-        .when(issue == "method_mismatch", "method_mismatch")
+        F.when((issue == "matched") | (level == "RESOLVED"), "resolved")
+        .when((issue == "method_mismatch") | (level == "MISMATCH"), "method_mismatch")
         .when(issue.isin("unsafe_dynamic", "dynamic_endpoint_unresolved"), "dynamic")
-        .when(level == "OUT_OF_SCOPE", "out_of_scope")
+        .when((issue == "frontend_internal_api") | (level == "OUT_OF_SCOPE"), "out_of_scope")
         .when(issue.isin("missing_backend_route", "indexed_backend_route_missing", "scanned_service_no_route"), "missing")
         .otherwise("other")
     )
