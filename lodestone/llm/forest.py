@@ -44,7 +44,7 @@ SIZE = 128
 TREES = 24
 DEPTH = 8
 FLOOR = 6
-NEAR = 16
+NEAR = 2
 BLOCK = 256
 AGREE = 0.70
 WORDS = 5
