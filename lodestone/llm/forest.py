@@ -9,8 +9,8 @@ prefix.
 Candidates: in each order, the next NEAR rows that share a prefix of at least FLOOR labels.  In thin
 regions that is every row with that prefix; in dense regions it reaches as deep as the region needs.
 Where a row has more such rows than NEAR, the region (tree and FLOOR labels) is kept as dense, and
-all its pairs that the first links left in different components are compared as well, block against
-block, so density costs no link.
+all its pairs that the first links left in different components are compared on full sets as well,
+block against block, so density costs no link.
 
 Two texts of Jaccard similarity s share FLOOR labels in one of the orders with probability
 1 - (1 - s^FLOOR)^TREES: 0.99999 at 0.85.  Candidates whose signatures agree in less than 0.70 of the
@@ -191,9 +191,8 @@ def _agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long, est double")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _members(ids: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(id, members): the full set of one row of each id, as sorted hashes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,8 +201,12 @@ def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
                 own = [s.tobytes() for s in _sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], ["id", "members"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    held = cut(rows.mapInArrow(sets, "id long, members binary"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids.distinct(), "id", "left_semi")
+    return cut(rows.mapInArrow(sets, "id long, members binary").dropDuplicates(["id"]))
+
+
+def _confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,26 +221,51 @@ def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
             at = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
-    # Repeated rows with one key would repeat a set; any of them stands for the class.
-    once = held.dropDuplicates(["id"])
-    x = once.select(F.col("id").alias("a"), F.col("members").alias("pa"))
-    y = once.select(F.col("id").alias("b"), F.col("members").alias("pb"))
+    x = members.select(F.col("id").alias("a"), F.col("members").alias("pa"))
+    y = members.select(F.col("id").alias("b"), F.col("members").alias("pb"))
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long")
 
 
-def _dense_pairs(regions: DataFrame, ordered: DataFrame, classes: DataFrame, comp: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs of a dense region whose classes are in different components, if their labels agree.
-
-    Regions of one component need nothing.  The rest are cut into blocks by a hash of the id; each
-    pair of blocks is a group of its own, so no group grows with its region.
-    """
+def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all pairwise intersections of sets of hashes, as products of presence matrices of width columns."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    values = np.concatenate([*left, *right])
+    rows = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    by = np.argsort(values, kind="stable")
+    values, rows = values[by], rows[by]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    column = np.cumsum(new) - 1
+    n = np.bincount(column) if len(column) else np.zeros(0, int)
+    keep = n[column] > 1  # a hash of one set only shares nothing
+    rows, column = rows[keep], column[keep]
+    column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1]))) if len(column) else column
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        held = np.zeros((len(left) + len(right), width), np.float32)
+        held[rows[a:b], column[a:b] - low] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out
+
+
+def _dense_rows(regions: DataFrame, ordered: DataFrame, comp: DataFrame) -> DataFrame:
+    """(region, id, component, blocks) of dense regions that hold several components."""
     part = F.shiftright("k2", 64 - 16 * (FLOOR - 4))
     rows = ordered.withColumn("p", part).join(regions.select("tree", "k1", F.col("k2").alias("p")), ["tree", "k1", "p"], "left_semi")
     rows = rows.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     rows = cut(rows.select(F.xxhash64("tree", "k1", "p").alias("region"), "id", "component"))
     stats = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    stats = stats.select("region", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = rows.join(stats, "region").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(classes.select("id", "labels"), "id")
+    return cut(rows.join(stats.select("region", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "region"))
+
+
+def _dense_links(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links between classes of a dense region that are in different components.
+
+    A region is cut into blocks by a hash of the id, and each pair of blocks is a group of its own, so
+    no group grows with its region.  Full sets are compared there, all pairs of a group at once; of
+    the links found, a group returns only those that join components not yet joined in it.
+    """
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(members, "id")
     # Block m meets every block once: cell (min, max).
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
@@ -245,20 +273,30 @@ def _dense_pairs(regions: DataFrame, ordered: DataFrame, classes: DataFrame, com
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
         p, q = frame[frame["mine"] == i], frame[frame["mine"] == j]
+        none = pd.DataFrame({"a": [], "b": []}).astype("int64")
         if not len(p) or not len(q):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        lp, lq = (np.frombuffer(b"".join(x["labels"]), np.uint16).reshape(-1, SIZE) for x in (p, q))
+            return none
+        left, right = ([np.frombuffer(m, np.uint64) for m in x["members"]] for x in (p, q))
+        shared = intersections(left, right)
+        size = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
         cp, cq, ip, iq = (x[c].to_numpy() for c in ("component", "id") for x in (p, q))
-        a, b = [], []
-        for k in range(len(p)):
-            near = (lq == lp[k]).sum(axis=1) >= AGREE * SIZE
-            near &= (cq != cp[k]) & ((iq > ip[k]) if i == j else True)
-            a.append(np.full(near.sum(), ip[k]))
-            b.append(iq[near])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        x, y = np.nonzero((100 * shared >= percent * (size - shared)) & (cp[:, None] != cq[None, :]))
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.setdefault(c, c) != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        links = []
+        for k, m in zip(x.tolist(), y.tolist()):
+            one, two = root(int(cp[k])), root(int(cq[m]))
+            if one != two:
+                parent[max(one, two)] = min(one, two)
+                links.append((min(ip[k], iq[m]), max(ip[k], iq[m])))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64") if links else none
 
-    return cells.groupBy("region", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return cells.select("region", "i", "j", "mine", "id", "component", "members").groupBy("region", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, size: int = WORDS, percent: int = 85, near: int = NEAR) -> DataFrame:
@@ -277,19 +315,20 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = WORDS, per
     across = neighbours(edges, 1, near).filter("kind = 0").select("a", "b")
     close = cut(_agreement(found.filter("kind = 0").select("a", "b").union(across).filter("a < b").distinct(), classes))
     # Round one: each class's closest candidate.
-    ends = close.select("a", "b", "est", F.col("a").alias("id")).union(close.select("a", "b", "est", F.col("b").alias("id")))
-    best = ends.groupBy("id").agg(F.max(F.struct("est", F.expr("-a").alias("na"), F.expr("-b").alias("nb"))).alias("m"))
+    sides = close.select("a", "b", "est", F.col("a").alias("id")).union(close.select("a", "b", "est", F.col("b").alias("id")))
+    best = sides.groupBy("id").agg(F.max(F.struct("est", F.expr("-a").alias("na"), F.expr("-b").alias("nb"))).alias("m"))
     best = cut(best.select(F.expr("-m.na").alias("a"), F.expr("-m.nb").alias("b")).distinct())
-    links = cut(_confirm(best, docs, key, text, size, percent))
+    ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    links = cut(_confirm(best, _members(ends(best), docs, key, text, size), percent))
     comp = cut(components(links))
     # Round two: what the first left apart, dense regions whole.
     c = comp.select(F.col("node").alias("n"), F.col("component").alias("c"))
     rest = close.select("a", "b").join(best, ["a", "b"], "left_anti")
     rest = rest.join(c.select(F.col("n").alias("a"), F.col("c").alias("ca")), "a", "left").join(c.select(F.col("n").alias("b"), F.col("c").alias("cb")), "b", "left")
-    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    regions = found.filter("kind = 1").select("tree", "k1", "k2").distinct()
-    more = cut(rest.union(_dense_pairs(regions, ordered, classes, comp)).distinct())
-    links = cut(links.union(_confirm(more, docs, key, text, size, percent)))
+    rest = cut(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    dense = _dense_rows(found.filter("kind = 1").select("tree", "k1", "k2").distinct(), ordered, comp)
+    members = _members(ends(rest).union(dense.select("id")), docs, key, text, size)
+    links = cut(links.union(_confirm(rest, members, percent)).union(_dense_links(dense, members, percent)))
     comp = components(links).withColumnRenamed("node", "id")
     final = classes.select(F.col("lo").alias("l"), F.col("hi").alias("h"), F.col("n_shingles").alias("n"), "id").join(comp, "id", "left")
     final = final.select("l", "h", "n", F.coalesce("component", "id").alias("component_id"))
