@@ -35,7 +35,7 @@ MARK = "▁"
 DROPOUT = 0.1
 VARIANTS = 4
 SEED = 3
-CACHE = 1 << 19
+CACHE = 1 << 20
 CHUNK = 1 << 20
 _MASK = (1 << 64) - 1
 
@@ -128,22 +128,19 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros((1 << 12) + 1, np.int64)
 
-    def segment(self, text: str, variant: int) -> list[int]:
-        raw = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, salt=self.seed.to_bytes(8, "big") + variant.to_bytes(8, "big")).digest()
-        return self.vocabulary.encode(text, self.dropout, int.from_bytes(raw, "big"))
-
-    def _learn(self, code: int, text: str, variant: int) -> int:
-        ids = self.segment(text, variant)
+    def _store(self, codes: list[int], found: list[list[int]]) -> None:
+        """Keeps the ids of new (segment, variant) codes."""
         k = len(self.known)
-        if k + 2 > len(self.begin):
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        at = int(self.begin[k])
+        size = at + int(lens.sum())
+        while k + len(found) + 1 > len(self.begin):
             self.begin = np.concatenate((self.begin, np.zeros(len(self.begin), np.int64)))
-        at = self.begin[k]
-        while at + len(ids) > len(self.flat):
+        while size > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
-        self.flat[at : at + len(ids)] = ids
-        self.begin[k + 1] = at + len(ids)
-        self.known[code] = k
-        return k
+        self.flat[at:size] = np.fromiter((i for ids in found for i in ids), np.uint32, size - at)
+        self.begin[k + 1 : k + 1 + len(found)] = at + np.cumsum(lens)
+        self.known.update(zip(codes, range(k, k + len(found))))
 
     def ids(self, texts: Sequence[str], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets per text); salts: 64 bits of each row's own."""
@@ -183,14 +180,13 @@ class Encoder:
             self._reset()
         example = np.zeros(len(uniques), np.int64)
         example[codes[::-1]] = np.arange(len(codes))[::-1]
-        rows = np.empty(len(uniques), np.int64)
-        get = self.known.get
-        for k, code in enumerate(uniques.tolist()):
-            row = get(code)
-            if row is None:
-                e = example[k]
-                row = self._learn(code, joined[starts[e] : ends[e]], int(variant[e]))
-            rows[k] = row
+        listed = uniques.tolist()
+        fresh = [k for k, code in enumerate(listed) if code not in self.known]
+        low, high = starts[example].tolist(), ends[example].tolist()
+        encode, dropout, seed = self.vocabulary.encode, self.dropout, self.seed * 0x9E3779B97F4A7C15 & _MASK
+        # The code is a hash of segment and variant: with the seed it keys the segment's merges.
+        self._store([listed[k] for k in fresh], [encode(joined[low[k] : high[k]], dropout, listed[k] ^ seed) for k in fresh])
+        rows = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))
         row = rows[codes] if len(codes) else np.zeros(0, np.int64)
         size = self.begin[row + 1] - self.begin[row]
         out_at = np.concatenate(([0], np.cumsum(size)))
@@ -216,8 +212,8 @@ class Encoder:
                 out += [self.vocabulary.bytes[b] for b in MARK.encode()]
             part = (MARK if k == 0 else "") + part.replace(" ", MARK)
             if part:
-                variant = int(mix(mix(np.array([salt], np.uint64), self.seed) + np.uint64(k))[0] % np.uint64(self.variants))
-                out += self.segment(part, variant)
+                raw = hashlib.blake2b(part.encode("utf-8", "surrogatepass"), digest_size=8, salt=(salt + k & _MASK).to_bytes(8, "big") + self.seed.to_bytes(8, "big")).digest()
+                out += self.vocabulary.encode(part, self.dropout, int.from_bytes(raw, "big"))
         return out
 
 
