@@ -19,19 +19,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
-        large = cut(large)
+        # Repeated rows are left to the end of the round.
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        held = large.join(low, "a")
-        small = held.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        after = cut(small.filter("a > b").distinct())
-        # A forest of stars whose centres are minima is final: every node has one, smaller, neighbour
-        # that is no node's subordinate.
-        moved = after.select("b").distinct().join(after.select(F.col("a").alias("b")), "b", "left_semi")
-        more = after.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("a").alias("b"))
-        done = moved.union(more).isEmpty()
-        pairs = after
-        if done:
+        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        pairs = cut(small.filter("a > b").distinct())
+        # A forest of stars is final: no node has two centres, and no centre has one.
+        ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("has"), F.lit(0).alias("is")).union(pairs.select("b", F.lit(0), F.lit(1)))
+        open_ends = ends.groupBy("node").agg(F.sum("has").alias("has"), F.max("is").alias("is")).filter("has > 1 or (has > 0 and is > 0)")
+        if open_ends.isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")

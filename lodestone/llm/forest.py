@@ -45,7 +45,7 @@ TREES = 24
 DEPTH = 8
 FLOOR = 6
 NEAR = 2
-BLOCK = 256
+BLOCK = 512
 AGREE = 0.70
 WORDS = 5
 SEED = 20_240_229
