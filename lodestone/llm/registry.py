@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .forest import op9_lsh_forest
 from .importance import op8_importance_resampling
 from .langid import op5_string_kernel
@@ -28,4 +29,8 @@ QUERIES = {
         op10_best_fit_packing,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_frequency": oracles.quality(),
+    "op6_secret_ledger": oracles.secrets(),
+    "op9_lsh_forest": oracles.near_duplicates(),
+}

@@ -340,3 +340,18 @@ def test_pack_small_exact():
         for x in lengths:
             used[x] += n
     assert (used == counts).all()
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_sql(spark, data, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "labels", "embeddings"):
+        c.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
+    want = c.sql(registry.ORACLES[name])
+    columns = sorted(want.columns)
+    df = Q[name](spark, data)
+    assert sorted(df.columns) == columns
+    own = Counter(repr(tuple(r[x] for x in columns)) for r in df.collect())
+    assert own == Counter(repr(tuple(r[want.columns.index(x)] for x in columns)) for r in want.fetchall())
