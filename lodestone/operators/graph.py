@@ -123,12 +123,14 @@ def components(edges: DataFrame, source: str = "src", target: str = "dst", round
     for _ in range(rounds):
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = settle(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct())
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         pairs = settle(small.filter("a > b").distinct())
-        nested = pairs.select("b").distinct().join(pairs.select(F.col("a").alias("b")), "b", "left_semi")
-        split = pairs.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("a").alias("b"))
-        if nested.union(split).isEmpty():
+        # Stars are final: no node has two centres, and no centre has one.
+        marks = pairs.select(F.col("a").alias("node"), F.lit(1).alias("has"), F.lit(0).alias("is")).union(pairs.select("b", F.lit(0), F.lit(1)))
+        if marks.groupBy("node").agg(F.sum("has").alias("has"), F.max("is").alias("is")).filter("has > 1 or (has > 0 and is > 0)").isEmpty():
             break
+    else:
+        raise RuntimeError("components did not settle")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select("b", "b").distinct())
