@@ -180,7 +180,8 @@ def pieces(df: DataFrame, key: str, text: str, json_path: str, ranks_path: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(json_path, ranks_path)
-        for batch in batches:
+        # Small slices: only their texts are Python objects at a time.
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             keys, texts = batch.column(0), ["" if t is None else t for t in batch.column(1).to_pylist()]
             flat, offsets = bpe.ids(texts)
             source, piece, start, length, check = [], [], [], [], []

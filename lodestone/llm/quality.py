@@ -177,7 +177,7 @@ def clean(docs: DataFrame, text: str, host: str, stats: DataFrame, least: int =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(lo)), pa.array(np.concatenate(hi))], [*names, "q_lo", "q_hi"])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             texts = batch.column(at).to_pylist()
             for d, gone in enumerate(batch.column(len(names)).to_pylist()):
                 if gone:

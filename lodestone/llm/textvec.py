@@ -89,7 +89,7 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
 
 
-def doc_chunks(offsets: np.ndarray, limit: int = 1 << 22):
+def doc_chunks(offsets: np.ndarray, limit: int = 1 << 20):
     """(first, last) runs of documents of about limit bytes; a longer one comes alone."""
     n, at = len(offsets) - 1, 0
     while at < n:

@@ -17,8 +17,8 @@ import pandas as pd
 
 from .textvec import span_hashes
 
-CHUNK = 1 << 20
-CACHE = 1 << 20
+CHUNK = 1 << 18
+CACHE = 1 << 19
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNSAFE = range(5)
 
 
@@ -37,17 +37,29 @@ class ByteBPE:
     """ids(texts): (all ids, offsets per text); add_special_tokens is off."""
 
     def __init__(self, json_path: str, ranks_path: str):
+        import json
+
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(json_path)
+        self.json_path = json_path
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._bpe = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        with open(json_path, encoding="utf-8") as file:
+            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
+        self._whole = None
         self.classes = _classes()
         self._reset()
 
+    @property
+    def whole(self):
+        """The tokenizers library's own model, loaded when a text first needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.json_path)
+        return self._whole
+
     def _reset(self) -> None:
         self.known: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
