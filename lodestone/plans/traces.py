@@ -252,7 +252,7 @@ w AS (SELECT src AS first, dst AS last, [src, dst] AS walk, src = dst AS closed
 SELECT DISTINCT array_to_string(walk, ' > ') AS cycle, CAST(len(walk) - 1 AS INTEGER) AS length FROM w WHERE closed"""
 )
 def cycles_small(t: Tables) -> DataFrame:
-    return graph.cycles(transitions(t).filter("user_id % 5 = 0 and src <> 'view'").select("src", "dst"), 3)
+    return graph.cycles(transitions(t).select("src", "dst"), 3)
 
 
 @query(
