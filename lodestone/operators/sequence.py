@@ -32,21 +32,35 @@ def cap_per_key(rows: DataFrame, keys: list[str], order: list[Column], cap: int)
     return rows.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("all_rows", F.count("*").over(w)).filter(F.col("rank") <= cap)
 
 
-def budget_fold(rows: DataFrame, group: str, order: list[str], cost: str, budget: int) -> DataFrame:
+def budget_fold(rows: DataFrame, group: str, order: list[str], cost: str, budget: int, salts: int = 64) -> DataFrame:
     """Rows with taken: in order, each that still fits is taken, and a miss is only skipped.
 
-    For groups that fit one row (answers under a budget); the fold runs over the ordered array.
+    Costs are not negative; without a cost, taken is null.  The room never grows, so after a miss
+    every later row of that cost or more misses too: of a cost c only the first budget / c rows of a
+    group can be taken, and only those are folded, about budget * ln(budget) of a group however large.
     """
-    packed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("long").alias("_cost")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("taken"))
+    keys = [group, *order, "_cost"]
+    # Equal rows are one item with a count, as they are next to each other in order.
+    items = rows.select(group, *order, F.col(cost).cast("long").alias("_cost")).groupBy(*keys).agg(F.count("*").alias("_n"))
+    most = F.floor(F.lit(budget) / F.col("_cost"))
+    first = items.filter(F.col("_cost").between(1, budget)).withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))
+    # First within salts, so that a large group is not ranked by one task.
+    for part in ([group, "_cost", "_salt"], [group, "_cost"]):
+        first = first.withColumn("_k", F.row_number().over(W.partitionBy(*part).orderBy(*order))).filter(F.col("_k") <= most)
+    packed = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, "_cost", "_n"))).alias("items"))
+    kind = packed.schema["items"].dataType
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("taken"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["_cost"] <= budget
-        return F.struct((acc["used"] + F.when(fits, x["_cost"]).otherwise(0)).cast("long").alias("used"), F.concat(acc["taken"], F.array(fits)).alias("taken"))
-
-    taken = F.aggregate("items", start, step, lambda acc: acc["taken"])
-    zipped = packed.select(group, F.explode(F.arrays_zip("items", taken.alias("taken"))).alias("x"))
-    return zipped.select(group, *(F.col(f"x.items.{c}").alias(c) for c in order), F.col("x.items._cost").alias(cost), F.col("x.taken").alias("taken"))
+        n = F.least(x["_n"], F.floor((F.lit(budget) - acc["used"]) / x["_cost"]))
+        some = F.struct(*(x[c].alias(c) for c in order), x["_cost"].alias("_cost"), n.alias("_n"))
+        return F.struct((acc["used"] + n * x["_cost"]).cast("long").alias("used"), F.when(n > 0, F.concat(acc["taken"], F.array(some))).otherwise(acc["taken"]).alias("taken"))
+
+    found = packed.select(F.col(group).alias("_g"), F.explode(F.aggregate("items", start, step, lambda acc: acc["taken"])).alias("_x"))
+    same = [F.col(group).eqNullSafe(F.col("_g")), *(F.col(c).eqNullSafe(F.col(f"_x.{c}")) for c in order), F.col("_cost") == F.col("_x._cost")]
+    fits = F.when(F.col("_cost") == 0, F.lit(budget >= 0)).when(F.col("_cost").isNotNull(), F.col("_i") <= F.coalesce("_x._n", F.lit(0)))
+    each = items.join(found, same, "left").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return each.select(group, *order, F.col("_cost").alias(cost), fits.alias("taken"))
 
 
 def nearest_before(probes: DataFrame, facts: DataFrame, key: str, at: str, fact: str) -> DataFrame:

@@ -149,7 +149,7 @@ f AS (SELECT source, doc_id, cost, n, cost <= 4000 AS taken, CASE WHEN cost <= 4
 SELECT source, doc_id, cost, taken FROM f"""
 )
 def budget_pack(t: Tables) -> DataFrame:
-    rows = t.documents.filter("n_chars < 4000").select("source", "n_chars", "doc_id", token_estimate(F.col("text")).alias("cost"))
+    rows = t.documents.select("source", "n_chars", "doc_id", token_estimate(F.col("text")).alias("cost"))
     return sequence.budget_fold(rows, "source", ["n_chars", "doc_id"], "cost", 4000).select("source", "doc_id", "cost", "taken")
 
 

@@ -1,7 +1,11 @@
 """Queries whose SQL leaves rows out, against brute force on whole tables."""
 
+import math
+import random
+from collections import Counter
 from itertools import permutations
 
+from lodestone.operators import sequence
 from lodestone.plans.catalogue import QUERIES
 
 
@@ -15,3 +19,31 @@ def test_cycles_of_all_transitions(spark, data):
     got = [(r["cycle"], r["length"]) for r in QUERIES["cycles_small"](spark, data).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert any("view" in cycle for cycle, _ in got)
+
+
+def fold(items, budget):
+    used = 0
+    for *_, cost in items:
+        fits = None if cost is None else used + cost <= budget
+        used += cost if fits else 0
+        yield fits
+
+
+def test_every_document_has_a_taken_flag(spark, data):
+    sources = {}
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        sources.setdefault(r["source"], []).append((r["n_chars"], r["doc_id"], math.ceil(len(r["text"]) / 4)))
+    want = Counter((source, d, cost, fits) for source, items in sources.items() for (_, d, cost), fits in zip(sorted(items), fold(sorted(items), 4000)))
+    assert want == Counter((r["source"], r["doc_id"], r["cost"], r["taken"]) for r in QUERIES["budget_pack"](spark, data).collect())
+
+
+def test_budget_fold_of_any_order_and_repeated_rows(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, *range(60)]), rnd.choice([None, 0, 1, 2, 3, 5, 8, 13, 40, 90, 200])) for _ in range(1500)]
+    got = sequence.budget_fold(spark.createDataFrame(rows, "g string, n int, cost long"), "g", ["n"], "cost", 150).collect()
+    want = Counter()
+    for g in ("a", "b", None):
+        # Nulls come first, as in the sort of structs.
+        own = sorted((x[1:] for x in rows if x[0] == g), key=lambda x: tuple((v is not None, v or 0) for v in x))
+        want.update((g, n, cost, fits) for (n, cost), fits in zip(own, fold(own, 150)))
+    assert Counter((r["g"], r["n"], r["cost"], r["taken"]) for r in got) == want
