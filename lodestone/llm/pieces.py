@@ -3,13 +3,14 @@
 A text gets a space mark before it and space marks for its spaces, and is cut into segments before
 each run of marks; no piece of the vocabulary crosses such a cut, so segments are encoded alone.  In a segment,
 the agenda holds the candidate merges of neighbouring symbols, best score first, then leftmost; a
-merge taken off the agenda is skipped for good if a keyed hash of (seed, segment, variant, its place
-and length) falls under the dropout rate.  Dropout 0 is plain BPE.  Characters without a piece, and
+merge taken off the agenda is skipped for good if a keyed hash of (seed, row's salt, the segment's place
+in the text, the merge's place and length) falls under the dropout rate.  Dropout 0 is plain BPE.  Characters without a piece, and
 the mark itself where the text has it, become byte pieces, so decoding gives every text back.
 
-The hash depends on the segment and one of VARIANTS variants, chosen for each occurrence by a hash
-of (seed, row's salt, place in the text).  So occurrences vary, runs repeat exactly, and each worker keeps the ids of
-the (segment, variant) pairs that it has met.
+So every occurrence draws skips of its own, and runs repeat exactly.  What follows from the draws is
+exact and kept: for a segment and the merges skipped so far, each worker keeps the merges that follow
+and the ids if none of them is skipped.  An occurrence goes from there by its first skip, if any.
+Segments over LONG characters are encoded for each occurrence.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; repeated rows get
 equal ids; equal scores go leftmost; an empty table gives no rows; other columns are ignored.
@@ -33,9 +34,9 @@ from .textvec import mix, span_hashes
 
 MARK = "▁"
 DROPOUT = 0.1
-VARIANTS = 4
 SEED = 3
 CACHE = 1 << 20
+LONG = 20
 CHUNK = 1 << 20
 _MASK = (1 << 64) - 1
 
@@ -57,8 +58,11 @@ class Vocabulary:
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte pieces")
 
-    def encode(self, segment: str, dropout: float, key: int) -> list[int]:
-        """Ids of one segment; key: 64 bits."""
+    def encode(self, segment: str, dropout: float, key: int, skips: int = -1, trace: list[int] | None = None) -> list[int]:
+        """Ids of one segment; key: 64 bits.
+
+        After that many skips, if not negative, no merge is skipped, and trace gets the codes of those made.
+        """
         n = len(segment)
         whole = self.ids.get(segment) if not dropout and n == 1 else None
         if whole is not None:
@@ -82,10 +86,14 @@ class Vocabulary:
             if not head or right >= n or head + text[right] != both:
                 continue  # one of its symbols has merged with another
             if limit:
-                # Multiply, shift and multiply again: the keyed hash of this merge's place and length.
-                code = ((key ^ (left << 20 | len(both))) * 0x9E3779B97F4A7C15) & _MASK
-                if ((code ^ (code >> 29)) * 0xBF58476D1CE4E5B9) & _MASK < limit:
-                    continue
+                if skips:
+                    # Multiply, shift and multiply again: the keyed hash of this merge's place and length.
+                    code = ((key ^ (left << 20 | len(both))) * 0x9E3779B97F4A7C15) & _MASK
+                    if ((code ^ (code >> 29)) * 0xBF58476D1CE4E5B9) & _MASK < limit:
+                        skips -= 1
+                        continue
+                else:
+                    trace.append(left << 20 | len(both))
             text[left], text[right] = both, ""
             nxt = after[left] = after[right]
             if nxt < n:
@@ -116,31 +124,82 @@ class Vocabulary:
 
 
 class Encoder:
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
         if not 0 <= dropout <= 1:
             raise ValueError("dropout must be in 0..1")
         self.vocabulary = Vocabulary(path)
-        self.dropout, self.seed, self.variants = dropout, seed, variants if dropout else 1
+        self.dropout, self.seed = dropout, seed
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros((1 << 12) + 1, np.int64)
-
-    def _store(self, codes: list[int], found: list[list[int]]) -> None:
-        """Keeps the ids of new (segment, variant) codes."""
-        k = len(self.known)
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        at = int(self.begin[k])
-        size = at + int(lens.sum())
-        while k + len(found) + 1 > len(self.begin):
-            self.begin = np.concatenate((self.begin, np.zeros(len(self.begin), np.int64)))
-        while size > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
-        self.flat[at:size] = np.fromiter((i for ids in found for i in ids), np.uint32, size - at)
-        self.begin[k + 1 : k + 1 + len(found)] = at + np.cumsum(lens)
-        self.known.update(zip(codes, range(k, k + len(found))))
+        self.stored = 0
+        self.flat, self.begin = np.zeros(1 << 16, np.uint32), np.zeros((1 << 12) + 1, np.int64)
+        self.merges, self.merge_begin = np.zeros(1 << 16, np.uint64), np.zeros((1 << 12) + 1, np.int64)
+
+    def _store(self, found: list[list[int]], made: list[list[int]]) -> int:
+        """Keeps the ids and merges of new states; returns the first one's number."""
+        k = self.stored
+        for lists, flat, begin in ((found, "flat", "begin"), (made, "merges", "merge_begin")):
+            values, bounds = getattr(self, flat), getattr(self, begin)
+            lens = np.fromiter(map(len, lists), np.int64, len(lists))
+            at = int(bounds[k])
+            size = at + int(lens.sum())
+            while k + len(lists) + 1 > len(bounds):
+                bounds = np.concatenate((bounds, np.zeros(len(bounds), np.int64)))
+            while size > len(values):
+                values = np.concatenate((values, np.zeros(len(values), values.dtype)))
+            values[at:size] = np.fromiter((i for x in lists for i in x), values.dtype, size - at)
+            bounds[k + 1 : k + 1 + len(lists)] = at + np.cumsum(lens)
+            setattr(self, flat, values)
+            setattr(self, begin, bounds)
+        self.stored += len(found)
+        return k
+
+    def _states(self, names: np.ndarray, joined: str, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, skips: int) -> np.ndarray:
+        """The state of each occurrence after so many skips; names: 64 bits of its segment and skips."""
+        codes, uniques = pd.factorize(names)
+        listed = uniques.tolist()
+        fresh = np.array([k for k, name in enumerate(listed) if name not in self.known], np.int64)
+        if len(fresh):
+            example = np.zeros(len(listed), np.int64)
+            example[codes[::-1]] = np.arange(len(codes))[::-1]
+            own = example[fresh]
+            found, made = [], []
+            for low, high, key in zip(starts[own].tolist(), ends[own].tolist(), keys[own].tolist()):
+                made.append([])
+                found.append(self.vocabulary.encode(joined[low:high], self.dropout, key, skips, made[-1]))
+            k = self._store(found, made)
+            self.known.update(zip((listed[i] for i in fresh.tolist()), range(k, k + len(fresh))))
+        rows = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))
+        return rows[codes]
+
+    def _rows(self, joined: str, names: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Where the ids of each occurrence are stored."""
+        row = np.zeros(len(starts), np.int64)
+        long = ends - starts > LONG if self.dropout else np.zeros(len(starts), bool)
+        if long.any():
+            found = [self.vocabulary.encode(joined[a:b], self.dropout, key) for a, b, key in zip(starts[long].tolist(), ends[long].tolist(), keys[long].tolist())]
+            row[long] = self._store(found, [[]] * len(found)) + np.arange(len(found))
+        at, skips = np.flatnonzero(~long), 0
+        names = names[at]
+        limit = int(self.dropout * 2.0**64)
+        while len(at):
+            state = row[at] = self._states(names, joined, starts[at], ends[at], keys[at], skips)
+            if not limit:
+                break
+            begin = self.merge_begin[state]
+            n = self.merge_begin[state + 1] - begin
+            out_at = np.cumsum(n) - n
+            who = np.repeat(np.arange(len(at)), n)
+            place = np.arange(len(who)) - out_at[who]
+            h = (keys[at][who] ^ self.merges[begin[who] + place]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            hit = np.flatnonzero(h <= np.uint64(limit - 1))
+            hit = hit[np.concatenate(([True], np.diff(who[hit]) > 0))] if len(hit) else hit
+            # The first skip of each that has one.
+            at, names, skips = at[who[hit]], mix(names[who[hit]] + np.uint64(1) + place[hit].astype(np.uint64), 2), skips + 1
+        return row
 
     def ids(self, texts: Sequence[str], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets per text); salts: 64 bits of each row's own."""
@@ -174,20 +233,10 @@ class Encoder:
         first = np.searchsorted(starts, edges)
         doc = np.repeat(np.arange(len(texts)), np.diff(first))
         place = np.arange(len(starts)) - first[doc]
-        variant = (mix(mix(salts.astype(np.uint64), self.seed)[doc] + place.astype(np.uint64)) % np.uint64(self.variants)).astype(np.int64)
-        codes, uniques = pd.factorize(mix(span_hashes(cps, starts, ends) + variant.astype(np.uint64), 1))
-        if len(self.known) + len(uniques) > CACHE:
+        keys = mix(mix(salts.astype(np.uint64), self.seed)[doc] + place.astype(np.uint64))
+        if self.stored > CACHE or self.begin[self.stored] > 16 * CACHE:
             self._reset()
-        example = np.zeros(len(uniques), np.int64)
-        example[codes[::-1]] = np.arange(len(codes))[::-1]
-        listed = uniques.tolist()
-        fresh = [k for k, code in enumerate(listed) if code not in self.known]
-        low, high = starts[example].tolist(), ends[example].tolist()
-        encode, dropout, seed = self.vocabulary.encode, self.dropout, self.seed * 0x9E3779B97F4A7C15 & _MASK
-        # The code is a hash of segment and variant: with the seed it keys the segment's merges.
-        self._store([listed[k] for k in fresh], [encode(joined[low[k] : high[k]], dropout, listed[k] ^ seed) for k in fresh])
-        rows = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))
-        row = rows[codes] if len(codes) else np.zeros(0, np.int64)
+        row = self._rows(joined, span_hashes(cps, starts, ends), starts, ends, keys)
         size = self.begin[row + 1] - self.begin[row]
         out_at = np.concatenate(([0], np.cumsum(size)))
         flat = self.flat[np.repeat(self.begin[row] - out_at[:-1], size) + np.arange(out_at[-1])]
@@ -226,11 +275,11 @@ def _encoder(*key) -> Encoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, key: str, text: str, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, key: str, text: str, path: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(key, ids): the salt of a row is its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, dropout, seed, variants)
+        encoder = _encoder(path, dropout, seed)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -263,7 +312,7 @@ def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, DROPOUT, SEED, VARIANTS)
+        encoder = _encoder(path, DROPOUT, SEED)
         raw = np.array(encoder.vocabulary.raw, object)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]

@@ -1,6 +1,7 @@
 """Parts of the operators on their own."""
 
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -52,6 +53,25 @@ def test_dropout_varies_by_seed_and_occurrence():
     assert len(one) > len(plain)
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.5, 1.0])
+def test_dropout_of_every_occurrence_is_its_own(rate):
+    encoder = pieces.Encoder(public_tokenizers.path("piece_bpe_32k.model"), rate)
+    own = [" ".join(["the internationalisation"] * 200), "the internationalisation " * 3, "wordswithoutanyspacebetweenthem", *(t for t in texts(500, 3) if pieces.MARK not in t)]
+    salts = np.arange(len(own), dtype=np.uint64)
+    for _ in range(2):  # the second time from the cache
+        flat, offsets = encoder.ids(own, salts)
+        for k, t in enumerate(own):
+            segments = re.findall("▁+[^▁]*", "▁" + t.replace(" ", "▁")) if t else []
+            keys = textvec.mix(textvec.mix(salts[k : k + 1], encoder.seed) + np.arange(len(segments), dtype=np.uint64)).tolist()
+            want = [encoder.vocabulary.encode(s, rate, key) for s, key in zip(segments, keys)]
+            assert flat[offsets[k] : offsets[k + 1]].tolist() == [i for ids in want for i in ids]
+            if k == 0 and rate == 0.1:
+                assert len({tuple(ids) for ids in want[1::2]}) > 20
+                # No more than the one or two merges of "the" have to be drawn for it to stay plain.
+                plain = encoder.vocabulary.encode("▁the", 0.0, 0)
+                assert 0.05 < sum(ids != plain for ids in want[::2]) / 200 < 0.5
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 10, 1000])
 def test_feistel_is_a_permutation(size):
     f = pii.Feistel(b"k", "t", size)
