@@ -107,10 +107,10 @@ SELECT d.doc_id, COALESCE(CASE WHEN l.quality = 1 THEN 'EXACT' WHEN l.quality =
 WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)"""
 )
 def merge_stronger(t: Tables) -> DataFrame:
-    bad = t.labels.filter("quality = 0").select("doc_id")
     docs = t.documents.select("doc_id", F.lit("INFERRED").alias("confidence"), F.col("lang").alias("text"), F.lit("doc").alias("evidence"))
-    good = t.labels.filter("quality = 1").select("doc_id", F.lit("EXACT").alias("confidence"), F.lit("").alias("text"), F.lit("label").alias("evidence"))
-    return aggregate.merge_facts(docs.unionByName(good).join(bad, "doc_id", "left_anti"), "doc_id")
+    strength = F.when(F.col("quality") == 1, "EXACT").when(F.col("quality") == 0, "WEAK")
+    labels = t.labels.select("doc_id", strength.alias("confidence"), F.lit("").alias("text"), F.lit("label").alias("evidence")).filter("confidence is not null")
+    return aggregate.merge_facts(docs.unionByName(labels), "doc_id")
 
 
 @query("""SELECT d.doc_id, COALESCE(CASE WHEN l.quality = 1 THEN 'good' END, d.lang) AS label, d.source AS origin FROM documents d LEFT JOIN labels l USING (doc_id)""")

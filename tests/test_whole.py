@@ -47,3 +47,15 @@ def test_budget_fold_of_any_order_and_repeated_rows(spark):
         own = sorted((x[1:] for x in rows if x[0] == g), key=lambda x: tuple((v is not None, v or 0) for v in x))
         want.update((g, n, cost, fits) for (n, cost), fits in zip(own, fold(own, 150)))
     assert Counter((r["g"], r["n"], r["cost"], r["taken"]) for r in got) == want
+
+
+def test_weak_labels_are_merged_too(spark, data):
+    facts = {}
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        facts.setdefault(r["doc_id"], []).append((4, "INFERRED", r["lang"], "doc"))
+    labels = spark.read.parquet(f"{data}/labels.parquet").collect()
+    for r in labels:
+        facts.setdefault(r["doc_id"], []).append((9, "EXACT", None, "label") if r["quality"] == 1 else (3, "WEAK", None, "label"))
+    want = sorted((d, max(own, key=lambda x: x[0])[1], min((x[2] for x in own if x[2]), default=None), ",".join(sorted({x[3] for x in own}))) for d, own in facts.items())
+    assert any(r["quality"] == 0 for r in labels)
+    assert sorted((r["doc_id"], r["confidence"], r["text"], r["evidence"]) for r in QUERIES["merge_stronger"](spark, data).collect()) == want
