@@ -6,8 +6,8 @@ rank, walked until it falls inside the set.  Separators, letter case and lengths
 permutation depends on the key, the kind and the format alone, so a value has one pseudonym in every
 document, two values never share one, and the key's owner can invert it.
 
-Kinds: card (13-19 digits, Luhn), iban (mod 97), ssn (3-2-4 digits in issued ranges), phone (a
-bracketed area code and 3-4 digits), ip (four octets), date (year first, or day and month first),
+Kinds: card (13-19 digits, Luhn; solid, 4-4-4-4, 4-6-5 or 4-6-4), iban (mod 97; solid or in groups of four), ssn (3-2-4 digits in issued ranges), phone (a
+bracketed area code and 3-4 digits), ip (four octets), date (year first, or day and month first; read as month first only where the day is over 12),
 mail (name@domain; each letter or digit of the name among its own kind).
 
 Defined cases: a null text stays null, with no findings; an empty text stays empty; values inside
@@ -119,11 +119,13 @@ class Pseudonyms:
         return _refill(s, body + _luhn_digit(body))
 
     def _iban(self, s: str, inverse: bool) -> str | None:
-        if _mod97(s[4:] + s[:4]) != 1:
+        solid = re.sub("[ -]", "", s)
+        if _mod97(solid[4:] + solid[:4]) != 1:
             return None
-        body = self._classes("iban" + s[:2], s[4:], inverse)
-        check = 98 - _mod97(body + s[:2] + "00")
-        return f"{s[:2]}{check:02d}{body}"
+        body = self._classes("iban" + solid[:2], solid[4:], inverse)
+        check = 98 - _mod97(body + solid[:2] + "00")
+        new = iter(f"{solid[:2]}{check:02d}{body}")
+        return "".join(c if c in " -" else next(new) for c in s)
 
     def _ssn(self, s: str, inverse: bool) -> str | None:
         if not _ssn_ok(_digits(s)):
@@ -149,19 +151,27 @@ class Pseudonyms:
     def _date(self, s: str, inverse: bool) -> str | None:
         parts = re.findall(r"\d+|\D", s)
         order = (0, 2, 4) if len(parts[0]) == 4 else (4, 2, 0)
+        month_first = False
         try:
             day = dt.date(*(int(parts[k]) for k in order)).toordinal() - FIRST_DAY
         except ValueError:
-            return None
+            # A format of its own: month first with a day over 12, which no date with the day first looks like.
+            if order[0] == 0:
+                return None
+            order, month_first = (4, 0, 2), True
+            try:
+                day = dt.date(*(int(parts[k]) for k in order)).toordinal() - FIRST_DAY
+            except ValueError:
+                return None
         if not 0 <= day < DAYS:
             return None
         # Among the dates that this format can write: one without leading zeros keeps its widths.
         widths = [len(parts[k]) for k in order]
         while True:
-            day = self._permute(f"date{widths}", DAYS, day, inverse)
+            day = self._permute(f"{'us' * month_first}date{widths}", DAYS, day, inverse)
             new = dt.date.fromordinal(day + FIRST_DAY)
             values = [str(v).zfill(w) for v, w in zip((new.year, new.month, new.day), widths)]
-            if all(len(v) == w and (w > 1 or v[0] != "0") for v, w in zip(values, widths)):
+            if (new.day > 12 or not month_first) and all(len(v) == w and (w > 1 or v[0] != "0") for v, w in zip(values, widths)):
                 for k, v in zip(order, values):
                     parts[k] = v
                 return "".join(parts)
@@ -196,24 +206,48 @@ class Pseudonyms:
         if not _LIKELY.search(text):
             return text, []
         out, spans, at = [], [], 0
-        for m in PATTERN.finditer(text):
-            kind = m.lastgroup
+        start, grouped = 0, None
+        while m := PATTERN.search(text, start):
+            kind, start = m.lastgroup, m.end()
             new = self.kinds[kind](m.group(), inverse)
+            if new is None and kind == "iban" and m.group()[4] in " -":
+                # Groups after letters may be a card of their own.
+                start, grouped = m.start() + 5, (m.start(), m.end())
             if new is not None:
+                # Walked on until the groups around it still are no iban, so that the inverse finds the same values.
+                while grouped and m.end() <= grouped[1] and self._iban("".join((text[grouped[0] : m.start()], new, text[m.end() : grouped[1]])), False) is not None:
+                    new = self.kinds[kind](new, inverse)
                 out += (text[at : m.start()], new)
                 spans.append((kind, m.start(), m.end()))
                 at = m.end()
         return "".join(out) + text[at:] if spans else text, spans
 
 
+# Lengths of the countries' ibans, which tell where one in groups ends.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _grouped_ibans() -> str:
+    """Ibans in groups of four, with one separator throughout."""
+    forms = []
+    for n, countries in _IBAN_LENGTHS.items():
+        full, rest = divmod(n - 4, 4)
+        for sep in " -":
+            forms.append(f"(?:{countries.replace(' ', '|')})\\d{{2}}(?:{sep}[A-Z0-9]{{4}}){{{full}}}" + (f"{sep}[A-Z0-9]{{{rest}}}" if rest else "") + "(?![A-Za-z0-9])")
+    return "|".join(forms)
+
+
 # The formats, tried in this order at each place.
 _FORMATS = {
     "mail": r"[A-Za-z0-9](?:[\w.+-]{0,62}[\w+-])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])|" + _grouped_ibans(),
     "date": r"\d{4}([-/.])\d{1,2}\1\d{1,2}(?![\w]|[-/.]\d)|\d{1,2}([-/.])\d{1,2}\2\d{4}(?![\w]|[-/.]\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
     "ip": r"\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "card": r"\d{4}(?:[ -]\d{4}){3}(?![\w]|[ -]\d{4}(?!\d))|\d{13,19}(?![\w])",
+    "card": r"\d{4}[ -]\d{6}[ -]\d{4,5}(?![\w]|[ -]\d)|\d{4}(?:[ -]\d{4}){3}(?![\w]|[ -]\d{4}(?!\d))|\d{13,19}(?![\w])",
     "phone": r"(?:\+\d{1,3}[ ])?\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}[ ]\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|(?<!\d)\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
 }
 KINDS = tuple(_FORMATS)

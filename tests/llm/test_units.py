@@ -93,6 +93,24 @@ def test_pseudonyms_keep_format_link_and_invert():
     assert pii.Pseudonyms(b"other").replace(text)[0] != new
 
 
+def test_pseudonyms_of_other_written_forms():
+    made = pii.Pseudonyms()
+    text = "12/31/1999, 03-25-2021, 3782 822463 10005, 3782-822463-10005, DE89 3704 0044 0532 0130 00 AND GB82-WEST-1234-5698-7654-32, LT20 4111 1111 1111 1111."
+    new, spans = made.replace(text)
+    assert [k for k, _, _ in spans] == ["date", "date", "card", "card", "iban", "iban", "card"]
+    assert made.replace(new, True)[0] == text
+    assert all(text[a:b] != new[a:b] for _, a, b in spans) and len(new) == len(text)
+    assert [new[a:b] for a, b in (p.span() for p in re.finditer("[ ,-]", text))] == [p.group() for p in re.finditer("[ ,-]", text)]
+    days = [f"{m:02d}/{d:02d}/2021" for m in range(1, 13) for d in range(13, 29)]
+    out = [made.replace(x)[0] for x in days]
+    assert len(set(out)) == len(days) and all(int(x[3:5]) > 12 for x in out) and [made.replace(x, True)[0] for x in out] == days
+    same = "02/30/2021 13/13/2021 DE89 3704 0044 0532 0130 01 3782 822463 10006"
+    assert made.replace(same) == (same, [])
+    # An iban-like row of groups around a card never turns into an iban, so all come back.
+    cards = [f"LT20 {x[:4]} {x[4:8]} {x[8:12]} {x[12:]}" for k in range(600) for x in [f"4{k:014d}" + pii._luhn_digit(f"4{k:014d}")]]
+    assert all(made.replace(made.replace(x)[0], True)[0] == x for x in cards)
+
+
 def test_word_hashes_depend_on_bytes_only():
     raw = np.frombuffer("aa bb aa\tcc  bb\x0baa".encode(), np.uint8)
     starts, ends, first = textvec.words(raw, np.array([0, 8, 8, len(raw)]))
