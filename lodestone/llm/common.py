@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names that no column of taken has, in any case."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name in used:
+            name += "_"
+        used.add(name)
+        out.append(name)
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column without copying rows; null counts as empty."""
     arr = column.cast(pa.large_binary())
@@ -46,6 +58,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about limit bytes in a string column; a longer text comes alone."""
+    _, offsets = utf8(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def binary_column(rows: np.ndarray) -> pa.Array:
     """A 2-d array as one binary value per row."""
     rows = np.ascontiguousarray(rows)

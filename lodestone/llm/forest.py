@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import binary_column, cut, table, utf8
 from .components import components
-from .textvec import LOWER, distinct, doc_chunks, mix, shingles, span_hashes, words
+from .textvec import LOWER, digests, distinct, doc_chunks, mix, shingles, span_hashes, words
 
 SIZE = 128
 TREES = 24
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int = WORDS) -> DataF
                 for d, own in enumerate(_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)):
                     n[d] = len(own)
                     if len(own):
-                        lo[d], hi[d] = (mix(own, s).sum(dtype=np.uint64).view(np.int64) for s in (5, 6))
+                        lo[d], hi[d] = digests(own.view(np.uint8), *np.array([[0], [8 * len(own)]]))
                         labels[d] = signer.sign(own)
                 signed = pa.compute.if_else(pa.array(n > 0), binary_column(labels), pa.scalar(None, pa.binary()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(lo), pa.array(hi), signed], ["doc_id", "n_shingles", "lo", "hi", "labels"])

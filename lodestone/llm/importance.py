@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, table, utf8
-from .textvec import LOWER, doc_chunks, mix, span_hashes, words
+from .textvec import LOWER, digests, doc_chunks, mix, span_hashes, words
 
 BUCKETS = 1 << 16
 LENGTH = 30.0
@@ -90,7 +90,7 @@ def weights(docs: DataFrame, key: str, text: str, ratio: np.ndarray, seed: int =
                 total = np.concatenate(([0.0], np.cumsum(shared.value[grams])))
                 n = np.diff(first)
                 log_weight = length * np.diff(total[first]) / np.maximum(n, 1)
-                code = mix(mix(ids[a:b], seed) ^ mix(span_hashes(part, off[:-1], off[1:], None), seed))
+                code = mix(mix(ids[a:b], seed) ^ digests(part, off[:-1], off[1:])[0].view(np.uint64))
                 u = ((code >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(log_weight), pa.array(log_weight - np.log(-np.log(u)))], ["key", "log_weight", "gumbel_key"])
 

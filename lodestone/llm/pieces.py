@@ -7,13 +7,14 @@ merge taken off the agenda is skipped for good if a keyed hash of (seed, row's s
 in the text, the merge's place and length) falls under the dropout rate.  Dropout 0 is plain BPE.  Characters without a piece, and
 the mark itself where the text has it, become byte pieces, so decoding gives every text back.
 
-So every occurrence draws skips of its own, and runs repeat exactly.  What follows from the draws is
-exact and kept: for a segment and the merges skipped so far, each worker keeps the merges that follow
-and the ids if none of them is skipped.  An occurrence goes from there by its first skip, if any.
-Segments over LONG characters are encoded for each occurrence.
-
-Defined cases: null and empty texts have no pieces and decode to the empty text; repeated rows get
-equal ids; equal scores go leftmost; an empty table gives no rows; other columns are ignored.
+Every occurrence of every segment draws skips of its own, and runs repeat exactly.  Occurrences of one
+length are merged together: for each distinct segment a worker keeps the ranks of its substrings, and
+one array step takes the best candidate of every occurrence at once.  Segments over LONG characters are
+merged one by one.
+
+Defined cases: null and empty texts have no pieces and decode to the empty text; very long texts are
+encoded whole; repeated rows get equal ids; equal scores go leftmost; a null key is a salt like any
+other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,20 +25,20 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .textvec import mix, span_hashes
+from .common import slices, table
+from .textvec import mix
 
 MARK = "▁"
 DROPOUT = 0.1
 SEED = 3
-CACHE = 1 << 20
-LONG = 20
-CHUNK = 1 << 20
+CACHE = 1 << 22
+LONG = 32
+CHUNK = 1 << 18
+_NONE = np.iinfo(np.int32).max
 _MASK = (1 << 64) - 1
 
 
@@ -51,18 +52,22 @@ class Vocabulary:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         skip = {i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)}
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in skip}
-        self.rank = {p: -model.get_score(i) for p, i in self.ids.items()}
+        scores = {p: -model.get_score(i) for p, i in self.ids.items()}
+        order = {x: k for k, x in enumerate(sorted(set(scores.values())))}
+        self.rank = {p: order[x] for p, x in scores.items()}  # the best score is 0
+        self.by_length = {}  # pieces of each length, as fixed binaries of code points, with ids and ranks
+        for n in range(1, min(max(map(len, self.ids), default=1), LONG) + 1):
+            own = [p for p in self.ids if len(p) == n]
+            values = pa.array([p.encode("utf-32-le") for p in own], pa.binary(4 * n))
+            self.by_length[n] = values, np.array([self.ids[p] for p in own], np.int32), np.array([self.rank[p] for p in own], np.int32)
         self.raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if i in skip else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a mark after other characters; segments can't be encoded alone")
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte pieces")
 
-    def encode(self, segment: str, dropout: float, key: int, skips: int = -1, trace: list[int] | None = None) -> list[int]:
-        """Ids of one segment; key: 64 bits.
-
-        After that many skips, if not negative, no merge is skipped, and trace gets the codes of those made.
-        """
+    def encode(self, segment: str, dropout: float, key: int) -> list[int]:
+        """Ids of one segment; key: 64 bits, the occurrence's own."""
         n = len(segment)
         whole = self.ids.get(segment) if not dropout and n == 1 else None
         if whole is not None:
@@ -70,7 +75,7 @@ class Vocabulary:
         text = list(segment)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         rank = self.rank
-        agenda: list[tuple[float, int, str]] = []
+        agenda: list[tuple[int, int, str]] = []
         for k in range(n - 1):
             both = segment[k : k + 2]
             r = rank.get(both)
@@ -86,14 +91,10 @@ class Vocabulary:
             if not head or right >= n or head + text[right] != both:
                 continue  # one of its symbols has merged with another
             if limit:
-                if skips:
-                    # Multiply, shift and multiply again: the keyed hash of this merge's place and length.
-                    code = ((key ^ (left << 20 | len(both))) * 0x9E3779B97F4A7C15) & _MASK
-                    if ((code ^ (code >> 29)) * 0xBF58476D1CE4E5B9) & _MASK < limit:
-                        skips -= 1
-                        continue
-                else:
-                    trace.append(left << 20 | len(both))
+                # Multiply, shift and multiply again: the keyed hash of this merge's place and length.
+                code = ((key ^ (left << 20 | len(both))) * 0x9E3779B97F4A7C15) & _MASK
+                if ((code ^ (code >> 29)) * 0xBF58476D1CE4E5B9) & _MASK < limit:
+                    continue
             text[left], text[right] = both, ""
             nxt = after[left] = after[right]
             if nxt < n:
@@ -132,74 +133,157 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.stored = 0
-        self.flat, self.begin = np.zeros(1 << 16, np.uint32), np.zeros((1 << 12) + 1, np.int64)
-        self.merges, self.merge_begin = np.zeros(1 << 16, np.uint64), np.zeros((1 << 12) + 1, np.int64)
-
-    def _store(self, found: list[list[int]], made: list[list[int]]) -> int:
-        """Keeps the ids and merges of new states; returns the first one's number."""
-        k = self.stored
-        for lists, flat, begin in ((found, "flat", "begin"), (made, "merges", "merge_begin")):
-            values, bounds = getattr(self, flat), getattr(self, begin)
-            lens = np.fromiter(map(len, lists), np.int64, len(lists))
-            at = int(bounds[k])
-            size = at + int(lens.sum())
-            while k + len(lists) + 1 > len(bounds):
-                bounds = np.concatenate((bounds, np.zeros(len(bounds), np.int64)))
-            while size > len(values):
-                values = np.concatenate((values, np.zeros(len(values), values.dtype)))
-            values[at:size] = np.fromiter((i for x in lists for i in x), values.dtype, size - at)
-            bounds[k + 1 : k + 1 + len(lists)] = at + np.cumsum(lens)
-            setattr(self, flat, values)
-            setattr(self, begin, bounds)
-        self.stored += len(found)
-        return k
-
-    def _states(self, names: np.ndarray, joined: str, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, skips: int) -> np.ndarray:
-        """The state of each occurrence after so many skips; names: 64 bits of its segment and skips."""
-        codes, uniques = pd.factorize(names)
-        listed = uniques.tolist()
-        fresh = np.array([k for k, name in enumerate(listed) if name not in self.known], np.int64)
-        if len(fresh):
-            example = np.zeros(len(listed), np.int64)
-            example[codes[::-1]] = np.arange(len(codes))[::-1]
-            own = example[fresh]
-            found, made = [], []
-            for low, high, key in zip(starts[own].tolist(), ends[own].tolist(), keys[own].tolist()):
-                made.append([])
-                found.append(self.vocabulary.encode(joined[low:high], self.dropout, key, skips, made[-1]))
-            k = self._store(found, made)
-            self.known.update(zip((listed[i] for i in fresh.tolist()), range(k, k + len(fresh))))
-        rows = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))
-        return rows[codes]
-
-    def _rows(self, joined: str, names: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Where the ids of each occurrence are stored."""
-        row = np.zeros(len(starts), np.int64)
-        long = ends - starts > LONG if self.dropout else np.zeros(len(starts), bool)
-        if long.any():
-            found = [self.vocabulary.encode(joined[a:b], self.dropout, key) for a, b, key in zip(starts[long].tolist(), ends[long].tolist(), keys[long].tolist())]
-            row[long] = self._store(found, [[]] * len(found)) + np.arange(len(found))
-        at, skips = np.flatnonzero(~long), 0
-        names = names[at]
-        limit = int(self.dropout * 2.0**64)
-        while len(at):
-            state = row[at] = self._states(names, joined, starts[at], ends[at], keys[at], skips)
-            if not limit:
-                break
-            begin = self.merge_begin[state]
-            n = self.merge_begin[state + 1] - begin
-            out_at = np.cumsum(n) - n
-            who = np.repeat(np.arange(len(at)), n)
-            place = np.arange(len(who)) - out_at[who]
-            h = (keys[at][who] ^ self.merges[begin[who] + place]) * np.uint64(0x9E3779B97F4A7C15)
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            hit = np.flatnonzero(h <= np.uint64(limit - 1))
-            hit = hit[np.concatenate(([True], np.diff(who[hit]) > 0))] if len(hit) else hit
-            # The first skip of each that has one.
-            at, names, skips = at[who[hit]], mix(names[who[hit]] + np.uint64(1) + place[hit].astype(np.uint64), 2), skips + 1
-        return row
+        self.known: dict[bytes, int] = {}  # a segment's number
+        self.learnt = 0
+        self.size = np.zeros(1 << 12, np.int64)
+        self.base = np.zeros(1 << 12, np.int64)  # where its substrings begin: [start * size + length - 1]
+        self.used = 0
+        self.rank = np.zeros(1 << 16, np.int32)
+        self.first = np.zeros(1 << 16, np.int32)  # a substring's ids: where they are in self.store,
+        self.width = np.zeros(1 << 16, np.int8)  # and how many
+        self.store = np.arange(len(self.vocabulary.pieces), dtype=np.uint32)
+        self.spelt: dict[str, int] = {}
+
+    def _spell(self, c: str) -> tuple[int, int]:
+        """Where a character without a piece has its byte pieces."""
+        raw = c.encode("utf-8", "surrogatepass")
+        if c not in self.spelt:
+            self.spelt[c] = len(self.store)
+            self.store = np.append(self.store, np.array([self.vocabulary.bytes[b] for b in raw], np.uint32))
+        return self.spelt[c], len(raw)
+
+    def _learn(self, cps: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of new segments cps[start:start + size]; those up to LONG get their substrings' ranks."""
+        m, number = len(starts), self.learnt
+        self.learnt += m
+        while self.learnt > len(self.size):
+            self.size, self.base = (np.concatenate((x, np.zeros(len(x), x.dtype))) for x in (self.size, self.base))
+        cells = np.where(size <= LONG, size * size, 0)
+        base = self.used + np.cumsum(cells) - cells
+        self.size[number : self.learnt], self.base[number : self.learnt] = size, base
+        low, self.used = self.used, self.used + int(cells.sum())
+        while self.used > len(self.rank):
+            self.rank, self.first, self.width = (np.concatenate((x, np.zeros(len(x), x.dtype))) for x in (self.rank, self.first, self.width))
+        self.rank[low : self.used] = _NONE
+        short = np.flatnonzero(size <= LONG)
+        for width, (pieces, ids, ranks) in self.vocabulary.by_length.items():
+            own = short[size[short] >= width]
+            n = size[own] - width + 1
+            who = np.repeat(own, n)
+            at = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+            cell = base[who] + at * size[who] + width - 1
+            windows = cps[(starts[who] + at)[:, None] + np.arange(width)]
+            if width == 1:
+                chars, inverse = np.unique(windows, return_inverse=True)
+                spelt = np.array([self._spell(chr(c)) for c in chars.tolist()], np.int64).reshape(-1, 2)[inverse.ravel()]
+                self.first[cell], self.width[cell] = spelt[:, 0], spelt[:, 1]
+            windows = pa.Array.from_buffers(pa.binary(4 * width), len(who), [None, pa.py_buffer(np.ascontiguousarray(windows))])
+            found = pa.compute.index_in(windows, value_set=pieces).fill_null(-1).to_numpy()
+            hit = found >= 0
+            cell, found = cell[hit], found[hit]
+            self.rank[cell], self.first[cell], self.width[cell] = ranks[found], ids[found], 1
+        return np.arange(number, self.learnt)
+
+    def _merge(self, n: int, base: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which characters begin a piece, occurrences x n, for occurrences of segments of n characters."""
+        m, limit = len(base), int(self.dropout * 2.0**64)
+        on = np.ones((m, n), bool)
+        if n == 1:
+            return on
+        before = np.tile(np.maximum(np.arange(n + 1) - 1, 0), (m, 1))
+        after = np.tile(np.minimum(np.arange(n + 1) + 1, n), (m, 1))
+
+        def ranks(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            """Rank of the merge into low..high; none if it is skipped or no piece."""
+            size = high - low
+            out = self.rank[base[rows] + low * n + size - 1]
+            if limit:
+                h = (keys[rows] ^ (low << 20 | size).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                out[(h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) <= np.uint64(limit - 1)] = _NONE
+            return out
+
+        # One candidate for each inner cut: the merge of the two symbols that it parts.
+        best = np.full((m, n + 1), _NONE, np.int32)
+        every = np.arange(m)
+        for k in range(1, n):
+            best[:, k] = ranks(every, np.full(m, k - 1), np.full(m, k + 1))
+        act = every
+        while len(act):
+            own = best[act]
+            k = own.argmin(axis=1)  # the leftmost of equal ranks
+            live = own[np.arange(len(act)), k] != _NONE
+            act, k = act[live], k[live]
+            low, high = before[act, k], after[act, k]
+            on[act, k] = False
+            best[act, k] = _NONE
+            after[act, low] = high
+            before[act, high] = low
+            best[act, low] = np.where(low > 0, ranks(act, before[act, low], high), _NONE)
+            best[act, high] = np.where(high < n, ranks(act, low, after[act, high]), _NONE)
+        return on
+
+    def _encoded(self, joined: bytes, cps: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each occurrence's begin); starts: of the segments, which follow each other."""
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        wide = np.ones(len(cps) + 1, np.int64)
+        for low in (0x7F, 0x7FF, 0xFFFF):
+            wide[1:] += cps > low
+        wide[0] = 0
+        ends = np.append(starts[1:], len(cps))
+        at = np.cumsum(wide)[np.append(starts, len(cps))]
+        found = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(joined)]).dictionary_encode()
+        codes, uniques = found.indices.to_numpy(), found.dictionary.to_pylist()
+        if self.used > CACHE:
+            self._reset()
+        numbers = np.fromiter((self.known.get(u, -1) for u in uniques), np.int64, len(uniques))
+        fresh = np.flatnonzero(numbers < 0)
+        example = np.zeros(len(uniques), np.int64)
+        example[codes[::-1]] = np.arange(len(codes))[::-1]
+        numbers[fresh] = self._learn(cps, starts[example[fresh]], (ends - starts)[example[fresh]])
+        self.known.update(zip((uniques[k] for k in fresh.tolist()), numbers[fresh].tolist()))
+        if not self.dropout:  # every occurrence of a segment is the same
+            occurrence, keys = numbers, np.zeros(len(numbers), np.uint64)
+        else:
+            occurrence = numbers[codes]
+        size = self.size[occurrence]
+        order = np.argsort(size, kind="stable")
+        edges = np.searchsorted(size[order], np.arange(LONG + 2))
+        counts, groups = np.zeros(len(occurrence), np.int64), []
+        for n in range(1, LONG + 1):
+            for a in range(edges[n], edges[n + 1], 1 << 16):
+                rows = order[a : min(a + (1 << 16), edges[n + 1])]
+                base = self.base[occurrence[rows]]
+                who, begin = np.nonzero(self._merge(n, base, keys[rows]))
+                heads = np.searchsorted(who, np.arange(len(rows)))
+                end = np.append(begin[1:], 0)
+                end[np.append(heads[1:], len(who)) - 1] = n
+                cell = base[who] + begin * n + end - begin - 1
+                width = self.width[cell].astype(np.int64)
+                total = np.cumsum(width)
+                place = total - width - (total - width)[heads][who]
+                counts[rows] = np.diff(np.append((total - width)[heads], total[-1]))
+                groups.append((rows[who], place, self.first[cell], width))
+        bounds = np.zeros(len(occurrence) + 1, np.int64)
+        spelt = {}
+        for r in order[edges[LONG + 1] :].tolist():
+            spelt[r] = self.vocabulary.encode(uniques[codes[r] if self.dropout else r].decode("utf-8", "surrogatepass"), self.dropout, int(keys[r]))
+            counts[r] = len(spelt[r])
+        np.cumsum(counts, out=bounds[1:])
+        flat = np.zeros(bounds[-1], np.uint32)
+        for rows, place, first, width in groups:
+            to = bounds[rows] + place
+            flat[to] = self.store[first]
+            for k in range(1, int(width.max())):
+                more = width > k
+                flat[to[more] + k] = self.store[first[more] + k]
+        for r, own in spelt.items():
+            flat[bounds[r] : bounds[r + 1]] = own
+        if not self.dropout:
+            n = counts[codes]
+            out = np.concatenate(([0], np.cumsum(n)))
+            return flat[np.repeat(bounds[codes] - out[:-1], n) + np.arange(out[-1])], out
+        return flat, bounds
 
     def ids(self, texts: Sequence[str], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets per text); salts: 64 bits of each row's own."""
@@ -229,17 +313,11 @@ class Encoder:
         full = edges[:-1][np.diff(edges) > 0]
         cuts[full] = True
         starts = np.flatnonzero(cuts)
-        ends = np.append(starts[1:], len(cps)) if len(starts) else starts
         first = np.searchsorted(starts, edges)
         doc = np.repeat(np.arange(len(texts)), np.diff(first))
         place = np.arange(len(starts)) - first[doc]
         keys = mix(mix(salts.astype(np.uint64), self.seed)[doc] + place.astype(np.uint64))
-        if self.stored > CACHE or self.begin[self.stored] > 16 * CACHE:
-            self._reset()
-        row = self._rows(joined, span_hashes(cps, starts, ends), starts, ends, keys)
-        size = self.begin[row + 1] - self.begin[row]
-        out_at = np.concatenate(([0], np.cumsum(size)))
-        flat = self.flat[np.repeat(self.begin[row] - out_at[:-1], size) + np.arange(out_at[-1])]
+        flat, out_at = self._encoded(joined.encode("utf-8", "surrogatepass"), cps, starts, keys)
         bounds = out_at[first]
         counts = np.diff(bounds)
         if odd:
@@ -276,27 +354,33 @@ def _encoder(*key) -> Encoder:
 
 
 def encode(docs: DataFrame, key: str, text: str, path: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """(key, ids): the salt of a row is its key."""
+    """(key, ids, ids_crc32, lossless): the salt of a row is its key; lossless: the ids decode to the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, dropout, seed)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                flat, offsets = encoder.ids(["" if t is None else t for t in batch.column(1).to_pylist()], _salts(batch.column(0)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["key", "ids"])
+        raw = np.array(encoder.vocabulary.raw, object)
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+            flat, offsets = encoder.ids(texts, _salts(batch.column(0)))
+            check, lossless = [], []
+            for d, text in enumerate(texts):
+                own = flat[offsets[d] : offsets[d + 1]]
+                check.append(zlib.crc32(own.astype("<u4").tobytes()))
+                lossless.append(b"".join(raw[own])[1:] == text.encode("utf-8"))
+            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(check, pa.int64()), pa.array(lossless, pa.bool_())], ["key", "ids", "ids_crc32", "lossless"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, ids array<int>")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, ids array<int>, ids_crc32 long, lossless boolean")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(key, text) from (key, ids)."""
+    """(key, text) from (key, ids); a null list of ids decodes to the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _encoder(path, 0.0).vocabulary
-        for batch in batches:
-            texts = [vocabulary.decode(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts)], ["key", "text"])
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            texts = [vocabulary.decode(x or ()) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "text"])
 
     return encoded.select("key", "ids").mapInArrow(run, "key long, text string")
 
@@ -306,23 +390,8 @@ def _salts(keys: pa.Array) -> np.ndarray:
 
 
 def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its number of pieces with dropout, a checksum of the ids, and whether they decode to the text."""
+    """Per document: its ids with dropout, their number and checksum, and whether they decode to the text."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, DROPOUT, SEED)
-        raw = np.array(encoder.vocabulary.raw, object)
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            flat, offsets = encoder.ids(texts, _salts(batch.column(0)))
-            check, lossless = [], []
-            for d, text in enumerate(texts):
-                own = flat[offsets[d] : offsets[d + 1]]
-                check.append(zlib.crc32(own.astype("<u4").tobytes()))
-                lossless.append(b"".join(raw[own])[1:] == text.encode("utf-8"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(check, pa.int64()), pa.array(lossless)], ["doc_id", "n_pieces", "ids_crc32", "lossless"])
-
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
+    out = encode(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select(F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids", "ids_crc32", "lossless")

@@ -5,9 +5,13 @@ hold each line are counted.  A line in more than both ``least`` texts and ``shar
 distinct texts is boilerplate.  A text that keeps less than ``left`` of its words without boilerplate
 is depleted and rejected.
 
-Counting distinct texts, not rows, keeps a much copied document from becoming its own boilerplate.
+Documents with one text count once, which keeps a much copied document from becoming its own
+boilerplate; ``copies=True`` counts rows by their key instead.
 
-Defined cases: a null text is empty (and so fails the base rule); a null host is a host of its own,
+Lines are named by 64 bits of a keyed hash of their words, texts by 128 bits; equal lines inside a text
+are compared exactly.
+
+Defined cases: very long texts are read whole; a null text is empty (and so fails the base rule); a null host is a host of its own,
 apart from the empty name; lines without a word are not counted; a text with no words is not
 depleted; repeated rows each get the same result; an empty table gives no rows; other columns are
 ignored.
@@ -23,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table, utf8
-from .textvec import LOWER, SAME, doc_chunks, mix, span_hashes, sums, words
+from .common import cut, fresh, slices, table, utf8
+from .textvec import LOWER, digests, doc_chunks, mix, names, run_hashes, span_codes, span_hashes, sums, words
 
 LEAST = 10
 SHARE = 0.05
@@ -56,9 +60,12 @@ def _statistics(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     full = word_to > word_from
     line_doc, line_start, line_end, word_from, word_to = (x[full] for x in (line_doc, line_start, line_end, word_from, word_to))
     salt = mix(np.arange(n, dtype=np.uint64), 1)
-    out["n_dup_lines"] = np.bincount(line_doc, minlength=n) - _distinct_per_doc(mix(span_hashes(raw, line_start, line_end, SAME) ^ salt[line_doc]), line_doc, n)
+    lines, different = span_codes(raw, line_start, line_end)
+    held = np.unique(line_doc * max(len(different), 1) + lines) // max(len(different), 1)
+    out["n_dup_lines"] = np.bincount(line_doc, minlength=n) - np.bincount(held, minlength=n)
     # Words in windows of three that occur twice or more.
-    h = span_hashes(raw, starts, ends, SAME)
+    codes, spans = span_codes(raw, starts, ends)
+    h = names(spans)[codes]
     repeated = np.zeros(len(h), bool)
     if len(h) >= 3:
         inside = np.flatnonzero(doc[2:] == doc[:-2])
@@ -73,25 +80,19 @@ def _statistics(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             repeated[at + k] = True
     out["n_repeat_words"] = sums(repeated, first)
     # Distinct normalised lines of each text, with all their words.
-    normal = span_hashes(raw, starts, ends, _NORMAL)
-    line = span_hashes(normal, word_from, word_to)
+    table = _NORMAL.tobytes()
+    normal = names([x.translate(table) for x in spans])[codes]
+    line = run_hashes(normal, word_from, word_to)
     by = np.lexsort((line, line_doc))
     line, line_doc, size = line[by], line_doc[by], (word_to - word_from)[by]
     new = np.ones(len(line), bool)
     new[1:] = (line[1:] != line[:-1]) | (line_doc[1:] != line_doc[:-1])
     heads = np.flatnonzero(new)
     out["lines"] = (line[heads], np.add.reduceat(size, heads) if len(heads) else size, np.bincount(line_doc[heads], minlength=n))
-    out["text_lo"], out["text_hi"] = _names(raw, offsets)
+    out["text_lo"], out["text_hi"] = digests(raw, offsets[:-1], offsets[1:])
     return out
 
 
-def _distinct_per_doc(keys: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    by = np.argsort(keys, kind="stable")
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[by][1:] != keys[by][:-1]
-    return np.bincount(doc[by][new], minlength=n)
-
-
 def statistics(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     """Base counts and distinct line hashes of every row."""
 
@@ -112,18 +113,18 @@ def statistics(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.col(host).cast("string").alias("host"), F.col(text).alias("text")).mapInArrow(run, STATS)
 
 
-def frequent_lines(stats: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """(host, line, n_docs) above the limits; counts are of distinct texts."""
-    text = F.struct("text_lo", "text_hi")
+def frequent_lines(stats: DataFrame, least: int = LEAST, share: float = SHARE, copies: bool = False) -> DataFrame:
+    """(host, line, n_docs) above the limits; documents with one text count once, unless copies."""
+    text = F.struct("key") if copies else F.struct("text_lo", "text_hi")
     held = stats.select("host", text.alias("text"), F.explode("lines").alias("x")).select("host", "text", F.col("x.line").alias("line"))
     per_line = held.groupBy("host", "line").agg(F.count_distinct("text").alias("n_docs")).filter(F.col("n_docs") > least)
     per_host = stats.groupBy(F.col("host").alias("h")).agg(F.count_distinct(text).alias("host_docs"))
     return per_line.join(per_host, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n_docs") > share * F.col("host_docs")).select("host", "line", "n_docs")
 
 
-def verdicts(stats: DataFrame, least: int = LEAST, share: float = SHARE, left: float = LEFT) -> DataFrame:
+def verdicts(stats: DataFrame, least: int = LEAST, share: float = SHARE, left: float = LEFT, copies: bool = False) -> DataFrame:
     """stats without lines, with base_failed, removed_words and kept."""
-    common = frequent_lines(stats, least, share).select(F.col("host").alias("h"), F.col("line").alias("l"))
+    common = frequent_lines(stats, least, share, copies).select(F.col("host").alias("h"), F.col("line").alias("l"))
     # Repeated texts of a host have equal lines, so one row of each is enough.
     held = stats.select("host", "text_lo", "text_hi", F.explode("lines").alias("x")).select("host", "text_lo", "text_hi", "x.line", "x.words")
     removed = (
@@ -150,54 +151,41 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
-def clean(docs: DataFrame, text: str, host: str, stats: DataFrame, least: int = LEAST, share: float = SHARE, left: float = LEFT) -> DataFrame:
+def clean(docs: DataFrame, text: str, host: str, stats: DataFrame, least: int = LEAST, share: float = SHARE, left: float = LEFT, copies: bool = False) -> DataFrame:
     """The rows of docs that are kept, without their boilerplate lines; columns as in docs.
 
     stats: statistics(docs).  A verdict is the same for equal texts of a host, so rows meet it by host
     and text hashes, one verdict row each; adaptive execution can split a text with very many rows.
     """
-    verdict = verdicts(stats, least, share, left).filter("kept").select("host", "text_lo", "text_hi", "removed_words").distinct()
-    common = frequent_lines(stats, least, share).select(F.col("host").alias("h"), F.col("line").alias("l"))
+    verdict = verdicts(stats, least, share, left, copies).filter("kept").select("host", "text_lo", "text_hi", "removed_words").distinct()
+    common = frequent_lines(stats, least, share, copies).select(F.col("host").alias("h"), F.col("line").alias("l"))
     held = stats.select("host", "text_lo", "text_hi", F.explode("lines").alias("x")).select("host", "text_lo", "text_hi", "x.line")
     lines = held.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).groupBy("text_lo", "text_hi", F.col("host").alias("h")).agg(F.collect_set("line").alias("removed"))
     verdict = verdict.alias("v").join(lines.withColumnsRenamed({"text_lo": "lo", "text_hi": "hi"}), (F.col("text_lo") == F.col("lo")) & (F.col("text_hi") == F.col("hi")) & F.col("host").eqNullSafe(F.col("h")), "left")
-    verdict = verdict.select(F.col("text_lo").alias("v_lo"), F.col("text_hi").alias("v_hi"), F.col("host").alias("v_host"), "removed")
-    names = docs.columns
-    at = names.index(text)
-    named = T.StructType([*docs.schema.fields, T.StructField("q_lo", T.LongType()), T.StructField("q_hi", T.LongType())])
+    columns = docs.columns
+    own_lo, own_hi, v_lo, v_hi, v_host, gone = fresh(columns, "lo", "hi", "v_lo", "v_hi", "v_host", "gone")
+    verdict = verdict.select(F.col("text_lo").alias(v_lo), F.col("text_hi").alias(v_hi), F.col("host").alias(v_host), F.col("removed").alias(gone))
+    at = columns.index(text)
+    named = T.StructType([*docs.schema.fields, T.StructField(own_lo, T.LongType()), T.StructField(own_hi, T.LongType())])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(at))
-            lo, hi = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for a, b in doc_chunks(offsets):
-                own = _names(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                lo.append(own[0])
-                hi.append(own[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(lo)), pa.array(np.concatenate(hi))], [*names, "q_lo", "q_hi"])
+            lo, hi = digests(raw, offsets[:-1], offsets[1:])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lo), pa.array(hi)], [*columns, own_lo, own_hi])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+        for batch in (part for whole in batches for part in slices(whole, at)):
             texts = batch.column(at).to_pylist()
-            for d, gone in enumerate(batch.column(len(names)).to_pylist()):
-                if gone:
-                    texts[d] = without_lines(texts[d], set(gone))
-            columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for d, lines in enumerate(batch.column(len(columns)).to_pylist()):
+                if lines:
+                    texts[d] = without_lines(texts[d], set(lines))
+            out = list(batch.columns[: len(columns)])
+            out[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(out, columns)
 
-    met = docs.mapInArrow(name, named).join(verdict, (F.col("q_lo") == F.col("v_lo")) & (F.col("q_hi") == F.col("v_hi")) & F.col(host).cast("string").eqNullSafe(F.col("v_host")))
-    return met.select(*names, "removed").mapInArrow(strip, docs.schema)
-
-
-def _names(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two hashes that name a text."""
-    starts, ends, first = words(raw, offsets)
-    h = span_hashes(raw, starts, ends, SAME)
-    lo = span_hashes(raw, offsets[:-1], offsets[1:], SAME)
-    # A second, independent hash: the words in order, and the length.
-    hi = mix(span_hashes(h, first[:-1], first[1:]) + np.diff(offsets).astype(np.uint64), 3)
-    return lo.view(np.int64), hi.view(np.int64)
+    met = docs.mapInArrow(name, named).join(verdict, (F.col(own_lo) == F.col(v_lo)) & (F.col(own_hi) == F.col(v_hi)) & F.col(host).cast("string").eqNullSafe(F.col(v_host)))
+    return met.select(*columns, gone).mapInArrow(strip, docs.schema)
 
 
 def without_lines(text: str, gone: set[int]) -> str:
@@ -207,5 +195,5 @@ def without_lines(text: str, gone: set[int]) -> str:
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in data])))
     raw = np.frombuffer(b"".join(data), np.uint8)
     starts, ends, first = words(raw, offsets)
-    hashes = span_hashes(span_hashes(raw, starts, ends, _NORMAL), first[:-1], first[1:]).view(np.int64)
+    hashes = run_hashes(span_hashes(raw, starts, ends, _NORMAL), first[:-1], first[1:]).view(np.int64)
     return "\n".join(line for line, h, n in zip(lines, hashes.tolist(), np.diff(first).tolist()) if not n or h not in gone)

@@ -1,32 +1,26 @@
 """Word and shingle hashes of many texts at once, as array operations on their UTF-8 bytes.
 
-A word is a run of bytes outside space and 0x09-0x0D.  Its hash is a polynomial in its bytes modulo
-2^64, read off prefix sums, then mixed; so no Python object is made per word.
+A word is a run of bytes outside space and 0x09-0x0D.  Words are told apart exactly (an Arrow
+dictionary of their bytes); each distinct one gets 64 bits of keyed BLAKE2b.  Longer runs (lines, whole
+texts, sets) are named by keyed BLAKE2b too, so no two of them share a name by their structure.
+
+Any bytes are taken, very long texts too; an empty text has no words; equal bytes give equal hashes.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
+import pyarrow as pa
 
-SEGMENT = 1 << 18
-_MULT = 0x9E3779B97F4A7C15
-_INV = pow(_MULT, -1, 1 << 64)
+KEY = b"lodestone names"
+CACHE = 1 << 17
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint64)
-LOWER[65:91] += np.uint64(32)
-SAME = np.arange(256, dtype=np.uint64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _powers or len(_powers["p"]) < n:
-        n = max(n, SEGMENT)
-        for key, base in (("p", _MULT), ("i", _INV)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps)
-    return _powers["p"], _powers["i"]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_names: dict[bytes, int] = {}
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -37,23 +31,65 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
-    """Hash of values[starts[i]:ends[i]] for ascending, disjoint spans; table maps values first."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        base = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, base + SEGMENT, side="right")))
-        stop = int(ends[to - 1])
-        p, inv = powers(stop - base + 1)
-        part = values[base:stop]
-        part = table[part] if table is not None else part.astype(np.uint64)
-        sums = np.zeros(stop - base + 1, np.uint64)
-        np.cumsum((part + np.uint64(1)) * p[: stop - base], out=sums[1:])
-        s, e = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = (sums[e] - sums[s]) * inv[s] + (e - s).astype(np.uint64)
-        at = to
-    return mix(out)
+def span_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, list[bytes]]:
+    """(code of each span, bytes of each code) for ascending, disjoint spans; table maps bytes first.
+
+    Exact: two spans have one code if, and only if, their bytes are equal.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64), []
+    edge = np.zeros(len(raw) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    part = raw[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    if table is not None:
+        part = table[part]
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(part))])
+    found = spans.dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+
+
+def name(data: bytes) -> int:
+    """64 bits of keyed BLAKE2b."""
+    return int.from_bytes(blake2b(data, digest_size=8, key=KEY).digest(), "little")
+
+
+def names(spans: list[bytes]) -> np.ndarray:
+    """The name of each span; short ones are kept, up to CACHE."""
+    known = _names
+    if len(known) > CACHE:
+        known.clear()
+    out = np.empty(len(spans), np.uint64)
+    for k, span in enumerate(spans):
+        h = known.get(span)
+        if h is None:
+            h = name(span)
+            if len(span) <= 64:
+                known[span] = h
+        out[k] = h
+    return out
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Name of raw[starts[i]:ends[i]] for ascending, disjoint, non-empty spans; table maps bytes first."""
+    codes, spans = span_codes(raw, starts, ends, table)
+    return names(spans)[codes]
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the run values[starts[i]:ends[i]] of 64-bit values."""
+    data = memoryview(np.ascontiguousarray(values)).cast("B")
+    return np.fromiter((name(data[8 * a : 8 * b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
+def digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of keyed BLAKE2b of raw[starts[i]:ends[i]], as two columns."""
+    data = memoryview(np.ascontiguousarray(raw)).cast("B")
+    out = b"".join(blake2b(data[a:b], digest_size=16, key=KEY).digest() for a, b in zip(starts.tolist(), ends.tolist()))
+    pairs = np.frombuffer(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,10 +114,10 @@ def shingles(word_hashes: np.ndarray, size: int) -> np.ndarray:
     if n == 0:
         return word_hashes
     width = min(size, n)
-    out = np.zeros(n - width + 1, np.uint64)
+    out = np.full(n - width + 1, width, np.uint64)
     for k in range(width):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + word_hashes[k : n - width + 1 + k]
-    return mix(out, width)
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + word_hashes[k : n - width + 1 + k]
+    return mix(out)
 
 
 def distinct(values: np.ndarray) -> np.ndarray:

@@ -1,9 +1,12 @@
 """Byte-level BPE ids of many texts at once.
 
-Pre-tokens are cut by array operations on code points, hashed, and looked up in a cache of pre-token
-ids; only pre-tokens not seen before go through the BPE library.  Texts with characters outside the
+Pre-tokens are cut by array operations on code points, told apart exactly by an Arrow dictionary of
+their bytes, and looked up in a cache of ids by those bytes; only pre-tokens not seen before go
+through the BPE library.  Texts with characters outside the
 ranges whose classes are settled here, or with a special token's string, go to the tokenizers
 library whole, so every text gets exactly that library's ids.
+
+An empty text has no ids; repeated texts get equal ids; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -13,9 +16,7 @@ import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-
-from .textvec import span_hashes
+import pyarrow as pa
 
 CHUNK = 1 << 18
 CACHE = 1 << 19
@@ -61,12 +62,12 @@ class ByteBPE:
         return self._whole
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros((1 << 12) + 1, np.int64)
 
-    def _learn(self, code: int, text: str) -> int:
-        ids = self._bpe(text.encode())
+    def _learn(self, piece: bytes) -> int:
+        ids = self._bpe(piece)
         k = len(self.known)
         if k + 2 > len(self.begin):
             self.begin = np.concatenate((self.begin, np.zeros(len(self.begin), np.int64)))
@@ -75,7 +76,7 @@ class ByteBPE:
             self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
         self.flat[at : at + len(ids)] = ids
         self.begin[k + 1] = at + len(ids)
-        self.known[code] = k
+        self.known[piece] = k
         return k
 
     def ids(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,17 +142,22 @@ class ByteBPE:
             if word in joined:
                 odd |= np.array([word in t for t in texts])
         starts = self._starts(cps, cls, edges[:-1][lens > 0]) if len(cps) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(cps)) if len(starts) else starts
-        codes, uniques = pd.factorize(span_hashes(cps, starts, ends))
+        wide = np.ones(len(cps) + 1, np.int64)
+        for low in (0x7F, 0x7FF, 0xFFFF):
+            wide[1:] += cps > low
+        wide[0] = 0
+        at = np.cumsum(wide)[np.append(starts, len(cps))]
+        codes, uniques = np.zeros(0, np.int64), []
+        if len(starts):
+            found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(joined.encode())]).dictionary_encode()
+            codes, uniques = found.indices.to_numpy(), found.dictionary.to_pylist()
         if len(self.known) + len(uniques) > CACHE:
             self._reset()
-        example = np.zeros(len(uniques), np.int64)
-        example[codes[::-1]] = np.arange(len(codes))[::-1]
         get = self.known.get
         rows = np.empty(len(uniques), np.int64)
-        for k, code in enumerate(uniques.tolist()):
-            row = get(code)
-            rows[k] = row if row is not None else self._learn(code, joined[starts[example[k]] : ends[example[k]]])
+        for k, piece in enumerate(uniques):
+            row = get(piece)
+            rows[k] = row if row is not None else self._learn(piece)
         row = rows[codes] if len(codes) else np.zeros(0, np.int64)
         size = self.begin[row + 1] - self.begin[row]
         out_at = np.concatenate(([0], np.cumsum(size)))
