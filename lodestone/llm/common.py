@@ -8,31 +8,55 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder.
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only a local session without that
-    setting (tests) gets a temporary folder; a cluster without it is an error, because a folder of
-    one machine is invisible to the others.
+    It is the session's ``spark.checkpoint.dir``.  Only a local session without that setting (tests)
+    gets a temporary folder; a cluster without it is an error, because a folder of one machine is
+    invisible to the others.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
             if not sc.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir is not set")
-            shared = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(shared)
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def spread(many: DataFrame, few: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of many and few on columns that are not null, where a key may hold a third of many.
+
+    Keys with over 1/(4 * partitions) of the rows of many, 4 * partitions keys at most by that
+    measure, get parts in proportion: the rows of many are dealt over them by a hash of the column
+    by, and the rows of few are repeated, 8 * partitions times in all at most for each row of a key.
+    many is read twice: pass what is written.
+    """
+    partitions = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = many.groupBy(*on).agg(F.count("*").alias("held"))
+    limit = max(many.count() // (4 * partitions), 1)
+    hot = counted.filter(F.col("held") > limit).select(*on, F.ceil(F.col("held") / limit).cast("int").alias("parts"))
+    hot = F.broadcast(hot)
+    left = many.join(hot, on, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    right = few.join(hot, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    return left.join(right, [*on, "part"], how).drop("part")
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """Column names that no column of taken has, in any case."""
     used, out = {x.lower() for x in taken}, []

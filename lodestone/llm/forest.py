@@ -6,22 +6,26 @@ sorted orders reads DEPTH labels of it in an order of its own; the table of (tre
 range-partitioned and sorted, so a class's neighbours in an order are those with the longest common
 prefix.
 
-Candidates: in each order, the next NEAR rows that share a prefix of at least FLOOR labels.  In thin
-regions that is every row with that prefix; in dense regions it reaches as deep as the region needs.
-Where a row has more such rows than NEAR, the region (tree and FLOOR labels) is kept as dense, and
-all its pairs that the first links left in different components are compared on full sets as well,
-block against block, so density costs no link.
+Candidates: in each order, neighbours that share at least FLOOR labels, and every pair of a region (the
+rows that share FLOOR labels) of at most SMALL rows.  A larger region is descended label by label: its
+parts of at most SMALL rows are taken whole at the depth where they become that small.  Rows at the
+edges of sorted partitions are put in order once more, so no region is seen in part only.
 
 Two texts of Jaccard similarity s share FLOOR labels in one of the orders with probability
-1 - (1 - s^FLOOR)^TREES: 0.99999 at 0.85.  Candidates whose signatures agree in less than 0.70 of the
-labels (4.5 standard deviations below 0.85) are dropped; all others are compared on full sets.
+1 - (1 - s^FLOOR)^TREES: 0.99999 at 0.85.  Candidates whose sizes rule the link out are dropped; all
+others are compared on full sets, in two rounds: first each class's most similar candidate, then the
+candidates that are still in different components.  So a group of n near copies costs about n
+comparisons, and the components are those of all candidate links.
 
-Confirmation takes two rounds: first each class's most similar candidate, then the candidates that
-are still in different components.  So a group of n near copies costs about n comparisons, not n^2,
-and the components are those of all candidate links.
+Rows of regions that had to be descended may have partners that are no candidates.  They get an exact
+way: a prefix-filtered join of their full sets.  In one order of all shingles, rare ones first, two
+sets that are linked share a shingle among each one's first n - ceil(0.85 n) + 1, at places that leave
+enough behind them; only pairs of different components that do are compared.  The order comes from a
+table of hashed counts; its size decides how many pairs are compared, never which links are found.
 
 Defined cases: texts without words (null too) have an empty set, no links, and are their own
-component; repeated rows and rows with equal sets are one component; shorter texts than a shingle have
+component; very long texts are taken whole; repeated rows and rows with equal sets are one component;
+rows of one key are one document, so all its texts' links are its own; shorter texts than a shingle have
 their whole sequence as the one shingle; rows with a null key take no part and get a null component;
 an empty table gives no rows; other columns are ignored.
 """
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_column, cut, table, utf8
+from .common import binary_column, cut, spread, table, utf8
 from .components import components
 from .textvec import LOWER, digests, distinct, doc_chunks, mix, shingles, span_hashes, words
 
@@ -44,9 +48,8 @@ SIZE = 128
 TREES = 24
 DEPTH = 8
 FLOOR = 6
-NEAR = 2
-BLOCK = 512
-AGREE = 0.70
+SMALL = 4
+COUNTS = 1 << 18
 WORDS = 5
 SEED = 20_240_229
 
@@ -122,35 +125,41 @@ def orders(classes: DataFrame) -> DataFrame:
     return classes.select("id", "labels").mapInArrow(run, "tree int, k1 long, k2 long, id long")
 
 
-def _pairs_in_order(tree: np.ndarray, k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, i + step) of the sorted rows that share FLOOR labels, and which rows have more."""
-    part = k2 >> np.int64(64 - 16 * (FLOOR - 4))
-    left, right, full = [], [], np.zeros(len(ids), bool)
-    for step in range(1, near + 2):
-        if step >= len(ids):
-            break
-        same = (tree[step:] == tree[:-step]) & (k1[step:] == k1[:-step]) & (part[step:] == part[:-step])
-        at = np.flatnonzero(same)
-        if not len(at):
-            break
-        if step == near + 1:
-            full[at] = full[at + step] = True
-        else:
-            left.append(ids[at])
-            right.append(ids[at + step])
-    return (np.concatenate(left) if left else ids[:0]), (np.concatenate(right) if right else ids[:0]), full
+def _pairs_in_order(tree: np.ndarray, k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of sorted rows, and which rows lie in a region of more than small rows."""
+    n = len(ids)
+    if n < 2:
+        return ids[:0], ids[:0], np.zeros(n, bool)
+    shift = np.array([48, 32, 16, 0], np.uint64)
+    labels = np.concatenate([(k.view(np.uint64)[:, None] >> shift) & np.uint64(0xFFFF) for k in (k1, k2)], axis=1)
+    depth = np.cumprod(labels[1:] == labels[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
+    left, right = [np.flatnonzero(depth >= FLOOR)], [np.flatnonzero(depth >= FLOOR) + 1]
+    settled, dense = np.zeros(n, bool), np.zeros(n, bool)
+    for d in range(FLOOR, DEPTH + 1):
+        region = np.concatenate(([0], np.cumsum(depth < d)))
+        size = np.bincount(region)[region]
+        if d == FLOOR:
+            dense = size > small
+        whole = ~settled & (size <= small)
+        settled |= whole
+        for step in range(2, small):
+            at = np.flatnonzero(whole[:-step] & (region[step:] == region[:-step]))
+            left.append(at)
+            right.append(at + step)
+    left, right = np.concatenate(left), np.concatenate(right)
+    return ids[left], ids[right], dense
 
 
 NEIGHBOURS = "kind int, a long, b long, tree int, k1 long, k2 long"
 
 
-def neighbours(ordered: DataFrame, partitions: int, near: int = NEAR) -> DataFrame:
-    """kind 0: candidate pair (a, b); 1: (tree, k1, k2) of a dense region; 2: a row (a, tree, k1, k2)
-    at the edge of a sorted partition, whose neighbours may lie in the next one."""
+def neighbours(ordered: DataFrame, partitions: int, small: int = SMALL) -> DataFrame:
+    """kind 0: candidate pair (a, b); 1: a row a of a region of more than small rows; 2: a row
+    (a, tree, k1, k2) at the edge of a sorted partition, whose neighbours may lie in the next one."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, first = None, True
-        width = near + 1
+        width = small + 1
 
         def edge(part: pd.DataFrame) -> pd.DataFrame:
             return part.rename(columns={"id": "a"}).assign(kind=2, b=0)
@@ -159,12 +168,11 @@ def neighbours(ordered: DataFrame, partitions: int, near: int = NEAR) -> DataFra
             if first:
                 yield edge(frame.head(width))
                 first = False
+            # The rows held back bring a region that two frames share; pairs met twice are one later.
             rows = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            cols = [rows[c].to_numpy() for c in ("tree", "k1", "k2", "id")]
-            a, b, full = _pairs_in_order(*cols, near)
+            a, b, dense = _pairs_in_order(*(rows[c].to_numpy() for c in ("tree", "k1", "k2", "id")), small)
             yield pd.DataFrame({"kind": 0, "a": np.minimum(a, b), "b": np.maximum(a, b), "tree": 0, "k1": 0, "k2": 0})
-            tree, k1, k2 = (c[full].astype(np.int64) for c in cols[:3])
-            yield pd.DataFrame({"kind": 1, "a": 0, "b": 0, "tree": tree, "k1": k1, "k2": k2 >> np.int64(64 - 16 * (FLOOR - 4))}).drop_duplicates()
+            yield pd.DataFrame({"kind": 1, "a": np.unique(rows["id"].to_numpy()[dense]), "b": 0, "tree": 0, "k1": 0, "k2": 0})
             held = rows.tail(width)
         if held is not None:
             yield edge(held)
@@ -174,25 +182,33 @@ def neighbours(ordered: DataFrame, partitions: int, near: int = NEAR) -> DataFra
     return sorted_rows.mapInPandas(lambda it: (f[["kind", "a", "b", "tree", "k1", "k2"]].astype({"kind": "int32", "tree": "int32", "a": "int64", "b": "int64", "k1": "int64", "k2": "int64"}) for f in run(it)), NEIGHBOURS)
 
 
-def _agreement(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs (a, b) with est, the share of equal labels; those below AGREE are gone."""
-    x = classes.select(F.col("id").alias("a"), F.col("labels").alias("la"))
-    y = classes.select(F.col("id").alias("b"), F.col("labels").alias("lb"))
+def candidates(ordered: DataFrame, partitions: int, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """(distinct pairs (a, b), distinct ids of rows in dense regions)."""
+    found = cut(neighbours(ordered, partitions, small))
+    # The rows at the end of a partition and the start of the next, in order again: no more than
+    # partitions * 2 * (small + 1), whatever the number of rows.
+    edges = found.filter("kind = 2").select("tree", "k1", "k2", F.col("a").alias("id")).distinct()
+    every = found.union(cut(neighbours(edges, 1, small)))
+    return every.filter("kind = 0 and a < b").select("a", "b").distinct(), every.filter("kind = 1").select(F.col("a").alias("id")).distinct()
+
+
+def _agreement(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) whose sizes allow a link, with est, the share of equal labels."""
+    x = classes.select(F.col("id").alias("a"), F.col("labels").alias("la"), F.col("n_shingles").alias("na"))
+    y = classes.select(F.col("id").alias("b"), F.col("labels").alias("lb"), F.col("n_shingles").alias("nb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            la, lb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SIZE) for k in (2, 3))
-            est = (la == lb).mean(axis=1)
-            keep = np.flatnonzero(est >= AGREE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(est[keep])], ["a", "b", "est"])
+            if batch.num_rows:
+                la, lb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SIZE) for k in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((la == lb).mean(axis=1))], ["a", "b", "est"])
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long, est double")
+    sized = pairs.join(x, "a").join(y, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return sized.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long, est double")
 
 
 def _members(ids: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(id, members): the full set of one row of each id, as sorted hashes."""
+    """(id, members): each full set of each id, as sorted hashes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +218,8 @@ def _members(ids: DataFrame, docs: DataFrame, key: str, text: str, size: int) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], ["id", "members"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids.distinct(), "id", "left_semi")
-    return cut(rows.mapInArrow(sets, "id long, members binary").dropDuplicates(["id"]))
+    out = rows.mapInArrow(sets, "id long, members binary")
+    return cut(out.withColumn("named", F.xxhash64("members")).dropDuplicates(["id", "named", "members"]).select("id", "members"))
 
 
 def _confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -226,115 +243,97 @@ def _confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long")
 
 
-def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of all pairwise intersections of sets of hashes, as products of presence matrices of width columns."""
-    out = np.zeros((len(left), len(right)), np.float32)
-    values = np.concatenate([*left, *right])
-    rows = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
-    by = np.argsort(values, kind="stable")
-    values, rows = values[by], rows[by]
-    new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
-    column = np.cumsum(new) - 1
-    n = np.bincount(column) if len(column) else np.zeros(0, int)
-    keep = n[column] > 1  # a hash of one set only shares nothing
-    rows, column = rows[keep], column[keep]
-    column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1]))) if len(column) else column
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [low, low + width])
-        held = np.zeros((len(left) + len(right), width), np.float32)
-        held[rows[a:b], column[a:b] - low] = 1
-        out += held[: len(left)] @ held[len(left) :].T
+def _shingle_counts(members: DataFrame, counts: int) -> np.ndarray:
+    """How many sets hold a shingle of each hashed place; counts rows at most come from a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counts, np.int64)
+        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+            held = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            total += np.bincount((held % np.uint64(counts)).astype(np.int64), minlength=counts)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "n"])
+
+    out = np.zeros(counts, np.int64)
+    summed = members.select("members").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out[summed.column("place").to_numpy()] = summed.column("n").to_numpy()
     return out
 
 
-def _dense_rows(regions: DataFrame, ordered: DataFrame, comp: DataFrame) -> DataFrame:
-    """(region, id, component, blocks) of dense regions that hold several components."""
-    part = F.shiftright("k2", 64 - 16 * (FLOOR - 4))
-    rows = ordered.withColumn("p", part).join(regions.select("tree", "k1", F.col("k2").alias("p")), ["tree", "k1", "p"], "left_semi")
-    rows = rows.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rows = cut(rows.select(F.xxhash64("tree", "k1", "p").alias("region"), "id", "component"))
-    stats = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    return cut(rows.join(stats.select("region", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "region"))
-
-
-def _dense_links(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links between classes of a dense region that are in different components.
-
-    A region is cut into blocks by a hash of the id, and each pair of blocks is a group of its own, so
-    no group grows with its region.  Full sets are compared there, all pairs of a group at once; of
-    the links found, a group returns only those that join components not yet joined in it.
-    """
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(members, "id")
-    # Block m meets every block once: cell (min, max).
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        p, q = frame[frame["mine"] == i], frame[frame["mine"] == j]
-        none = pd.DataFrame({"a": [], "b": []}).astype("int64")
-        if not len(p) or not len(q):
-            return none
-        left, right = ([np.frombuffer(m, np.uint64) for m in x["members"]] for x in (p, q))
-        shared = intersections(left, right)
-        size = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
-        cp, cq, ip, iq = (x[c].to_numpy() for c in ("component", "id") for x in (p, q))
-        x, y = np.nonzero((100 * shared >= percent * (size - shared)) & (cp[:, None] != cq[None, :]))
-        parent: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while parent.setdefault(c, c) != c:
-                parent[c] = c = parent[parent[c]]
-            return c
-
-        links = []
-        for k, m in zip(x.tolist(), y.tolist()):
-            one, two = root(int(cp[k])), root(int(cq[m]))
-            if one != two:
-                parent[max(one, two)] = min(one, two)
-                links.append((min(ip[k], iq[m]), max(ip[k], iq[m])))
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64") if links else none
-
-    return cells.select("region", "i", "j", "mine", "id", "component", "members").groupBy("region", "i", "j").applyInPandas(compare, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, key: str, text: str, size: int = WORDS, percent: int = 85, near: int = NEAR) -> DataFrame:
+def _prefix_pairs(rows: DataFrame, percent: int, counts: int) -> DataFrame:
+    """Pairs (a, b) of different components that a prefix filter can't rule out; rows: (id, component, members)."""
+    rarity = rows.sparkSession.sparkContext.broadcast(_shingle_counts(rows, counts))  # counts numbers
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingle, source, place, size = [], [], [], []
+            for k, x in enumerate(batch.column(2)):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(own)
+                front = n + percent * n // -100 + 1  # n - ceil(percent * n / 100) + 1
+                held = rarity.value[(own % np.uint64(counts)).astype(np.int64)]
+                shingle.append(own[np.lexsort((own, held))[:front]].view(np.int64))
+                source.append(np.full(front, k))
+                place.append(np.arange(front))
+                size.append(np.full(front, n))
+            if source:
+                at = pa.array(np.concatenate(source))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(shingle)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(size).astype(np.int32))],
+                    ["shingle", "id", "component", "place", "n"],
+                )
+
+    held = cut(rows.select("id", "component", "members").mapInArrow(prefixes, "shingle long, id long, component long, place int, n int"))
+    # Only shingles of several components matter; of those, the rows outside the shingle's largest
+    # component meet all rows, so a large component is never joined with itself.
+    per = held.groupBy("shingle", "component").count().groupBy("shingle").agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("different"))
+    shared = per.filter("different > 1").select("shingle", F.col("most.component").alias("major"))
+    near = cut(spread(held, shared, ["shingle"], "id"))
+    x = near.filter("component != major").select("shingle", *(F.col(c).alias(f"{c}_") for c in ("id", "component", "place", "n")))
+    met = spread(near, x, ["shingle"], "id").filter(F.col("component") != F.col("component_"))
+    met = met.filter(100 * F.least("n", "n_") >= percent * F.greatest("n", "n_"))
+    met = met.filter((100 + percent) * F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")) >= percent * (F.col("n") + F.col("n_")))
+    return met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, key: str, text: str, size: int = WORDS, percent: int = 85, small: int = SMALL, counts: int = COUNTS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row with a key."""
     spark = docs.sparkSession
     signed = cut(signatures(docs, key, text, size))
     named = signed.filter(F.col("labels").isNotNull() & F.col("doc_id").isNotNull())
     # Classes of equal sets; the smallest key stands for all, and brings its own labels.
     classes = cut(named.groupBy("lo", "hi", "n_shingles").agg(F.min(F.struct("doc_id", "labels")).alias("m")).select("lo", "hi", "n_shingles", F.col("m.doc_id").alias("id"), F.col("m.labels").alias("labels")))
-    ordered = cut(orders(classes))
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = cut(neighbours(ordered, partitions, near))
-    # Partition edges: the rows at the end of one and the start of the next, in order again; only as
-    # many as partitions * 2 * (near + 1), whatever the number of rows.
-    edges = found.filter("kind = 2").select("tree", "k1", "k2", F.col("a").alias("id")).distinct()
-    across = neighbours(edges, 1, near).filter("kind = 0").select("a", "b")
-    close = cut(_agreement(found.filter("kind = 0").select("a", "b").union(across).filter("a < b").distinct(), classes))
+    pairs, dense = candidates(orders(classes), partitions, small)
+    close = cut(_agreement(pairs, classes, percent))
+    dense = cut(dense)
     # Round one: each class's closest candidate.
     sides = close.select("a", "b", "est", F.col("a").alias("id")).union(close.select("a", "b", "est", F.col("b").alias("id")))
     best = sides.groupBy("id").agg(F.max(F.struct("est", F.expr("-a").alias("na"), F.expr("-b").alias("nb"))).alias("m"))
     best = cut(best.select(F.expr("-m.na").alias("a"), F.expr("-m.nb").alias("b")).distinct())
-    ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    links = cut(_confirm(best, _members(ends(best), docs, key, text, size), percent))
+    members = _members(close.select(F.col("a").alias("id")).union(close.select("b")).union(dense), docs, key, text, size)
+    links = cut(_confirm(best, members, percent).union(_same_document(named, classes)))
     comp = cut(components(links))
-    # Round two: what the first left apart, dense regions whole.
+    # Round two: what the first left apart.
     c = comp.select(F.col("node").alias("n"), F.col("component").alias("c"))
     rest = close.select("a", "b").join(best, ["a", "b"], "left_anti")
     rest = rest.join(c.select(F.col("n").alias("a"), F.col("c").alias("ca")), "a", "left").join(c.select(F.col("n").alias("b"), F.col("c").alias("cb")), "b", "left")
-    rest = cut(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    dense = _dense_rows(found.filter("kind = 1").select("tree", "k1", "k2").distinct(), ordered, comp)
-    members = _members(ends(rest).union(dense.select("id")), docs, key, text, size)
-    links = cut(links.union(_confirm(rest, members, percent)).union(_dense_links(dense, members, percent)))
+    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    sets = members.join(dense, "id", "left_semi").join(c, F.col("id") == F.col("n"), "left").select("id", F.coalesce("c", "id").alias("component"), "members")
+    rest = cut(rest.union(_prefix_pairs(cut(sets), percent, counts)).distinct())
+    links = cut(links.union(_confirm(rest, members, percent)))
     comp = components(links).withColumnRenamed("node", "id")
-    final = classes.select(F.col("lo").alias("l"), F.col("hi").alias("h"), F.col("n_shingles").alias("n"), "id").join(comp, "id", "left")
-    final = final.select("l", "h", "n", F.coalesce("component", "id").alias("component_id"))
-    # One row per class on the right; adaptive execution can split a class with very many rows.
-    out = signed.select("doc_id", "n_shingles", "lo", "hi").join(final, (F.col("lo") == F.col("l")) & (F.col("hi") == F.col("h")) & (F.col("n_shingles") == F.col("n")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    final = classes.select("lo", "hi", "id").join(comp, "id", "left").select("lo", "hi", F.coalesce("component", "id").alias("component_id"))
+    out = spread(signed.filter("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "lo", "hi"), final, ["lo", "hi"], "doc_id")
+    alone = signed.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", "component_id").union(alone)
+
+
+def _same_document(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of one key's texts, where it has several."""
+    several = named.groupBy("doc_id").agg(F.min(F.struct("lo", "hi")).alias("x"), F.max(F.struct("lo", "hi")).alias("y")).filter("x != y").select("doc_id")
+    own = named.join(several, "doc_id", "left_semi").select("doc_id", "lo", "hi").distinct().join(classes.select("lo", "hi", "id"), ["lo", "hi"])
+    return own.filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
 
 
 def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
