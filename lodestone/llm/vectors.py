@@ -4,12 +4,12 @@ Each vector, less the mean of all, is divided by its length, turned by one rando
 as the signs of its components (packed bits), with two scalars: that length, and the inner product of
 the unit vector with its code.  For a query, the inner product with a vector is estimated from the
 bits and the scalars (a block's bits are unpacked to +1 and -1 for one matrix product with all its
-queries); the estimate's error bound is BOUND standard deviations.  The best few estimates are
-computed exactly, which sets the score to beat, and then every vector whose upper bound reaches that
-score is computed exactly too.
+queries); the estimate's error bound is BOUND standard deviations.
 
-Queries and vectors are dealt into blocks by a hash of the id; each pair of blocks is a group of its
-own and returns its best k for each query; a window over those gives the answer.
+Vectors are encoded once.  Codes and turned queries are dealt into blocks by a hash of the id, and each
+pair of blocks is a group of its own.  A first pass gives each query's FIRST best estimates; these are
+computed exactly, which sets the score to beat.  A second pass gives the vectors whose upper bound
+reaches that score, and those are computed exactly too.  Only the vectors of such pairs are moved.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold a null or
 non-finite component take no part; rows with a null id take none either; rows with one id count once
@@ -19,7 +19,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import binary_column, cut, table
 
 K = 20
 BOUND = 1.9
-VECTORS_PER_BLOCK = 8192
-QUERIES_PER_BLOCK = 1024
-FIRST = 256
+VECTORS_PER_BLOCK = 32_768
+QUERIES_PER_BLOCK = 512
+FIRST = 40
 SEED = 7
 
 
@@ -55,73 +56,37 @@ class Codes:
     """One-bit codes of vectors (rows of float64), and estimates of their inner products."""
 
     def __init__(self, vectors: np.ndarray, mean: np.ndarray, turn: np.ndarray):
-        self.vectors = vectors
         self.turn, self.mean = turn, mean
         rest = vectors - mean
-        self.length = np.linalg.norm(rest, axis=1)
-        unit = (rest / np.where(self.length > 0, self.length, 1)[:, None]) @ turn
-        bits = unit > 0
-        self.bits = pack_bits(bits)
-        self._signs: np.ndarray | None = None
-        self.align = np.abs(unit).sum(axis=1) / np.sqrt(len(mean))
-        self.align = np.where(self.align > 0, self.align, 1.0)
-        d = max(len(mean) - 1, 1)
-        self.spread = (self.length * np.sqrt(np.maximum(1 - self.align**2, 0) / d) / self.align).astype(np.float32)
-        self.factor = (self.length / self.align / np.sqrt(len(mean))).astype(np.float32)
-
-    def signs(self) -> np.ndarray:
-        """The packed bits as +1 and -1, one column for each vector, for one matrix product a block."""
-        if self._signs is None:
-            bits = np.unpackbits(self.bits.view(np.uint8), axis=1, bitorder="little", count=len(self.mean))
-            self._signs = np.ascontiguousarray((bits.astype(np.float32) * 2 - 1).T)
-        return self._signs
+        length = np.linalg.norm(rest, axis=1)
+        unit = (rest / np.where(length > 0, length, 1)[:, None]) @ turn
+        self.bits = pack_bits(unit > 0)
+        align = np.abs(unit).sum(axis=1) / np.sqrt(len(mean))
+        align = np.where(align > 0, align, 1.0)
+        self.spread = (length * np.sqrt(np.maximum(1 - align**2, 0) / max(len(mean) - 1, 1)) / align).astype(np.float32)
+        self.factor = (length / align / np.sqrt(len(mean))).astype(np.float32)
 
     def estimate(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(estimates, error bounds), queries x vectors."""
-        turned = (queries @ self.turn).astype(np.float32)
-        value = (turned @ self.signs()) * self.factor[None, :]
-        value += (queries @ self.mean)[:, None].astype(np.float32)
-        size = np.linalg.norm(queries, axis=1)
-        error = (BOUND * size)[:, None].astype(np.float32) * self.spread[None, :]
-        return value, error
-
-    def nearest(self, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query row, vector row, score) of each query's k best, its own id apart."""
-        out = []
-        for at in range(0, len(queries), 128):
-            q = queries[at : at + 128]
-            value, error = self.estimate(q)
-            own = query_ids[at : at + 128, None] == ids[None, :]
-            value[own] = -np.inf
-            n = min(FIRST, value.shape[1])
-            top = np.argpartition(-value, n - 1, axis=1)[:, :n]
-            exact = np.einsum("qnd,qd->qn", self.vectors[top], q)
-            exact[np.take_along_axis(own, top, axis=1)] = -np.inf
-            beat = np.partition(exact, n - k, axis=1)[:, n - k] if n >= k else np.full(len(q), -np.inf)
-            # A little slack, as bounds are single precision.
-            qi, vi = np.nonzero((value + error >= (beat - 1e-4 * np.abs(beat))[:, None].astype(np.float32)) & ~own)
-            seen = np.zeros(value.shape, bool)
-            np.put_along_axis(seen, top, True, axis=1)
-            seen[own] = False
-            more = ~seen[qi, vi]
-            qi, vi = qi[more], vi[more]
-            ti, tv = np.nonzero(seen)
-            qi, vi = np.concatenate((qi, ti)), np.concatenate((vi, tv))
-            order = np.argsort(qi, kind="stable")
-            qi, vi = qi[order], vi[order]
-            cut_at = np.searchsorted(qi, np.arange(len(q) + 1))
-            score = np.concatenate([np.einsum("nd,d->n", self.vectors[vi[a:b]], q[j]) for j, (a, b) in enumerate(zip(cut_at, cut_at[1:]))])
-            by = np.lexsort((ids[vi], -score, qi))
-            qi, vi, score = qi[by], vi[by], score[by]
-            first = np.searchsorted(qi, np.arange(len(q)))
-            keep = np.arange(len(qi)) - first[qi] < k
-            out.append((qi[keep] + at, vi[keep], score[keep]))
-        return tuple(np.concatenate(x) for x in zip(*out))
+        return estimates(signs(self.bits, len(self.mean)), self.factor, self.spread, (queries @ self.turn).astype(np.float32), queries @ self.mean, np.linalg.norm(queries, axis=1))
+
+
+def signs(bits: np.ndarray, dim: int) -> np.ndarray:
+    """Packed bits as +1 and -1, one column for each vector."""
+    return np.ascontiguousarray((np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little", count=dim).astype(np.float32) * 2 - 1).T)
+
+
+def estimates(sides: np.ndarray, factor: np.ndarray, spread: np.ndarray, turned: np.ndarray, shift: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    value = (turned @ sides) * factor[None, :]
+    value += shift[:, None].astype(np.float32)
+    return value, (BOUND * size)[:, None].astype(np.float32) * spread[None, :]
 
 
 def usable(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
-    """(id, v) of the vectors that take part, and their length."""
-    v = F.col(vector).cast("array<double>")
+    """(id, v) of the vectors that take part, and their length; v keeps float components as they are."""
+    kind = df.schema[vector].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    v = F.col(vector) if single else F.col(vector).cast("array<double>")
     rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = rows.filter(~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
@@ -130,44 +95,121 @@ def usable(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
     return rows.filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")), dim
 
 
-def search(df: DataFrame, key: str, vector: str, is_query: Column, k: int = K) -> DataFrame:
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+
+
+def mean(rows: DataFrame, dim: int) -> tuple[np.ndarray, int]:
+    """(mean, number of rows); dim + 1 rows reach the driver."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(dim + 1)
+        for batch in batches:
+            total[:dim] += _matrix(batch.column(0), dim).sum(axis=0)
+            total[dim] += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim + 1)), pa.array(total)], ["place", "total"])
+
+    found = {r["place"]: r["total"] for r in rows.select("v").mapInArrow(partial, "place long, total double").groupBy("place").agg(F.sum("total").alias("total")).collect()}
+    n = int(found.get(dim, 0))
+    return np.array([found.get(k, 0.0) for k in range(dim)]) / max(n, 1), n
+
+
+def encode(rows: DataFrame, centre: np.ndarray, turn: np.ndarray) -> DataFrame:
+    """(id, bits, factor, spread) of (id, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes = Codes(_matrix(batch.column(1), len(centre)), centre, turn)
+                yield pa.RecordBatch.from_arrays([batch.column(0), binary_column(codes.bits), pa.array(codes.factor), pa.array(codes.spread)], ["id", "bits", "factor", "spread"])
+
+    return rows.select("id", "v").mapInArrow(run, "id long, bits binary, factor float, spread float")
+
+
+def turned(rows: DataFrame, centre: np.ndarray, turn: np.ndarray) -> DataFrame:
+    """(query_id, turned, shift, size): queries as the estimates need them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                q = _matrix(batch.column(1), len(centre))
+                yield pa.RecordBatch.from_arrays([batch.column(0), binary_column((q @ turn).astype(np.float32)), pa.array(q @ centre), pa.array(np.linalg.norm(q, axis=1))], ["query_id", "turned", "shift", "size"])
+
+    return rows.select("id", "v").mapInArrow(run, "query_id long, turned binary, shift double, size double")
+
+
+def _cells(codes: DataFrame, queries: DataFrame, dim: int, blocks: tuple[int, int], choose: Callable[[np.ndarray, np.ndarray, pd.DataFrame], np.ndarray]) -> DataFrame:
+    """(query_id, vec_id, estimate) of the pairs that choose marks in a block of codes and one of queries."""
+
+    def dealt(part: DataFrame, key: str, mine: str, own: int, other: str, others: int) -> DataFrame:
+        return part.withColumn(mine, F.pmod(F.xxhash64(key, F.lit(mine)), F.lit(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def cell(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "estimate": np.zeros(0)})]
+        if len(vectors) and len(asked):
+            ids, factor, spread = (vectors[c].to_numpy() for c in ("id", "factor", "spread"))
+            sides = signs(np.frombuffer(b"".join(vectors["bits"]), np.uint64).reshape(len(vectors), -1), dim)
+            for at in range(0, len(asked), 64):
+                part = asked.iloc[at : at + 64]
+                own = part["query_id"].to_numpy()
+                value, error = estimates(sides, factor, spread, np.frombuffer(b"".join(part["turned"]), np.float32).reshape(len(part), -1), part["shift"].to_numpy(), part["size"].to_numpy())
+                value[own[:, None] == ids[None, :]] = -np.inf
+                q, v = np.nonzero(choose(value, error, part) & (value > -np.inf))
+                out.append(pd.DataFrame({"query_id": own[q], "vec_id": ids[v], "estimate": value[q, v].astype(np.float64)}))
+        return pd.concat(out, ignore_index=True)
+
+    x = dealt(codes, "id", "vb", blocks[0], "qb", blocks[1])
+    y = dealt(queries, "query_id", "qb", blocks[1], "vb", blocks[0])
+    return x.groupBy("vb", "qb").cogroup(y.groupBy("vb", "qb")).applyInPandas(cell, "query_id long, vec_id long, estimate double")
+
+
+def _exact(pairs: DataFrame, rows: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
+    """(query_id, vec_id, score) of pairs, in double precision on the original vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                score = np.einsum("nd,nd->n", _matrix(batch.column(2), dim), _matrix(batch.column(3), dim))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    met = pairs.join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    return met.select("query_id", "vec_id", "v", "q").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def search(df: DataFrame, key: str, vector: str, is_query: Column, k: int = K, first: int = FIRST, vectors_per_block: int = VECTORS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for rows where is_query (of the column id) holds."""
     rows, dim = usable(df, key, vector)
-    rows = cut(rows)
     if not dim:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, asked = np.zeros(dim), 0, 0
-        for batch in batches:
-            flat = batch.column(0).flatten().to_numpy().reshape(-1, dim)
-            total, n, asked = total + flat.sum(axis=0), n + len(flat), asked + int(np.asarray(batch.column(1)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([n]), pa.array([asked])], ["total", "n", "asked"])
-
-    # One row for each partition.
-    parts = rows.select("v", is_query.cast("int").alias("q")).mapInArrow(partial, "total binary, n long, asked long").collect()
-    n, asked = sum(p["n"] for p in parts), sum(p["asked"] for p in parts)
-    mean = sum(np.frombuffer(p["total"]) for p in parts) / max(n, 1)
+    rows = cut(rows)
+    centre, n = mean(rows, dim)
     turn = rotation(dim)
-    vector_blocks, query_blocks = max(1, -(-n // VECTORS_PER_BLOCK)), max(1, -(-asked // QUERIES_PER_BLOCK))
-
-    def dealt(part: DataFrame, mine: str, blocks: int, other: str, others: int) -> DataFrame:
-        own = F.pmod(F.xxhash64("id", F.lit(mine)), F.lit(blocks)).cast("int")
-        return part.select("id", "v", own.alias(mine), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
-
-    def cell(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(vectors) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        ids, query_ids = vectors["id"].to_numpy(), queries["id"].to_numpy()
-        codes = Codes(np.stack(vectors["v"].to_list()), mean, turn)
-        q, v, score = codes.nearest(ids, query_ids, np.stack(queries["v"].to_list()), k)
-        return pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[v], "score": score})
-
-    vectors = dealt(rows, "vb", vector_blocks, "qb", query_blocks)
-    queries = dealt(rows.filter(is_query), "qb", query_blocks, "vb", vector_blocks)
-    best = vectors.groupBy("vb", "qb").cogroup(queries.groupBy("vb", "qb")).applyInPandas(cell, "query_id long, vec_id long, score double")
+    codes = cut(encode(rows, centre, turn))
+    asked = rows.filter(is_query)
+    queries = cut(turned(asked, centre, turn))
+    blocks = max(1, -(-n // vectors_per_block)), max(1, -(-queries.count() // queries_per_block))
+    most = max(first, k)
+
+    def best(value: np.ndarray, error: np.ndarray, part: pd.DataFrame) -> np.ndarray:
+        if value.shape[1] <= most:
+            return np.ones(value.shape, bool)
+        return value >= np.partition(value, value.shape[1] - most, axis=1)[:, -most, None]
+
+    order = W.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id")
+    pairs = _cells(codes, queries, dim, blocks, best).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("query_id", "vec_id")
+    scored = cut(_exact(pairs, rows, asked, dim))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    beat = scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") == k).select("query_id", F.col("score").alias("beat"))
+
+    def reaches(value: np.ndarray, error: np.ndarray, part: pd.DataFrame) -> np.ndarray:
+        # A little slack, as bounds are single precision.
+        least = part["beat"].to_numpy()
+        return value + error >= (least - 1e-4 * np.abs(least))[:, None].astype(np.float32)
+
+    # A query without a score to beat has all its candidates already.
+    more = _cells(codes, queries.join(beat, "query_id"), dim, blocks, reaches).join(scored, ["query_id", "vec_id"], "left_anti")
+    every = scored.union(_exact(more.select("query_id", "vec_id"), rows, asked, dim))
+    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
