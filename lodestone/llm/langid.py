@@ -7,59 +7,66 @@ numbers.  Landmarks (Nystroem) are a bounded part of the training sample; one-ve
 ridge regression is fitted on the kernel columns of the landmarks.  Scoring is a batch of presence
 rows times the landmark matrix, times the coefficients.
 
-The training sample is bounded: SAMPLE texts per language of at most LONGEST characters, those with
-the smallest hash of the key; everything else covers all rows.
+The training sample is bounded: SAMPLE texts per language, those with the smallest hash of the key, the
+first PART characters of each, and the LANGUAGES most frequent values of the label; everything else
+covers all rows and whole texts.
 
 Defined cases: a text that is null or has no letter gets ``und`` with score 0, and so does every
 text if there is nothing to learn from; rows with a null key are never learned from and never held
-out; repeated rows get equal results; a tie goes to the first language in order; an empty table
-gives no rows; other columns are ignored.
+out; very long texts are read whole; repeated rows get equal results; a tie goes to the first language
+in order; an empty table gives no rows; other columns are kept by ``identify``, where columns of the
+results' names are replaced, and dropped by the query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import table
+from .common import slices, table
+from .textvec import sums
 
 ORDER = 3
 BITS = 16
 SAMPLE = 240
 LANDMARKS = 32
-LONGEST = 20_000
+PART = 20_000
+LANGUAGES = 256
 RIDGE = 1e-3
 ROWS = 128
 GAP = " " * (ORDER + 1)
-_LETTERS = np.zeros(0x110000, bool)
-_LETTERS[[c for c in range(0x20000) if chr(c).isalpha()]] = True
+
+
+@cache
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text, hashed n-gram) of all n-grams for each n; white space counts, other marks are spaces."""
     lower = [GAP + t.lower() for t in texts]
-    cps = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), "<u4")
+    # Every text is followed by a gap, the last one too, so its n-grams don't depend on its neighbours.
+    cps = np.frombuffer(("".join(lower) + GAP).encode("utf-32-le", "surrogatepass"), "<u4")
     doc = np.repeat(np.arange(len(texts)), [len(t) for t in lower])
-    code = np.where(_LETTERS[cps], cps, 32).astype(np.uint32)
+    code = np.where(_letters()[cps], cps, 32).astype(np.uint32)
     h = np.zeros(len(code), np.uint32)
     for n in range(1, ORDER + 1):
         h = h[: len(code) - n + 1] * np.uint32(0x01000193) + code[n - 1 :]
         mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1)
-        yield doc[: len(mixed)], (mixed >> np.uint32(32 - BITS)).astype(np.int64)
+        yield doc, (mixed[: len(doc)] >> np.uint32(32 - BITS)).astype(np.int64)
 
 
 def _has_letter(texts: list[str]) -> np.ndarray:
-    out = np.zeros(len(texts), bool)
-    for d, t in enumerate(texts):
-        # The first characters settle nearly every text.
-        out[d] = any(c.isalpha() for c in t[:64]) or bool(_LETTERS[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")].any()) if t else False
-    return out
+    cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return sums(_letters()[cps], np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))) > 0
 
 
 @dataclass
@@ -130,30 +137,30 @@ def held_out(key):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
-    """The sample is at most sample texts for each language; only those texts reach the driver."""
+def train(docs: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE, part: int = PART, languages: int = LANGUAGES) -> Model:
+    """At most sample * languages texts of at most part characters reach the driver."""
     k = F.col(key)
-    pool = docs.filter(k.isNotNull() & ~held_out(k) & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= longest))
+    pool = docs.filter(k.isNotNull() & ~held_out(k) & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    most = pool.groupBy(F.col(label).alias("label")).count().orderBy(F.desc("count"), "label").limit(languages).select("label")
     order = W.partitionBy("label").orderBy("h", "key", "text")
-    rows = pool.select(F.col(label).alias("label"), F.xxhash64(k.cast("string")).alias("h"), k.alias("key"), F.col(text).alias("text"))
+    rows = pool.select(F.col(label).alias("label"), F.xxhash64(k.cast("string")).alias("h"), k.alias("key"), F.substring(F.col(text), 1, part).alias("text"))
+    rows = rows.join(F.broadcast(most), "label", "left_semi")  # languages rows
     rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).orderBy("label", "n").select("label", "text").collect()
     return fit([r["text"] for r in rows], [r["label"] for r in rows])
 
 
 def identify(docs: DataFrame, text: str, model: Model) -> DataFrame:
-    """All columns of docs, with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BITS, LANDMARKS and the languages
-    fields = docs.schema.fieldNames()
-    at = fields.index(text)
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
+    """All columns of docs, with lang_pred and score; columns of these names are replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BITS, LANDMARKS and LANGUAGES
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("lang_pred", "score") and c != text))
+    at = docs.columns.index(text)
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Small slices: only their texts are Python objects at a time.
-        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+        # Small parts: only their texts are Python objects at a time.
+        for batch in (part for whole in batches for part in slices(whole, at)):
             names, scores = shared.value.predict(["" if t is None else t for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
 
