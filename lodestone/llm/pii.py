@@ -6,13 +6,14 @@ rank, walked until it falls inside the set.  Separators, letter case and lengths
 permutation depends on the key, the kind and the format alone, so a value has one pseudonym in every
 document, two values never share one, and the key's owner can invert it.
 
-Kinds: card (13-19 digits, Luhn; solid, 4-4-4-4, 4-6-5 or 4-6-4), iban (mod 97; solid or in groups of four), ssn (3-2-4 digits in issued ranges), phone (a
-bracketed area code and 3-4 digits), ip (four octets), date (year first, or day and month first; read as month first only where the day is over 12),
+Kinds: card (13-19 digits, Luhn; solid, 4-4-4-4, 4-6-5 or 4-6-4), iban (mod 97; solid or in groups of four), ssn (3-2-4 digits in issued ranges), phone (3-3-4
+digits, the area code bracketed or not, after a country code or none; ten digits have no check digit to validate), ip (four octets), date (year first, or day and month first; read as month first only where the day is over 12),
 mail (name@domain; each letter or digit of the name among its own kind).
 
 Defined cases: a null text stays null, with no findings; an empty text stays empty; values inside
 longer runs of letters or digits are not values; repeated rows get equal results; an empty table
-gives no rows; extra columns are kept by ``pseudonymise`` and dropped by the query.
+gives no rows; very long texts are read whole; extra columns are kept by ``pseudonymise``, where one named
+pii_spans is replaced, and dropped by the query.  The key has no default: whoever has it can invert.
 """
 
 from __future__ import annotations
@@ -28,10 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import slices, table
 
 ROUNDS = 8
-KEY = b"pseudonym key of the test tables"
 FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), 73_049  # 1900-2099
 
 
@@ -101,7 +101,9 @@ def _mod97(text: str) -> int:
 
 
 class Pseudonyms:
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
+        if not key:
+            raise ValueError("pseudonyms need a key")
         self.key = key
         self.made: dict[tuple[str, int], Feistel] = {}
         self.kinds: dict[str, Callable[[str, bool], str | None]] = {k: getattr(self, f"_{k}") for k in KINDS}
@@ -137,9 +139,10 @@ class Pseudonyms:
                 return _refill(s, d)
 
     def _phone(self, s: str, inverse: bool) -> str | None:
-        at = s.index("(") if "(" in s else 0
-        d = _digits(s[at:])
-        return s[:at] + _refill(s[at:], str(self._permute("phone", 10 ** len(d), int(d), inverse)).zfill(len(d)))
+        # The last ten digits are the number; a country code stays, and +1 is the same number as none.
+        d = _digits(s)
+        code, own = d[:-10], d[-10:]
+        return _refill(s, code + str(self._permute("phone" + code * (code != "1"), 10**10, int(own), inverse)).zfill(10))
 
     def _ip(self, s: str, inverse: bool) -> str | None:
         octets = s.split(".")
@@ -267,16 +270,17 @@ PATTERN = _compiled()
 _LIKELY = re.compile("[0-9@]")
 
 
-def pseudonymise(docs: DataFrame, text: str, key: bytes = KEY, inverse: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str, key: bytes, inverse: bool = False) -> DataFrame:
     """All columns, with text replaced and pii_spans (kind, start, end; ends exclusive) added."""
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == "pii_spans" and c != text))
     schema = T.StructType([*docs.schema.fields, T.StructField("pii_spans", span)])
     at = docs.schema.fieldNames().index(text)
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Pseudonyms(key)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             texts, spans = [], []
             for t in batch.column(at).to_pylist():
                 new, found = (t, []) if t is None else made.replace(t, inverse)
@@ -289,7 +293,11 @@ def pseudonymise(docs: DataFrame, text: str, key: bytes = KEY, inverse: bool = F
     return docs.mapInArrow(run, schema)
 
 
+#: The query's key, for test tables only.
+TEST_KEY = b"pseudonym key of the test tables"
+
+
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", TEST_KEY)
     count = lambda kind: F.size(F.filter("pii_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", "text", *(count(k) for k in KINDS), F.size("pii_spans").cast("long").alias("n_pii"))
