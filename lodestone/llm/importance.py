@@ -1,39 +1,38 @@
 """Importance resampling of documents towards a target set.
 
 Two generative models over hashed word unigrams and bigrams, one of the target texts and one of all
-texts, each a smoothed distribution over BUCKETS counts.  A text's weight is its mean log ratio of the
-two, times LENGTH: texts count as LENGTH n-grams long, so that length alone decides nothing.  Each row
-gets a Gumbel variable from a keyed hash of its id and text; the rows with the largest sums are a
+texts, each a smoothed distribution over BUCKETS counts.  A text's weight is the ratio of its
+probabilities under the two: the sum of the log ratios of its n-grams.  Each row gets a Gumbel variable
+from a keyed hash of its id and text; the rows with the largest sums of log weight and variable are a
 sample without replacement in proportion to the weights (Gumbel top-k).
 
 The query learns its target from at most TARGET labelled texts, those with the smallest hash of their
 id.  The other counts cover all rows; the models are two tables of BUCKETS numbers, whatever the corpus.  The top k
-are found by counting rows in bins of the sum, refining the one bin that holds the k-th; only
-that bin's rows are ranked.
-
-Defined cases: texts without words (null too) have weight 0; without target texts the weights are
-all 0 and the sample is uniform; a null id has a Gumbel variable like any other; repeated rows get
-equal sums and are taken in the order of their ids, ties with equal ids in any order; an empty table
-gives no rows; other columns are ignored.
+are found by counting rows in bins of the sum, refining the one bin that holds the k-th, until it
+holds BINS rows or one value; ties are settled by the key and then the row in the same way, so no task
+gathers rows.
+
+Defined cases: texts without words (null too) have log weight 0; very long texts are read whole; without
+target texts the log weights are all 0 and the sample is uniform; a null id has a Gumbel variable like
+any other and comes first among ties; repeated rows get equal sums, and as many as fit are taken; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, utf8
+from .common import cut, fresh, table, utf8
 from .textvec import LOWER, digests, doc_chunks, mix, span_hashes, words
 
 BUCKETS = 1 << 16
-LENGTH = 30.0
-FRACTION = 0.85
+#: Parts of the rows to take: 85 in 100.
+FRACTION = 85, 100
 SMOOTH = 1.0
 SEED = 11
 TARGET = 20_000
@@ -76,8 +75,8 @@ def model(counts: DataFrame, buckets: int = BUCKETS, smooth: float = SMOOTH) ->
     return np.log(total / total.sum())
 
 
-def weights(docs: DataFrame, key: str, text: str, ratio: np.ndarray, seed: int = SEED, length: float = LENGTH) -> DataFrame:
-    """(key, log_weight, gumbel_key)."""
+def weights(docs: DataFrame, key: str, text: str, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
+    """(key, log_weight, gumbel_key); ratio: log ratio of the two models for each bucket."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +86,8 @@ def weights(docs: DataFrame, key: str, text: str, ratio: np.ndarray, seed: int =
             for a, b in doc_chunks(offsets):
                 part, off = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 grams, first = _grams(part, off, len(ratio))
-                total = np.concatenate(([0.0], np.cumsum(shared.value[grams])))
-                n = np.diff(first)
-                log_weight = length * np.diff(total[first]) / np.maximum(n, 1)
+                held = np.append(shared.value[grams], 0.0)
+                log_weight = np.where(np.diff(first) > 0, np.add.reduceat(held, first[:-1]) if len(first) > 1 else 0.0, 0.0)
                 code = mix(mix(ids[a:b], seed) ^ digests(part, off[:-1], off[1:])[0].view(np.uint64))
                 u = ((code >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(log_weight), pa.array(log_weight - np.log(-np.log(u)))], ["key", "log_weight", "gumbel_key"])
@@ -97,43 +95,68 @@ def weights(docs: DataFrame, key: str, text: str, ratio: np.ndarray, seed: int =
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, log_weight double, gumbel_key double")
 
 
-def top_k(rows: DataFrame, k: int, score: str, tie: str, bins: int = BINS) -> DataFrame:
-    """rows with selected: true for the k largest scores, ties by tie ascending."""
-    s = F.col(score)
-    low, high, above = None, None, 0  # the k-th lies in [low, high]; above: rows over high
-    edge = rows.agg(F.min(s), F.max(s)).first()
-    low, high = edge[0], edge[1]
-    while low is not None and low < high:
-        width = (high - low) / bins
-        if width == 0 or low + width == low:
-            break
-        slot = F.least(F.floor((s - low) / width), F.lit(bins - 1))
-        counted = rows.filter((s >= low) & (s <= high)).groupBy(slot.alias("slot")).agg(F.count("*").alias("n"), F.min(s).alias("low"), F.max(s).alias("high")).collect()
-        for r in sorted(counted, key=lambda r: -r["slot"]):
-            if above + r["n"] >= k:
+def _smallest(rows: DataFrame, value: Column, k: int, bins: int) -> tuple[object, int] | None:
+    """(the k-th smallest value, number of rows below it); None if there are fewer than k rows."""
+    rows = rows.select(value.alias("v"))
+    v = F.col("v")
+    low, high, n = rows.agg(F.min(v), F.max(v), F.count("*")).first()
+    below = 0
+    if n < k:
+        return None
+    while low < high and n > bins:
+        inside = rows.filter((v >= F.lit(low)) & (v <= F.lit(high)))
+        if isinstance(low, float):
+            slot = F.least(F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1))
+        else:
+            slot = F.floor((v.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit((high - low) // bins + 1).cast("decimal(20,0)"))
+        counted = inside.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).orderBy("slot").collect()  # bins rows
+        if len(counted) == 1:  # too close for floating point: as whole numbers of the same order
+            raise ValueError("values can't be told apart")
+        for r in counted:
+            if below + r["n"] >= k:
                 low, high, n = r["low"], r["high"], r["n"]
                 break
-            above += r["n"]
-        else:
-            return rows.withColumn("selected", F.lit(True))
-        if n <= bins:
+            below += r["n"]
+    if low < high:  # bins rows at most
+        held = sorted(r["v"] for r in rows.filter((v >= F.lit(low)) & (v <= F.lit(high))).collect())
+        low = held[k - below - 1]
+        below += sum(x < low for x in held)
+    return low, below
+
+
+def top_k(rows: DataFrame, k: int, score: str, tie: str, bins: int = BINS) -> DataFrame:
+    """rows with selected: true for the k largest scores, ties by the whole number tie, null first, then by row.
+
+    rows is read several times: pass what is written.
+    """
+    (place,) = fresh(rows.columns, "row")
+    ranks = [-F.col(score), F.coalesce(F.col(tie).cast("long"), F.lit(-(2**63))), F.col(place)]
+    numbered = cut(rows.withColumn(place, F.monotonically_increasing_id()))
+    chosen, equal = F.lit(False), F.lit(True)
+    for rank in ranks:
+        found = _smallest(numbered.filter(equal), rank, k, bins) if k > 0 else (None, 0)
+        if found is None:
+            chosen, equal = chosen | equal, F.lit(False)
+            break
+        if k <= 0:
             break
-    if low is None or k <= 0:
-        return rows.withColumn("selected", F.lit(False))
-    inside = (s >= low) & (s <= high)
-    # The bin of the k-th row: few rows, or rows of one equal score.
-    place = F.row_number().over(W.orderBy(s.desc(), F.col(tie)))
-    chosen = rows.filter(inside).withColumn("selected", place <= k - above)
-    return rows.filter(~inside).withColumn("selected", s > high).unionByName(chosen)
+        value, below = found
+        chosen = chosen | (equal & (rank < F.lit(value)))
+        equal = equal & (rank == F.lit(value))
+        k -= below
+    if k > 0:
+        chosen = chosen | equal  # the last rank is unique
+    return numbered.withColumn("selected", chosen).drop(place)
 
 
-def resample(docs: DataFrame, target: DataFrame, key: str, text: str, fraction: float = FRACTION, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, key: str, text: str, fraction: tuple[int, int] = FRACTION, seed: int = SEED) -> DataFrame:
     """(key, log_weight, gumbel_key, selected) for every row of docs; target: rows with good texts."""
     raw = model(gram_counts(docs, text))
     good = gram_counts(target, text)
     good = model(good) if not target.isEmpty() else raw
     scored = cut(weights(docs, key, text, good - raw, seed))
-    return top_k(scored, math.ceil(fraction * scored.count()), "gumbel_key", "key")
+    part, whole = fraction
+    return top_k(scored, -(-part * scored.count() // whole), "gumbel_key", "key")
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
