@@ -2,24 +2,30 @@
 
 Every version of a text is a blob named by its SHA-256.  A scan takes the blobs whose pair with the
 rule version isn't in the ledger, scans each once however many paths hold it, and appends its
-findings; a report joins findings back to every path.  A changed rule set has another version, so it
-scans every blob again.
+findings; a report joins findings, old and new, back to every path.  A changed rule set has another
+version, so it scans every blob again.
 
-Defined cases: a null text is the empty blob; repeated rows and equal texts share a blob and each get
-its findings; a null key is a path like any other; an empty table gives empty results; other columns
-are ignored.
+A ledger is a folder of three tables, each with a part for every run: paths (path, blob), findings and
+scanned (blob, rule_version).  A run writes scanned last, and findings count only for runs that have
+it; a run that is lost on the way leaves its blobs unseen.
+
+Defined cases: a null text is the empty blob; very long texts are scanned whole; repeated rows and equal
+texts share a blob and each get its findings; a null key is a path like any other; an empty table gives
+empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import shared, spread, table
 
 
 @dataclass(frozen=True)
@@ -81,7 +87,7 @@ def scan(docs: DataFrame, key: str, text: str, paths: DataFrame, rules: tuple[Ru
     if ledger is not None:
         unseen = unseen.join(ledger.filter(F.col("rule_version") == ruled).select("blob"), "blob", "left_anti")
     own = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("b", F.sha2("t", 256))
-    fresh = own.join(unseen.hint("shuffle_hash"), F.col("k").eqNullSafe(F.col("path")) & (F.col("b") == F.col("blob")), "left_semi")
+    fresh = own.join(unseen, F.col("k").eqNullSafe(F.col("path")) & (F.col("b") == F.col("blob")), "left_semi")
     hits = fresh.select(F.col("b").alias("blob"), F.explode(F.concat(*(_hits(F.col("t"), r, i) for i, r in enumerate(rules)))).alias("hit")).select("blob", "hit.*")
     # Repeated rows give the same hits again.
     hits = hits.dropDuplicates(["blob", "rule", "ordinal"])
@@ -105,9 +111,50 @@ def by_blob(findings: DataFrame) -> DataFrame:
 def report(paths: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings at every path that holds their blob; found is null where there are none.
 
-    One row per blob on the right, so adaptive execution can split a blob with very many paths.
+    A blob with very many paths is dealt over several tasks.
     """
-    return paths.join(by_blob(findings), "blob", "left")
+    return spread(paths, by_blob(findings), ["blob"], "path", "left")
+
+
+class Ledger:
+    """The tables of a ledger's folder, which driver and executors must share."""
+
+    FINDINGS = "blob string, rule_version string, rule int, kind string, base boolean, start long, end long"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def _read(self, name: str, columns: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(f"{columns}, run string").parquet(f"{self.folder}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], f"{columns}, run string")
+
+    def paths(self, key_type: str = "long") -> DataFrame:
+        """(path, blob, run): every version that any run saw."""
+        return self._read("paths", f"path {key_type}, blob string")
+
+    def scanned(self) -> DataFrame:
+        return self._read("scanned", "blob string, rule_version string")
+
+    def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """Findings of these rules from all finished runs."""
+        runs = self.scanned().select("run").distinct()
+        return self._read("findings", self.FINDINGS).filter(F.col("rule_version") == version(rules)).join(runs, "run", "left_semi").drop("run")
+
+    def update(self, docs: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """Scans what no run has scanned under these rules; returns the run's (path, blob)."""
+        run = uuid.uuid4().hex
+        put = lambda df, name: df.write.parquet(f"{self.folder}/{name}/run={run}")
+        put(index(docs, key, text), "paths")
+        own = self.spark.read.parquet(f"{self.folder}/paths/run={run}").select("path", "blob")
+        # The ledger as it was when the run began.
+        fresh, findings = scan(docs, key, text, own, rules, self.scanned())
+        put(findings, "findings")
+        put(fresh, "scanned")
+        return own
 
 
 def joined(found: Column) -> Column:
@@ -128,20 +175,21 @@ def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 
 
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    paths = cut(index(docs, "doc_id", "text"))
-    _, findings = scan(docs, "doc_id", "text", paths)
+    """One run on a new ledger, and its report."""
+    ledger = Ledger(spark, f"{shared(spark)}/ledger-{uuid.uuid4().hex}")
+    paths = ledger.update(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return digest(report(paths, ledger.findings()))
+
+
+def digest(reported: DataFrame) -> DataFrame:
+    """Counts, base checksum and spans of each path of a report."""
     count = lambda kind: F.coalesce(F.size(F.filter("found", lambda x: x["kind"] == kind)), F.lit(0)).cast("long")
     spans = F.coalesce(F.col("found"), F.array().cast("array<struct<start:bigint,rule:int,kind:string,end:bigint,base:boolean>>"))
-    return (
-        report(paths, findings)
-        .withColumn("found", spans)
-        .select(
-            F.col("path").alias("doc_id"),
-            count("assign").alias("n_assign"),
-            count("access").alias("n_access"),
-            count("hex").alias("n_hex"),
-            F.sha2(joined(F.filter("found", lambda x: x["base"])), 256).alias("base_sha256"),
-            joined(F.col("found")).alias("spans"),
-        )
+    return reported.withColumn("found", spans).select(
+        F.col("path").alias("doc_id"),
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(joined(F.filter("found", lambda x: x["base"])), 256).alias("base_sha256"),
+        joined(F.col("found")).alias("spans"),
     )
