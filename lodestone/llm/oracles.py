@@ -28,6 +28,19 @@ a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FIL
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
 
 
+def shards() -> str:
+    digest = "CAST('0x' || substr(md5(name || ':{0}' || {1}), 1, 13) AS BIGINT)"
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    scores = f"list_transform(range({{0}}), lambda s: {digest.format('shard', 's')})"
+    return f"""
+WITH t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: {step}) ORDER BY i) AS tbl FROM (SELECT unnest(range(256)) AS i)),
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS name, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+c AS (SELECT doc_id, name, len(bytes) + 1 AS size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, tbl[xor(c & 255, b) + 1])), 4294967295) AS text_crc32 FROM d, t),
+s AS (SELECT *, {scores.format(16)} AS old, {scores.format(17)} AS new, CAST('0x' || substr(md5(name || ':' || text_crc32 || ':slot'), 1, 13) AS BIGINT) AS place FROM c),
+o AS (SELECT doc_id, size, text_crc32, CAST(list_position(old, list_max(old)) - 1 AS INTEGER) AS shard, CAST(list_position(new, list_max(new)) - 1 AS INTEGER) AS grown_shard, place FROM s)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM o"""
+
+
 def quality() -> str:
     normal = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000')"
     return rf"""

@@ -32,5 +32,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_line_frequency": oracles.quality(),
     "op6_secret_ledger": oracles.secrets(),
+    "op7_rendezvous_shards": oracles.shards(),
     "op9_lsh_forest": oracles.near_duplicates(),
 }
