@@ -5,11 +5,13 @@ Counted as part of the llm subpackage.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import forest, langid, packing, quality, secrets
-from lodestone.llm.common import cut, table
+from lodestone.llm.common import cut, shared, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A language is accepted unless there is none, or its odds against the others are below this.
@@ -39,16 +41,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.select(*COLUMNS)
     found = forest.near_duplicates(rows, "doc_id", "text")
     ids = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
-    # Repeated rows are one group too; rows without an id take no part in grouping, and stay.
-    kept = rows.join(ids, F.col("doc_id") == F.col("key"), "left_semi").dropDuplicates(["doc_id"])
+    # Rows of one id are one group, and the first by text and the other columns stays; rows without an id
+    # take no part in grouping, and stay.
+    kept = rows.join(ids, F.col("doc_id") == F.col("key"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
     return kept.union(rows.filter(F.col("doc_id").isNull()))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
     rows = docs.select(*COLUMNS)
-    paths = cut(secrets.index(rows, "doc_id", "text"))
-    _, findings = secrets.scan(rows, "doc_id", "text", paths)
+    ledger = secrets.Ledger(spark, f"{shared(spark)}/ledger-{uuid.uuid4().hex}")
+    ledger.update(rows, "doc_id", "text")
+    findings = ledger.findings()
     # Findings by blob; a text's blob is its own hash, so equal ids with other texts don't mix.
     found = secrets.by_blob(findings)
     out = rows.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, "blob", "left")
@@ -84,11 +88,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _kept(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Written as Parquet in the shared folder and read again."""
-    import uuid
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        cut(spark.range(1))  # sets the folder
-    path = f"{sc.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/stage-{uuid.uuid4().hex}"
     docs.write.parquet(path)
     return spark.read.parquet(path)
