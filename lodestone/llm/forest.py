@@ -13,9 +13,9 @@ edges of sorted partitions are put in order once more, so no region is seen in p
 
 Two texts of Jaccard similarity s share FLOOR labels in one of the orders with probability
 1 - (1 - s^FLOOR)^TREES: 0.99999 at 0.85.  Candidates whose sizes rule the link out are dropped; all
-others are compared on full sets, in two rounds: first each class's most similar candidate, then the
-candidates that are still in different components.  So a group of n near copies costs about n
-comparisons, and the components are those of all candidate links.
+others are compared on full sets, in rounds: first each class's most similar candidate, then the
+candidates that are still in different components, last the exact way below.  So a group of n near
+copies costs about n comparisons, and the components are those of all links.
 
 Rows of regions that had to be descended may have partners that are no candidates.  They get an exact
 way: a prefix-filtered join of their full sets.  In one order of all shingles, rare ones first, two
@@ -314,14 +314,14 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = WORDS, per
     members = _members(close.select(F.col("a").alias("id")).union(close.select("b")).union(dense), docs, key, text, size)
     links = cut(_confirm(best, members, percent).union(_same_document(named, classes)))
     comp = cut(components(links))
-    # Round two: what the first left apart.
+    # Round two: the other candidates, where the first left them apart.
+    rest = cut(_apart(close.select("a", "b").join(best, ["a", "b"], "left_anti"), comp))
+    links = cut(links.union(_confirm(rest, members, percent)))
+    comp = cut(components(links))
+    # Round three: rows of dense regions that are no candidates, where they are apart still.
     c = comp.select(F.col("node").alias("n"), F.col("component").alias("c"))
-    rest = close.select("a", "b").join(best, ["a", "b"], "left_anti")
-    rest = rest.join(c.select(F.col("n").alias("a"), F.col("c").alias("ca")), "a", "left").join(c.select(F.col("n").alias("b"), F.col("c").alias("cb")), "b", "left")
-    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     sets = members.join(dense, "id", "left_semi").join(c, F.col("id") == F.col("n"), "left").select("id", F.coalesce("c", "id").alias("component"), "members")
-    rest = cut(rest.union(_prefix_pairs(cut(sets), percent, counts)).distinct())
-    links = cut(links.union(_confirm(rest, members, percent)))
+    links = cut(links.union(_confirm(cut(_prefix_pairs(cut(sets), percent, counts)), members, percent)))
     comp = components(links).withColumnRenamed("node", "id")
     final = classes.select("lo", "hi", "id").join(comp, "id", "left").select("lo", "hi", F.coalesce("component", "id").alias("component_id"))
     out = spread(signed.filter("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "lo", "hi"), final, ["lo", "hi"], "doc_id")
@@ -329,6 +329,12 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = WORDS, per
     return out.select("doc_id", "n_shingles", "component_id").union(alone)
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends are in different components."""
+    side = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def _same_document(named: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes of one key's texts, where it has several."""
     several = named.groupBy("doc_id").agg(F.min(F.struct("lo", "hi")).alias("x"), F.max(F.struct("lo", "hi")).alias("y")).filter("x != y").select("doc_id")

@@ -61,7 +61,8 @@ def _statistics(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     line_doc, line_start, line_end, word_from, word_to = (x[full] for x in (line_doc, line_start, line_end, word_from, word_to))
     salt = mix(np.arange(n, dtype=np.uint64), 1)
     lines, different = span_codes(raw, line_start, line_end)
-    held = np.unique(line_doc * max(len(different), 1) + lines) // max(len(different), 1)
+    width = len(different[0])
+    held = np.unique(line_doc * width + lines) // width
     out["n_dup_lines"] = np.bincount(line_doc, minlength=n) - np.bincount(held, minlength=n)
     # Words in windows of three that occur twice or more.
     codes, spans = span_codes(raw, starts, ends)
@@ -80,8 +81,7 @@ def _statistics(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             repeated[at + k] = True
     out["n_repeat_words"] = sums(repeated, first)
     # Distinct normalised lines of each text, with all their words.
-    table = _NORMAL.tobytes()
-    normal = names([x.translate(table) for x in spans])[codes]
+    normal = names(spans, _NORMAL)[codes]
     line = run_hashes(normal, word_from, word_to)
     by = np.lexsort((line, line_doc))
     line, line_doc, size = line[by], line_doc[by], (word_to - word_from)[by]

@@ -1,8 +1,8 @@
 """Word and shingle hashes of many texts at once, as array operations on their UTF-8 bytes.
 
 A word is a run of bytes outside space and 0x09-0x0D.  Words are told apart exactly (an Arrow
-dictionary of their bytes); each distinct one gets 64 bits of keyed BLAKE2b.  Longer runs (lines, whole
-texts, sets) are named by keyed BLAKE2b too, so no two of them share a name by their structure.
+dictionary of their bytes), and each distinct one gets a keyed name of 64 bits, which is no polynomial
+in its bytes.  Long words, lines, whole texts and sets are named by keyed BLAKE2b.
 
 Any bytes are taken, very long texts too; an empty text has no words; equal bytes give equal hashes.
 """
@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 
 KEY = b"lodestone names"
-CACHE = 1 << 17
+SHORT = 32
+_KEYS = np.frombuffer(blake2b(KEY, digest_size=32).digest(), "<u8") | np.uint64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_names: dict[bytes, int] = {}
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -31,13 +31,16 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, list[bytes]]:
-    """(code of each span, bytes of each code) for ascending, disjoint spans; table maps bytes first.
+Spans = tuple[np.ndarray, np.ndarray]  # offsets and bytes of different spans
+
+
+def span_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, Spans]:
+    """(code of each span, the spans of the codes) for ascending, disjoint spans; table maps bytes first.
 
     Exact: two spans have one code if, and only if, their bytes are equal.
     """
     if not len(starts):
-        return np.zeros(0, np.int64), []
+        return np.zeros(0, np.int64), (np.zeros(1, np.int64), np.zeros(0, np.uint8))
     edge = np.zeros(len(raw) + 1, np.int8)
     edge[starts] += 1
     edge[ends] -= 1
@@ -48,7 +51,9 @@ def span_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.
     np.cumsum(ends - starts, out=offsets[1:])
     spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(part))])
     found = spans.dictionary_encode()
-    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+    _, off, data = found.dictionary.buffers()
+    off = np.frombuffer(off, np.int64)[: len(found.dictionary) + 1]
+    return found.indices.to_numpy().astype(np.int64), (off, np.frombuffer(data, np.uint8)[: off[-1]])
 
 
 def name(data: bytes) -> int:
@@ -56,19 +61,39 @@ def name(data: bytes) -> int:
     return int.from_bytes(blake2b(data, digest_size=8, key=KEY).digest(), "little")
 
 
-def names(spans: list[bytes]) -> np.ndarray:
-    """The name of each span; short ones are kept, up to CACHE."""
-    known = _names
-    if len(known) > CACHE:
-        known.clear()
-    out = np.empty(len(spans), np.uint64)
-    for k, span in enumerate(spans):
-        h = known.get(span)
-        if h is None:
-            h = name(span)
-            if len(span) <= 64:
-                known[span] = h
-        out[k] = h
+def names(spans: Spans, table: np.ndarray | None = None) -> np.ndarray:
+    """A name of 64 bits for each span; table maps bytes first.
+
+    Spans under 8 bytes have names of their own: their bytes and length, scrambled one to one with a
+    key.  Those under SHORT bytes are scrambled 8 bytes at a time, the state under two keys; longer ones
+    get BLAKE2b.
+    """
+    offsets, data = spans
+    if table is not None:
+        data = table[data]
+    size = np.diff(offsets)
+    out = np.empty(len(size), np.uint64)
+    short = np.flatnonzero(size < SHORT)
+    at, left = offsets[short], size[short]
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    state, other = np.full(len(short), _KEYS[0], np.uint64), np.full(len(short), _KEYS[1], np.uint64)
+    live = np.arange(len(short))
+    while len(live):
+        n = np.minimum(left[live], 8)
+        block = np.ascontiguousarray(windows[np.minimum(at[live], len(padded) - 8)]).view("<u8").ravel()
+        block = np.where(n == 8, block, (block & ((np.uint64(1) << (8 * (n % 8)).astype(np.uint64)) - np.uint64(1))) | (n.astype(np.uint64) << np.uint64(56)))
+        mixed = mix(state[live] ^ block)
+        other[live] = mix(other[live] + (block ^ (mixed >> np.uint64(32))) * _KEYS[2])
+        state[live] = mixed
+        last = n < 8
+        at[live] += 8
+        left[live] -= 8
+        live = live[~last]
+    out[short] = np.where(size[short] < 8, state, mix(state ^ (other >> np.uint64(17)) * _KEYS[3]))
+    view = memoryview(np.ascontiguousarray(data)).cast("B")
+    for k in np.flatnonzero(size >= SHORT).tolist():
+        out[k] = name(view[offsets[k] : offsets[k + 1]])
     return out
 
 

@@ -53,3 +53,15 @@ def test_sets_lines_and_texts(spark):
     assert len({line["line"] for r in stats[:6] for line in r["lines"]}) == 6
     found = {r["doc_id"]: r["component_id"] for r in forest.near_duplicates(docs.filter("doc_id < 4"), "doc_id", "text").collect()}
     assert found == {k: k for k in range(4)}
+
+
+def test_names_differ_and_depend_on_bytes_alone():
+    rnd = np.random.default_rng(2)
+    words = {bytes(rnd.integers(33, 127, n, dtype=np.uint8)) for n in list(range(1, 70)) * 300} | {b"a" * n for n in range(1, 70)} | {b"\0" * n for n in range(1, 70)}
+    words = sorted(words)
+    spans = lambda own: (np.cumsum([0, *map(len, own)]), np.frombuffer(b"".join(own), np.uint8))
+    one = dict(zip(words, textvec.names(spans(words)).tolist()))
+    assert len(set(one.values())) == len(words)
+    assert dict(zip(words[::-1], textvec.names(spans(words[::-1])).tolist())) == one
+    assert dict(zip(words[:5], textvec.names(spans(words[:5])).tolist())) == {w: one[w] for w in words[:5]}
+    assert len(textvec.names(spans([]))) == 0
