@@ -41,16 +41,20 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.getOrCreate()
     if args.command == "build":
-        names = sinks.write(spark, builder.tables(spark, args.root), args.out, args.target)
-        print(json.dumps({"tables": names}))
+        tables = builder.tables(spark, args.root)
+        names = sinks.write(spark, tables, args.out, args.target)
+        print(json.dumps({"tables": names, "skipped_files": tables["skipped"].count()}))
         return 0
     tables = sinks.read(spark, args.out)
     if args.command == "query":
         rows, token = Catalogue(tables).run(args.task, args.query, args.limit, args.detail, args.continuation)
         print(json.dumps({"items": [r.asDict(recursive=True) for r in rows.collect()], "continuation": token}, default=str))
     elif args.command == "explain":
-        for r in builder.explain(tables, args.target).orderBy("section", "label").limit(200).collect():
+        rows = builder.explain(tables, args.target).orderBy("section", "label").limit(201).collect()
+        for r in rows[:200]:
             print(f"{r['section']}: {r['label']}")
+        if len(rows) > 200:
+            print("more rows follow; only the first 200 are shown")
     elif args.command == "context":
         pack = compiler.compile_context(tables["facts"], tables["fact_edges"], args.query, args.tokens)
         print(json.dumps(vars(pack) | {"context_id": pack.context_id}, default=str))

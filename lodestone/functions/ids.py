@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,9 +30,34 @@ def workspace_id(*parts: Column) -> Column:
     return F.when((F.length(joined) > 180) | joined.rlike("[\n\t]"), stable_id(*parts)).otherwise(joined)
 
 
-def fingerprint(path: Column, digest: Column) -> Column:
-    """Aggregate: SHA-256 over the sorted ``path NUL hash`` of a group."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(path, F.char(F.lit(0)), digest))), "\0"), 256)
+def fingerprints(files: DataFrame, by: str, path: str = "path", digest: str = "sha256") -> DataFrame:
+    """(by, files, fingerprint): SHA-256 over the sorted ``path NUL hash`` of each group, joined by NUL.
+
+    A group is sorted and read once as a stream, with the hash carried from batch to batch, so no row
+    or array ever holds a group.
+    """
+    kind = files.schema[by].dataType.simpleString()
+    rows = files.select(F.col(by).alias("k"), F.concat(path, F.char(F.lit(0)), digest).alias("entry")).repartition("k").sortWithinPartitions("k", "entry")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, count, state = None, 0, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key], types), pa.array([count]), pa.array([state.hexdigest()])], ["k", "files", "fingerprint"])
+
+        for batch in batches:
+            types = batch.schema.field(0).type
+            for k, entry in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if state is None or k != key:
+                    if state is not None:
+                        yield done()
+                    key, count, state = k, 0, hashlib.sha256()
+                state.update((b"\0" if count else b"") + (entry or "").encode())
+                count += 1
+        if state is not None:
+            yield done()
+
+    return rows.mapInArrow(run, f"k {kind}, files long, fingerprint string").withColumnRenamed("k", by)
 
 
 def unique_sorted(values: Column) -> Column:

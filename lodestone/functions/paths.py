@@ -8,6 +8,8 @@ paths a key for each.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +29,10 @@ def canon(parts: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda s: F.when(is_placeholder(s), F.lit("{}")).otherwise(F.lower(s))), "/"))
 
 
-def _is_base(segment: Column) -> Column:
+def _is_base(segment: Column, mounts: Sequence[str]) -> Column:
     low = F.lower(segment)
-    return low.contains("base_path") | low.isin(*params.SERVICE_SEGMENTS) | low.endswith("service")
+    named = low.isin(*(m.lower() for m in mounts)) if mounts else F.lit(False)
+    return low.contains("base_path") | named | low.endswith("service")
 
 
 def _tail(parts: Column) -> Column:
@@ -43,20 +46,23 @@ def _typed(parts: Column) -> Column:
     return F.when(at > 0, F.array(parts, *(literal(w) for w in params.TYPE_LITERALS))).otherwise(F.array(parts))
 
 
-def keys(path: Column) -> Column:
-    """All keys of a path: itself, and without a base segment before at least one other."""
+def keys(path: Column, mounts: Sequence[str] = ()) -> Column:
+    """All keys of a path: itself, and without a base segment before at least one other.
+
+    mounts: first segments under which the caller's services are mounted, besides those that name themselves so.
+    """
     parts = segments(path)
-    based = (F.size(parts) >= 2) & _is_base(F.coalesce(F.get(parts, F.lit(0)), F.lit("")))
+    based = (F.size(parts) >= 2) & _is_base(F.coalesce(F.get(parts, F.lit(0)), F.lit("")), mounts)
     variants = F.when(based, F.array(parts, _tail(parts))).otherwise(F.array(parts))
     return F.array_distinct(F.transform(F.flatten(F.transform(variants, _typed)), canon))
 
 
-def gateway_keys(path: Column) -> Column:
+def gateway_keys(path: Column, mounts: Sequence[str] = ()) -> Column:
     """Keys of the path without a gateway's first segment; none if there is no such segment."""
     parts = segments(path)
     led = (F.size(parts) >= 2) & F.lower(F.coalesce(F.get(parts, F.lit(0)), F.lit(""))).isin(*params.GATEWAY_PREFIXES)
     rest = F.concat(F.lit("/"), F.array_join(_tail(parts), "/"))
-    return F.when(led, keys(rest)).otherwise(F.array().cast("array<string>"))
+    return F.when(led, keys(rest, mounts)).otherwise(F.array().cast("array<string>"))
 
 
 def normalise(raw: Column) -> Column:

@@ -98,15 +98,59 @@ def capability_inventory(facts: DataFrame, languages: DataFrame, capabilities: t
     return out.withColumn("coverage", F.when(F.col("n") > 0, "COMPLETE").otherwise("UNAVAILABLE"))
 
 
+# What is read from each language: scope, and symbols, relations, calls, endpoints, tests.
+ANALYZERS = {
+    "go": ("language+routes", 1, 1, 1, 1, 1),
+    "java": ("language+spring", 1, 1, 1, 1, 1),
+    "javascript": ("language+routes+api", 1, 1, 1, 1, 1),
+    "typescript": ("language+react+routes+api", 1, 1, 1, 1, 1),
+    "python": ("language+routes", 1, 1, 1, 1, 1),
+    "php": ("language+routes", 1, 1, 1, 1, 1),
+    "shell": ("language", 1, 1, 1, 0, 0),
+    "rust": ("language+routes", 1, 1, 1, 1, 1),
+    "kotlin": ("language", 1, 1, 0, 0, 0),
+    "scala": ("language", 1, 1, 0, 0, 0),
+    "swift": ("language", 1, 1, 0, 0, 0),
+    "ruby": ("language", 1, 1, 0, 0, 0),
+    "c": ("language", 1, 1, 0, 0, 0),
+    "cpp": ("language", 1, 1, 0, 0, 0),
+    "csharp": ("language", 1, 1, 0, 0, 0),
+    "markdown": ("document", 0, 0, 0, 0, 0),
+    "json": ("metadata", 1, 0, 0, 0, 0),
+    "yaml": ("metadata", 0, 0, 0, 0, 0),
+    "maven": ("workspace+dependencies", 0, 1, 0, 0, 0),
+    "node": ("workspace", 1, 1, 0, 0, 0),
+}
+
+
+def analyzer_inventory(languages: DataFrame) -> DataFrame:
+    """(language, scope, symbols, relations, calls, endpoints, tests) of the distinct languages of a project.
+
+    A language without an entry gives symbols of single files; empty and unknown ones are left out.
+    """
+    own = languages.select("language").distinct().filter("language is not null and language not in ('', 'unknown')")
+    names = ("symbols", "relations", "calls", "endpoints", "tests")
+    table = F.create_map(*(x for k, (scope, *flags) in ANALYZERS.items() for x in (F.lit(k), F.struct(F.lit(scope).alias("scope"), *(F.lit(bool(f)).alias(n) for n, f in zip(names, flags))))))
+    found = own.withColumn("a", table[F.col("language")])
+    other = {"symbols": True}
+    return found.select("language", F.coalesce("a.scope", F.lit("file")).alias("scope"), *(F.coalesce(f"a.{n}", F.lit(other.get(n, False))).alias(n) for n in names))
+
+
+def catalog_order(catalog: DataFrame) -> DataFrame:
+    """The API catalogue in its order: service, path, method, then the place in the source."""
+    keys = [c for c in ("service", "project", "path", "http_method", "file", "line") if c in catalog.columns]
+    return catalog.orderBy(*(F.col(k).asc_nulls_first() for k in keys))
+
+
 def most_connected(weighted: DataFrame, limit: int = 20) -> DataFrame:
     """(file, weight) rows to the files of largest total weight."""
     return weighted.groupBy("file").agg(F.sum("weight").alias("connections")).orderBy(F.desc("connections"), "file").limit(limit)
 
 
-def module_counts(files: DataFrame) -> DataFrame:
-    """Files per top-level folder (. for the root) and language."""
+def module_counts(files: DataFrame, *more: Column) -> DataFrame:
+    """Files, and more aggregates, per top-level folder (. for the root) and language."""
     module = F.when(F.col("path").contains("/"), F.get(F.split("path", "/"), F.lit(0))).otherwise(".")
-    return files.groupBy(module.alias("module"), "language").agg(F.count("*").alias("files"))
+    return files.groupBy(module.alias("module"), "language").agg(F.count("*").alias("files"), *more)
 
 
 def risk_counts(items: DataFrame) -> DataFrame:

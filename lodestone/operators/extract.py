@@ -6,13 +6,16 @@ CASE over literal patterns, so extraction is one pass without Python.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
+from .sequence import enclosing
 
 
 @dataclass(frozen=True)
@@ -184,23 +187,109 @@ def calls(sources: DataFrame, low_value: tuple[str, ...] = LOW_VALUE_CALLS) -> D
     return found.filter(~F.col("name").isin(*low_value))
 
 
+ENDS = "path string, name string, kind string, line_no int, end_line int, owner string"
+
+
 def functions_with_ends(sources: DataFrame) -> DataFrame:
-    """(path, name, kind, line_no, end_line): braces by running depth, Python by indentation."""
-    heads = symbols(sources).filter("kind in ('function', 'method', 'test')")
+    """(path, name, kind, line_no, end_line, owner): braces by running depth, Python by indentation.
+
+    The owner is the Python class that a deeper function follows, or the PHP class whose braces hold it.
+    The lines of a file are read once in order, with a stack of the functions that are still open.
+    """
+    heads = symbols(sources).filter("kind in ('function', 'method', 'test') or (kind = 'class' and language in ('python', 'php'))").select("path", "line_no", "name", "kind")
     rows = lines(sources, "content", "path", "language")
     opens, closes = F.length("line") - F.length(F.replace(F.col("line"), F.lit("{"))), F.length("line") - F.length(F.replace(F.col("line"), F.lit("}")))
-    order = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    depth = rows.withColumn("o", opens).withColumn("after", F.sum(opens - closes).over(order)).withColumn("before", F.col("after") - (opens - closes))
     indent = F.length("line") - F.length(F.ltrim("line"))
     solid = (F.trim("line") != "") & ~F.trim("line").startswith("#")
-    depth = depth.withColumn("indent", F.when(solid, indent))
-    h = heads.alias("h").join(depth.select("path", "line_no", "before", F.col("indent").alias("head_indent")), ["path", "line_no"])
-    later = depth.select(F.col("path").alias("p"), F.col("line_no").alias("n"), F.col("after"), "o", "indent")
-    # Within one file only, and only lines that can end a block.
-    ends = later.filter((F.col("indent").isNotNull()) | (F.col("after") >= 0))
-    j = h.join(ends, (F.col("path") == F.col("p")) & (F.col("n") >= F.col("line_no")), "left")
-    brace = F.min(F.when((F.col("after") <= F.col("before")) & ((F.col("n") > F.col("line_no")) | (F.col("o") > 0)), F.col("n")))
-    dedent = F.min(F.when((F.col("n") > F.col("line_no")) & (F.col("indent") <= F.col("head_indent")), F.col("n") - 1))
-    out = j.groupBy("path", "language", "name", "kind", "line_no").agg(brace.alias("brace"), dedent.alias("dedent"), F.max("n").alias("last"))
-    end = F.when(F.col("language") == "python", F.coalesce("dedent", "last")).otherwise(F.coalesce("brace", "last"))
-    return out.select("path", "name", "kind", "line_no", end.alias("end_line"))
+    rows = rows.select("path", (F.col("language") == "python").alias("python"), "line_no", opens.alias("o"), closes.alias("c"), F.when(solid, indent).alias("indent"))
+    rows = rows.join(heads, ["path", "line_no"], "left").repartition("path").sortWithinPartitions("path", "line_no", "name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, line, last, depth, stack, found = None, 0, None, 0, [], []
+        owner, base = "", 0  # of Python: the class's indent; of others: the depth before the class
+
+        def ended() -> None:
+            found.extend((path, *head, last, own) for _, *head, own in stack)
+            stack.clear()
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*found)) or [()] * 6
+            found.clear()
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["path", "name", "kind", "line_no", "end_line", "owner"])
+
+        for batch in batches:
+            for p, n, python, o, c, indent, name, kind in zip(*(x.to_pylist() for x in batch.columns)):
+                if p != path:
+                    ended()
+                    path, line, last, depth, owner = p, 0, None, 0, ""
+                if n != line:
+                    line, before = n, depth
+                    depth += o - c
+                    if indent is not None or depth >= 0:
+                        last = n
+                    # A function ends where the depth is back, or before the first line that is not deeper.
+                    level = indent if python else depth
+                    while stack and level is not None and stack[-1][0] >= level:
+                        _, *head, own = stack.pop()
+                        found.append((path, *head, n - 1 if python else n, own))
+                    if owner and not python and c > 0 and depth <= base:
+                        owner = ""
+                if kind == "class":
+                    owner, base = name, indent if python else before
+                elif name is not None:
+                    own = owner if owner and (not python or indent > base) else ""
+                    if not python and o > 0 and depth <= before:
+                        found.append((path, name, kind, n, n, own))
+                    else:
+                        stack.append((indent if python else before, name, kind, n, own))
+            yield out()
+        ended()
+        yield out()
+
+    return rows.select("path", "line_no", "python", "o", "c", "indent", "name", "kind").mapInArrow(run, ENDS)
+
+
+def effect_ranges(sources: DataFrame) -> DataFrame:
+    """(path, low, high): lines after a useEffect call's own, up to the one that closes its brackets."""
+    rows = lines(sources.filter(F.col("language").isin(*_SCRIPT)), "content", "path")
+    line = F.regexp_replace("line", "//.*$", "")
+    count = lambda mark: F.length(line) - F.length(F.replace(line, F.lit(mark)))
+    rows = rows.select("path", "line_no", count("(").alias("o"), count(")").alias("c"), F.col("line").contains("useEffect").alias("begins"))
+    rows = rows.repartition("path").sortWithinPartitions("path", "line_no")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, last, open_, found = None, 0, [], []
+        for batch in batches:
+            for p, n, o, c, begins in zip(*(x.to_pylist() for x in batch.columns)):
+                if p != path:
+                    found += [(path, low + 1, last) for low, _ in open_]
+                    path, open_ = p, []
+                open_ = [(low, depth + o - c) for low, depth in open_] + ([(n, o - c)] if begins else [])
+                found += [(path, low + 1, n) for low, depth in open_ if depth <= 0]
+                open_ = [x for x in open_ if x[1] > 0]
+                last = n
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32()))], ["path", "low", "high"])
+            found = []
+        found = [(path, low + 1, last) for low, _ in open_]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32()))], ["path", "low", "high"])
+
+    return rows.mapInArrow(run, "path string, low int, high int").filter("low <= high")
+
+
+# Fixed value: a local function bound to an event in JSX.
+HANDLER = r"\bon[A-Z][A-Za-z0-9_$]*=\{\s*([A-Za-z_$][A-Za-z0-9_$]*)\s*\}"
+
+
+def call_usage(sources: DataFrame, functions: DataFrame, points: DataFrame) -> DataFrame:
+    """(file, point_id, usage) of script calls (file, point_id, line) inside a bound event handler or an effect.
+
+    functions: file, name, line, end_line.  A handler's own head and last line are outside it; where
+    both hold, the handler decides.  Other calls have no row.
+    """
+    rows = lines(sources.filter(F.col("language").isin(*_SCRIPT)), "content", "path")
+    bound = rows.select(F.col("path").alias("file"), F.explode(F.regexp_extract_all("line", F.lit(HANDLER), F.lit(1))).alias("name")).distinct()
+    inner = functions.join(bound, ["file", "name"], "left_semi").select("file", (F.col("line") + 1).alias("low"), (F.col("end_line") - 1).alias("high"), F.lit("event_handler").alias("usage"))
+    effects = effect_ranges(sources).select(F.col("path").alias("file"), "low", "high", F.lit("effect").alias("usage"))
+    held = lambda ranges: enclosing(points, ranges, "file", "line", "low", "high", "usage")
+    return held(inner).unionByName(held(effects)).groupBy("file", "point_id").agg(F.max("usage").alias("usage"))

@@ -106,14 +106,18 @@ def test_case(name: Column) -> tuple[Column, Column]:
 def endpoint_tests(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Test requests (test_id, http_method, path) to endpoints (endpoint_id, http_method, path).
 
-    A placeholder of the endpoint matches any one segment: method and number of segments are the
-    join key, the segments are compared after it; the smallest endpoint wins.
+    A placeholder of the endpoint matches any one segment; the smallest endpoint wins.  Endpoints have
+    few masks (where their placeholders stand); a request is looked up once for each mask of its method
+    and length, by its segments at the other places.
     """
     r = requests.select("test_id", F.upper("http_method").alias("m"), paths.segments(F.col("path")).alias("a"))
     e = endpoints.select("endpoint_id", F.upper("http_method").alias("m"), paths.segments(F.col("path")).alias("b"))
-    fits = F.forall(F.zip_with("a", "b", lambda x, y: paths.is_placeholder(y) | (x == y)), lambda x: x)
-    pairs = r.withColumn("n", F.size("a")).join(e.withColumn("n", F.size("b")), ["m", "n"]).filter(fits)
-    return pairs.groupBy("test_id").agg(F.min("endpoint_id").alias("endpoint_id"))
+    e = e.select("endpoint_id", "m", F.transform("b", paths.is_placeholder).alias("mask"), "b")
+    key = lambda parts: F.zip_with(parts, "mask", lambda x, any_: F.when(any_, F.lit("")).otherwise(x))
+    e = e.groupBy("m", "mask", key("b").alias("key")).agg(F.min("endpoint_id").alias("endpoint_id"))
+    masks = e.select("m", "mask").distinct().withColumn("n", F.size("mask"))
+    asked = r.withColumn("n", F.size("a")).join(masks, ["m", "n"]).withColumn("key", key("a"))
+    return asked.join(e, ["m", "mask", "key"]).groupBy("test_id").agg(F.min("endpoint_id").alias("endpoint_id"))
 
 
 def _near_edges(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -230,7 +234,7 @@ def persistence_path(steps: DataFrame, repositories: DataFrame, entities: DataFr
     e = entities.select(F.col("name").alias("entity"), "table")
     rows = steps.join(r, steps["owner"] == r["repository"]).join(e, "entity", "left")
     rows = rows.groupBy("flow_id", "repository", "method").agg(F.min("pos").alias("pos"), F.min("entity").alias("entity"), F.min("table").alias("table"))
-    return rows.select("flow_id", F.row_number().over(W.partitionBy("flow_id").orderBy("pos")).alias("pos"), "repository", "method", "entity", F.coalesce("table", F.lit("")).alias("table"))
+    return rows.select("flow_id", F.row_number().over(W.partitionBy("flow_id").orderBy("pos", "repository", "method")).alias("pos"), "repository", "method", "entity", F.coalesce("table", F.lit("")).alias("table"))
 
 
 def feature_flows(matches: DataFrame, endpoint_steps: DataFrame, tests: DataFrame) -> DataFrame:

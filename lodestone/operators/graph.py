@@ -8,42 +8,55 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import params
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Rows kept in the shared checkpoint folder; a local session without one gets a folder of its own."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Only a local session without that setting (tests) gets a temporary folder of its own.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
             if not sc.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir is not set")
-            shared = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(shared)
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Levels between checkpoints: a level's exchange is reused by the next ones, so few levels need none.
+LEVELS = 4
+
+
 def reach(edges: DataFrame, start: DataFrame, depth: int, source: str = "src", target: str = "dst") -> DataFrame:
     """(node, depth, path): nodes within depth steps of start (node), each by its smallest shortest path.
 
     Breadth-first over sorted neighbours reports the smallest of the shortest paths, which is the
-    minimum per level.
+    minimum per level.  Repeated edges are dropped by that minimum.
     """
-    e = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).distinct()
-    seen = settle(start.select("node").distinct().select("node", F.lit(0).alias("depth"), F.col("node").cast("string").alias("path")))
+    e = edges.select(F.col(source).alias("a"), F.col(target).alias("b"))
+    seen = start.select("node").distinct().select("node", F.lit(0).alias("depth"), F.col("node").cast("string").alias("path"))
     frontier = seen
     for level in range(1, depth + 1):
-        step = frontier.join(e, frontier["node"] == e["a"]).select(F.col("b").alias("node"), F.concat_ws(" > ", "path", F.col("b").cast("string")).alias("path"))
-        fresh = step.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
-        frontier = settle(fresh.select("node", F.lit(level).alias("depth"), "path"))
-        if frontier.isEmpty():
-            break
+        step = frontier.select(F.col("node").alias("a"), "path").join(e, "a").select(F.col("b").alias("node"), F.concat_ws(" > ", "path", F.col("b").cast("string")).alias("path"))
+        frontier = step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("depth"), "path")
+        if level % LEVELS == 0 and level < depth:
+            frontier = settle(frontier)
+            if frontier.isEmpty():
+                break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -98,17 +111,21 @@ def impact(edges: DataFrame, changed: DataFrame, depth: int, source: str = "src"
 
     Each edge into an expanded node is a hit, also of nodes met before; only new nodes are expanded.
     """
-    e = edges.select(F.col(source).alias("consumer"), F.col(target).alias("used"))
-    seen = settle(changed.select("node").distinct())
-    frontier, found = seen, None
+    # Edges between the same nodes are one row with a count, so every level moves less.
+    e = edges.groupBy(F.col(source).alias("consumer"), F.col(target).alias("used")).agg(F.count("*").alias("n"))
+    if depth > 1:
+        e = settle(e)
+    seen = frontier = changed.select("node").distinct()
+    found = None
     for level in range(1, depth + 1):
-        hits = frontier.join(e, frontier["node"] == e["used"]).groupBy(F.col("consumer").alias("node")).agg(F.count("*").alias("hits")).withColumn("depth", F.lit(level))
-        hits = settle(hits)
+        hits = frontier.select(F.col("node").alias("used")).join(e, "used").groupBy(F.col("consumer").alias("node")).agg(F.sum("n").alias("hits")).withColumn("depth", F.lit(level))
+        if level % LEVELS == 0 and level < depth:
+            hits = settle(hits)
+            if hits.isEmpty():
+                break
         found = hits if found is None else found.unionByName(hits)
-        frontier = settle(hits.select("node").join(seen, "node", "left_anti"))
+        frontier = hits.select("node").join(seen, "node", "left_anti")
         seen = seen.unionByName(frontier)
-        if frontier.isEmpty():
-            break
     return found.select("node", "depth", "hits")
 
 

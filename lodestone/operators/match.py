@@ -6,6 +6,8 @@ routes: route_id (its order), http_method, path, service_candidate
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,39 +15,40 @@ from pyspark.sql import functions as F
 from ..functions import paths
 
 
-def _keyed(df: DataFrame, name: str, keys: Column, *cols: str) -> DataFrame:
-    return df.select(name, *cols, F.explode(keys).alias("key"))
-
+def _sides(contracts: DataFrame, routes: DataFrame, mounts: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """((http_method, path, key, gateway) of distinct calls, (key, route_method, route_id, route_gateway)).
 
-def _compatible(contracts: DataFrame, routes: DataFrame) -> DataFrame:
-    """(contract_id, route_id, same_method, gateway) of compatible pairs; gateway only where keys alone fail."""
-    left = _keyed(contracts, "contract_id", paths.keys(F.col("path")), "http_method").withColumn("gateway", F.lit(0))
-    stripped = _keyed(contracts, "contract_id", paths.gateway_keys(F.col("path")), "http_method").withColumn("gateway", F.lit(1))
-    right = _keyed(routes.withColumnRenamed("http_method", "route_method"), "route_id", paths.keys(F.col("path")), "route_method").withColumn("route_gateway", F.lit(0))
-    bare = _keyed(routes.withColumnRenamed("http_method", "route_method"), "route_id", paths.gateway_keys(F.col("path")), "route_method").withColumn("route_gateway", F.lit(1))
-    pairs = left.unionByName(stripped).join(right.unionByName(bare), "key").filter(F.col("gateway") + F.col("route_gateway") < 2)
-    same = F.upper("http_method") == F.upper("route_method")
-    found = pairs.select("contract_id", "route_id", same.alias("same_method"), (F.col("gateway") + F.col("route_gateway")).alias("gateway"))
-    return found.groupBy("contract_id", "route_id").agg(F.max("same_method").alias("same_method"), F.min("gateway").alias("gateway"))
+    Calls of one method and path share their routes, so each such shape is matched once.
+    """
+    shapes = contracts.select(F.upper("http_method").alias("call_method"), "path").distinct()
+    keyed = lambda df, made, name, value, *cols: df.select(*cols, F.explode(made).alias("key"), F.lit(value).alias(name))
+    own = ("call_method", "path")
+    left = keyed(shapes, paths.keys(F.col("path"), mounts), "gateway", 0, *own).unionByName(keyed(shapes, paths.gateway_keys(F.col("path"), mounts), "gateway", 1, *own))
+    r = routes.select("route_id", F.upper("http_method").alias("route_method"), F.col("path").alias("route_path"))
+    own = ("route_id", "route_method")
+    right = keyed(r, paths.keys(F.col("route_path"), mounts), "route_gateway", 0, *own).unionByName(keyed(r, paths.gateway_keys(F.col("route_path"), mounts), "route_gateway", 1, *own))
+    return left, right
 
 
-def contract_matches(contracts: DataFrame, routes: DataFrame) -> DataFrame:
+def contract_matches(contracts: DataFrame, routes: DataFrame, mounts: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
     """Project form: the first tier that holds decides; within a tier, the first route.
 
-    The tiers' first routes come from one aggregation over the compatible pairs, so the whole cascade
-    is one join on path keys.
+    A tier only needs its first route, so routes are reduced to one for each key and method before
+    they meet the calls, and no pair of a call and a route is made beyond those.  carry: more columns
+    of contracts to keep.
     """
-    pairs = _compatible(contracts, routes)
+    left, right = _sides(contracts, routes, mounts)
+    right = right.groupBy("key", "route_method", "route_gateway").agg(F.min("route_id").alias("route_id"))
+    pairs = left.join(right, "key").withColumn("gateway", F.col("gateway") + F.col("route_gateway")).filter("gateway < 2")
+    same = F.col("call_method") == F.col("route_method")
     first = lambda cond, name: F.min(F.when(cond, F.col("route_id"))).alias(name)
     direct = F.col("gateway") == 0
-    tiers = pairs.groupBy("contract_id").agg(
-        first(direct & F.col("same_method"), "exact_route"),
-        first(direct, "path_route"),
-        first((F.col("gateway") == 1) & F.col("same_method"), "gateway_route"),
-    )
+    tiers = pairs.groupBy("call_method", "path").agg(first(direct & same, "exact_route"), first(direct, "path_route"), first(same, "any_gateway"))
+    # A route that fits without a gateway is found by an earlier tier.
+    tiers = tiers.withColumn("gateway_route", F.when(F.col("exact_route").isNull() & F.col("path_route").isNull(), F.col("any_gateway"))).drop("any_gateway")
     # Services: few, each once; adaptive execution broadcasts them when they are small.
     scanned = routes.filter("service_candidate <> ''").select(F.col("service_candidate").alias("scanned_service")).distinct()
-    c = contracts.join(tiers, "contract_id", "left").join(scanned, contracts["service_candidate"] == F.col("scanned_service"), "left")
+    c = contracts.withColumn("call_method", F.upper("http_method")).join(tiers, ["call_method", "path"], "left").join(scanned, F.col("service_candidate") == F.col("scanned_service"), "left")
     slot = F.lower(F.regexp_extract("path", "([^/]*)/?$", 1))
     named = F.col("service_candidate") != ""
     blank = F.trim("path") == ""
@@ -82,19 +85,30 @@ def contract_matches(contracts: DataFrame, routes: DataFrame) -> DataFrame:
         .otherwise(0.3)
     )
     route = F.when(confidence == "matched", F.col("exact_route")).when(confidence == "method_mismatch", F.col("path_route")).when(confidence == "gateway_or_proxy_prefix", F.col("gateway_route"))
-    return out.select("contract_id", "http_method", "path", "service_candidate", "issue", level.alias("confidence"), score.alias("confidence_score"), route.alias("route_id"))
+    return out.select("contract_id", "http_method", "path", "service_candidate", "issue", level.alias("confidence"), score.alias("confidence_score"), route.alias("route_id"), *carry)
 
 
-def workspace_matches(contracts: DataFrame, routes: DataFrame) -> DataFrame:
-    """Workspace form: several exact routes are AMBIGUOUS; (contract_id, issue, confidence, candidates, route_id)."""
-    pairs = _compatible(contracts, routes).filter("gateway = 0")
-    tiers = pairs.groupBy("contract_id").agg(
-        F.count_if("same_method").alias("exact"),
-        F.count("*").alias("any_method"),
-        F.min(F.when(F.col("same_method"), F.col("route_id"))).alias("exact_route"),
+def workspace_matches(contracts: DataFrame, routes: DataFrame, mounts: Sequence[str] = ()) -> DataFrame:
+    """Workspace form: several exact routes are AMBIGUOUS; (contract_id, issue, confidence, candidates, route_id).
+
+    Routes with one set of keys and method are one row with their number and first id: two such rows
+    have different routes, so numbers of distinct rows add up to the number of distinct routes.
+    """
+    shapes = contracts.select(F.upper("http_method").alias("call_method"), "path").distinct().withColumn("call_keys", paths.keys(F.col("path"), mounts))
+    r = routes.select("route_id", F.upper("http_method").alias("route_method"), F.array_sort(paths.keys(F.col("path"), mounts)).alias("keys"))
+    r = r.groupBy("route_method", "keys").agg(F.count_distinct("route_id").alias("n"), F.min("route_id").alias("route_id"))
+    left = shapes.select("call_method", "path", "call_keys", F.explode("call_keys").alias("key"))
+    right = r.select("route_method", "keys", "n", "route_id", F.explode("keys").alias("key"))
+    # A pair that shares several keys counts at the first of them.
+    pairs = left.join(right, "key").filter(F.col("key") == F.array_min(F.array_intersect("call_keys", "keys")))
+    same = F.col("call_method") == F.col("route_method")
+    tiers = pairs.groupBy("call_method", "path").agg(
+        F.sum(F.when(same, F.col("n")).otherwise(0)).alias("exact"),
+        F.sum("n").alias("any_method"),
+        F.min(F.when(same, F.col("route_id"))).alias("exact_route"),
         F.min("route_id").alias("path_route"),
     )
-    c = contracts.join(tiers, "contract_id", "left").fillna({"exact": 0, "any_method": 0})
+    c = contracts.withColumn("call_method", F.upper("http_method")).join(tiers, ["call_method", "path"], "left").fillna({"exact": 0, "any_method": 0})
     issue = F.when(F.col("exact") == 1, "matched").when(F.col("exact") > 1, "ambiguous_route").when(F.col("any_method") > 0, "method_mismatch").otherwise("missing_backend_route")
     level = F.when(F.col("exact") == 1, "RESOLVED").when(F.col("exact") > 1, "AMBIGUOUS").when(F.col("any_method") > 0, "MISMATCH").otherwise("UNRESOLVED")
     route = F.when(F.col("exact") == 1, F.col("exact_route")).when((F.col("exact") == 0) & (F.col("any_method") > 0), F.col("path_route"))
@@ -112,12 +126,18 @@ def similarity(method: Column, path: Column, route_method: Column, route_path: C
 
 
 def similar_routes(contracts: DataFrame, routes: DataFrame, limit: int = 3) -> DataFrame:
-    """(contract_id, rank, route_label, score): the best routes of the same service, ties by label."""
+    """(contract_id, rank, route_label, score): the best routes of the same service, ties by label.
+
+    Distinct calls (method, path) of a service meet distinct routes of it; each shape is ranked once
+    and its answer given to all its calls.
+    """
     label = F.concat_ws(" ", F.upper("route_method"), "route_path")
-    r = routes.select(F.col("service_candidate"), F.col("http_method").alias("route_method"), F.col("path").alias("route_path")).distinct()
-    scored = contracts.join(r, "service_candidate").withColumn("score", similarity(F.col("http_method"), F.col("path"), F.col("route_method"), F.col("route_path"))).filter("score > 0")
-    order = W.partitionBy("contract_id").orderBy(F.desc("score"), "route_label")
-    return scored.withColumn("route_label", label).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("contract_id", "rank", "route_label", "score")
+    r = routes.select("service_candidate", F.col("http_method").alias("route_method"), F.col("path").alias("route_path")).distinct()
+    shapes = contracts.select("service_candidate", "http_method", "path").distinct()
+    scored = shapes.join(r, "service_candidate").withColumn("score", similarity(F.col("http_method"), F.col("path"), F.col("route_method"), F.col("route_path"))).filter("score > 0")
+    order = W.partitionBy("service_candidate", "http_method", "path").orderBy(F.desc("score"), "route_label")
+    best = scored.withColumn("route_label", label).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return contracts.select("contract_id", "service_candidate", "http_method", "path").join(best.select("service_candidate", "http_method", "path", "rank", "route_label", "score"), ["service_candidate", "http_method", "path"]).select("contract_id", "rank", "route_label", "score")
 
 
 def dynamic_candidates(contracts: DataFrame, routes: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def local_imports(relations: DataFrame, files: DataFrame, go_module: str = "") -
     targets = go.unionByName(python).unionByName(plain).unionByName(stem).groupBy("_key", "_lang").agg(F.min("_file").alias("_file"))
     near = clean_path(F.concat_ws("/", folder(F.col("from")), F.col("to")))
     want = (
-        F.when((F.col("language") == "go") & F.lit(bool(go_module)) & F.col("to").startswith(go_module), F.regexp_replace(F.substring("to", len(go_module) + 1, 10_000), "^/", ""))
+        F.when((F.col("language") == "go") & F.lit(bool(go_module)) & F.col("to").startswith(go_module), F.regexp_replace(F.substr("to", F.lit(len(go_module) + 1)), "^/", ""))
         .when(F.col("language") == "python", F.col("to"))
         .when(F.col("language").isin("shell", "php"), near)
         .when(F.col("to").startswith("."), near)

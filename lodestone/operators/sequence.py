@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,7 +85,30 @@ def nearest_before(probes: DataFrame, facts: DataFrame, key: str, at: str, fact:
 def enclosing(points: DataFrame, intervals: DataFrame, key: str, at: str, low: str, high: str, name: str) -> DataFrame:
     """For each point the interval of its key that holds it and starts last, later names on ties.
 
-    Intervals of one key must not be many at one point: the join is on the key with a range filter.
+    Points and intervals of a key are read once in order, with a stack of the intervals that may still
+    hold a point, so no pair of a point and an interval is made.  Points outside all intervals have no row.
     """
-    held = points.join(intervals, key).filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high)))
-    return held.groupBy(key, "point_id").agg(F.max_by(name, F.struct(low, name)).alias(name))
+    own = intervals.select(F.col(key).alias("k"), F.col(low).alias("t"), F.lit(0).alias("o"), F.col(name).alias("n"), F.col(high).alias("h"))
+    rows = own.unionByName(points.select(F.col(key).alias("k"), F.col(at).alias("t"), F.lit(1).alias("o"), F.col("point_id").alias("p")), allowMissingColumns=True)
+    rows = rows.filter("k is not null and t is not null").repartition("k").sortWithinPartitions("k", "t", "o", "n").select("k", "t", "o", "n", "h", "p")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, stack = None, []
+        for batch in batches:
+            found = []
+            for k, t, o, n, h, p in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != current:
+                    current, stack = k, []
+                if o == 0:
+                    if h is not None and h >= t:
+                        stack.append((h, n))
+                    continue
+                while stack and stack[-1][0] < t:
+                    stack.pop()
+                if stack:
+                    found.append((k, p, stack[-1][1]))
+            kinds = [batch.schema.field(c).type for c in ("k", "p", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kinds[i]) for i in range(3)], ["k", "p", "n"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"k {kinds['k']}, p {kinds['p']}, n {kinds['n']}").select(F.col("k").alias(key), F.col("p").alias("point_id"), F.col("n").alias(name))

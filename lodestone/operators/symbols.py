@@ -120,7 +120,7 @@ def api_catalog(endpoints: DataFrame, matches: DataFrame) -> tuple[DataFrame, Da
     key = lambda c: paths.canon(paths.segments(F.col(c)))
     e = endpoints.withColumn("k", key("path"))
     m = matches.withColumn("k", key("backend_path")).select("match_id", "api_project", "k", *(F.col(f"backend_{c}").alias(f"b_{c}") for c in ("project", "http_method", "handler", "file", "line")))
-    agrees = lambda c: (F.coalesce(F.col(f"b_{c}").cast("string"), F.lit("")).isin("", "0")) | (F.lower(F.col(f"b_{c}").cast("string")) == F.lower(F.col(c).cast("string")))
+    agrees = lambda c: (F.coalesce(F.col(f"b_{c}").cast("string"), F.lit("")).isin(*(("", "0") if c == "line" else ("",)))) | (F.lower(F.col(f"b_{c}").cast("string")) == F.lower(F.col(c).cast("string")))
     pairs = m.join(e, "k")
     for c in ("project", "http_method", "handler", "file", "line"):
         pairs = pairs.filter(agrees(c))

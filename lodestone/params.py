@@ -21,7 +21,6 @@ CAPABILITIES = ("symbols", "relations", "calls", "routes", "api_clients", "tests
 
 # Prefixes that gateways add, and base segments that services are mounted under.
 GATEWAY_PREFIXES = ("api", "rest", "backend", "proxy", "gateway")
-SERVICE_SEGMENTS = ("cadastertask", "containertree", "documentdownload", "documentexport", "documentinfo", "documenttopic", "invoiceservice", "productservice", "task", "userservice")
 TYPE_LITERALS = ("new", "changed", "guidance")
 
 # Limits.

@@ -19,7 +19,7 @@ EXCLUDED = (".git", "node_modules", "vendor", "dist", "build", "target", ".gradl
 def tables(spark: SparkSession, root: str, services: dict[str, str] | None = None, ignore: list[str] = ()) -> dict[str, DataFrame]:
     """Lazy tables: only those that are read are computed."""
     text = sources.scan(spark, root, list(EXCLUDED), ignore=list(ignore)).withColumn("language", sources.language(F.col("path")))
-    return derive(text, services)
+    return derive(text, services) | {"skipped": sources.skipped(spark, root, list(EXCLUDED), ignore=list(ignore))}
 
 
 def derive(text: DataFrame, services: dict[str, str] | None = None) -> dict[str, DataFrame]:
@@ -38,10 +38,14 @@ def derive(text: DataFrame, services: dict[str, str] | None = None) -> dict[str,
     relations = resolve.local_imports(imported, files).select("from", "to", "type", "line").unionByName(java.imports(records).select("from", "to", "type", "line"))
     order = F.concat_ws(":", "file", F.lpad(F.col("line").cast("string"), 8, "0"), "name")
     bodies = extract.functions_with_ends(text).withColumnsRenamed({"path": "file", "line_no": "line"})
-    functions = bodies.join(files.select(F.col("path").alias("file"), "language"), "file").select(order.alias("fn_id"), "language", "file", F.lit("").alias("owner"), "name", "kind", "line", "end_line").persist()
+    functions = bodies.join(files.select(F.col("path").alias("file"), "language"), "file").select(order.alias("fn_id"), "language", "file", "owner", "name", "kind", "line", "end_line").persist()
     found = extract.calls(text).filter("language <> 'java'").select(F.col("path").alias("file"), F.concat_ws(":", "path", "line_no", "receiver", "name").alias("point_id"), "receiver", F.col("name").alias("method"), F.col("line_no").alias("line"))
     inside = sequence.enclosing(found, functions.select("file", F.col("line").alias("low"), F.col("end_line").alias("high"), "fn_id"), "file", "line", "low", "high", "fn_id")
-    calls = found.join(inside, ["file", "point_id"]).select(F.col("point_id").alias("call_id"), "fn_id", "receiver", F.lit("").alias("owner"), "method", "line", F.lit("").alias("usage"))
+    usage = extract.call_usage(text, functions, found)
+    # A call on the object itself is one of the function's own class.
+    owner = F.when(F.col("receiver").isin("self", "this", "$this"), F.col("fn_owner")).otherwise("")
+    calls = found.join(inside, ["file", "point_id"]).join(functions.select("fn_id", F.col("owner").alias("fn_owner")), "fn_id").join(usage, ["file", "point_id"], "left")
+    calls = calls.select(F.col("point_id").alias("call_id"), "fn_id", "receiver", owner.alias("owner"), "method", "line", F.coalesce("usage", F.lit("")).alias("usage"))
     generic = flows.call_edges(functions, calls)
     generic = generic.persist()
     edges = flows.union_call_graphs(generic.drop("call_id", "from_kind", "to_kind", "from_line"), java.call_edges(records)).persist()

@@ -66,7 +66,8 @@ def primary(query: str) -> str:
 def scored(facts: DataFrame, query: str) -> DataFrame:
     """Facts with score: exact and term matches, their kind and confidence, and anchors."""
     terms = rank.query_tokens(facts.sparkSession, query)
-    score, matched = rank.lexical_score(terms, primary(query), F.col("name"), F.col("qualified_name"), F.col("text"))
+    matched = rank.matched_terms(terms, F.col("text"))
+    score = rank.lexical_score(terms, primary(query), F.col("name"), F.col("qualified_name"), matched)
     kind = F.when(F.col("kind") == "route", 80).when(F.col("kind").isin("symbol", "api_contract"), 60).otherwise(20)
     level = F.when(ranked(F.col("confidence"), params.CONFIDENCE_RANK) >= 6, 30).otherwise(15)
     bonus = F.lit(0)

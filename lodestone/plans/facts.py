@@ -28,14 +28,13 @@ _DOC_FILES = f"(SELECT doc_id, source || '/d' || doc_id || {_EXT}[CAST(doc_id %
 count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, min(sha256(text)) AS smallest_hash FROM {_DOC_FILES} GROUP BY 1, 2"""
 )
 def file_inventory(t: Tables) -> DataFrame:
-    rows = files.file_records(_doc_files(t))
-    return rows.groupBy(F.get(F.split("path", "/"), F.lit(0)).alias("module"), "language").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.min("sha256").alias("smallest_hash"))
+    return aggregate.module_counts(files.file_records(_doc_files(t)), F.sum("size").alias("bytes"), F.min("sha256").alias("smallest_hash"))
 
 
 @query(f"SELECT split_part(path, '/', 1) AS module, count(*) AS files, sha256(array_to_string(list_sort(list(path || chr(0) || sha256(text))), chr(0))) AS fingerprint FROM {_DOC_FILES} GROUP BY 1")
 def fingerprint(t: Tables) -> DataFrame:
     rows = files.file_records(_doc_files(t))
-    return rows.groupBy(F.get(F.split("path", "/"), F.lit(0)).alias("module")).agg(F.count("*").alias("files"), ids.fingerprint(F.col("path"), F.col("sha256")).alias("fingerprint"))
+    return ids.fingerprints(rows.withColumn("module", F.get(F.split("path", "/"), F.lit(0))), "module")
 
 
 @query(
@@ -64,10 +63,10 @@ def line_symbols_regex(t: Tables) -> DataFrame:
   len(list_intersect(['the', 'and', 'with', 'under'], string_split_regex(lower(text), '[^\p{L}\p{Nd}]+'))) AS matched, CAST(ceil(length(text) / 4.0) AS BIGINT) AS token_estimate FROM documents"""
 )
 def tokens_per_document(t: Tables) -> DataFrame:
-    own = tokens(F.lower("text"))
-    word = F.filter(own, lambda x: ~x.rlike("[0-9]"))
+    # The tokens are a projection of their own, as two outputs read them.
+    rows = t.documents.select("doc_id", tokens(F.lower("text"), cased=False).alias("own"), token_estimate(F.col("text")).alias("token_estimate"))
     asked = F.array(*(F.lit(w) for w in ("the", "and", "with", "under")))
-    return t.documents.select("doc_id", F.size(word).cast("long").alias("tokens"), F.size(F.array_intersect(asked, own)).cast("long").alias("matched"), token_estimate(F.col("text")).alias("token_estimate"))
+    return rows.select("doc_id", F.size(F.filter("own", lambda x: x.rlike(r"^\p{L}"))).cast("long").alias("tokens"), F.size(F.array_intersect(asked, F.col("own"))).cast("long").alias("matched"), "token_estimate")
 
 
 @query(
@@ -76,7 +75,7 @@ SELECT fact_id, CAST(matched AS INTEGER) AS matched, CAST(matched * 60 + CASE WH
 )
 def lexical_rank_top20(t: Tables) -> DataFrame:
     facts = t.documents.select(F.col("doc_id").alias("fact_id"), F.lit("").alias("name"), F.lit("").alias("qualified_name"), F.lit("EXTRACTED").alias("confidence"), F.lower("text").alias("text"))
-    return rank.rank_facts(facts, "the thing nation ver erthe", 20).select("fact_id", "matched", "score")
+    return rank.rank_facts(facts, "the thing nation ver erthe", 20, cased=False).select("fact_id", "matched", "score")
 
 
 @query(
@@ -101,10 +100,9 @@ def search_union(t: Tables) -> DataFrame:
 
 @query(
     """
-WITH l AS (SELECT doc_id, label, ord, quality, toxic FROM (SELECT doc_id, CAST(quality AS VARCHAR) AS label, 1 AS ord, quality, toxic FROM labels))
-SELECT d.doc_id, COALESCE(CASE WHEN l.quality = 1 THEN 'EXACT' WHEN l.quality = 0 THEN 'WEAK' END, 'INFERRED') AS confidence, d.lang AS text,
-  CASE WHEN l.doc_id IS NULL THEN 'doc' ELSE 'doc,label' END AS evidence FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality = 1) l USING (doc_id)
-WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)"""
+WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY 1), d AS (SELECT doc_id, min(lang) AS lang FROM documents GROUP BY 1)
+SELECT doc_id, CASE WHEN l.quality = 1 THEN 'EXACT' WHEN d.doc_id IS NOT NULL THEN 'INFERRED' ELSE 'WEAK' END AS confidence, nullif(d.lang, '') AS text,
+  CASE WHEN l.doc_id IS NULL THEN 'doc' WHEN d.doc_id IS NULL THEN 'label' ELSE 'doc,label' END AS evidence FROM d FULL JOIN l USING (doc_id)"""
 )
 def merge_stronger(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", F.lit("INFERRED").alias("confidence"), F.col("lang").alias("text"), F.lit("doc").alias("evidence"))
@@ -143,7 +141,7 @@ def stale_hash(t: Tables) -> DataFrame:
 
 @query(
     """
-WITH RECURSIVE r AS (SELECT source, doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS cost, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS n FROM documents WHERE n_chars < 4000),
+WITH RECURSIVE r AS (SELECT source, doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS cost, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS n FROM documents),
 f AS (SELECT source, doc_id, cost, n, cost <= 4000 AS taken, CASE WHEN cost <= 4000 THEN cost ELSE 0 END AS used FROM r WHERE n = 1
   UNION ALL SELECT r.source, r.doc_id, r.cost, r.n, f.used + r.cost <= 4000, f.used + CASE WHEN f.used + r.cost <= 4000 THEN r.cost ELSE 0 END FROM f JOIN r ON r.source = f.source AND r.n = f.n + 1)
 SELECT source, doc_id, cost, taken FROM f"""

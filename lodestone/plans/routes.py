@@ -75,8 +75,7 @@ def call_table(t: Tables) -> DataFrame:
 
 @query(_FUNNEL)
 def contract_match_funnel(t: Tables) -> DataFrame:
-    calls = call_table(t)
-    found = match.contract_matches(calls, route_table(t)).join(calls.select("contract_id", "n"), "contract_id")
+    found = match.contract_matches(call_table(t), route_table(t), carry=["n"])
     return found.groupBy("issue", "confidence").agg(F.count("*").alias("calls"), F.sum("n").alias("uses"))
 
 
@@ -118,10 +117,7 @@ SELECT page_id AS contract_id, CAST(rank AS INTEGER) AS rank, route_label, CAST(
 def similar_routes_top3(t: Tables) -> DataFrame:
     calls = t.pages.filter("page_id % 2 = 1").select(F.col("page_id").alias("contract_id"), method(F.col("url")).alias("http_method"), page_path(F.col("url")).alias("path"))
     calls = calls.withColumn("service_candidate", paths.service_candidate(F.col("path")))
-    # Few shapes of calls: score each once, then give each call the answer of its shape.
-    shapes = calls.select(F.concat_ws(" ", "http_method", "path").alias("contract_id"), "http_method", "path", "service_candidate").distinct()
-    best = match.similar_routes(shapes, route_table(t)).withColumnRenamed("contract_id", "shape")
-    return calls.select("contract_id", F.concat_ws(" ", "http_method", "path").alias("shape")).join(best, "shape").select("contract_id", "rank", "route_label", "score")
+    return match.similar_routes(calls, route_table(t))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, diff, graph, integrity, sequence
+from ..operators import aggregate, diff, flows, graph, integrity, rank, sequence
 from .registry import Tables, query
 
 
@@ -85,14 +85,13 @@ def endpoints_without_tests(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT user_id, list(DISTINCT event_type) AS front FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, list(DISTINCT event_type) AS back FROM events WHERE event_id % 5 = 0 GROUP BY 1)
+    """WITH f AS (SELECT user_id, list(DISTINCT event_type) AS front FROM events WHERE value >= 50 GROUP BY 1), b AS (SELECT user_id, list(DISTINCT event_type) AS back FROM events WHERE value < 50 OR value IS NULL GROUP BY 1)
 SELECT user_id, field FROM (SELECT user_id, unnest(list_filter(front, lambda x: NOT list_contains(back, x))) AS field FROM f JOIN b USING (user_id))"""
 )
 def field_risk(t: Tables) -> DataFrame:
-    front = t.events.filter("event_id % 2 = 0").select("user_id", F.col("event_type").alias("field")).distinct()
-    back = t.events.filter("event_id % 5 = 0").select("user_id", F.col("event_type").alias("field")).distinct()
-    # Only users with fields on both sides are compared.
-    return front.join(back.select("user_id"), "user_id", "left_semi").join(back, ["user_id", "field"], "left_anti")
+    front = F.coalesce(F.col("value") >= 50, F.lit(False))
+    rows = t.events.select("user_id", F.col("event_type").alias("field"), front.alias("front"))
+    return flows.field_risks(rows.filter("front"), rows.filter("not front"), "user_id")
 
 
 _CALLS = """(SELECT c.c_nationkey AS f, s.s_nationkey AS s, CASE WHEN l_returnflag = 'R' THEN 'MISMATCH' WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS status, p.p_type || '/' || l_linestatus AS endpoint
@@ -143,12 +142,12 @@ def diagnostic_families(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT l_suppkey AS service, count(*) AS contracts FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1)
+    """WITH r AS (SELECT l_suppkey AS service, count(*) AS contracts FROM lineitem GROUP BY 1)
 SELECT service, project, contracts, CAST(row_number() OVER (ORDER BY contracts DESC, project, service) AS INTEGER) AS rank FROM (
 SELECT service, s_name AS project, contracts FROM r JOIN supplier ON s_suppkey = service WHERE s_acctbal >= 5000 ORDER BY contracts DESC, project, service LIMIT 10)"""
 )
 def coverage_next(t: Tables) -> DataFrame:
-    references = t.lineitem.filter(F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp")).select(F.col("l_suppkey").alias("service"))
+    references = t.lineitem.select(F.col("l_suppkey").alias("service"))
     known = t.supplier.select(F.col("s_suppkey").alias("service"), F.col("s_name").alias("project"), (F.col("s_acctbal") < 5000).alias("indexed"))
     return aggregate.next_scans(aggregate.known_and_missing(references, known))
 
@@ -164,13 +163,13 @@ def snapshot_diff(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT COALESCE(b.p, a.p) AS p_partkey, CASE WHEN b.p IS NULL THEN 'added' ELSE 'removed' END AS change FROM (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01') b
-FULL JOIN (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01') a ON a.p = b.p WHERE a.p IS NULL OR b.p IS NULL"""
+    """SELECT COALESCE(b.p, a.p) AS p_partkey, CASE WHEN b.p IS NULL THEN 'added' ELSE 'removed' END AS change FROM (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_shipdate < TIMESTAMP '1992-07-01') b
+FULL JOIN (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_shipdate >= TIMESTAMP '1992-07-01') a ON a.p = b.p WHERE a.p IS NULL OR b.p IS NULL"""
 )
 def set_delta(t: Tables) -> DataFrame:
     parts = lambda cond: t.lineitem.filter(cond).select(F.col("l_partkey").alias("p_partkey"))
-    day = F.col("l_shipdate")
-    return diff.set_delta(parts(day < F.lit("1995-06-01").cast("timestamp")), parts(day >= F.lit("1998-06-01").cast("timestamp")), "p_partkey")
+    early = F.col("l_shipdate") < F.lit("1992-07-01").cast("timestamp")
+    return diff.set_delta(parts(early), parts(~early), "p_partkey")
 
 
 _EDGES = """e AS (SELECT 'o' || o_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
@@ -184,12 +183,12 @@ def order_edges(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {_EDGES}, c AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_partkey % 97 = 0),
+    f"""WITH {_EDGES}, c AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_size = 1),
 h1 AS (SELECT src AS node, count(*) AS hits FROM e WHERE dst IN (SELECT node FROM c) GROUP BY 1), h2 AS (SELECT src AS node, count(*) AS hits FROM e WHERE dst IN (SELECT node FROM h1) GROUP BY 1)
 SELECT node, 1 AS depth, hits FROM h1 UNION ALL SELECT node, 2, hits FROM h2"""
 )
 def change_impact(t: Tables) -> DataFrame:
-    changed = t.part.filter("p_partkey % 97 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
+    changed = t.part.filter("p_size = 1").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
     return graph.impact(order_edges(t), changed, 3)
 
 
@@ -212,17 +211,17 @@ _PATHS = f"""WITH RECURSIVE {_TREE}, r AS (SELECT 'r1' AS node, 0 AS depth, 'r1'
 
 @query(f"{_PATHS} SELECT node, depth FROM r")
 def hierarchy_reach(t: Tables) -> DataFrame:
-    return graph.reach(hierarchy(t), t.spark.createDataFrame([("r1",)], "node string"), 4).select("node", "depth")
+    return graph.reach(hierarchy(t), t.spark.range(1).select(F.lit("r1").alias("node")), 4).select("node", "depth")
 
 
 @query(f"{_PATHS} SELECT node, depth, min(path) AS path FROM r WHERE node LIKE 's%' GROUP BY 1, 2")
 def shortest_paths(t: Tables) -> DataFrame:
-    return graph.reach(hierarchy(t), t.spark.createDataFrame([("r1",)], "node string"), 4).filter("node like 's%'")
+    return graph.reach(hierarchy(t), t.spark.range(1).select(F.lit("r1").alias("node")), 4).filter("node like 's%'")
 
 
 @query(f"{_PATHS}, f AS (SELECT node, depth, path FROM r WHERE depth > 0 ORDER BY depth, path LIMIT 101) SELECT node, depth, CAST(n AS INTEGER) AS n, truncated FROM (SELECT node, depth, row_number() OVER (ORDER BY depth, path) AS n, (SELECT count(*) FROM f) > 100 AS truncated FROM f) WHERE n <= 100")
 def bounded_reach_truncated(t: Tables) -> DataFrame:
-    return graph.bounded_reach(hierarchy(t), t.spark.createDataFrame([("r1",)], "node string"), 4, 100).select("node", "depth", "n", "truncated")
+    return graph.bounded_reach(hierarchy(t), t.spark.range(1).select(F.lit("r1").alias("node")), 4, 100).select("node", "depth", "n", "truncated")
 
 
 @query(f"WITH {_TREE} SELECT src AS node, count(*) AS out_degree FROM e GROUP BY 1 HAVING count(*) > 1")
@@ -237,17 +236,15 @@ def explain_node(t: Tables) -> DataFrame:
 
 @query(
     """SELECT node, label, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, node) AS k FROM (
-SELECT 'n' || n_nationkey AS node, n_name AS label, CASE WHEN lower(n_name) = 'nation_1' THEN 100 WHEN starts_with(lower(n_name), 'nation_1') THEN 60 WHEN contains(lower(n_name), 'nation_1') THEN 30 END AS score FROM nation) WHERE score IS NOT NULL) WHERE k = 1"""
+SELECT 'n' || n_nationkey AS node, n_name AS label, CASE WHEN lower(n_name) = 'nation_1' THEN 100 WHEN contains(lower(n_name), 'nation_1') THEN 60 END AS score FROM nation) WHERE score IS NOT NULL) WHERE k = 1"""
 )
 def node_best_match(t: Tables) -> DataFrame:
-    low = F.lower("n_name")
-    score = F.when(low == "nation_1", 100).when(low.startswith("nation_1"), 60).when(low.contains("nation_1"), 30)
-    rows = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.col("n_name").alias("label"), score.alias("score")).filter("score is not null")
-    return rows.orderBy(F.desc("score"), "node").limit(1)
+    nodes = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("label"))
+    return rank.lookup(nodes, " Nation_1 ").limit(1).withColumnRenamed("id", "node")
 
 
 @query(
-    f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_TRANSITIONS} WHERE dst IS NOT NULL AND user_id % 5 = 0 AND src <> 'view'),
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_TRANSITIONS} WHERE dst IS NOT NULL),
 w AS (SELECT src AS first, dst AS last, [src, dst] AS walk, src = dst AS closed FROM e UNION ALL SELECT first, dst, list_append(walk, dst), dst = first FROM w JOIN e ON e.src = w.last WHERE NOT closed AND len(walk) <= 3 AND (dst = first OR NOT list_contains(walk, dst)))
 SELECT DISTINCT array_to_string(walk, ' > ') AS cycle, CAST(len(walk) - 1 AS INTEGER) AS length FROM w WHERE closed"""
 )

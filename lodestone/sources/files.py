@@ -70,16 +70,30 @@ def file_records(files: DataFrame) -> DataFrame:
     return files.select("path", language(F.col("path")).alias("language"), F.octet_length("content").cast("long").alias("size"), F.sha2(F.col("content"), 256).alias("sha256"), kind(F.col("path")).alias("kind"))
 
 
-def scan(spark: SparkSession, root: str, folders: list[str] = (), include: list[str] = (), ignore: list[str] = (), largest: int = params.MAX_FILE_BYTES) -> DataFrame:
-    """(path, content) of a tree's text files; size and path are tested before content is read."""
+def _listed(spark: SparkSession, root: str, folders: list[str], include: list[str], ignore: list[str]) -> DataFrame:
+    """(path, length, content) of the files that path rules keep; content is only read where it is used."""
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).filter(F.col("length") <= largest)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(re.sub("^[a-z]+:/*", "/", base)) + "/", "")
-    rows = raw.select(path.alias("path"), "content").filter(language(F.col("path")) != "text")
+    rows = raw.select(path.alias("path"), "length", "content").filter(language(F.col("path")) != "text")
     if folders:
         rows = rows.filter(~excluded(F.col("path"), list(folders)))
     if ignore:
         rows = rows.filter(~ignored(F.col("path"), list(ignore)))
     if include:
         rows = rows.filter(F.col("path").rlike("|".join(glob_regex(g) for g in include)))
+    return rows
+
+
+def scan(spark: SparkSession, root: str, folders: list[str] = (), include: list[str] = (), ignore: list[str] = (), largest: int = params.MAX_FILE_BYTES) -> DataFrame:
+    """(path, content) of a tree's text files; size and path are tested before content is read."""
+    rows = _listed(spark, root, folders, include, ignore).filter(F.col("length") <= largest)
     return rows.filter(~is_binary(F.col("content"))).select("path", F.col("content").cast("string").alias("content"))
+
+
+def skipped(spark: SparkSession, root: str, folders: list[str] = (), include: list[str] = (), ignore: list[str] = (), largest: int = params.MAX_FILE_BYTES) -> DataFrame:
+    """(path, size, reason) of the files that scan leaves out though its path rules keep them: too_large or binary."""
+    rows = _listed(spark, root, folders, include, ignore)
+    big = rows.filter(F.col("length") > largest).select("path", F.col("length").alias("size"), F.lit("too_large").alias("reason"))
+    odd = rows.filter(F.col("length") <= largest).filter(is_binary(F.col("content"))).select("path", F.col("length").alias("size"), F.lit("binary").alias("reason"))
+    return big.unionByName(odd)

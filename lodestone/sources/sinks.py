@@ -61,9 +61,12 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def freshness(files: DataFrame) -> DataFrame:
-    """(fingerprint, files): of all sorted paths and hashes, folder by folder, so no row gathers all files."""
-    per_folder = files.groupBy(F.regexp_replace("path", "[^/]*$", "").alias("folder")).agg(ids.fingerprint(F.col("path"), F.col("sha256")).alias("digest"), F.count("*").alias("n"))
-    return per_folder.agg(ids.fingerprint(F.col("folder"), F.col("digest")).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"))
+    """(fingerprint, files): of all sorted paths and hashes, folder by folder."""
+    own = files.withColumn("folder", F.regexp_replace("path", "[^/]*$", ""))
+    folders = ids.fingerprints(own, "folder").withColumn("all", F.lit(0))
+    total = folders.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files")).withColumn("all", F.lit(0))
+    one = ids.fingerprints(folders.drop("files"), "all", "folder", "fingerprint").select("all", "fingerprint")
+    return total.join(one, "all", "left").select(F.coalesce("fingerprint", F.sha2(F.lit(""), 256)).alias("fingerprint"), "files")
 
 
 def audit(tables: dict[str, DataFrame]) -> DataFrame:

@@ -185,6 +185,8 @@ def test_scan(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     got = {r["path"] for r in files.scan(spark, str(tmp_path), folders=["Vendor"], ignore=["*.md", "!d.md"], largest=50).collect()}
     assert got == {"a.go", "d.md"}
+    left = {(r["path"], r["reason"]) for r in files.skipped(spark, str(tmp_path), folders=["Vendor"], largest=50).collect()}
+    assert left == {("big.py", "too_large"), ("c.bin.py", "binary")}
 
 
 def test_ignore_rules(spark):
