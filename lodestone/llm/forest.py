@@ -20,7 +20,8 @@ copies costs about n comparisons, and the components are those of all links.
 Rows of regions that had to be descended may have partners that are no candidates.  They get an exact
 way: a prefix-filtered join of their full sets.  In one order of all shingles, rare ones first, two
 sets that are linked share a shingle among each one's first n - ceil(0.85 n) + 1, at places that leave
-enough behind them; only pairs of different components that do are compared.  The order comes from a
+enough behind them; of the pairs of different components that do, those whose bitmaps (a bit for each
+shingle's hash) differ too much for a link are left out, and the others compared.  The order comes from a
 table of hashed counts; its size decides how many pairs are compared, never which links are found.
 
 Defined cases: texts without words (null too) have an empty set, no links, and are their own
@@ -50,6 +51,8 @@ DEPTH = 8
 FLOOR = 6
 SMALL = 4
 COUNTS = 1 << 18
+BLOCK_BYTES = 32 << 20
+CELL_PAIRS = 1 << 14
 WORDS = 5
 SEED = 20_240_229
 
@@ -222,25 +225,62 @@ def _members(ids: DataFrame, docs: DataFrame, key: str, text: str, size: int) ->
     return cut(out.withColumn("named", F.xxhash64("members")).dropDuplicates(["id", "named", "members"]).select("id", "members"))
 
 
-def _confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def _confirm(pairs: DataFrame, members: DataFrame, percent: int, block: int = BLOCK_BYTES, size: int = CELL_PAIRS) -> DataFrame:
+    """Links among the pairs: sets with 100 * intersection >= percent * union.
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Ids are dealt into blocks of about block bytes of sets, and pairs into cells of two blocks and
+    about size pairs; a set moves once to each cell that has a pair of it.  Of the links of a cell,
+    those that join ends already joined in it are left out.
+    """
+    total = members.agg(F.sum(F.octet_length("members"))).first()[0] or 0
+    blocks = int(total // block) + 1
+    parts = int(pairs.count() // (size * max(blocks * (blocks + 1) // 2, 1))) + 1
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    cells = pairs.select("a", "b", F.least(place("a"), place("b")).alias("i"), F.greatest(place("a"), place("b")).alias("j"), F.pmod(F.xxhash64("a", "b"), F.lit(parts)).cast("int").alias("k"))
+    sides = cells.select("i", "j", "k", F.col("a").alias("id")).union(cells.select("i", "j", "k", "b")).distinct()
+    held = sides.join(members, "id").select(F.col("i").alias("hi"), F.col("j").alias("hj"), F.col("k").alias("hk"), "id", "members")
+
+    def compare(asked: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        own: dict[int, list[np.ndarray]] = {}
+        for id_, m in zip(sets["id"].tolist(), sets["members"]):
+            own.setdefault(id_, []).append(np.frombuffer(m, np.uint64))
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        links = []
+        for a, b in zip(asked["a"].tolist(), asked["b"].tolist()):
+            if root(a) != root(b) and any(_linked(p, q, percent) for p in own.get(a, ()) for q in own.get(b, ())):
+                parent[root(a)] = root(b)
+                links.append((a, b))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return cells.groupBy("i", "j", "k").cogroup(held.groupBy("hi", "hj", "hk")).applyInPandas(compare, "a long, b long")
+
+
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = np.concatenate((p, q))
+    both.sort(kind="stable")  # two sorted runs: a merge
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
+def _bits(rows: DataFrame) -> DataFrame:
+    """(id, b0 .. b15): one bit of 1024 for each shingle of a set, by its hash."""
+    names = [f"b{k}" for k in range(16)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for k, (p, q) in enumerate(zip(batch.column(2), batch.column(3))):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = np.concatenate((p, q))
-                both.sort(kind="stable")  # two sorted runs: a merge
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared):
-                    good.append(k)
-            at = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
-
-    x = members.select(F.col("id").alias("a"), F.col("members").alias("pa"))
-    y = members.select(F.col("id").alias("b"), F.col("members").alias("pb"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long")
+            wide = np.zeros((batch.num_rows, 1024), bool)
+            for k, x in enumerate(batch.column(1)):
+                wide[k, (np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(20)) & np.uint64(1023)] = True
+            words = np.packbits(wide, axis=1, bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(16))], ["id", *names])
+
+    return rows.select("id", "members").mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _shingle_counts(members: DataFrame, counts: int) -> np.ndarray:
@@ -288,11 +328,17 @@ def _prefix_pairs(rows: DataFrame, percent: int, counts: int) -> DataFrame:
     # component meet all rows, so a large component is never joined with itself.
     per = held.groupBy("shingle", "component").count().groupBy("shingle").agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("different"))
     shared = per.filter("different > 1").select("shingle", F.col("most.component").alias("major"))
-    near = cut(spread(held, shared, ["shingle"], "id"))
-    x = near.filter("component != major").select("shingle", *(F.col(c).alias(f"{c}_") for c in ("id", "component", "place", "n")))
+    near = spread(held, shared, ["shingle"], "id")
+    near = cut(near.join(_bits(rows.select("id", "members")), "id"))
+    bits = [f"b{k}" for k in range(16)]
+    x = near.filter("component != major").select("shingle", *(F.col(c).alias(f"{c}_") for c in ("id", "component", "place", "n", *bits)))
     met = spread(near, x, ["shingle"], "id").filter(F.col("component") != F.col("component_"))
     met = met.filter(100 * F.least("n", "n_") >= percent * F.greatest("n", "n_"))
-    met = met.filter((100 + percent) * F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")) >= percent * (F.col("n") + F.col("n_")))
+    # What two sets share is no more than what either has from this shingle on, nor than what is left
+    # of it without the bits that the other lacks.
+    lacking = lambda here, there: sum((F.bit_count(F.col(f"{b}{here}").bitwiseAND(F.bitwise_not(f"{b}{there}"))) for b in bits), F.lit(0))
+    shared = F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_"), F.col("n") - lacking("", "_"), F.col("n_") - lacking("_", ""))
+    met = met.filter((100 + percent) * shared >= percent * (F.col("n") + F.col("n_")))
     return met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
 
