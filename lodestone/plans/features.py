@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, paths
-from ..operators import aggregate, flows, integrity, resolve, symbols, workspace
+from ..operators import aggregate, flows, integrity, rendering, resolve, symbols, workspace
 from ..sources import files, workspace as projects
 from .registry import Tables, query
 
@@ -406,3 +406,33 @@ def api_catalog_consumers(t: Tables) -> DataFrame:
     endpoints = t.supplier.select(F.col("s_suppkey").alias("endpoint_id"), F.col("s_nationkey").cast("string").alias("project"), F.lit("GET").alias("http_method"), F.concat(F.lit("/r/"), (F.col("s_suppkey") % 20).cast("string"), F.lit("/{x}")).alias("path"), F.lit("h").alias("handler"), F.lit("f").alias("file"), F.lit(1).alias("line"))
     matches = t.customer.select(F.col("c_custkey").alias("match_id"), (F.col("c_nationkey") % 4).alias("api_project"), F.col("c_nationkey").cast("string").alias("backend_project"), F.lit("get").alias("backend_http_method"), F.concat(F.lit("/R/"), (F.col("c_custkey") % 20).cast("string"), F.lit("/{y}")).alias("backend_path"), F.lit("").alias("backend_handler"), F.lit("").alias("backend_file"), F.lit(0).alias("backend_line"))
     return symbols.api_catalog(endpoints, matches)[0].select("endpoint_id", "consumers", "projects")
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1), l AS (SELECT o_custkey AS c, count(*) AS n FROM (SELECT DISTINCT o_custkey, l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY 1)
+SELECT 'c' || c_custkey AS node, CAST(CASE WHEN o.n IS NULL THEN -120 ELSE least(480, 180 * o.n + 40 * coalesce(l.n, 0)) END AS INTEGER) AS utility FROM customer LEFT JOIN o ON o.c = c_custkey LEFT JOIN l ON l.c = c_custkey"""
+)
+def forward_utilities(t: Tables) -> DataFrame:
+    calls = t.orders.select(_s("co", "o_orderkey").alias("edge_id"), _s("c", "o_custkey").alias("from_id"), _s("o", "o_orderkey").alias("to_id"), F.lit("HTTP_contract ").alias("kind"))
+    uses = t.lineitem.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("edge_id"), _s("o", "l_orderkey").alias("from_id"), _s("p", "l_partkey").alias("to_id"), F.lit("use").alias("kind"))
+    return rendering.forward_utility(calls.unionByName(uses), t.customer.select(_s("c", "c_custkey").alias("node")))
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 4 AS m FROM supplier) SELECT k AS section_id, CASE m WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 3 END AS "first", CASE m WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 2 THEN 4 END AS "last",
+CASE m WHEN 0 THEN '2' || chr(9) || 'b' || k || chr(10) || '3' || chr(9) || 'def f' || k || '(' WHEN 1 THEN '1' || chr(9) || 'a' || chr(10) || '2' || chr(9) || 'b' || k || chr(10) || '3' || chr(9) || 'def f' || k || '(' || chr(10) || '4' || chr(9) || '    x):' || chr(10) || '5' || chr(9) || '    pass' || chr(10) || '6' || chr(9)
+WHEN 2 THEN '3' || chr(9) || 'def f' || k || '(' || chr(10) || '4' || chr(9) || '    x):' ELSE '' END AS content, CASE m WHEN 3 THEN 'body too long' ELSE '' END AS error FROM s"""
+)
+def source_sections(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey")
+    path = F.concat(_s("f", "s_suppkey"), F.lit(".py"))
+    sources = t.supplier.select(path.alias("path"), F.replace(F.lit("a\nb~\ndef f~(\n    x):\n    pass\n"), F.lit("~"), k.cast("string")).alias("content"))
+    mode = F.when(k % 4 == 1, "focused").when(k % 4 == 2, "signature").otherwise("body")
+    sections = t.supplier.select(k.alias("section_id"), path.alias("path"), mode.alias("mode"), F.lit(3).alias("line"), F.lit(2).alias("start_line"), F.when(k % 4 == 3, 500).otherwise(3).alias("end_line"))
+    return rendering.render(sources, sections)
+
+
+@query("SELECT n_nationkey AS k, n_nationkey % 6 IN (0, 3) AS safe FROM nation")
+def path_safety(t: Tables) -> DataFrame:
+    forms = F.array(*(F.lit(x) for x in ("a/b.go", "../a.go", "/etc/x", "a/../b/./c.go", "a/../../c.go", " ")))
+    return t.nation.select(F.col("n_nationkey").alias("k"), rendering.safe_path(F.get(forms, F.col("n_nationkey") % 6)).alias("safe"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,42 @@ def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {r["table"]: spark.read.parquet(f"{folder}/{r['stamp']}/{r['table']}") for r in head if r["table"]}
 
 
+def read_projects(spark: SparkSession, folders: dict[str, str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables of several projects with a project column, (project, reason) of those that can't be read).
+
+    Tables of one name are put together by column name; a project that lacks one has no rows in it.
+    """
+    out: dict[str, DataFrame] = {}
+    failed = []
+    for project, folder in sorted(folders.items()):
+        try:
+            own = read(spark, folder)
+        except (ValueError, AnalysisException) as e:
+            failed.append((project, str(e).split("\n")[0][:200]))
+            continue
+        for name, df in own.items():
+            df = df.withColumn("project", F.lit(project))
+            out[name] = out[name].unionByName(df, allowMissingColumns=True) if name in out else df
+    return out, spark.createDataFrame(failed, "project string, reason string")
+
+
+def clean_plan(spark: SparkSession, folder: str) -> list[str]:
+    """What a cleaning of the folder would remove: runs that the manifest doesn't name.  Nothing is removed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    named = {r["stamp"] for r in spark.read.json(f"{folder}/manifest.json").collect()}
+    held = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
+    return sorted(n for n in held if re.fullmatch("[0-9a-f]{32}", n) and n not in named)
+
+
+def clean(spark: SparkSession, folder: str, plan: list[str]) -> None:
+    """Removes the runs of a plan that a new one would still name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in sorted(set(plan) & set(clean_plan(spark, folder))):
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON file of a small answer."""
     df.coalesce(1).write.mode("overwrite").json(path)

@@ -61,6 +61,21 @@ def test_incomplete_folders_are_refused(spark, tmp_path):
         sinks.read(spark, str(tmp_path))
 
 
+def test_several_projects_and_cleaning(spark, tmp_path):
+    rows = spark.createDataFrame([("a.go",)], "path string")
+    one, two = f"{tmp_path}/one", f"{tmp_path}/two"
+    sinks.write(spark, {"files": rows}, one)
+    sinks.write(spark, {"files": rows, "more": rows}, one)
+    sinks.manifest(spark, two, "incomplete", [])
+    held, failed = sinks.read_projects(spark, {"p": one, "q": two, "r": f"{tmp_path}/none"})
+    assert {(r["path"], r["project"]) for r in held["files"].collect()} == {("a.go", "p")} and set(held) == {"files", "more"}
+    assert sorted(r["project"] for r in failed.collect()) == ["q", "r"]
+    plan = sinks.clean_plan(spark, one)
+    assert len(plan) == 1 and sinks.clean_plan(spark, one) == plan
+    sinks.clean(spark, one, plan)
+    assert sinks.clean_plan(spark, one) == [] and sinks.read(spark, one)["files"].count() == 1
+
+
 def test_context(tables):
     pack = context.compile_context(tables["facts"], tables["fact_edges"], "How does GET /users/{id} find a user?")
     assert pack.status == "ok" and pack.seed["kind"] in ("route", "api_contract")
