@@ -41,8 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import binary_column, cut, spread, table, utf8
-from .components import components
 from .textvec import LOWER, digests, distinct, doc_chunks, mix, shingles, span_hashes, words
 
 SIZE = 128
@@ -359,16 +359,16 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = WORDS, per
     best = cut(best.select(F.expr("-m.na").alias("a"), F.expr("-m.nb").alias("b")).distinct())
     members = _members(close.select(F.col("a").alias("id")).union(close.select("b")).union(dense), docs, key, text, size)
     links = cut(_confirm(best, members, percent).union(_same_document(named, classes)))
-    comp = cut(components(links))
+    comp = cut(components(links, "a", "b"))
     # Round two: the other candidates, where the first left them apart.
     rest = cut(_apart(close.select("a", "b").join(best, ["a", "b"], "left_anti"), comp))
     links = cut(links.union(_confirm(rest, members, percent)))
-    comp = cut(components(links))
+    comp = cut(components(links, "a", "b"))
     # Round three: rows of dense regions that are no candidates, where they are apart still.
     c = comp.select(F.col("node").alias("n"), F.col("component").alias("c"))
     sets = members.join(dense, "id", "left_semi").join(c, F.col("id") == F.col("n"), "left").select("id", F.coalesce("c", "id").alias("component"), "members")
     links = cut(links.union(_confirm(cut(_prefix_pairs(cut(sets), percent, counts)), members, percent)))
-    comp = components(links).withColumnRenamed("node", "id")
+    comp = components(links, "a", "b").withColumnRenamed("node", "id")
     final = classes.select("lo", "hi", "id").join(comp, "id", "left").select("lo", "hi", F.coalesce("component", "id").alias("component_id"))
     out = spread(signed.filter("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "lo", "hi"), final, ["lo", "hi"], "doc_id")
     alone = signed.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
