@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths
 from ..operators import aggregate, flows, integrity, rendering, resolve, symbols, workspace
-from ..sources import files, workspace as projects
+from ..sources import files, transcripts
+from ..sources import workspace as projects
 from .registry import Tables, query
 
 
@@ -436,3 +437,15 @@ def source_sections(t: Tables) -> DataFrame:
 def path_safety(t: Tables) -> DataFrame:
     forms = F.array(*(F.lit(x) for x in ("a/b.go", "../a.go", "/etc/x", "a/../b/./c.go", "a/../../c.go", " ")))
     return t.nation.select(F.col("n_nationkey").alias("k"), rendering.safe_path(F.get(forms, F.col("n_nationkey") % 6)).alias("safe"))
+
+
+@query(
+    """SELECT CAST(conv_id AS VARCHAR) AS transcript, count(DISTINCT turn) AS items, count(DISTINCT turn) AS tool_calls, count(DISTINCT turn) FILTER (turn % 3 < 2) AS navigation, count(DISTINCT turn) FILTER (turn % 3 = 0) AS reads,
+count(DISTINCT turn % 3) FILTER (turn % 3 < 2) AS distinct_commands, CAST(max(turn) * 10 + 5 AS BIGINT) AS tokens FROM conversations GROUP BY 1"""
+)
+def transcript_costs(t: Tables) -> DataFrame:
+    turn, none = F.col("turn"), F.lit(None).cast("string")
+    command = F.when(turn % 3 == 0, "cat a | rg b").when(turn % 3 == 1, "/bin/ls -l")
+    item = F.struct(_s("i", "turn").alias("id"), none.alias("type"), command.alias("command"), F.when(turn % 3 == 2, "edit").alias("tool"), none.alias("output"))
+    usage = F.struct((turn * 4).alias("input_tokens"), (turn * 6 + 5).alias("output_tokens"), F.lit(0).cast("long").alias("total_tokens"))
+    return transcripts.metrics(t.conversations.select(F.col("conv_id").cast("string").alias("transcript"), turn.alias("line_no"), F.struct(item.alias("item"), usage.alias("usage")).alias("event")))
