@@ -11,6 +11,10 @@ pair of blocks is a group of its own.  A first pass gives each query's FIRST bes
 computed exactly, which sets the score to beat.  A second pass gives the vectors whose upper bound
 reaches that score, and those are computed exactly too.  Only the vectors of such pairs are moved.
 
+Equal vectors have equal scores, so of those only the k + 1 with the smallest ids can be among a query's
+k nearest (one of them may be the query itself); the others are no candidates, and a vector that a
+third of all rows share costs no more than another.
+
 Defined cases: vectors that are null, zero, of another length than most, or hold a null or
 non-finite component take no part; rows with a null id take none either; rows with one id count once
 (the smallest vector); fewer than k candidates are all returned; equal scores go by id; an empty table
@@ -182,10 +186,12 @@ def search(df: DataFrame, key: str, vector: str, is_query: Column, k: int = K, f
     if not dim:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = cut(rows)
+    asked = rows.filter(is_query)
+    # Limited in each task before equal vectors meet.
+    rows = cut(rows.withColumn("copy", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("copy") <= k + 1).drop("copy"))
     centre, n = mean(rows, dim)
     turn = rotation(dim)
     codes = cut(encode(rows, centre, turn))
-    asked = rows.filter(is_query)
     queries = cut(turned(asked, centre, turn))
     blocks = max(1, -(-n // vectors_per_block)), max(1, -(-queries.count() // queries_per_block))
     most = max(first, k)
@@ -193,7 +199,9 @@ def search(df: DataFrame, key: str, vector: str, is_query: Column, k: int = K, f
     def best(value: np.ndarray, error: np.ndarray, part: pd.DataFrame) -> np.ndarray:
         if value.shape[1] <= most:
             return np.ones(value.shape, bool)
-        return value >= np.partition(value, value.shape[1] - most, axis=1)[:, -most, None]
+        out = np.zeros(value.shape, bool)
+        np.put_along_axis(out, np.argpartition(-value, most - 1, axis=1)[:, :most], True, axis=1)
+        return out
 
     order = W.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id")
     pairs = _cells(codes, queries, dim, blocks, best).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("query_id", "vec_id")

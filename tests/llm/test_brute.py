@@ -38,6 +38,22 @@ def test_op1_recall_where_the_bound_decides(spark):
     assert hits / 2000 >= 0.9
 
 
+def test_op1_many_equal_vectors(spark):
+    rng = np.random.default_rng(8)
+    data = rng.standard_normal((900, 8)).astype(np.float32)
+    data[rng.permutation(900)[:400]] = data[0]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "id long, v array<float>")
+    got = defaultdict(list)
+    for r in vectors.search(df, "id", "v", F.col("id") % 90 == 0, k=5, vectors_per_block=200, queries_per_block=4).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    same = np.flatnonzero((data == data[0]).all(axis=1))
+    assert [i for _, i in sorted(got[0])] == [i for i in same.tolist() if i != 0][:5] or (data.astype(float) @ data[0]).max() > data[0].astype(float) @ data[0]
+    for q, rows in got.items():
+        found = [i for _, i in sorted(rows)]
+        copies = [i for i in found if i in set(same.tolist())]
+        assert len(found) == 5 and copies == [i for i in same.tolist() if i != q][: len(copies)]
+
+
 def pieces_by_hand(vocabulary, text, rate, salt, seed):
     """One candidate at a time, over plain lists."""
     out = []
