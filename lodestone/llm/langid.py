@@ -42,6 +42,7 @@ PART = 20_000
 LANGUAGES = 256
 RIDGE = 1e-3
 ROWS = 128
+FEW = 8
 GAP = " " * (ORDER + 1)
 
 
@@ -119,13 +120,19 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     column = np.full(1 << BITS, -1, np.int32)
     if not chosen:
         return Model([], column, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    used = np.unique(np.concatenate([g for _, g in _grams([texts[k] for k in chosen])]))
+    # Few texts at a time: the arrays of their characters are many times their size.
+    held = np.zeros(1 << BITS, bool)
+    for k in range(0, len(chosen), FEW):
+        for _, gram in _grams([texts[i] for i in chosen[k : k + FEW]]):
+            held[gram] = True
+    used = np.flatnonzero(held)
     column[used] = np.arange(len(used), dtype=np.int32)
     model = Model(languages, column, np.zeros((len(used), 0), np.float32), np.zeros((0, 0), np.float32))
-    rows = model.presence([texts[k] for k in chosen])
+    rows = np.concatenate([model.presence([texts[i] for i in chosen[k : k + FEW]]) for k in range(0, len(chosen), FEW)])
     model.landmarks = np.ascontiguousarray((rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))).T)
-    inner = model.kernel([texts[k] for k in chosen]).astype(np.float64)
-    outer = np.concatenate([model.kernel(texts[k : k + ROWS]) for k in range(0, len(texts), ROWS)]).astype(np.float64)
+    del rows
+    blocks = lambda own: np.concatenate([model.kernel(own[k : k + FEW]) for k in range(0, len(own), FEW)]).astype(np.float64)
+    inner, outer = blocks([texts[k] for k in chosen]), blocks(texts)
     target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     system = outer.T @ outer + ridge * len(texts) * (inner + 1e-6 * np.eye(len(chosen)))
     model.coefficients = np.linalg.solve(system, outer.T @ target).astype(np.float32)
