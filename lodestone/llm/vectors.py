@@ -8,8 +8,9 @@ queries); the estimate's error bound is BOUND standard deviations.
 
 Vectors are encoded once.  Codes and turned queries are dealt into blocks by a hash of the id, and each
 pair of blocks is a group of its own.  A first pass gives each query's FIRST best estimates; these are
-computed exactly, which sets the score to beat.  A second pass gives the vectors whose upper bound
-reaches that score, and those are computed exactly too.  Only the vectors of such pairs are moved.
+computed exactly, which sets the score to beat.  A second pass takes the vectors whose upper bound
+reaches that score, computes them exactly in their block, and gives those that reach it.  Vectors move
+with their codes once for each block of queries, so the shuffle is linear in them for a given query set.
 
 Equal vectors have equal scores, so of those only the k + 1 with the smallest ids can be among a query's
 k nearest (one of them may be the query itself); the others are no candidates, and a vector that a
@@ -38,7 +39,7 @@ from .common import binary_column, cut, table
 K = 20
 BOUND = 1.9
 VECTORS_PER_BLOCK = 32_768
-QUERIES_PER_BLOCK = 512
+QUERIES_PER_BLOCK = 1024
 FIRST = 40
 SEED = 7
 
@@ -143,7 +144,11 @@ def turned(rows: DataFrame, centre: np.ndarray, turn: np.ndarray) -> DataFrame:
 
 
 def _cells(codes: DataFrame, queries: DataFrame, dim: int, blocks: tuple[int, int], choose: Callable[[np.ndarray, np.ndarray, pd.DataFrame], np.ndarray]) -> DataFrame:
-    """(query_id, vec_id, estimate) of the pairs that choose marks in a block of codes and one of queries."""
+    """(query_id, vec_id, estimate) of the pairs that choose marks in a block of codes and one of queries.
+
+    With vectors (v of codes, q of queries), the marked pairs are computed exactly, and those whose score
+    reaches the query's beat are given with that score.
+    """
 
     def dealt(part: DataFrame, key: str, mine: str, own: int, other: str, others: int) -> DataFrame:
         return part.withColumn(mine, F.pmod(F.xxhash64(key, F.lit(mine)), F.lit(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
@@ -153,12 +158,21 @@ def _cells(codes: DataFrame, queries: DataFrame, dim: int, blocks: tuple[int, in
         if len(vectors) and len(asked):
             ids, factor, spread = (vectors[c].to_numpy() for c in ("id", "factor", "spread"))
             sides = signs(np.frombuffer(b"".join(vectors["bits"]), np.uint64).reshape(len(vectors), -1), dim)
+            wide = np.stack(vectors["v"].to_list()).astype(np.float64) if "v" in vectors else None
             for at in range(0, len(asked), 64):
                 part = asked.iloc[at : at + 64]
                 own = part["query_id"].to_numpy()
                 value, error = estimates(sides, factor, spread, np.frombuffer(b"".join(part["turned"]), np.float32).reshape(len(part), -1), part["shift"].to_numpy(), part["size"].to_numpy())
                 value[own[:, None] == ids[None, :]] = -np.inf
-                q, v = np.nonzero(choose(value, error, part) & (value > -np.inf))
+                marked = choose(value, error, part) & (value > -np.inf)
+                if "v" in vectors:
+                    least, asked_v = part["beat"].to_numpy(), np.stack(part["q"].to_list()).astype(np.float64)
+                    for k, found in enumerate(map(np.flatnonzero, marked)):
+                        score = wide[found] @ asked_v[k]
+                        exact = score >= least[k]
+                        out.append(pd.DataFrame({"query_id": np.full(int(exact.sum()), own[k]), "vec_id": ids[found[exact]], "estimate": score[exact]}))
+                    continue
+                q, v = np.nonzero(marked)
                 out.append(pd.DataFrame({"query_id": own[q], "vec_id": ids[v], "estimate": value[q, v].astype(np.float64)}))
         return pd.concat(out, ignore_index=True)
 
@@ -215,8 +229,10 @@ def search(df: DataFrame, key: str, vector: str, is_query: Column, k: int = K, f
         return value + error >= (least - 1e-4 * np.abs(least))[:, None].astype(np.float32)
 
     # A query without a score to beat has all its candidates already.
-    more = _cells(codes, queries.join(beat, "query_id"), dim, blocks, reaches).join(scored, ["query_id", "vec_id"], "left_anti")
-    every = scored.union(_exact(more.select("query_id", "vec_id"), rows, asked, dim))
+    full = codes.join(rows, "id")
+    own = queries.join(beat, "query_id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    more = _cells(full, own, dim, blocks, reaches).join(scored, ["query_id", "vec_id"], "left_anti")
+    every = scored.union(more.select("query_id", "vec_id", F.col("estimate").alias("score")))
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
