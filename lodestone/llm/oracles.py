@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .exponion import ENTRIES, PARTS, ROUNDS, SCALE
 from .forest import WORDS
+from .merkle import COLUMNS, FANOUT
 from .quality import LEAST, LEFT, SHARE
 from .secrets import RULES
 
@@ -70,3 +72,70 @@ u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT a AS doc_id, b AS seen FROM u UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.seen),
 m AS (SELECT doc_id, min(seen) AS low FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+def vector_codes() -> str:
+    """Every part against every entry, ROUNDS times and once more; products of integers below 2^53 are exact in doubles."""
+    parts = ", ".join(f"v[{p} * w + 1:{p + 1} * w]" for p in range(PARTS))
+    steps = [f"b0 AS (SELECT p, n AS e, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id, x) - 1 AS n FROM s) WHERE n < {ENTRIES})"]
+    for k in range(ROUNDS + 1):
+        steps.append(f"a{k} AS (SELECT r, p, min(struct_pack(d := xx - 2 * list_inner_product(s.x, b.x) + list_inner_product(b.x, b.x), e := e)) AS a FROM s JOIN b{k} b USING (p) GROUP BY r, p)")
+        if k < ROUNDS:
+            steps.append(f"c{k} AS (SELECT p, e, i, floor(sum(y) / count(*)) AS y FROM (SELECT p, a.e AS e, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{k} JOIN s USING (r, p)) GROUP BY 1, 2, 3)")
+            steps.append(f"b{k + 1} AS (SELECT p, e, coalesce(l.x, b.x) AS x FROM b{k} b LEFT JOIN (SELECT p, e, list(y ORDER BY i) AS x FROM c{k} GROUP BY 1, 2) l USING (p, e))")
+    return f"""
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS v, len(embedding) // {PARTS} AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT r, vec_id, p, x, list_inner_product(x, x) AS xx FROM (SELECT r, vec_id, unnest(range({PARTS})) AS p, unnest([{parts}]) AS x FROM k)),
+{", ".join(steps)},
+o AS (SELECT r, string_agg(printf('%02x', a.e), '' ORDER BY p) AS code, CAST(sum(a.d) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS h FROM (SELECT p, e, unnest(x) AS y, unnest(range(len(x))) AS i FROM b{ROUNDS}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM k JOIN o USING (r), h"""
+
+
+#: Levels that the SQL below writes out: FANOUT ** LEVELS leaves a group, and as many groups.
+LEVELS = 8
+
+
+def merkle() -> str:
+    field = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+    body = " || ".join(field.format(c) for c in COLUMNS)
+    lower = " || ".join(field.format(_LOWER.format(c) if c == "text" else c) for c in COLUMNS)
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    ctes, out, proof = [], [], []
+
+    def climb(name: str, column: str) -> str:
+        """Levels {name}0..; each node's siblings on each of them; the name of the last level."""
+        for k in range(LEVELS):
+            up = "CASE WHEN count(*) OVER g = 1 THEN d ELSE sha256(string_agg(d, '') OVER r) END"
+            ctes.append(f"{name}w{k} AS (SELECT {column}, i, d, {up} AS u, count(*) OVER g AS n, string_agg(d, '') OVER r AS run FROM {name}{k} WINDOW g AS (PARTITION BY {column}), r AS (PARTITION BY {column}, i // {FANOUT} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))")
+            ctes.append(f"{name}{k + 1} AS (SELECT {column}, i // {FANOUT} AS i, min(u) AS d FROM {name}w{k} GROUP BY 1, 2)")
+        return f"{name}{LEVELS}"
+
+    last = climb("l", "g")
+    ctes.append(f"t0 AS (SELECT 0 AS z, row_number() OVER (ORDER BY g) - 1 AS i, d, g FROM {last})")
+    top = climb("t", "z")
+    joins = []
+    for name, column, at in (("l", "g", "x.i"), ("t", "0", "y.i")):
+        for k in range(LEVELS):
+            alias = f"{name}j{k}"
+            joins.append(f"JOIN {name}w{k} {alias} ON {alias}.{'g = x.g' if name == 'l' else 'z = 0'} AND {alias}.i = {at} // {FANOUT**k}")
+            place = f"64 * ({alias}.i % {FANOUT})"
+            out.append((alias, f"{alias}.run[1:{place}]", f"{alias}.run[{place} + 65:]"))
+    for alias, before, after in out:
+        proof.append(f"CASE WHEN {alias}.n = 1 THEN '' ELSE {before} || {after} END")
+    # One CTE for each step keeps the folded digest from being written out again and again.
+    folds = ["f0 AS (SELECT *, coalesce(changed, leaf) AS f FROM m)"]
+    for k in range(2 * LEVELS):
+        folds.append(f"f{k + 1} AS (SELECT * EXCLUDE (f), CASE WHEN n{k} = 1 THEN f ELSE sha256(a{k} || f || b{k}) END AS f FROM f{k})")
+    sides = ", ".join(f"{alias}.n AS n{k}, {before} AS a{k}, {after} AS b{k}" for k, (alias, before, after) in enumerate(out))
+    return f"""
+WITH c AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: {step}) ORDER BY i) AS tbl FROM (SELECT unnest(range(256)) AS i)),
+q AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, tbl[xor(c & 255, b) + 1])), 4294967295) AS crc FROM documents, c),
+e AS (SELECT doc_id, source AS s, coalesce('+' || source, '') AS g, sha256({body}) AS leaf, CASE WHEN crc % 5 = 0 THEN sha256({lower}) END AS changed FROM q),
+x AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM e),
+l0 AS (SELECT g, i, leaf AS d FROM x),
+{", ".join(ctes)},
+m AS (SELECT x.doc_id, x.leaf, x.changed, y.d AS subroot, (SELECT d FROM {top}) AS root, sha256({" || ".join(proof)}) AS proof_sha256, {sides} FROM x JOIN t0 y ON y.g = x.g {" ".join(joins)}),
+{", ".join(folds)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, f AS folded_root, f = root AS verified FROM f{2 * LEVELS}"""

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from . import oracles
+from .binary import op11_power_of_two
+from .exponion import op12_exponion_codes
 from .forest import op9_lsh_forest
 from .importance import op8_importance_resampling
 from .langid import op5_string_kernel
+from .merkle import op13_merkle_manifest
 from .packing import op10_best_fit_packing
 from .pieces import op2_merge_dropout
 from .pii import op3_feistel_pseudonyms
@@ -27,6 +30,9 @@ QUERIES = {
         op8_importance_resampling,
         op9_lsh_forest,
         op10_best_fit_packing,
+        op11_power_of_two,
+        op12_exponion_codes,
+        op13_merkle_manifest,
     )
 }
 ORACLES: dict[str, str] = {
@@ -34,4 +40,6 @@ ORACLES: dict[str, str] = {
     "op6_secret_ledger": oracles.secrets(),
     "op7_rendezvous_shards": oracles.shards(),
     "op9_lsh_forest": oracles.near_duplicates(),
+    "op12_exponion_codes": oracles.vector_codes(),
+    "op13_merkle_manifest": oracles.merkle(),
 }
