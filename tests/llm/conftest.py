@@ -48,7 +48,7 @@ def docs_dir(spark, odd_docs, doc_schema, tmp_path_factory):
     docs.withColumns({c: F.lit(f"x{c}") for c in CLASHING}).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (7, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     rows = [(k, [float(k % 7), 1.0, float(k % 3) - 1]) for k in range(0, 60)] + [(0, [0.0, 1.0, -1.0]), (100, None), (120, [0.0, 0.0, 0.0]), (140, [1.0, None, 2.0]), (160, [float("nan"), 1.0, 1.0]), (180, [1.0]), (None, [1.0, 2.0, 3.0])]
-    spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit(1)).withColumn("v", F.lit("x")).write.parquet(f"{root}/embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.expr("nullif(vec_id % 4, 3)").cast("int")).withColumn("id", F.lit(1)).withColumn("v", F.lit("x")).write.parquet(f"{root}/embeddings.parquet")
     return str(root)
 
 
@@ -57,5 +57,5 @@ def empty_dir(spark, doc_schema, tmp_path_factory):
     root = tmp_path_factory.mktemp("empty")
     spark.createDataFrame([], doc_schema).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
-    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{root}/embeddings.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{root}/embeddings.parquet")
     return str(root)
