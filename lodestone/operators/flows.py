@@ -317,7 +317,7 @@ def trace_steps(matches: DataFrame, frontend_steps: DataFrame, backend_steps: Da
         .filter("label <> ''")
     )
     once = sequence.first_per_key(rows, ["trace_id", "step_id"], [F.col("stage"), F.col("pos"), F.col("label")])
-    order = W.partitionBy("trace_id").orderBy("stage", "pos", "step_id")
+    order = W.partitionBy("trace_id").orderBy("stage", "pos", "label", "step_id")
     return once.withColumn("n", F.row_number().over(order)).drop("stage", "pos")
 
 

@@ -37,26 +37,26 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Levels between checkpoints: a level's exchange is reused by the next ones, so few levels need none.
-LEVELS = 4
+def keyed(edges: DataFrame, key: str) -> DataFrame:
+    """Edges kept in partitions of key, so that the levels of a walk move only their frontier."""
+    return settle(edges.repartition(key))
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int, source: str = "src", target: str = "dst") -> DataFrame:
     """(node, depth, path): nodes within depth steps of start (node), each by its smallest shortest path.
 
     Breadth-first over sorted neighbours reports the smallest of the shortest paths, which is the
-    minimum per level.  Repeated edges are dropped by that minimum.
+    minimum per level.  Repeated edges are dropped by that minimum.  Each level is kept once, so the
+    plan of a level reads the edges and the levels before it, and nothing twice.
     """
-    e = edges.select(F.col(source).alias("a"), F.col(target).alias("b"))
-    seen = start.select("node").distinct().select("node", F.lit(0).alias("depth"), F.col("node").cast("string").alias("path"))
-    frontier = seen
+    e = keyed(edges.select(F.col(source).alias("a"), F.col(target).alias("b")).filter("a is not null and b is not null").distinct(), "a")
+    frontier = settle(start.filter("node is not null").select("node").distinct().select("node", F.lit(0).alias("depth"), F.col("node").cast("string").alias("path")))
+    seen = frontier
     for level in range(1, depth + 1):
         step = frontier.select(F.col("node").alias("a"), "path").join(e, "a").select(F.col("b").alias("node"), F.concat_ws(" > ", "path", F.col("b").cast("string")).alias("path"))
-        frontier = step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("depth"), "path")
-        if level % LEVELS == 0 and level < depth:
-            frontier = settle(frontier)
-            if frontier.isEmpty():
-                break
+        frontier = settle(step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("depth"), "path"))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -112,20 +112,18 @@ def impact(edges: DataFrame, changed: DataFrame, depth: int, source: str = "src"
     Each edge into an expanded node is a hit, also of nodes met before; only new nodes are expanded.
     """
     # Edges between the same nodes are one row with a count, so every level moves less.
-    e = edges.groupBy(F.col(source).alias("consumer"), F.col(target).alias("used")).agg(F.count("*").alias("n"))
-    if depth > 1:
-        e = settle(e)
-    seen = frontier = changed.select("node").distinct()
+    counted = edges.groupBy(F.col(source).alias("consumer"), F.col(target).alias("used")).agg(F.count("*").alias("n"))
+    e = keyed(counted, "used")
+    seen = frontier = settle(changed.select("node").distinct())
     found = None
     for level in range(1, depth + 1):
-        hits = frontier.select(F.col("node").alias("used")).join(e, "used").groupBy(F.col("consumer").alias("node")).agg(F.sum("n").alias("hits")).withColumn("depth", F.lit(level))
-        if level % LEVELS == 0 and level < depth:
-            hits = settle(hits)
-            if hits.isEmpty():
-                break
+        hits = settle(frontier.select(F.col("node").alias("used")).join(e, "used").groupBy(F.col("consumer").alias("node")).agg(F.sum("n").alias("hits")).withColumn("depth", F.lit(level)))
         found = hits if found is None else found.unionByName(hits)
-        frontier = hits.select("node").join(seen, "node", "left_anti")
-        seen = seen.unionByName(frontier)
+        if level < depth:
+            frontier = settle(hits.select("node").join(seen, "node", "left_anti"))
+            if frontier.isEmpty():
+                break
+            seen = seen.unionByName(frontier)
     return found.select("node", "depth", "hits")
 
 

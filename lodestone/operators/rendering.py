@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
+from . import graph
 
 # Lines around a focus, and the most lines of a body and of a signature.
 BEFORE, AFTER, BODY, SIGNATURE = 28, 32, 120, 12
@@ -69,16 +70,19 @@ def forward_utility(edges: DataFrame, starts: DataFrame) -> DataFrame:
     weight = F.lit(0)
     for kind, points in UTILITY.items():
         weight = F.when(F.lower(F.trim("kind")) == kind, points).otherwise(weight)
-    e = edges.select("edge_id", "from_id", "to_id", weight.alias("w"))
-    begin = starts.select(F.col("node").alias("start")).distinct()
+    e = graph.keyed(edges.select("edge_id", "from_id", "to_id", weight.alias("w")), "from_id")
+    begin = graph.settle(starts.select(F.col("node").alias("start")).distinct())
     frontier = seen = begin.select("start", F.col("start").alias("node"))
     hits = None
     for level in range(LEVELS):
-        step = frontier.join(e, F.col("node") == F.col("from_id")).select("start", "edge_id", "to_id", F.greatest(F.col("w") - PER_LEVEL * level, F.lit(0)).alias("points"))
+        step = graph.settle(frontier.join(e, F.col("node") == F.col("from_id")).select("start", "edge_id", "to_id", F.greatest(F.col("w") - PER_LEVEL * level, F.lit(0)).alias("points")))
+        if step.isEmpty() and hits is not None:
+            break
         own = step.select("start", "edge_id", "points")
         hits = own if hits is None else hits.unionByName(own)
-        frontier = step.select("start", F.col("to_id").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
-        seen = seen.unionByName(frontier)
+        if level + 1 < LEVELS:
+            frontier = graph.settle(step.select("start", F.col("to_id").alias("node")).distinct().join(seen, ["start", "node"], "left_anti"))
+            seen = seen.unionByName(frontier)
     # A level is a bound on the points, so the first one is the largest.
     once = hits.groupBy("start", "edge_id").agg(F.max("points").alias("points")).groupBy("start").agg(F.sum("points").alias("total"))
-    return begin.join(once, "start", "left").select(F.col("start").alias("node"), F.coalesce(F.least("total", F.lit(MOST)), F.lit(DEAD_END)).cast("int").alias("utility"))
+    return begin.join(once, "start", "left").select(F.col("start").alias("node"), F.when(F.col("total").isNull(), DEAD_END).otherwise(F.least("total", F.lit(MOST))).cast("int").alias("utility"))

@@ -160,7 +160,9 @@ def frontend_usages(t: Tables) -> DataFrame:
 
 _TRACE = """st AS (SELECT o_orderkey AS k, 1 AS stage, 0 AS pos, 'api_contract' AS kind, CASE WHEN o_custkey % 2 = 0 THEN 'load' || o_custkey ELSE 'GET /o/' || o_orderkey END AS label, 'load' || o_custkey AS u FROM orders
 UNION ALL SELECT o_orderkey, 2, 0, 'backend_route', 'GET /o/' || o_orderkey, 'route' FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 3, 0, 'backend_handler', 'Ctl' || o_custkey % 7, 'handler' FROM orders WHERE o_orderpriority LIKE '1%'
-UNION ALL SELECT k, 4, p, 'backend_step', 'UserRepository.find' || s, 'step' || s FROM (SELECT l_orderkey AS k, min(l_linenumber) AS p, l_suppkey AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 3)),
+UNION ALL SELECT k, 4, p, 'backend_step', 'UserRepository.find' || s, 'step' || s FROM (SELECT l_orderkey AS k, min(l_linenumber) AS p, l_suppkey AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 3)
+UNION ALL SELECT o_orderkey, 0, i, 'frontend_step', CASE WHEN i = 1 THEN 'Page' || o_custkey % 5 ELSE 'validateOrder' END, 'page' || i FROM orders, (VALUES (1), (2)) v(i)
+UNION ALL SELECT o_orderkey, 5, 1, 'test', 'OrderTest.case' || o_custkey % 4, 'test' FROM orders WHERE o_custkey % 3 = 0),
 tr AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY stage, pos, label) AS n, count(*) OVER (PARTITION BY k) AS m FROM st)"""
 
 
@@ -174,7 +176,11 @@ def trace_rows(t: Tables) -> DataFrame:
     )
     steps = t.lineitem.join(t.orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     steps = steps.select(F.col("l_orderkey").cast("string").alias("trace_id"), F.col("l_linenumber").alias("pos"), _s("UserRepository.find", "l_suppkey").alias("name"), F.lit("R.java").alias("file"), F.lit(2).alias("line"))
-    return flows.trace_steps(matches, steps.limit(0), steps, steps.limit(0))
+    page = F.array(F.struct(F.lit(1).alias("pos"), F.concat(F.lit("Page"), (F.col("o_custkey") % 5).cast("string")).alias("name")), F.struct(F.lit(2).alias("pos"), F.lit("validateOrder").alias("name")))
+    pages = t.orders.select(F.col("o_orderkey").cast("string").alias("trace_id"), F.explode(page).alias("p")).select("trace_id", "p.*", F.lit("p.tsx").alias("file"), F.lit(5).alias("line"))
+    case = F.concat(F.lit("OrderTest.case"), (F.col("o_custkey") % 4).cast("string"))
+    tests = t.orders.filter("o_custkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("trace_id"), F.lit(1).alias("pos"), case.alias("name"), F.lit("OrderTest.java").alias("file"), F.lit(8).alias("line"))
+    return flows.trace_steps(matches, pages, steps, tests)
 
 
 @query(f"WITH {_TRACE} SELECT CAST(k AS VARCHAR) AS trace_id, CAST(n AS INTEGER) AS n, kind, label FROM tr")
@@ -182,7 +188,7 @@ def trace_step_rows(t: Tables) -> DataFrame:
     return trace_rows(t).select("trace_id", "n", "kind", "label")
 
 
-@query(f"""WITH {_TRACE} SELECT CAST(k AS VARCHAR) AS trace_id, CAST(n AS INTEGER) AS n, CASE kind WHEN 'api_contract' THEN 'api_client' WHEN 'backend_route' THEN 'http_route' WHEN 'backend_handler' THEN 'controller' ELSE 'repository' END AS role, n = 1 AS is_entry, n = m AS is_exit FROM tr""")
+@query(f"""WITH {_TRACE} SELECT CAST(k AS VARCHAR) AS trace_id, CAST(n AS INTEGER) AS n, CASE kind WHEN 'api_contract' THEN 'api_client' WHEN 'backend_route' THEN 'http_route' WHEN 'backend_handler' THEN 'controller' WHEN 'test' THEN 'test' WHEN 'frontend_step' THEN CASE WHEN label = 'validateOrder' THEN 'validation' ELSE 'event_handler' END ELSE 'repository' END AS role, n = 1 AS is_entry, n = m AS is_exit FROM tr""")
 def directed_trace_nodes(t: Tables) -> DataFrame:
     return flows.directed_traces(trace_rows(t))[0].select("trace_id", "n", "role", "is_entry", "is_exit")
 
