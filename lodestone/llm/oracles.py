@@ -51,8 +51,8 @@ l AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d)
 n AS (SELECT doc_id, source, t, line, {_WORDS.format("line")} AS lw FROM l),
 x AS (SELECT doc_id, source, t, line, len(lw) AS size, array_to_string({"list_transform(lw, lambda x: " + normal.format("x") + ")"}, ' ') AS norm FROM n WHERE len(lw) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM x GROUP BY 1),
-hosts AS (SELECT source, count(DISTINCT t) AS host_docs FROM d GROUP BY 1),
-freq AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT t) AS c FROM x GROUP BY 1, 2) JOIN hosts USING (source) WHERE c > {LEAST} AND c > {SHARE} * host_docs),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS host_docs FROM d GROUP BY 1),
+freq AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT doc_id) AS c FROM x GROUP BY 1, 2) JOIN hosts USING (source) WHERE c > {LEAST} AND c > {SHARE} * host_docs),
 gone AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS removed_words FROM x JOIN freq USING (source, norm) GROUP BY 1),
 win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win JOIN (SELECT doc_id, win FROM win GROUP BY 1, 2 HAVING count(*) > 1) USING (doc_id, win)) GROUP BY 1),

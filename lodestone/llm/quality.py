@@ -1,12 +1,14 @@
 """Quality rules: word and line statistics of each text, and lines that many documents of a host share.
 
-A line's words, lower-cased and with every digit as 0, are hashed; per host, the distinct texts that
-hold each line are counted.  A line in more than both ``least`` texts and ``share`` of the host's
-distinct texts is boilerplate.  A text that keeps less than ``left`` of its words without boilerplate
-is depleted and rejected.
+A line's words, lower-cased and with every digit as 0, are hashed; per host, the distinct documents
+(by their key) that hold each line are counted.  A line in more than both ``least`` documents and
+``share`` of the host's documents is boilerplate.  A text that keeps less than ``left`` of its words
+without boilerplate is depleted and rejected.
 
-Documents with one text count once, which keeps a much copied document from becoming its own
-boilerplate; ``copies=True`` counts rows by their key instead.
+With ``copies=False`` documents of one text count once, so a much copied text is no boilerplate of its
+own; that is for a corpus whose copies are to be reduced to one later.
+
+Both joins of many rows deal hot keys over tasks: a line, or a text, that a host repeats very often.
 
 Lines are named by 64 bits of a keyed hash of their words, texts by 128 bits; equal lines inside a text
 are compared exactly.
@@ -27,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, slices, table, utf8
-from .textvec import LOWER, digests, doc_chunks, mix, names, run_hashes, span_codes, span_hashes, sums, words
+from .common import cut, fresh, slices, spread, table, utf8
+from .textvec import LOWER, digests, doc_chunks, names, run_hashes, span_codes, span_hashes, sums, tuple_codes, words
 
 LEAST = 10
 SHARE = 0.05
@@ -59,18 +61,16 @@ def _statistics(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     word_from, word_to = np.searchsorted(starts, line_start), np.searchsorted(starts, line_end)
     full = word_to > word_from
     line_doc, line_start, line_end, word_from, word_to = (x[full] for x in (line_doc, line_start, line_end, word_from, word_to))
-    salt = mix(np.arange(n, dtype=np.uint64), 1)
     lines, different = span_codes(raw, line_start, line_end)
     width = len(different[0])
     held = np.unique(line_doc * width + lines) // width
     out["n_dup_lines"] = np.bincount(line_doc, minlength=n) - np.bincount(held, minlength=n)
     # Words in windows of three that occur twice or more.
     codes, spans = span_codes(raw, starts, ends)
-    h = names(spans)[codes]
-    repeated = np.zeros(len(h), bool)
-    if len(h) >= 3:
+    repeated = np.zeros(len(codes), bool)
+    if len(codes) >= 3:
         inside = np.flatnonzero(doc[2:] == doc[:-2])
-        window = mix((h[inside] * np.uint64(3) + h[inside + 1]) * np.uint64(0xD6E8FEB86659FD93) + h[inside + 2], 2) ^ salt[doc[inside]]
+        window = tuple_codes([codes[inside], codes[inside + 1], codes[inside + 2], doc[inside]])
         by = np.argsort(window)
         same = window[by][1:] == window[by][:-1]
         again = np.zeros(len(window), bool)
@@ -113,8 +113,8 @@ def statistics(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.col(host).cast("string").alias("host"), F.col(text).alias("text")).mapInArrow(run, STATS)
 
 
-def frequent_lines(stats: DataFrame, least: int = LEAST, share: float = SHARE, copies: bool = False) -> DataFrame:
-    """(host, line, n_docs) above the limits; documents with one text count once, unless copies."""
+def frequent_lines(stats: DataFrame, least: int = LEAST, share: float = SHARE, copies: bool = True) -> DataFrame:
+    """(host, line, n_docs) above the limits; documents of one text count once, unless copies."""
     text = F.struct("key") if copies else F.struct("text_lo", "text_hi")
     held = stats.select("host", text.alias("text"), F.explode("lines").alias("x")).select("host", "text", F.col("x.line").alias("line"))
     per_line = held.groupBy("host", "line").agg(F.count_distinct("text").alias("n_docs")).filter(F.col("n_docs") > least)
@@ -122,26 +122,21 @@ def frequent_lines(stats: DataFrame, least: int = LEAST, share: float = SHARE, c
     return per_line.join(per_host, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n_docs") > share * F.col("host_docs")).select("host", "line", "n_docs")
 
 
-def verdicts(stats: DataFrame, least: int = LEAST, share: float = SHARE, left: float = LEFT, copies: bool = False) -> DataFrame:
+def verdicts(stats: DataFrame, least: int = LEAST, share: float = SHARE, left: float = LEFT, copies: bool = True) -> DataFrame:
     """stats without lines, with base_failed, removed_words and kept."""
-    common = frequent_lines(stats, least, share, copies).select(F.col("host").alias("h"), F.col("line").alias("l"))
+    h = F.coalesce(F.concat(F.lit("+"), "host"), F.lit(""))  # null is a host of its own
+    common = cut(frequent_lines(stats, least, share, copies).select(h.alias("h"), "line"))
+    held = stats.select(h.alias("h"), "text_lo", "text_hi", F.explode("lines").alias("x")).select("h", "text_lo", "text_hi", "x.line", "x.words")
     # Repeated texts of a host have equal lines, so one row of each is enough.
-    held = stats.select("host", "text_lo", "text_hi", F.explode("lines").alias("x")).select("host", "text_lo", "text_hi", "x.line", "x.words")
-    removed = (
-        held.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
-        .select("host", "text_lo", "text_hi", "line", "words")
-        .distinct()
-        .groupBy(F.col("host").alias("h"), F.col("text_lo").alias("lo"), F.col("text_hi").alias("hi"))
-        .agg(F.sum("words").alias("removed"))
-    )
-    out = stats.drop("lines").join(removed, F.col("host").eqNullSafe(F.col("h")) & (F.col("text_lo") == F.col("lo")) & (F.col("text_hi") == F.col("hi")), "left")
+    removed = spread(held, common, ["h", "line"], "text_lo").distinct().groupBy("h", "text_lo", "text_hi").agg(F.sum("words").alias("removed"))
+    out = spread(stats.drop("lines").withColumn("h", h), cut(removed), ["h", "text_lo", "text_hi"], "key", "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rest = F.col("n_words") - F.col("removed_words")
     return (
         out.withColumn("removed_words", F.coalesce("removed", F.lit(0)).cast("long"))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (rest >= left * F.col("n_words")))
-        .drop("h", "lo", "hi", "removed")
+        .drop("h", "removed")
     )
 
 
@@ -151,7 +146,7 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
-def clean(docs: DataFrame, text: str, host: str, stats: DataFrame, least: int = LEAST, share: float = SHARE, left: float = LEFT, copies: bool = False) -> DataFrame:
+def clean(docs: DataFrame, text: str, host: str, stats: DataFrame, least: int = LEAST, share: float = SHARE, left: float = LEFT, copies: bool = True) -> DataFrame:
     """The rows of docs that are kept, without their boilerplate lines; columns as in docs.
 
     stats: statistics(docs).  A verdict is the same for equal texts of a host, so rows meet it by host

@@ -133,16 +133,57 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _rounds(v: list[np.ndarray], n: int) -> None:
+    """n rounds of SipHash on its four state words."""
+    for _ in range(n):
+        v[0] += v[1]
+        v[2] += v[3]
+        v[1], v[3] = _turn(v[1], 13) ^ v[0], _turn(v[3], 16) ^ v[2]
+        v[0] = _turn(v[0], 32)
+        v[2] += v[1]
+        v[0] += v[3]
+        v[1], v[3] = _turn(v[1], 17) ^ v[2], _turn(v[3], 21) ^ v[0]
+        v[2] = _turn(v[2], 32)
+
+
+def tuple_hashes(columns: list[np.ndarray]) -> np.ndarray:
+    """Keyed hash of the tuple of values at each place: SipHash-1-3 over 64-bit words.
+
+    256 bits of state under a key take each value in twice, before and after a round, so no value can
+    make up for another one, as it can in sums and in chains of a single word.
+    """
+    n = len(columns[0])
+    salt = (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)  # the fixed start of SipHash
+    v = [np.full(n, np.uint64(c) ^ _KEYS[k % 2]) for k, c in enumerate(salt)]
+    for column in [*columns, np.uint64(len(columns) * 8 % 256 << 56)]:
+        v[3] ^= column
+        _rounds(v, 1)
+        v[0] ^= column
+    v[2] ^= np.uint64(0xFF)
+    _rounds(v, 3)
+    return v[0] ^ v[1] ^ v[2] ^ v[3]
+
+
 def shingles(word_hashes: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of size words; of the whole sequence, if it is shorter; none without words."""
     n = len(word_hashes)
     if n == 0:
         return word_hashes
     width = min(size, n)
-    out = np.full(n - width + 1, width, np.uint64)
-    for k in range(width):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + word_hashes[k : n - width + 1 + k]
-    return mix(out)
+    return tuple_hashes([word_hashes[k : n - width + 1 + k] for k in range(width)])
+
+
+def tuple_codes(columns: list[np.ndarray]) -> np.ndarray:
+    """A number for the tuple of values at each place, equal for equal tuples alone; values are below 2^31, as are places."""
+    out = columns[0]
+    for column in columns[1:]:
+        _, out = np.unique(out, return_inverse=True)
+        out = out * (int(column.max(initial=0)) + 1) + column
+    return out
 
 
 def distinct(values: np.ndarray) -> np.ndarray:

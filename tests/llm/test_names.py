@@ -65,3 +65,54 @@ def test_names_differ_and_depend_on_bytes_alone():
     assert dict(zip(words[::-1], textvec.names(spans(words[::-1])).tolist())) == one
     assert dict(zip(words[:5], textvec.names(spans(words[:5])).tolist())) == {w: one[w] for w in words[:5]}
     assert len(textvec.names(spans([]))) == 0
+
+
+def test_windows_of_crafted_words_are_told_apart(spark):
+    """Words whose names make up for each other in sums: neither windows nor shingles may meet."""
+    filler = " ".join(f"f{k}" for k in range(60))
+    (row,) = quality.statistics(spark.createDataFrame([(1, f"red fox ran {filler} abd guw z`oxa<0", "h")], "doc_id long, text string, source string"), "doc_id", "text", "source").collect()
+    assert row["n_repeat_words"] == 0
+    two = ["one two six ten end", "aaa bbb acp dzb 5g84.[;"]
+    docs = spark.createDataFrame(list(enumerate(two)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in forest.near_duplicates(docs, "doc_id", "text").collect()} == {0: 0, 1: 1}
+
+
+def test_tuple_hashes_are_siphash():
+    """Against a plain SipHash-1-3 with the same key."""
+    key, mask = [int(x) for x in textvec._KEYS[:2]], 2**64 - 1
+    turn = lambda x, b: (x << b | x >> (64 - b)) & mask
+
+    def rounds(v, n):
+        for _ in range(n):
+            v[0] = (v[0] + v[1]) & mask
+            v[1] = turn(v[1], 13) ^ v[0]
+            v[0] = turn(v[0], 32)
+            v[2] = (v[2] + v[3]) & mask
+            v[3] = turn(v[3], 16) ^ v[2]
+            v[0] = (v[0] + v[3]) & mask
+            v[3] = turn(v[3], 21) ^ v[0]
+            v[2] = (v[2] + v[1]) & mask
+            v[1] = turn(v[1], 17) ^ v[2]
+            v[2] = turn(v[2], 32)
+
+    rnd = np.random.default_rng(3)
+    for size in (1, 3, 5):
+        columns = [rnd.integers(0, 2**63, 7).astype(np.uint64) * np.uint64(2) for _ in range(size)]
+        got = textvec.tuple_hashes(columns).tolist()
+        for at in range(7):
+            v = [c ^ key[k % 2] for k, c in enumerate((0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573))]
+            for m in [*(int(c[at]) for c in columns), size * 8 << 56]:
+                v[3] ^= m
+                rounds(v, 1)
+                v[0] ^= m
+            v[2] ^= 0xFF
+            rounds(v, 3)
+            assert got[at] == v[0] ^ v[1] ^ v[2] ^ v[3]
+
+
+def test_tuple_codes_are_exact():
+    rnd = np.random.default_rng(4)
+    columns = [rnd.integers(0, n, 2000) for n in (3, 5, 2, 4)]
+    codes = textvec.tuple_codes(columns).tolist()
+    whole = list(zip(*(c.tolist() for c in columns)))
+    assert len(set(codes)) == len(set(whole)) == len(set(zip(codes, whole)))

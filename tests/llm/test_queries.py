@@ -97,13 +97,14 @@ def normal_line(line):
     return tuple(re.sub("[0-9]", "0", w) for w in WORD.findall(line.translate(LOWER)))
 
 
-def line_verdicts(docs):
+def line_verdicts(docs, copies=True):
     """{(host, text): (removed words, kept)} by the rules of quality."""
     holders, texts = defaultdict(set), defaultdict(set)
-    for _, t, _, host in docs:
-        texts[host].add(t or "")
+    for d, t, _, host in docs:
+        who = d if copies else t or ""
+        texts[host].add(who)
         for line in {normal_line(x) for x in (t or "").split("\n")} - {()}:
-            holders[host, line].add(t or "")
+            holders[host, line].add(who)
     out = {}
     for _, t, _, host in docs:
         t = t or ""
@@ -131,16 +132,29 @@ def test_op4_frequent_lines(spark):
     rows = [(k, f"{body} {k}\nAll rights  reserved {k}\n{body}x {k}{k}", "en", "h") for k in range(30)] + [(99, "short " * 80, "en", "h"), (100, "Subscribe now " * 25 + f"\n{body}", "en", "g")]
     rows += [(200 + k, "boiler plate line " * 20 + f"\nown text {chr(97 + k)}", "en", "g") for k in range(15)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    stats = quality.statistics(docs, "doc_id", "text", "source")
-    got = {r["key"]: (r["removed_words"], r["kept"]) for r in quality.verdicts(stats).collect()}
-    want = line_verdicts(rows)
-    assert got == {d: want[h, t] for d, t, _, h in rows}
-    assert any(not k and g for g, k in got.values())
-    cleaned = {r["doc_id"]: r["text"] for r in quality.clean(docs, "text", "source", stats).collect()}
+    stats = quality.cut(quality.statistics(docs, "doc_id", "text", "source"))
+    for copies in (True, False):
+        got = {r["key"]: (r["removed_words"], r["kept"]) for r in quality.verdicts(stats, copies=copies).collect()}
+        want = line_verdicts(rows, copies)
+        assert got == {d: want[h, t] for d, t, _, h in rows}
+        assert any(not k and g for g, k in got.values())
+    cleaned = {r["doc_id"]: r["text"] for r in quality.clean(docs, "text", "source", stats, copies=False).collect()}
     assert set(cleaned) == {d for d, (_, k) in got.items() if k}
     assert "rights" not in cleaned.get(0, "") or got[0][0] == 0
 
 
+def test_op4_depleted_by_copies_and_hot_lines(spark, tmp_path):
+    """One text and one line hold most rows of a host: both are counted by documents, and dealt over tasks."""
+    body = " ".join(f"w{k}" for k in range(70))
+    rows = [(k, body, "en", "h") for k in range(400)] + [(1000 + k, f"{body} {chr(97 + k % 26)}{k}\nthe same footer", "en", "h") for k in range(300)]
+    rows += [(2000 + k, body, "en", "g") for k in range(3)] + [(3000, None, "en", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["removed_words"], r["kept"]) for r in Q["op4_line_frequency"](spark, str(tmp_path)).collect()}
+    want = line_verdicts(rows)
+    assert got == {d: want[h, t or ""] for d, t, _, h in rows}
+    assert got[0] == (70, False) and got[2000] == (0, True) and got[1000] == (3, True)
+
+
 def test_op5(spark, data):
     rows = Q["op5_string_kernel"](spark, data).collect()
     docs = {d: lang for d, _, lang, _ in documents(spark, data)}
