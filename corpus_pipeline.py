@@ -30,9 +30,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that fail the base rules or are depleted by lines common on their host go; so do those lines."""
+    """Texts that fail the base rules or are depleted by lines common on their host go; so do those lines.
+
+    Copies of a text count once: one of them is to be kept by the next stage, however many there are.
+    """
     rows = docs.select(*COLUMNS)
-    kept = quality.clean(rows, "text", "source", cut(quality.statistics(rows, "doc_id", "text", "source")))
+    kept = quality.clean(rows, "text", "source", cut(quality.statistics(rows, "doc_id", "text", "source")), copies=False)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
