@@ -1,15 +1,16 @@
 """Language identification with a blended-spectrum string kernel.
 
 A text's features are the character n-grams (n = 1..ORDER) of its lower-cased letters that occur in
-it at all (presence, not counts), restricted to n-grams of the landmark texts and hashed to BITS
-bits.  The kernel of two texts is the number of shared n-grams over the geometric mean of their own
-numbers.  Landmarks (Nystroem) are a bounded part of the training sample; one-versus-rest kernel
-ridge regression is fitted on the kernel columns of the landmarks.  Scoring is a batch of presence
-rows times the landmark matrix, times the coefficients.
+it at all (presence, not counts), hashed to BITS bits.  The kernel of two texts is the number of shared
+n-grams over the geometric mean of their own numbers.  Landmarks (Nystroem) are a bounded part of the
+training sample; one-versus-rest kernel ridge regression is fitted on the kernel columns of the
+landmarks.  Scoring is a batch of presence rows times the landmark matrix, times the coefficients.
 
-The training sample is bounded: SAMPLE texts per language, those with the smallest hash of the key, the
-first PART characters of each, and the LANGUAGES most frequent values of the label; everything else
-covers all rows and whole texts.
+Learning is bounded: the LANGUAGES most frequent values of the label, at most SAMPLE texts of each (those
+with the smallest hash of the key) and SAMPLED in all, at most LANDMARKS landmarks of each and MARKED in
+all; of a text longer than its share of CHARACTERS (PART at most), windows at hashed places all over it
+are read.  So there are fewer texts and landmarks of a language where there are many, and the model is at
+most 2^BITS x MARKED bits.  Everything else covers all rows and whole texts.
 
 Defined cases: a text that is null or has no letter gets ``und`` with score 0, and so does every
 text if there is nothing to learn from; rows with a null key are never learned from and never held
@@ -26,7 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -39,10 +40,16 @@ BITS = 16
 SAMPLE = 240
 LANDMARKS = 32
 PART = 20_000
+WINDOW = 1000
+CHARACTERS = 24_000_000
 LANGUAGES = 256
+SAMPLED = 8192
+MARKED = 2048
+BLOCK = 256
+SALTS = 64
 RIDGE = 1e-3
 ROWS = 128
-FEW = 8
+FEW = 32
 GAP = " " * (ORDER + 1)
 
 
@@ -73,22 +80,28 @@ def _has_letter(texts: list[str]) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    column: np.ndarray  # hashed n-gram -> feature, -1: none
-    landmarks: np.ndarray  # features x landmarks, each divided by the root of its own size
+    used: np.ndarray  # hashed n-grams of the landmarks
+    bits: np.ndarray  # used n-grams x landmarks, 8 landmarks a byte
+    sizes: np.ndarray  # n-grams of each landmark
     coefficients: np.ndarray  # landmarks x languages
 
-    def presence(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.landmarks.shape[0]), np.float32)
-        for doc, gram in _grams(texts):
-            at = self.column[gram]
-            keep = at >= 0
-            out[doc[keep], at[keep]] = 1.0
-        return out
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "kept"}
+
+    def marks(self, at: int) -> np.ndarray:
+        """Columns of BLOCK landmarks from at on; one block is kept unpacked."""
+        if getattr(self, "kept", (None,))[0] != at:
+            self.kept = at, np.unpackbits(self.bits[:, at // 8 : (at + BLOCK) // 8], axis=1, count=min(BLOCK, len(self.sizes) - at)).astype(np.float32)
+        return self.kept[1]
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        rows = self.presence(texts)
-        own = np.sqrt(np.maximum(np.count_nonzero(rows, axis=1), 1)).astype(np.float32)
-        return (rows @ self.landmarks) / own[:, None]
+        held = np.zeros((len(texts), 1 << BITS), bool)
+        for doc, gram in _grams(texts):
+            held[doc[: len(gram)], gram] = True
+        own = np.maximum(np.count_nonzero(held, axis=1), 1)
+        rows = held[:, self.used].astype(np.float32)
+        shared = [rows @ self.marks(at) for at in range(0, len(self.sizes), BLOCK)]
+        return np.concatenate(shared, axis=1) / np.sqrt(own[:, None] * self.sizes[None, :]).astype(np.float32)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
@@ -114,28 +127,37 @@ class Model:
 
 
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """texts in a fixed order; the first landmarks texts of each language are its landmarks."""
+    """texts in a fixed order; the first landmarks texts of each language are its landmarks.
+
+    Texts are read a few at a time, as the arrays of their characters are many times their size.
+    """
     languages = sorted(set(labels))
-    chosen = [k for name in languages for k in [i for i, x in enumerate(labels) if x == name][:landmarks]]
-    column = np.full(1 << BITS, -1, np.int32)
+    most = max(1, min(landmarks, MARKED // max(len(languages), 1)))
+    chosen, taken = [], dict.fromkeys(languages, 0)
+    for k, name in enumerate(labels):
+        if taken[name] < most:
+            taken[name] += 1
+            chosen.append(k)
+    chosen.sort(key=lambda k: (labels[k], k))
     if not chosen:
-        return Model([], column, np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    # Few texts at a time: the arrays of their characters are many times their size.
-    held = np.zeros(1 << BITS, bool)
-    for k in range(0, len(chosen), FEW):
-        for _, gram in _grams([texts[i] for i in chosen[k : k + FEW]]):
-            held[gram] = True
-    used = np.flatnonzero(held)
-    column[used] = np.arange(len(used), dtype=np.int32)
-    model = Model(languages, column, np.zeros((len(used), 0), np.float32), np.zeros((0, 0), np.float32))
-    rows = np.concatenate([model.presence([texts[i] for i in chosen[k : k + FEW]]) for k in range(0, len(chosen), FEW)])
-    model.landmarks = np.ascontiguousarray((rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))).T)
-    del rows
-    blocks = lambda own: np.concatenate([model.kernel(own[k : k + FEW]) for k in range(0, len(own), FEW)]).astype(np.float64)
-    inner, outer = blocks([texts[k] for k in chosen]), blocks(texts)
-    target = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    system = outer.T @ outer + ridge * len(texts) * (inner + 1e-6 * np.eye(len(chosen)))
-    model.coefficients = np.linalg.solve(system, outer.T @ target).astype(np.float32)
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.uint8), np.zeros(0), np.zeros((0, 0), np.float32))
+    columns, sizes = [], []
+    for k in range(0, len(chosen), 8):
+        held = np.zeros((8, 1 << BITS), bool)
+        for doc, gram in _grams([texts[i] for i in chosen[k : k + 8]]):
+            held[doc[: len(gram)], gram] = True
+        columns.append(np.packbits(held, axis=0)[0])
+        sizes += np.count_nonzero(held, axis=1).tolist()
+    bits = np.stack(columns, axis=1)
+    used = np.flatnonzero(bits.any(axis=1))
+    model = Model(languages, used, bits[used], np.maximum(np.array(sizes[: len(chosen)], np.float64), 1), np.zeros((0, 0), np.float32))
+    inner = np.concatenate([model.kernel([texts[i] for i in chosen[k : k + FEW]]) for k in range(0, len(chosen), FEW)]).astype(np.float64)
+    system, aim = ridge * len(texts) * (inner + 1e-6 * np.eye(len(chosen))), np.zeros((len(chosen), len(languages)))
+    for k in range(0, len(texts), FEW):
+        outer = model.kernel(texts[k : k + FEW]).astype(np.float64)
+        system += outer.T @ outer
+        aim += outer.T @ np.where(np.array(labels[k : k + FEW])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
+    model.coefficients = np.linalg.solve(system, aim).astype(np.float32)
     return model
 
 
@@ -144,21 +166,37 @@ def held_out(key):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def windows(text: Column, key: Column, part: int) -> Column:
+    """The text, or part characters of it (at least one window) in windows at hashed places, if it is longer."""
+    width = min(WINDOW, part)
+    places = F.array(*(F.lit(k) for k in range(max(part // width, 1))))
+    pick = lambda k: F.substring(text, (F.pmod(F.xxhash64(key, k), F.length(text) - width + 1) + 1).cast("int"), F.lit(width))
+    return F.when(F.length(text) <= part, text).otherwise(F.array_join(F.transform(places, pick), " "))
+
+
 def train(docs: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE, part: int = PART, languages: int = LANGUAGES) -> Model:
-    """At most sample * languages texts of at most part characters reach the driver."""
+    """At most SAMPLED texts and about CHARACTERS characters reach the driver.
+
+    The smallest hashes of a label are taken from those of its SALTS parts, so no task orders all its texts.
+    """
     k = F.col(key)
     pool = docs.filter(k.isNotNull() & ~held_out(k) & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    most = pool.groupBy(F.col(label).alias("label")).count().orderBy(F.desc("count"), "label").limit(languages).select("label")
-    order = W.partitionBy("label").orderBy("h", "key", "text")
-    rows = pool.select(F.col(label).alias("label"), F.xxhash64(k.cast("string")).alias("h"), k.alias("key"), F.substring(F.col(text), 1, part).alias("text"))
-    rows = rows.join(F.broadcast(most), "label", "left_semi")  # languages rows
-    rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).orderBy("label", "n").select("label", "text").collect()
+    most = [r["label"] for r in pool.groupBy(F.col(label).alias("label")).count().orderBy(F.desc("count"), "label").limit(languages).collect()]
+    if not most:
+        return fit([], [])
+    sample = max(1, min(sample, SAMPLED // len(most)))
+    part = max(1, min(part, CHARACTERS // (len(most) * sample)))
+    rows = pool.filter(F.col(label).isin(most)).select(F.col(label).alias("label"), F.xxhash64(k.cast("string")).alias("h"), k.alias("key"), windows(F.col(text), k, part).alias("text"))
+    for salt in (F.pmod("h", F.lit(SALTS)), F.lit(0)):
+        order = W.partitionBy("label", salt).orderBy("h", "key", "text")
+        rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
+    rows = rows.orderBy("label", "n").select("label", "text").collect()
     return fit([r["text"] for r in rows], [r["label"] for r in rows])
 
 
 def identify(docs: DataFrame, text: str, model: Model) -> DataFrame:
     """All columns of docs, with lang_pred and score; columns of these names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BITS, LANDMARKS and LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BITS and MARKED
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("lang_pred", "score") and c != text))
     at = docs.columns.index(text)
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
