@@ -7,6 +7,7 @@ executor costs one level.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -37,6 +38,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the shared folder: read again with its size known and no trace of its plan."""
+    path = f"{shared(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keyed(edges: DataFrame, key: str) -> DataFrame:
     """Edges kept in partitions of key, so that the levels of a walk move only their frontier."""
     return settle(edges.repartition(key))

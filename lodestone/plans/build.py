@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions import paths
 from ..functions.ids import stable_id
-from ..operators import aggregate, clients, extract, facts, flows, java, match, resolve, sequence
+from ..operators import aggregate, clients, extract, facts, flows, java, match, resolve, scripts, sequence
 from ..sources import files as sources
 
 # Folders that are never sources.
@@ -67,6 +67,11 @@ def derive(text: DataFrame, services: dict[str, str] | None = None) -> dict[str,
         .unionByName(contracts.select(sources.language(F.col("file")).alias("language"), F.lit("api_clients").alias("capability")))
         .unionByName(test_map.select(sources.language(F.col("test_file")).alias("language"), F.lit("tests").alias("capability")))
     )
+    # Aliases and packages of the project come from its configuration; without it, imports are files.
+    spark = text.sparkSession
+    none = spark.createDataFrame([], "prefix string, replacement string"), spark.createDataFrame([], "name string, entry string")
+    declared, _, used = scripts.script_usages(text, *none)
+    usages = used.select(F.col("usage_id").alias("id"), "symbol_id", F.lit("").alias("project"), "category", F.col("path").alias("file"), "line", "type", "name", "owner_id", "resolution", "reason")
     weighted = relations.select(F.col("from").alias("file"), F.lit(1).alias("weight")).unionByName(routes.select("file", F.lit(2).alias("weight")))
     return {
         "files": files,
@@ -91,6 +96,8 @@ def derive(text: DataFrame, services: dict[str, str] | None = None) -> dict[str,
         "capabilities": aggregate.capability_inventory(capability, files.select("language"), params.CAPABILITIES),
         "most_connected": aggregate.most_connected(weighted),
         "modules": aggregate.module_counts(files),
+        "script_symbols": declared,
+        "usages": usages,
         "contract_summary": aggregate.contract_summary(matches),
     }
 

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import code, facts, features, routes, traces  # noqa: F401
+from . import code, facts, features, routes, traces, usages  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
