@@ -21,6 +21,7 @@ results' names are replaced, and dropped by the query.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -175,7 +176,7 @@ def windows(text: Column, key: Column, part: int) -> Column:
 
 
 def train(docs: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE, part: int = PART, languages: int = LANGUAGES) -> Model:
-    """At most SAMPLED texts and about CHARACTERS characters reach the driver.
+    """Fitted in one task over at most SAMPLED texts and about CHARACTERS characters; the driver sees the model alone.
 
     The smallest hashes of a label are taken from those of its SALTS parts, so no task orders all its texts.
     """
@@ -190,8 +191,17 @@ def train(docs: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE
     for salt in (F.pmod("h", F.lit(SALTS)), F.lit(0)):
         order = W.partitionBy("label", salt).orderBy("h", "key", "text")
         rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
-    rows = rows.orderBy("label", "n").select("label", "text").collect()
-    return fit([r["text"] for r in rows], [r["label"] for r in rows])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            labels += batch.column(0).to_pylist()
+            texts += batch.column(1).to_pylist()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, labels))], pa.binary())], ["model"])
+
+    found = rows.repartition(1).sortWithinPartitions("label", "n").select("label", "text").mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([], [])
 
 
 def identify(docs: DataFrame, text: str, model: Model) -> DataFrame:
