@@ -20,6 +20,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -243,6 +244,18 @@ def slots(patterns: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[st
     return {"length": a[:, 0], "rank": a[:, 1], "bin": a[:, 2], "offset": a[:, 3]}
 
 
+def searched(spark: SparkSession, counts: np.ndarray, capacity: int, nodes: int | None) -> dict[str, np.ndarray]:
+    """slots of the packing; the search runs in a task, where its many open nodes do not add to the driver's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(slots(pack(np.array(held, np.int64), capacity, nodes), capacity))], pa.binary())], ["slots"])
+
+    one = spark.createDataFrame([(counts.tolist(),)], "counts array<long>")
+    return pickle.loads(one.mapInArrow(run, "slots binary").first()["slots"])
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -306,7 +319,7 @@ def best_fit_pack(cut_pieces: DataFrame, capacity: int = CAPACITY, nodes: int |
     for r in counted:
         grid[begin[r["length"]] + r["bucket"]] = r["count"]
     first = np.cumsum(grid) - grid
-    plan = spark.sparkContext.broadcast((begin, first, slots(pack(single, capacity, nodes), capacity)))
+    plan = spark.sparkContext.broadcast((begin, first, searched(spark, single, capacity, nodes)))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         begin, first, s = plan.value
