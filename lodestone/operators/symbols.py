@@ -128,3 +128,45 @@ def api_catalog(endpoints: DataFrame, matches: DataFrame) -> tuple[DataFrame, Da
     consumers = found.filter("n = 1").groupBy("endpoint_id").agg(F.count("*").alias("consumers"), F.count_distinct("api_project").alias("projects"))
     out = endpoints.join(consumers, "endpoint_id", "left").fillna({"consumers": 0, "projects": 0})
     return out, found.filter("n > 1").select("match_id", "api_project", F.col("n").alias("candidates"))
+
+
+def named(symbols: DataFrame) -> DataFrame:
+    """symbols (id, project, file, name, export_name, qualified_name) by every name they go by: also each tail of the qualified name."""
+    parts = F.split("qualified_name", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    names = F.array_distinct(F.filter(F.concat(F.array("name", "export_name", "qualified_name"), tails), lambda x: F.coalesce(x, F.lit("")) != ""))
+    return symbols.select("id", "project", "file", F.explode(names).alias("called"))
+
+
+def reached_through_api(matches: DataFrame, flows: DataFrame, origins: DataFrame, steps: DataFrame, java: DataFrame) -> DataFrame:
+    """(match_id, flow_id, consumer_id, step_id, provider_id, resolution, category, reason): frontend symbols that reach a declaration over HTTP.
+
+    matches: match_id, backend_project (resolved ones); flows: flow_id, match_id; origins: flow_id,
+    consumer_id; steps: flow_id, step_id, file, owner; java: symbols as in named.
+    Each link is a left join, and how many the ones before it had is carried along: a missing link leaves
+    one row with its reason, several flows or origins of a match make all of its rows ambiguous, and
+    several declarations of a step give a row each.
+    """
+    f = flows.select("match_id", "flow_id").distinct()
+    o = origins.select("flow_id", "consumer_id").distinct()
+    led = matches.join(f, "match_id", "left").join(o, "flow_id", "left")
+    # Without any origin a match has one row, whatever its flows are.
+    counts = led.groupBy("match_id").agg(F.count_distinct("flow_id").alias("n_flows"), F.count_distinct("consumer_id").alias("n_origins"), F.min("flow_id").alias("first_flow"))
+    led = led.join(counts, "match_id")
+    lost = led.filter("n_origins = 0").select("match_id", "backend_project", F.col("first_flow").alias("flow_id"), F.lit(None).cast(o.schema["consumer_id"].dataType).alias("consumer_id"), "n_flows", "n_origins").distinct()
+    led = led.filter("consumer_id is not null").select(lost.columns).unionByName(lost)
+    known = named(java).select(F.col("project").alias("backend_project"), "file", F.col("called").alias("owner"), F.col("id").alias("provider_id")).distinct()
+    s = steps.select("flow_id", "step_id", "file", "owner").distinct()
+    # A step meets its declarations once for each project that has the flow, before it meets the flow's origins.
+    placed = s.join(led.select("flow_id", "backend_project").distinct(), "flow_id").join(known, ["backend_project", "file", "owner"], "left")
+    n = placed.groupBy("backend_project", "flow_id", "step_id").agg(F.count("provider_id").alias("candidates"), F.collect_set("provider_id").alias("ids"))
+    rows = led.join(n, ["flow_id", "backend_project"], "left").withColumn("provider_id", F.explode_outer("ids"))
+    far = F.col("consumer_id").isNotNull()
+    reason = (
+        F.when(F.col("n_flows") == 0, "workspace_feature_flow_missing").when(~far, "frontend_origin_unresolved").when(F.col("step_id").isNull(), "backend_implementation_steps_missing")
+        .when(F.col("candidates") == 0, "declaration_missing").when(F.col("candidates") > 1, "several_declarations").when((F.col("n_flows") > 1) | (F.col("n_origins") > 1), "several_origins").otherwise("")
+    )
+    rows = rows.withColumn("reason", reason)
+    resolution = F.when(F.col("reason") == "", "EXACT").when(F.col("reason").startswith("several"), "AMBIGUOUS").otherwise("UNRESOLVED")
+    shown = F.when(far, F.col("step_id"))
+    return rows.select("match_id", "flow_id", "consumer_id", shown.alias("step_id"), F.when(far, F.col("provider_id")).alias("provider_id"), resolution.alias("resolution"), usage_category(resolution, F.lit(True)).alias("category"), "reason").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import scripts
+from ..operators import scripts, symbols
 from .registry import Tables, query
 
 PROVIDER = """export function load~() {}
@@ -76,3 +76,32 @@ def script_symbol_usages(t: Tables) -> DataFrame:
     declared, _, used = scripts.script_usages(script_sources(t), *none)
     named = declared.select(F.col("id").alias("symbol_id"), F.col("qualified_name").alias("symbol"))
     return used.join(named, "symbol_id", "left").select("path", "line", "type", "name", "resolution", "symbol", "reason")
+
+
+@query(
+    """WITH m AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), f AS (SELECT k, k * 2 + i AS f, c FROM m, (VALUES (0), (1)) v(i) WHERE c % 5 <> 0 AND (i = 0 OR c % 5 = 1)),
+g AS (SELECT k, f, 'page' || c AS u FROM f WHERE c % 7 <> 0), w AS (SELECT k, c, count(f) AS nf, min(f) AS ff FROM m LEFT JOIN f USING (k, c) GROUP BY 1, 2),
+st AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem WHERE l_returnflag <> 'N'), p AS (SELECT s, CASE WHEN s % 4 = 0 THEN 0 WHEN s % 3 = 0 THEN 2 ELSE 1 END AS n FROM st GROUP BY 1),
+r AS (SELECT g.k, g.f, g.u, st.s, p.n, nf, CASE WHEN n > 0 THEN 'j' || st.s || '-' || i END AS id FROM g JOIN w USING (k) LEFT JOIN st USING (k) LEFT JOIN p USING (s) LEFT JOIN (VALUES (1), (2)) v(i) ON i <= n),
+x AS (SELECT k, f, u, s, id, CASE WHEN s IS NULL THEN 'backend_implementation_steps_missing' WHEN n = 0 THEN 'declaration_missing' WHEN n > 1 THEN 'several_declarations' WHEN nf > 1 THEN 'several_origins' ELSE '' END AS reason FROM r
+UNION ALL SELECT k, ff, NULL, NULL, NULL, CASE WHEN nf = 0 THEN 'workspace_feature_flow_missing' ELSE 'frontend_origin_unresolved' END FROM w WHERE k NOT IN (SELECT k FROM g))
+SELECT k AS match_id, f AS flow_id, u AS consumer_id, s AS step_id, id AS provider_id, reason, CASE WHEN reason = '' THEN 'EXACT' WHEN reason LIKE 'several%' THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS resolution,
+CASE WHEN reason = '' THEN 'reached_through_api' WHEN reason LIKE 'several%' THEN 'ambiguous' ELSE 'unresolved' END AS category FROM x"""
+)
+def api_symbol_usages(t: Tables) -> DataFrame:
+    c = F.col("o_custkey")
+    matches = t.orders.select(F.col("o_orderkey").alias("match_id"), F.lit("svc").alias("backend_project"))
+    both = F.when(c % 5 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    each = t.orders.filter(c % 5 != 0).select(F.col("o_orderkey").alias("match_id"), c.alias("c"), F.explode(both).alias("i")).withColumn("flow_id", F.col("match_id") * 2 + F.col("i"))
+    origins = each.filter("c % 7 <> 0").select("flow_id", F.concat(F.lit("page"), F.col("c").cast("string")).alias("consumer_id"))
+    used = t.lineitem.filter("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("step_id"))
+    owner = F.concat(F.lit("S"), F.col("step_id").cast("string"))
+    steps = used.join(each.select("match_id", "flow_id"), "match_id").select("flow_id", "step_id", F.concat(owner, F.lit(".java")).alias("file"), owner.alias("owner"))
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("S"), k.cast("string"))
+    copies = F.when(k % 4 == 0, F.array().cast("array<int>")).when(k % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    java = t.supplier.select(k, F.explode(copies).alias("i")).select(
+        F.concat(F.lit("j"), k.cast("string"), F.lit("-"), F.col("i").cast("string")).alias("id"), F.lit("svc").alias("project"), F.concat(name, F.lit(".java")).alias("file"),
+        F.when(F.col("i") == 1, name).otherwise("").alias("name"), F.lit("").alias("export_name"), F.concat(F.lit("shop.p"), F.col("i").cast("string"), F.lit("."), name).alias("qualified_name"),
+    )
+    return symbols.reached_through_api(matches, each.select("match_id", "flow_id"), origins, steps, java)
