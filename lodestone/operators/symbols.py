@@ -28,12 +28,14 @@ def resolve_usages(usages: DataFrame, declarations: DataFrame, dependencies: Dat
     d = declarations.select("key", "language", F.col("id").alias("symbol_id"), F.col("project").alias("d_project"), "artifact")
     declared = dependencies.select("project", "artifact").distinct().withColumn("declared", F.lit(True))
     informed = dependencies.select("project").distinct().withColumn("informed", F.lit(True))
-    local = usages.filter("coalesce(local_id, '') <> ''").select("usage_id", F.col("local_id").alias("symbol_id"))
-    wide = usages.filter("coalesce(local_id, '') = ''").join(d, ["key", "language"], "left").join(declared, ["project", "artifact"], "left").join(informed, "project", "left")
+    local = usages.filter("coalesce(local_id, '') <> ''").select("usage_id", F.lit(1).cast("long").alias("candidates"), F.col("local_id").alias("one"))
+    wide = usages.filter("coalesce(local_id, '') = ''")
+    # What a name means to a project is found once, however often the project uses it.
+    asked = wide.select("project", "language", "key").distinct()
+    met = asked.join(d, ["key", "language"]).join(declared, ["project", "artifact"], "left").join(informed, "project", "left")
     allowed = (F.col("d_project") == F.col("project")) | F.coalesce("declared", F.lit(False)) | ((F.col("language") == "java") & F.col("informed").isNull())
-    kept = wide.withColumn("symbol_id", F.when(allowed, F.col("symbol_id"))).select("usage_id", "symbol_id").unionByName(local)
-    n = F.count_distinct("symbol_id")
-    found = kept.groupBy("usage_id").agg(n.alias("candidates"), F.min("symbol_id").alias("one"))
+    means = met.filter(allowed).groupBy("project", "language", "key").agg(F.count_distinct("symbol_id").alias("candidates"), F.min("symbol_id").alias("one"))
+    found = wide.join(means, ["project", "language", "key"], "left").select("usage_id", F.coalesce("candidates", F.lit(0)).alias("candidates"), "one").unionByName(local)
     resolution = F.when(F.col("candidates") == 0, "UNRESOLVED").when(F.col("candidates") == 1, "EXACT").otherwise("AMBIGUOUS")
     return found.select("usage_id", resolution.alias("resolution"), F.when(F.col("candidates") == 1, F.col("one")).alias("symbol_id"), "candidates")
 
