@@ -121,12 +121,16 @@ def api_catalog(endpoints: DataFrame, matches: DataFrame) -> tuple[DataFrame, Da
     """
     key = lambda c: paths.canon(paths.segments(F.col(c)))
     e = endpoints.withColumn("k", key("path"))
-    m = matches.withColumn("k", key("backend_path")).select("match_id", "api_project", "k", *(F.col(f"backend_{c}").alias(f"b_{c}") for c in ("project", "http_method", "handler", "file", "line")))
-    agrees = lambda c: (F.coalesce(F.col(f"b_{c}").cast("string"), F.lit("")).isin(*(("", "0") if c == "line" else ("",)))) | (F.lower(F.col(f"b_{c}").cast("string")) == F.lower(F.col(c).cast("string")))
-    pairs = m.join(e, "k")
-    for c in ("project", "http_method", "handler", "file", "line"):
-        pairs = pairs.filter(agrees(c))
-    found = pairs.groupBy("match_id", "api_project").agg(F.count("*").alias("n"), F.min("endpoint_id").alias("endpoint_id"))
+    attributes = [f"b_{c}" for c in ("project", "http_method", "handler", "file", "line")]
+    said = [F.lower(F.coalesce(F.col(f"backend_{c[2:]}").cast("string"), F.lit(""))).alias(c) for c in attributes]
+    m = matches.withColumn("k", key("backend_path")).select("match_id", "api_project", "k", *said)
+    # Matches that say the same fit the same endpoints: each such shape meets the endpoints once.
+    pairs = m.select("k", *attributes).distinct().join(e, "k")
+    for c in attributes:
+        empty = F.col(c).isin("", "0") if c == "b_line" else F.col(c) == ""
+        pairs = pairs.filter(empty | (F.col(c) == F.lower(F.col(c[2:]).cast("string"))))
+    fits = pairs.groupBy("k", *attributes).agg(F.count("*").alias("n"), F.min("endpoint_id").alias("endpoint_id"))
+    found = m.join(fits, ["k", *attributes]).select("match_id", "api_project", "n", "endpoint_id")
     consumers = found.filter("n = 1").groupBy("endpoint_id").agg(F.count("*").alias("consumers"), F.count_distinct("api_project").alias("projects"))
     out = endpoints.join(consumers, "endpoint_id", "left").fillna({"consumers": 0, "projects": 0})
     return out, found.filter("n > 1").select("match_id", "api_project", F.col("n").alias("candidates"))
