@@ -7,7 +7,7 @@ that follows (components, endpoints, fields, calls to methods) are joins and exp
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,7 @@ from ..functions.ids import stable_id
 from .masking import arguments, closing, code_only, without_comments
 from .sequence import first_per_key
 
-RECORD = "path string, record string, ordinal int, package string, owner string, name string, line int, end_line int, type string, supertypes string, receiver string, value string, final boolean, annotations array<struct<name:string,args:string>>"
+RECORD = "path string, record string, ordinal int, package string, owner string, name string, line int, end_line int, type string, supertypes string, receiver string, value string, arguments array<string>, final boolean, annotations array<struct<name:string,args:string,line:int>>"
 _WORDS = r"(?:public|protected|private|abstract|final|sealed|static|synchronized|default|native|transient|volatile|strictfp)"
 _TYPE = re.compile(rf"((?:{_WORDS}\s+)*)\b(class|interface|enum|record)\s+([A-Za-z_]\w*)\s*([^{{;]*)\{{")
 _MEMBER = re.compile(rf"(?<=[;{{}}\n)])\s*((?:{_WORDS}\s+)*)(?:<[^<>]*>\s*)?([A-Za-z_][\w.$]*(?:\s*<[\w\s<>,.?&\[\]$]*>)?(?:\s*\[\s*\])*)\s+([A-Za-z_]\w*)\s*([=;(])")
@@ -38,7 +38,7 @@ def scan_source(path: str, text: str) -> list[dict]:
     out: list[dict] = []
 
     def add(record, at, **more):
-        base = {"path": path, "record": record, "ordinal": len(out), "package": package, "owner": "", "name": "", "line": line_of(at), "end_line": 0, "type": "", "supertypes": "", "receiver": "", "value": "", "final": False, "annotations": []}
+        base = {"path": path, "record": record, "ordinal": len(out), "package": package, "owner": "", "name": "", "line": line_of(at), "end_line": 0, "type": "", "supertypes": "", "receiver": "", "value": "", "arguments": [], "final": False, "annotations": []}
         out.append(base | more)
 
     for m in re.finditer(r"^\s*import\s+(static\s+)?([^;]+);", clear, re.M):
@@ -57,7 +57,7 @@ def scan_source(path: str, text: str) -> list[dict]:
 
     def annotated(at: int) -> list[dict]:
         start = max(bare.rfind(c, 0, at) for c in ";{}") + 1
-        return [{"name": n, "args": v} for a, _, n, v in marks if start <= a < at]
+        return [{"name": n, "args": v, "line": line_of(a)} for a, _, n, v in marks if start <= a < at]
 
     types = []
     for m in _TYPE.finditer(bare):
@@ -94,7 +94,7 @@ def scan_source(path: str, text: str) -> list[dict]:
             body = after + tail.end() - 1
             end = closing(bare, body) if tail[1] == "{" else body + 1
             methods.append((body, end, m[3]))
-            add("method", name_at, owner=owner(name_at), name=m[3], type=declared, end_line=line_of(end - 1), value=", ".join(arguments(clear, bare, m.end() - 1)), annotations=annotated(m.start(2)))
+            add("method", name_at, owner=owner(name_at), name=m[3], type=declared, end_line=line_of(end - 1), value=", ".join(parameters := arguments(clear, bare, m.end() - 1)), arguments=parameters, annotations=annotated(m.start(2)))
             at = body
         else:
             stop = bare.find(";", m.end() - 1)
@@ -107,7 +107,7 @@ def scan_source(path: str, text: str) -> list[dict]:
             if m[3] in _NO_CALL or m[1]:
                 continue
             args = arguments(clear, bare, m.end() - 1)
-            add("call", m.start(3), owner=owner(m.start(3)), name=m[3], type=name, receiver=re.sub(r"\s+", "", m[2] or ""), value=args[0] if args else "")
+            add("call", m.start(3), owner=owner(m.start(3)), name=m[3], type=name, receiver=re.sub(r"\s+", "", m[2] or ""), value=args[0] if args else "", arguments=args)
     return out
 
 
@@ -178,10 +178,13 @@ def _path_values(args: Column) -> Column:
     return F.regexp_extract_all(F.when(named != "", named).otherwise(bare), F.lit('"([^"]*)"'), F.lit(1))
 
 
-def endpoints(records: DataFrame) -> DataFrame:
-    """(http_method, path, controller, method, file, line, return_type): methods x paths of REST controllers."""
+def endpoints(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(http_method, path, controller, method, file, line, return_type): methods x paths of REST controllers.
+
+    keys: further columns, as a project, within which a path names one file.
+    """
     names = list(MAPPINGS)
-    types = records.filter("record = 'type'").filter(has("RestController")).select("path", F.col("name").alias("owner"), F.coalesce(F.get(_path_values(args_of("RequestMapping")), F.lit(0)), F.lit("")).alias("base"))
+    types = records.filter("record = 'type'").filter(has("RestController")).select(*keys, "path", F.col("name").alias("owner"), F.coalesce(F.get(_path_values(args_of("RequestMapping")), F.lit(0)), F.lit("")).alias("base"))
     own = records.filter("record = 'method'").filter(F.exists("annotations", lambda a: a["name"].isin(*names)))
     mapping = F.get(F.filter("annotations", lambda a: a["name"].isin(*names)), F.lit(0))
     declared = F.regexp_extract_all(mapping["args"], F.lit(r"RequestMethod\.([A-Z]+)"), F.lit(1))
@@ -189,9 +192,9 @@ def endpoints(records: DataFrame) -> DataFrame:
     verbs = F.when(by_name != "", F.array(by_name)).when(F.size(declared) > 0, declared).otherwise(F.array(F.lit("GET")))
     found = _path_values(mapping["args"])
     each = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
-    rows = own.select("path", "owner", "name", "line", "type", F.explode(verbs).alias("http_method"), each.alias("each")).select("*", F.explode("each").alias("sub"))
-    joined = rows.join(types, ["path", "owner"])
-    return joined.select("http_method", paths.normalise(F.concat_ws("/", "base", "sub")).alias("path"), F.col("owner").alias("controller"), F.col("name").alias("method"), joined["path"].alias("file"), "line", F.col("type").alias("return_type"))
+    rows = own.select(*keys, "path", "owner", "name", "line", "type", F.explode(verbs).alias("http_method"), each.alias("each")).select("*", F.explode("each").alias("sub"))
+    joined = rows.join(types, [*keys, "path", "owner"])
+    return joined.select(*keys, "http_method", paths.normalise(F.concat_ws("/", "base", "sub")).alias("path"), F.col("owner").alias("controller"), F.col("name").alias("method"), joined["path"].alias("file"), "line", F.col("type").alias("return_type"))
 
 
 def dtos(records: DataFrame) -> DataFrame:

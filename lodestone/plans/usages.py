@@ -1,11 +1,13 @@
-"""What names in sources mean: script files made from the tables, with imports through barrels and hidden names."""
+"""What names in sources mean: script and Java files made from the tables, with imports through barrels, hidden names,
+and security rules by path."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import scripts, symbols
+from ..operators import java, scripts, security, symbols
+from ..operators.graph import written
 from .registry import Tables, query
 
 PROVIDER = """export function load~() {}
@@ -105,3 +107,65 @@ def api_symbol_usages(t: Tables) -> DataFrame:
         F.when(F.col("i") == 1, name).otherwise("").alias("name"), F.lit("").alias("export_name"), F.concat(F.lit("shop.p"), F.col("i").cast("string"), F.lit("."), name).alias("qualified_name"),
     )
     return symbols.reached_through_api(matches, each.select("match_id", "flow_id"), origins, steps, java)
+
+
+# A controller for each part; ^ is its project (the part's size), & its path, and @ what stands above its method.
+CONTROLLER = """package shop;
+@RestController
+@Secured("ROLE_^")
+class C~ {
+  @
+  @GetMapping("&")
+  String get() { return ""; }
+}
+"""
+PATHS = ("/api/k", "/api/k/{id}", "/other/~", "/base/~")
+ABOVE = ("@PermitAll", '@Secured("OWN")', "@PreAuthorize(\"hasRole('A')\")", "@Deprecated")
+ROUTES = 'class Routes {\n  static final String ROOT = "/api";\n  static final String KEYS = ROOT + Names.KEY;\n}\nclass Names {\n  static final String KEY = "/k";\n}\n'
+# Security of a project by its number mod 6: (order, matcher or none, rule).
+CHAINS = (
+    (),
+    ((1, "Routes.KEYS", "permitAll()"), (2, 'Routes.ROOT + "/**"', "authenticated()")),
+    ((1, '"/api/**"', "permitAll()"), (1, '"/api/**"', "authenticated()"), (2, '"/**"', "x509()")),
+    ((7, '"/api/k/**", "/other/**"', "httpBasic()"), (7, '"/api/**"', "formLogin()"), (9, "on ? Routes.KEYS : Routes.ROOT", "permitAll()")),
+    ((3, "", 'hasRole("ADMIN")'), (1, '"/base/**"', "authenticated()"), (2, "find()", "permitAll()")),
+    ((1, "find()", "oauth2Login()"), (2, 'find(), "/api/k"', "authenticated()")),
+)
+
+
+def java_sources(t: Tables) -> DataFrame:
+    """(path, language, content): a controller for each part, and for each size of parts the constants and configurations of a project."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda values, by: F.element_at(F.array(*(F.lit(v) for v in values)), (by % len(values) + 1).cast("int"))
+    text = F.lit(CONTROLLER)
+    for mark, value in (("@\n", F.concat(pick(ABOVE, key), F.lit("\n"))), ("&", pick(PATHS, F.floor(key / 4))), ("^", size.cast("string")), ("~", key.cast("string"))):
+        text = F.replace(text, F.lit(mark), value)
+    controllers = t.part.select(F.concat(F.lit("m"), size.cast("string"), F.lit("/src/main/java/C"), key.cast("string"), F.lit(".java")).alias("path"), text.alias("content"))
+    method = lambda n, order, matcher, rule: f"  @Order({order})\n  SecurityFilterChain c{n}(HttpSecurity http) {{\n" + (f"    http.securityMatcher({matcher});\n" if matcher else "") + f"    http.authorize(r -> r.anyRequest().{rule});\n    return http.build();\n  }}\n"
+    head = "import org.springframework.security.config.annotation.web.builders.HttpSecurity;\nimport org.springframework.security.web.SecurityFilterChain;\n@Configuration\nclass Config {\n"
+    configs = [head + "".join(method(n, *chain) for n, chain in enumerate(chains)) + "}\n" for chains in CHAINS]
+    folder = F.concat(F.lit("m"), size.cast("string"), F.lit("/src/main/java/"))
+    each = F.array(F.struct(F.concat(folder, F.lit("Config.java")).alias("path"), pick(configs, size).alias("content")), F.struct(F.concat(folder, F.lit("Routes.java")).alias("path"), F.lit(ROUTES).alias("content")))
+    projects = t.part.select("p_size").distinct().select(F.explode(each).alias("f")).select("f.*")
+    return controllers.unionByName(projects).withColumn("language", F.lit("java")).select("path", "language", "content")
+
+
+@query(
+    """WITH e AS (SELECT 'm' || p_size AS project, p_size % 6 AS c, 'C' || p_partkey AS controller, p_partkey % 4 AS a, p_size AS s, (p_partkey // 4) % 4 AS r,
+CASE (p_partkey // 4) % 4 WHEN 0 THEN '/api/k' WHEN 1 THEN '/api/k/{id}' WHEN 2 THEN '/other/' || p_partkey ELSE '/base/' || p_partkey END AS path FROM part),
+g(c, r, kind, category, confidence) AS (VALUES (1, 0, 'permit_all', 'public', 'EXTRACTED'), (1, 1, 'authenticated', 'authenticated', 'EXTRACTED'),
+(2, 0, 'permit_all', 'public', 'PARTIAL'), (2, 0, 'authenticated', 'authenticated', 'PARTIAL'), (2, 1, 'permit_all', 'public', 'PARTIAL'), (2, 1, 'authenticated', 'authenticated', 'PARTIAL'), (2, 2, 'x509', 'mtls', 'EXTRACTED'), (2, 3, 'x509', 'mtls', 'EXTRACTED'),
+(3, 0, 'http_basic', 'basic', 'EXTRACTED'), (3, 1, 'http_basic', 'basic', 'EXTRACTED'), (3, 2, 'http_basic', 'basic', 'EXTRACTED'),
+(4, 0, 'has_role', 'role', 'EXTRACTED'), (4, 1, 'has_role', 'role', 'EXTRACTED'), (4, 2, 'has_role', 'role', 'EXTRACTED'), (4, 3, 'authenticated', 'authenticated', 'EXTRACTED'),
+(5, 0, 'authenticated', 'authenticated', 'PARTIAL'), (5, 1, 'oauth2_login', 'oauth2', 'PARTIAL'), (5, 2, 'oauth2_login', 'oauth2', 'PARTIAL'), (5, 3, 'oauth2_login', 'oauth2', 'PARTIAL')),
+u AS (SELECT project, controller, path, kind, category, CASE kind WHEN 'has_role' THEN '"ADMIN"' ELSE '' END AS expression, 'security_config_call' AS source, confidence FROM e JOIN g USING (c, r)
+UNION ALL SELECT project, controller, path, 'secured', 'role', 'ROLE_' || s, 'class_annotation', 'EXTRACTED' FROM e WHERE a <> 1
+UNION ALL SELECT project, controller, path, 'secured', 'role', 'OWN', 'method_annotation', 'EXTRACTED' FROM e WHERE a = 1
+UNION ALL SELECT project, controller, path, 'permit_all', 'public', '', 'method_annotation', 'EXTRACTED' FROM e WHERE a = 0
+UNION ALL SELECT project, controller, path, 'pre_authorize', 'role', 'hasRole(''A'')', 'method_annotation', 'EXTRACTED' FROM e WHERE a = 2)
+SELECT *, bool_or(category = 'public') OVER w AND bool_or(category NOT IN ('public', 'unknown')) OVER w AS conflicting FROM u WINDOW w AS (PARTITION BY project, controller, path)"""
+)
+def endpoint_security(t: Tables) -> DataFrame:
+    # Files are scanned once: nearly every step below reads their records.
+    records = written(java.java_records(java_sources(t))).withColumn("project", F.split("path", "/")[0])
+    return security.endpoint_security(records).select("project", "controller", "path", "kind", "category", "expression", "source", "confidence", "conflicting")
