@@ -42,25 +42,30 @@ def config(*chains):
     return "src/main/java/Config.java", IMPORTS + "@Configuration\nclass Config {\n" + body + "}\n"
 
 
-def rules(spark, *chains, endpoints=CONTROLLER):
-    rows = security.endpoint_security(records(spark, ("C.java", endpoints), ("Routes.java", ROUTES), config(*chains)))
-    return {(r["path"], r["kind"], r["confidence"]) for r in rows.filter("source = 'security_config_call'").collect()}
+def rules(spark, **projects):
+    """Rules of configurations by project, each over the same controllers: {project: {(path, kind, confidence)}}."""
+    sources = [(f"{p}/{name}", text) for p, chains in projects.items() for name, text in (("C.java", CONTROLLER), ("Routes.java", ROUTES), config(*chains))]
+    rows = security.endpoint_security(records(spark, *sources).withColumn("project", F.split("path", "/")[0]))
+    got = {p: set() for p in projects}
+    for r in rows.filter("source = 'security_config_call'").collect():
+        got[r["project"]].add((r["path"], r["kind"], r["confidence"]))
+    return got
 
 
 FOLDED = [
     ('"/a"', ["/a"]), ('Routes.JOBS + "/**"', ["/internal/jobs/**"]), ("ROOT", ["/internal"]), ("Names.JOBS", ["jobs"]), ('x.y() ? "/a" : ROOT', ["/a", "/internal"]),
     ('a ? "/a" : b ? "/b" : "/c:?"', ["/a", "/b", "/c:?"]), ('a ? b ? "1" : "2" : "1"', ["1", "2"]), ('"a\\"b" + "c"', ['a"bc']), ("missing", None), ("call()", None), ("Loop.A", None), ('a ? "/a" : gone', None),
     ('a ? "1" : b ? "2" : c ? "3" : d ? "4" : "5"', None), ('"p" + (a ? "1" : "2")', None), ("", None), (None, None), ("this.ROOT", ["/internal"]), ('(ROOT + "/x")', ["/internal/x"]), ("Twice.T", None),
-    ("Chain.C8", ["end"]), ("Chain.C9", None),
+    ("Chain.C4", ["end"]), ("Chain.C5", None),
 ]
 
 
 def test_fold(spark):
     constants = [("Routes", "ROOT", '"/internal"'), ("Routes", "JOBS", 'ROOT + "/" + Names.JOBS'), ("Names", "JOBS", '"jobs"'), ("Loop", "A", "Loop.B"), ("Loop", "B", "Loop.A"), ("Twice", "T", '"1"'), ("Twice", "T", '"2"'), (None, "N", '"n"'), ("Chain", "C1", '"end"')]
-    constants += [("Chain", f"C{n}", f"C{n - 1}") for n in range(2, 10)]
+    constants += [("Chain", f"C{n}", f"C{n - 1}") for n in range(2, 6)]
     constants = spark.createDataFrame([("", *c) for c in constants], "project string, owner string, name string, expression string")
     asked = spark.createDataFrame([("", str(n), "Other", e) for n, (e, _) in enumerate(FOLDED)] + [("p", "n", "Other", "Names.JOBS")], "project string, node string, owner string, expression string")
-    got = {(r["project"], r["node"]): r["values"] for r in literals.fold(asked, constants).collect()}
+    got = {(r["project"], r["node"]): r["values"] for r in literals.fold(asked, constants, depth=4).collect()}
     assert got == {("", str(n)): want for n, (_, want) in enumerate(FOLDED) if want}
 
 
@@ -70,25 +75,26 @@ def test_fold_own_type_first(spark):
     assert {(r["node"], *r["values"]) for r in literals.fold(asked, constants).collect()} == {("A", "a"), ("B", "b")}
 
 
-def test_chains_by_path(spark):
-    got = rules(spark, (1, 'http.securityMatcher("/public/**"); r.permitAll();'), (2, 'http.securityMatcher(f.matcher(Routes.ROOT + "/**")); r.anyRequest().authenticated();'), (3, 'r.hasRole("ADMIN");'))
-    assert got == {("/public/status", "permit_all", "EXTRACTED"), ("/internal/jobs", "authenticated", "EXTRACTED"), ("/internal/deep/jobs", "authenticated", "EXTRACTED"), ("/other", "has_role", "EXTRACTED"), ("/plain", "has_role", "EXTRACTED")}
-
-
-def test_order_then_length(spark):
-    got = rules(spark, (5, 'http.securityMatcher("/internal/**", "/other"); r.permitAll();'), (5, 'http.securityMatcher("/internal/jobs"); r.httpBasic();'), (4, 'http.securityMatcher("/**"); r.formLogin();'))
-    assert {k for _, k, _ in got} == {"form_login"}
-    got = rules(spark, (5, 'http.securityMatcher("/internal/**", "/other"); r.permitAll();'), (5, 'http.securityMatcher("/internal/jobs"); r.httpBasic();'), (6, 'http.securityMatcher("/**"); r.formLogin();'))
-    assert got == {("/internal/jobs", "http_basic", "EXTRACTED"), ("/internal/deep/jobs", "permit_all", "EXTRACTED"), ("/other", "permit_all", "EXTRACTED"), ("/public/status", "form_login", "EXTRACTED"), ("/plain", "form_login", "EXTRACTED")}
-
-
-def test_disagreement_and_unknown_patterns(spark):
-    got = rules(spark, (1, 'http.securityMatcher("/internal/**"); r.permitAll();'), (1, 'http.securityMatcher("/internal/**"); r.authenticated();'), (0, "http.securityMatcher(dynamic()); r.x509();"))
-    both = {(p, k, "PARTIAL") for p in ("/internal/jobs", "/internal/deep/jobs") for k in ("permit_all", "authenticated")}
-    assert got == both | {(p, "x509", "PARTIAL") for p in ("/public/status", "/other", "/plain")}
-    # Rules that agree are no disagreement; a pattern with an inner * is unknown.
-    got = rules(spark, (1, 'http.securityMatcher("/internal/**"); r.permitAll();'), (1, 'http.securityMatcher("/internal/**", "/a/*/b"); r.permitAll();'))
-    assert got == {(p, "permit_all", c) for p in ("/internal/jobs", "/internal/deep/jobs") for c in ("EXTRACTED", "PARTIAL")}
+def test_choice_of_configurations(spark):
+    got = rules(
+        spark,
+        by_path=[(1, 'http.securityMatcher("/public/**"); r.permitAll();'), (2, 'http.securityMatcher(f.matcher(Routes.ROOT + "/**")); r.anyRequest().authenticated();'), (3, 'r.hasRole("ADMIN");')],
+        order=[(5, 'http.securityMatcher("/internal/**", "/other"); r.permitAll();'), (5, 'http.securityMatcher("/internal/jobs"); r.httpBasic();'), (4, 'http.securityMatcher("/**"); r.formLogin();')],
+        length=[(5, 'http.securityMatcher("/internal/**", "/other"); r.permitAll();'), (5, 'http.securityMatcher("/internal/jobs"); r.httpBasic();'), (6, 'http.securityMatcher("/**"); r.formLogin();')],
+        disagree=[(1, 'http.securityMatcher("/internal/**"); r.permitAll();'), (1, 'http.securityMatcher("/internal/**"); r.authenticated();'), (0, "http.securityMatcher(dynamic()); r.x509();")],
+        # Rules that agree are no disagreement; a pattern with an inner * is unknown.
+        inner=[(1, 'http.securityMatcher("/internal/**"); r.permitAll();'), (1, 'http.securityMatcher("/internal/**", "/a/*/b"); r.permitAll();')],
+        # Without an order a configuration is last.
+        last=[(None, 'http.securityMatcher("/internal/**"); r.permitAll();'), (9, 'http.securityMatcher("/**"); r.x509();')],
+    )
+    inside, outside = ("/internal/jobs", "/internal/deep/jobs"), ("/public/status", "/other", "/plain")
+    every = lambda paths, kind, c="EXTRACTED": {(p, kind, c) for p in paths}
+    assert got["by_path"] == every(["/public/status"], "permit_all") | every(inside, "authenticated") | every(["/other", "/plain"], "has_role")
+    assert got["order"] == every(inside + outside, "form_login")
+    assert got["length"] == every(["/internal/jobs"], "http_basic") | every(["/internal/deep/jobs", "/other"], "permit_all") | every(["/public/status", "/plain"], "form_login")
+    assert got["disagree"] == every(inside, "permit_all", "PARTIAL") | every(inside, "authenticated", "PARTIAL") | every(outside, "x509", "PARTIAL")
+    assert got["inner"] == every(inside, "permit_all") | every(inside, "permit_all", "PARTIAL")
+    assert got["last"] == every(inside + outside, "x509")
 
 
 def test_declared_rules(spark):
