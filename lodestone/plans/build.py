@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions import paths
 from ..functions.ids import stable_id
-from ..operators import aggregate, clients, extract, facts, flows, java, match, resolve, scripts, sequence
+from ..operators import aggregate, clients, extract, facts, flows, java, match, resolve, scripts, security, sequence
 from ..sources import files as sources
 
 # Folders that are never sources.
@@ -90,6 +90,7 @@ def derive(text: DataFrame, services: dict[str, str] | None = None) -> dict[str,
         "entities": java.entities(records),
         "repositories": java.repositories(records),
         "dtos": java.dtos(records),
+        "endpoint_security": security.endpoint_security(records),
         "facts": search,
         "fact_edges": facts.fact_edges(search, edges, matches),
         "evidence": facts.evidence(evidence, files),
