@@ -7,9 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def exploded(df: DataFrame, name: str, array: Column) -> DataFrame:
+    """df with a row for each element of an array, which is made once.
+
+    Before a plain explode, Spark tests an array that it makes for the test alone.  Null elements have no row.
+    """
+    return df.withColumn(name, F.explode_outer(array)).filter(F.col(name).isNotNull())
+
+
 def lines(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, line_no from 1, line): a final newline gives a last empty line."""
-    return df.select(*keys, F.posexplode(F.split(F.col(text), "\n"))).select(*keys, (F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
+    return df.select(*keys, F.posexplode_outer(F.split(F.col(text), "\n"))).filter("col is not null").select(*keys, (F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
 
 
 def tokens(value: Column, shortest: int = 2, cased: bool = True) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lines
+from ..functions.text import exploded, lines
+from .graph import sized
 
 # Language, capability, kind, framework, words of the line, words of the lower-cased line.
 _ROUTE, _CLIENT, _STORE, _MESSAGE, _RPC, _TEST = "http_route", "http_client", "persistence", "message_consumer_or_producer", "rpc_service", "test"
@@ -78,7 +79,7 @@ def capability_facts(sources: DataFrame) -> DataFrame:
         found.append((language, capability, kind, framework, hit))
     found += [(language, capability, kind, framework, F.rlike("line", F.lit(p))) for language, capability, kind, framework, p in PATTERNS]
     each = F.array(*(F.when((F.col("family") == language) & hit, F.struct(F.lit(c).alias("capability"), F.lit(k).alias("kind"), F.lit(f).alias("framework"))) for language, c, k, f, hit in found))
-    return rows.withColumn("x", F.explode(F.array_distinct(F.filter(each, lambda x: x.isNotNull())))).select("path", "language", "line_no", "x.*")
+    return exploded(rows, "x", F.array_distinct(F.filter(each, lambda x: x.isNotNull()))).select("path", "language", "line_no", "x.*")
 
 
 def weak_flows(flows: DataFrame, steps: DataFrame, limit: int = 10) -> DataFrame:
@@ -86,7 +87,7 @@ def weak_flows(flows: DataFrame, steps: DataFrame, limit: int = 10) -> DataFrame
     bad = ~F.coalesce("confidence", F.lit("")).isin("", "EXTRACTED", "RESOLVED")
     reason = F.when(F.coalesce("reason", F.lit("")) != "", F.col("reason")).otherwise(F.concat(F.lit("flow contains inferred step "), F.col("name")))
     first = steps.groupBy("route_id").agg(F.count("*").alias("n"), F.min_by(F.struct("confidence", reason.alias("reason")), F.when(bad, F.col("pos"))).alias("x"))
-    out = flows.select("route_id").distinct().join(first, "route_id", "left")
+    out = flows.select("route_id").distinct().join(sized(first), "route_id", "left")
     empty = F.col("n").isNull()
     weak = out.select("route_id", F.when(empty, "WEAK_MATCH").otherwise(F.col("x.confidence")).alias("confidence"), F.when(empty, "flow has no resolved handler or call steps").otherwise(F.col("x.reason")).alias("reason"))
     return weak.filter("confidence is not null").orderBy("route_id").limit(limit)

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import lines
+from ..functions.text import exploded, lines
+from .graph import sized
 from .sequence import enclosing
 
 
@@ -84,22 +85,30 @@ KIND_NAMES = {"fn": "function", "fun": "function", "func": "function", "def": "f
 LOW_VALUE_CALLS = ("if", "for", "while", "switch", "catch", "return", "function", "func", "def", "class", "new", "print", "println", "len", "append", "make", "super", "require", "import")
 
 
-def _apply(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+def _apply(rows: DataFrame, rules: tuple[Rule, ...], outer: bool = False) -> DataFrame:
     """rows (…, language, line) exploded to (…, name, kind), in the order of the rules.
 
     The pattern is tried only on lines of the rule's languages; what doesn't match gives an empty name.
+    outer: a line without a name stays, with nulls.
     """
-    found = []
+    found, tried = [], {}
     for k, r in enumerate(rules):
         line = F.col("line")
+        for language in r.languages:
+            tried.setdefault(language, []).append(f"(?:{r.pattern})")
         name = F.trim(F.regexp_extract(line, r.pattern, r.name))
         label = F.lit(r.kind) if isinstance(r.kind, str) else F.lower(F.regexp_extract(line, r.pattern, r.kind))
         for a, b in KIND_NAMES.items() if not isinstance(r.kind, str) else ():
             label = F.when(label == a, F.lit(b)).otherwise(label)
         hit = F.struct(F.lit(k).alias("rule"), name.alias("name"), label.alias("kind"))
         found.append(F.when(F.col("language").isin(*r.languages), hit))
-    hits = F.filter(F.array(*found), lambda h: h.isNotNull() & (h["name"] != ""))
-    return rows.withColumn("hit", F.explode(hits)).select(*[c for c in rows.columns if c != "line"], "hit.name", "hit.kind")
+    # Most lines fit no rule of their language, which one pattern tells.
+    some = F.lit(False)
+    for language, patterns in tried.items():
+        some = F.when(F.col("language") == language, F.rlike(line, F.lit("|".join(patterns)))).otherwise(some)
+    hits = F.when(some, F.filter(F.array(*found), lambda h: h.isNotNull() & (h["name"] != "")))
+    out = rows.withColumn("hit", F.explode_outer(hits)) if outer else exploded(rows.filter(some), "hit", hits)
+    return out.select(*[c for c in rows.columns if c != "line"], "hit.name", "hit.kind")
 
 
 def symbols(sources: DataFrame) -> DataFrame:
@@ -107,15 +116,19 @@ def symbols(sources: DataFrame) -> DataFrame:
 
     Python methods and PHP methods are indented; test_ names and Go Test functions are tests.
     """
-    rows = lines(sources, "content", "path", "language")
-    out = _apply(rows.withColumn("indented", F.col("line").rlike(r"^\s+")), SYMBOLS)
+    return _symbols(lines(sources, "content", "path", "language")).select("path", "language", "line_no", "name", "kind")
+
+
+def _symbols(rows: DataFrame, outer: bool = False) -> DataFrame:
+    """rows (path, language, line_no, line, …) with name and kind of the line's symbols."""
+    out = _apply(rows.withColumn("indented", F.col("line").rlike(r"^\s+")), SYMBOLS, outer)
     kind = (
         F.when((F.col("kind") == "function") & F.col("language").isin("python", "php") & F.col("name").rlike("^test_?"), "test")
         .when((F.col("kind") == "function") & (F.col("language") == "go") & F.col("name").rlike("^Test[A-Za-z0-9_]*$"), "test")
         .when((F.col("kind") == "function") & F.col("language").isin("python", "php") & F.col("indented"), "method")
         .otherwise(F.col("kind"))
     )
-    return out.select("path", "language", "line_no", "name", kind.alias("kind"))
+    return out.withColumn("kind", kind).drop("indented")
 
 
 def relations(sources: DataFrame) -> DataFrame:
@@ -143,7 +156,7 @@ def routes(sources: DataFrame) -> DataFrame:
         hit = F.struct(F.lit(framework).alias("framework"), F.upper(get(method)).alias("http_method"), get(route).alias("route"), get(handler).alias("handler"))
         found.append(F.when(F.col("language").isin(*languages), hit))
     hits = F.filter(F.array(*found), lambda h: h.isNotNull() & (h["route"] != ""))
-    line_routes = rows.withColumn("h", F.explode(hits)).select("path", "language", "line_no", "h.*")
+    line_routes = exploded(rows, "h", hits).select("path", "language", "line_no", "h.*")
     return line_routes.unionByName(decorated_routes(rows)).unionByName(script_routes(rows))
 
 
@@ -172,10 +185,10 @@ def script_routes(rows: DataFrame) -> DataFrame:
     made = rf"^\s*(?:const|let|var)\s+({_JS})\s*=\s*({_JS})(?:\s*\.\s*Router)?\s*\("
     factories = own.select("path", factory.alias("factory")).filter("factory is not null").distinct()
     receivers = own.select("path", F.regexp_extract("line", made, 1).alias("receiver"), F.regexp_extract("line", made, 2).alias("factory")).filter("receiver <> ''")
-    receivers = receivers.join(factories, ["path", "factory"], "left_semi").select("path", "receiver").distinct()
+    receivers = receivers.join(sized(factories), ["path", "factory"], "left_semi").select("path", "receiver").distinct()
     call = rf"""\b({_JS})\s*\.\s*(get|post|put|delete|patch|options|head)\s*\(\s*["']([^"']+)["']\s*,\s*({_JS})"""
     calls = own.select("path", "language", "line_no", *(F.regexp_extract("line", call, k + 1).alias(n) for k, n in enumerate(("receiver", "verb", "route", "handler")))).filter("route <> ''")
-    return calls.join(receivers, ["path", "receiver"], "left_semi").select("path", "language", "line_no", F.lit("script-server").alias("framework"), F.upper("verb").alias("http_method"), "route", "handler")
+    return calls.join(sized(receivers), ["path", "receiver"], "left_semi").select("path", "language", "line_no", F.lit("script-server").alias("framework"), F.upper("verb").alias("http_method"), "route", "handler")
 
 
 def calls(sources: DataFrame, low_value: tuple[str, ...] = LOW_VALUE_CALLS) -> DataFrame:
@@ -183,7 +196,7 @@ def calls(sources: DataFrame, low_value: tuple[str, ...] = LOW_VALUE_CALLS) -> D
     rows = lines(sources, "content", "path", "language")
     pattern = rf"(?:({_JS})\s*(?:\.|->|::)\s*)?\b({_JS})\s*\("
     pairs = F.arrays_zip(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)).alias("receiver"), F.regexp_extract_all("line", F.lit(pattern), F.lit(2)).alias("name"))
-    found = rows.withColumn("c", F.explode(F.array_distinct(pairs))).select("path", "language", "line_no", "c.receiver", "c.name")
+    found = exploded(rows.filter(F.contains("line", F.lit("("))), "c", F.array_distinct(pairs)).select("path", "language", "line_no", "c.receiver", "c.name")
     return found.filter(~F.col("name").isin(*low_value))
 
 
@@ -196,13 +209,15 @@ def functions_with_ends(sources: DataFrame) -> DataFrame:
     The owner is the Python class that a deeper function follows, or the PHP class whose braces hold it.
     The lines of a file are read once in order, with a stack of the functions that are still open.
     """
-    heads = symbols(sources).filter("kind in ('function', 'method', 'test') or (kind = 'class' and language in ('python', 'php'))").select("path", "line_no", "name", "kind")
     rows = lines(sources, "content", "path", "language")
     opens, closes = F.length("line") - F.length(F.replace(F.col("line"), F.lit("{"))), F.length("line") - F.length(F.replace(F.col("line"), F.lit("}")))
     indent = F.length("line") - F.length(F.ltrim("line"))
     solid = (F.trim("line") != "") & ~F.trim("line").startswith("#")
-    rows = rows.select("path", (F.col("language") == "python").alias("python"), "line_no", opens.alias("o"), closes.alias("c"), F.when(solid, indent).alias("indent"))
-    rows = rows.join(heads, ["path", "line_no"], "left").repartition("path").sortWithinPartitions("path", "line_no", "name")
+    rows = rows.select("path", "language", "line_no", "line", opens.alias("o"), closes.alias("c"), F.when(solid, indent).alias("indent"))
+    # A line is read once, for its brackets and for what it declares; other symbols leave a line without a name.
+    head = F.col("kind").isin("function", "method", "test") | ((F.col("kind") == "class") & F.col("language").isin("python", "php"))
+    rows = _symbols(rows, outer=True).withColumns({"python": F.col("language") == "python", "name": F.when(head, F.col("name")), "kind": F.when(head, F.col("kind"))}).drop("language")
+    rows = rows.repartition("path").sortWithinPartitions("path", "line_no", "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, line, last, depth, stack, found = None, 0, None, 0, [], []
@@ -289,7 +304,7 @@ def call_usage(sources: DataFrame, functions: DataFrame, points: DataFrame) -> D
     """
     rows = lines(sources.filter(F.col("language").isin(*_SCRIPT)), "content", "path")
     bound = rows.select(F.col("path").alias("file"), F.explode(F.regexp_extract_all("line", F.lit(HANDLER), F.lit(1))).alias("name")).distinct()
-    inner = functions.join(bound, ["file", "name"], "left_semi").select("file", (F.col("line") + 1).alias("low"), (F.col("end_line") - 1).alias("high"), F.lit("event_handler").alias("usage"))
+    inner = functions.join(sized(bound), ["file", "name"], "left_semi").select("file", (F.col("line") + 1).alias("low"), (F.col("end_line") - 1).alias("high"), F.lit("event_handler").alias("usage"))
     effects = effect_ranges(sources).select(F.col("path").alias("file"), "low", "high", F.lit("effect").alias("usage"))
     held = lambda ranges: enclosing(points, ranges, "file", "line", "low", "high", "usage")
     return held(inner).unionByName(held(effects)).groupBy("file", "point_id").agg(F.max("usage").alias("usage"))
