@@ -7,7 +7,9 @@ leaves them.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,25 +38,25 @@ def call_edges(functions: DataFrame, calls: DataFrame) -> DataFrame:
     A repeated owner.method takes the last function, a name the first.
     """
     caller = functions.select("fn_id", *(F.col(c).alias(f"from_{c}") for c in ("language", "file", "owner", "name", "kind", "line")))
-    uses = calls.select("call_id", "fn_id", F.regexp_replace(F.coalesce("receiver", F.lit("")), r"^\$", "").alias("receiver"), F.coalesce("owner", F.lit("")).alias("call_owner"), F.col("method").alias("key"), F.col("line").alias("call_line"), "usage").join(caller, "fn_id").drop("fn_id")
+    uses = calls.select("call_id", "fn_id", F.regexp_replace(F.coalesce("receiver", F.lit("")), r"^\$", "").alias("receiver"), F.coalesce("owner", F.lit("")).alias("call_owner"), F.col("method").alias("key"), F.col("line").alias("call_line"), "usage").join(graph.sized(caller), "fn_id").drop("fn_id")
     target = functions.select(F.col("name").alias("key"), F.col("fn_id").alias("to_id"), *(F.col(c).alias(f"to_{c}") for c in ("language", "file", "owner", "name", "kind", "line")))
-    owned = F.coalesce("to_owner", F.lit("")) != ""
-    last = F.max("to_id").over(W.partitionBy("to_owner", "key"))
-    target = target.withColumn("last_owned", F.when(owned, last == F.col("to_id")).otherwise(False))
-    other = F.col("to_name") != F.col("from_name")
-    language = F.col("to_language") == F.col("from_language")
-    package = (paths.package_of(F.col("from_file")) != "") & (paths.package_of(F.col("from_file")) == paths.package_of(F.col("to_file")))
+    own = lambda c: F.coalesce(c, F.lit(""))
+    other = F.col("key") != F.col("from_name")
+    language = (F.col("from_language"), F.col("to_language"))
+    both = lambda of: (of(F.col("from_file")), of(F.col("to_file")))
     tiers = [
-        ("owner", F.col("last_owned") & (F.col("call_owner") != "") & (F.col("to_owner") == F.col("call_owner"))),
-        ("receiver", F.col("last_owned") & (F.col("receiver") != "") & (F.col("to_owner") == F.col("receiver"))),
-        ("file", language & other & (F.col("to_file") == F.col("from_file"))),
-        ("app", language & other & (paths.app_of(F.col("to_file")) == paths.app_of(F.col("from_file")))),
-        ("package", language & other & package),
-        ("language", language & other),
-        ("any", other | (F.col("to_file") != F.col("from_file"))),
+        resolve.Tier("owner", ((F.col("call_owner"), F.col("to_owner")),), F.col("call_owner") != "", own(F.col("to_owner")) != "", last=True),
+        resolve.Tier("receiver", ((F.col("receiver"), F.col("to_owner")),), F.col("receiver") != "", own(F.col("to_owner")) != "", last=True),
+        resolve.Tier("file", (language, both(lambda f: f)), other),
+        resolve.Tier("app", (language, both(paths.app_of)), other),
+        resolve.Tier("package", (language, both(paths.package_of)), other & (paths.package_of(F.col("from_file")) != "")),
+        resolve.Tier("language", (language,), other),
+        resolve.Tier("any", (), other),
+        # A call to the caller's own name.
+        resolve.Tier("any", apart=both(lambda f: f)),
     ]
-    found = resolve.by_priority(uses, target, "key", "call_id", "to_id", [(n, c) for n, c in tiers], "to_id")
-    joined = uses.join(found, "call_id").join(target.drop("key", "last_owned"), "to_id")
+    found = resolve.by_priority(uses, target, "key", "call_id", "to_id", tiers, "to_id")
+    joined = uses.join(graph.sized(found), "call_id").join(graph.sized(target.drop("key")), "to_id")
     kept = joined.filter(_same_place(F.col("from_file"), F.col("to_file")))
     reason = F.concat_ws(" ", "from_language", F.when(F.col("usage") == "effect", "effect call match").when(F.col("usage") == "event_handler", "event handler call match").otherwise("static call match"))
     return kept.select(
@@ -121,73 +123,99 @@ def endpoint_tests(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
 
 
 def _near_edges(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(route_id, edges within depth of the route's start): one semi-naive level at a time."""
+    """(route_id, start, edges within depth of the route's start): one semi-naive level at a time."""
     e = edges.withColumn("from_key", method_key(F.col("from_file"), F.col("from_owner"), F.col("from_name"))).withColumn("to_key", method_key(F.col("to_file"), F.col("to_owner"), F.col("to_name")))
-    frontier, nodes = starts.select("route_id", "key"), starts.select("route_id", "key")
+    # Every level reads the edges, so they are made once.
+    e = graph.sized(graph.written(e))
+    starts = graph.written(starts.select("route_id", "key"))
+    frontier, nodes = starts, starts
     for _ in range(depth - 1):
         step = frontier.join(e.select(F.col("from_key").alias("key"), "to_key"), "key").select("route_id", F.col("to_key").alias("key")).distinct()
-        frontier = graph.settle(step.join(nodes, ["route_id", "key"], "left_anti"))
+        frontier = graph.written(step.join(graph.sized(nodes), ["route_id", "key"], "left_anti"))
         nodes = nodes.unionByName(frontier)
-    return nodes.distinct().join(e.withColumnRenamed("from_key", "key"), "key").withColumnRenamed("key", "from_key")
+    near = nodes.distinct().join(e.withColumnRenamed("from_key", "key"), "key").withColumnRenamed("key", "from_key")
+    return near.join(graph.sized(starts.select("route_id", F.col("key").alias("start"))), "route_id")
 
 
 STEPS = "route_id string, pos int, name string, owner string, file string, line int, caller string, confidence string, reason string"
 
 
-def _walk(kind: str):
-    """Steps of one route: dfs to depth 4 with visits shared by all branches, or the first four of a queue."""
-
-    def steps(frame: pd.DataFrame) -> pd.DataFrame:
-        route, start = frame["route_id"].iloc[0], frame["start"].iloc[0]
-        frame = frame.sort_values(["from_file", "from_name", "call_line", "to_file", "to_name", "id"])
-        by: dict[str, list] = {}
-        for row in frame.itertuples():
-            if isinstance(row.from_key, str):
-                by.setdefault(row.from_key, []).append(row)
-        out = []
-
-        def emit(row):
-            caller = ".".join(x for x in (row.from_owner, row.from_name) if isinstance(x, str) and x)
-            out.append((route, len(out) + 1, row.to_name, row.to_owner, row.to_file, row.to_line, caller, row.confidence, row.reason))
-
-        visited = set()
-        if kind == "dfs":
-
-            def walk(key, depth):
-                if depth >= 4 or key in visited:
-                    return
-                visited.add(key)
-                for row in by.get(key, ()):
-                    emit(row)  # before its target is tested for a visit
-                    walk(row.to_key, depth + 1)
-
-            walk(start, 0)
-        else:
-            visited.add(start)
-            queue = [start]
-            for _ in range(4):
-                if not queue:
-                    break
-                for row in by.get(queue.pop(0), ()):
-                    if row.to_key not in visited:
-                        visited.add(row.to_key)
-                        emit(row)
-                        queue.append(row.to_key)
-        return pd.DataFrame(out, columns=["route_id", "pos", "name", "owner", "file", "line", "caller", "confidence", "reason"])
-
-    return steps
+def _steps(kind: str, start: str, rows: list[tuple]) -> Iterator[tuple]:
+    """Edges in the order of a walk from start: dfs to depth 4 with visits shared by all branches, or the first four of a queue.
+
+    rows: the edges of one route in order, each beginning with from_key and to_key.
+    """
+    by: dict[str, list] = {}
+    for row in rows:
+        if row[0] is not None:
+            by.setdefault(row[0], []).append(row)
+    visited = set()
+    if kind == "dfs":
+
+        def walk(key: str, depth: int) -> Iterator[tuple]:
+            if depth >= 4 or key in visited:
+                return
+            visited.add(key)
+            for row in by.get(key, ()):
+                yield row  # before its target is tested for a visit
+                yield from walk(row[1], depth + 1)
+
+        yield from walk(start, 0)
+        return
+    visited.add(start)
+    queue = [start]
+    for _ in range(4):
+        if not queue:
+            break
+        for row in by.get(queue.pop(0), ()):
+            if row[1] not in visited:
+                visited.add(row[1])
+                yield row
+                queue.append(row[1])
+
+
+def _walked(near: DataFrame, kind: str) -> DataFrame:
+    """The steps of every route; routes are read one after the other from sorted partitions."""
+    order = [F.col(c).asc_nulls_last() for c in ("from_file", "from_name", "call_line", "to_file", "to_name", "id")]
+    rows = near.repartition("route_id").sortWithinPartitions("route_id", "start", *order)
+    rows = rows.select("route_id", "start", "from_key", "to_key", "from_owner", "from_name", "to_name", "to_owner", "to_file", F.col("to_line").cast("int"), "confidence", "reason")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split(" ")[0] for c in STEPS.split(", ")]
+        kinds = [pa.int32() if c.endswith(" int") else pa.string() for c in STEPS.split(", ")]
+        held: list[tuple] = []
+
+        def steps() -> list[tuple]:
+            if not held:
+                return []
+            route, start = held[0][:2]
+            walk = _steps(kind, start, [row[2:] for row in held])
+            held.clear()
+            return [(route, k, name, owner, file, line, ".".join(x for x in own if x), confidence, reason) for k, (_, _, *own, name, owner, file, line, confidence, reason) in enumerate(walk, 1)]
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * len(names), kinds)], names)
+
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[0] != held[0][0]:
+                    found += steps()
+                held.append(row)
+            yield out(found)
+        yield out(steps())
+
+    return rows.mapInArrow(run, STEPS)
 
 
 def code_flows(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """(route_id, pos, step): depth-first walk of each route's handler; starts: route_id, key."""
-    near = _near_edges(edges, starts, 4).join(starts.select("route_id", F.col("key").alias("start")), "route_id")
-    return near.groupBy("route_id").applyInPandas(_walk("dfs"), STEPS)
+    return _walked(_near_edges(edges, starts, 4), "dfs")
 
 
 def endpoint_flows(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """As code_flows, by the queue that expands at most four nodes."""
-    near = _near_edges(edges, starts, 4).join(starts.select("route_id", F.col("key").alias("start")), "route_id")
-    return near.groupBy("route_id").applyInPandas(_walk("fifo"), STEPS)
+    return _walked(_near_edges(edges, starts, 4), "fifo")
 
 
 def route_handlers(routes: DataFrame, functions: DataFrame) -> DataFrame:
@@ -195,14 +223,14 @@ def route_handlers(routes: DataFrame, functions: DataFrame) -> DataFrame:
     handler = F.trim("handler")
     uses = routes.select("route_id", "language", "file", "app", "package", handler.alias("handler"), F.regexp_extract(handler, r"([^.]*)$", 1).alias("key")).filter("handler <> ''")
     target = functions.select(F.col("name").alias("key"), "fn_id", F.col("language").alias("fl"), F.col("file").alias("ff"), F.col("owner").alias("fo"))
-    same = F.col("fl") == F.col("language")
+    same = (F.col("language"), F.col("fl"))
     tiers = [
-        ("owner", (F.coalesce("fo", F.lit("")) != "") & (F.concat_ws(".", "fo", "key") == F.col("handler"))),
-        ("file", same & (F.col("ff") == F.col("file"))),
-        ("app", same & (F.col("app") != "") & (paths.app_of(F.col("ff")) == F.col("app"))),
-        ("package", same & (F.col("package") != "") & (paths.package_of(F.col("ff")) == F.col("package"))),
-        ("language", same),
-        ("any", F.lit(True)),
+        resolve.Tier("owner", ((F.col("handler"), F.concat_ws(".", "fo", "key")),), candidate=F.coalesce("fo", F.lit("")) != ""),
+        resolve.Tier("file", (same, (F.col("file"), F.col("ff")))),
+        resolve.Tier("app", (same, (F.col("app"), paths.app_of(F.col("ff")))), F.col("app") != ""),
+        resolve.Tier("package", (same, (F.col("package"), paths.package_of(F.col("ff")))), F.col("package") != ""),
+        resolve.Tier("language", (same,)),
+        resolve.Tier("any"),
     ]
     return resolve.by_priority(uses, target, "key", "route_id", "fn_id", tiers, "fn_id").select("route_id", "fn_id")
 
@@ -316,7 +344,8 @@ def trace_steps(matches: DataFrame, frontend_steps: DataFrame, backend_steps: Da
         .unionByName(part(tests, 5, "test", filled(F.col("name"), F.col("file")), F.lit("test"), F.col("file"), F.col("name"), **ours))
         .filter("label <> ''")
     )
-    once = sequence.first_per_key(rows, ["trace_id", "step_id"], [F.col("stage"), F.col("pos"), F.col("label")])
+    # Every window below lies within a trace: rows are moved once.
+    once = sequence.first_per_key(rows.repartition("trace_id"), ["trace_id", "step_id"], [F.col("stage"), F.col("pos"), F.col("label")])
     order = W.partitionBy("trace_id").orderBy("stage", "pos", "label", "step_id")
     return once.withColumn("n", F.row_number().over(order)).drop("stage", "pos")
 
@@ -339,9 +368,10 @@ def trace_role(kind: Column, label: Column) -> Column:
 def directed_traces(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes with role, is_entry and is_exit, edges between consecutive steps)."""
     edges = sequence.step_edges(steps, "trace_id", ["n"], "step_id", "kind")
-    into = edges.select("trace_id", F.col("to_node").alias("step_id")).distinct().withColumn("_in", F.lit(True))
-    out = edges.select("trace_id", F.col("from_node").alias("step_id")).distinct().withColumn("_out", F.lit(True))
-    nodes = steps.join(into, ["trace_id", "step_id"], "left").join(out, ["trace_id", "step_id"], "left")
+    # A node is left or entered if any of its steps is; both windows lie within a trace, so it is moved once.
+    along, node = W.partitionBy("trace_id").orderBy("n"), W.partitionBy("trace_id", "step_id")
+    nodes = steps.withColumns({"_in": F.lag(F.lit(True)).over(along), "_out": F.lead(F.lit(True)).over(along)})
+    nodes = nodes.withColumns({c: F.max(c).over(node) for c in ("_in", "_out")})
     nodes = nodes.select("trace_id", "n", "step_id", trace_role(F.col("kind"), F.col("label")).alias("role"), "label", "file", "line", F.col("_in").isNull().alias("is_entry"), F.col("_out").isNull().alias("is_exit"))
     return nodes, edges
 

@@ -2,24 +2,64 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import sized
+
+
+@dataclass(frozen=True)
+class Tier:
+    """Which candidates fit a use: their values equal the use's in every pair of same (use, candidate).
+
+    use and candidate are conditions on one side alone; apart is a pair that must differ; last takes the last
+    candidate instead of the first.
+    """
+
+    name: str
+    same: tuple[tuple[Column, Column], ...] = ()
+    use: Column | None = None
+    candidate: Column | None = None
+    apart: tuple[Column, Column] | None = None
+    last: bool = False
 
-def by_priority(uses: DataFrame, candidates: DataFrame, key: str, use_id: str, order: str, tiers: list[tuple[str, Column]], result: str) -> DataFrame:
+
+def by_priority(uses: DataFrame, candidates: DataFrame, key: str, use_id: str, order: str, tiers: list[Tier], result: str) -> DataFrame:
     """(use_id, result, tier): for each use the first candidate of the best tier that holds.
 
-    Candidates share key with the use; tiers are conditions on the joined row, best first.  The choice
-    is one aggregation (a minimum of tier and order), so no use gathers its candidates.
+    Candidates share key with the use; tiers are best first.  Candidates are reduced to the first one for
+    each tier and its values (two, where a pair must differ) before they meet uses, so a use meets at most
+    two rows of a tier, however many candidates have its key.
     """
-    rank = F.lit(None).cast("int")
-    for k in range(len(tiers) - 1, -1, -1):
-        rank = F.when(tiers[k][1], F.lit(k)).otherwise(rank)
-    joined = uses.join(candidates, key).withColumn("_tier", rank).filter(F.col("_tier").isNotNull())
-    best = joined.groupBy(use_id).agg(F.min(F.struct("_tier", F.col(order).alias("_order"), F.col(result).alias("_result"))).alias("m"))
-    names = F.array(*(F.lit(n) for n, _ in tiers))
-    return best.select(use_id, F.col("m._result").alias(result), F.get(names, F.col("m._tier")).alias("tier"))
+
+    def told(df: DataFrame, side: int, *kept: str) -> DataFrame:
+        each = []
+        for k, t in enumerate(tiers):
+            values = [pair[side].cast("string") for pair in t.same]
+            other = F.lit(None).cast("string") if t.apart is None else t.apart[side].cast("string")
+            ok = F.lit(True)
+            for c in [(t.use, t.candidate)[side], *(v.isNotNull() for v in values), *((other.isNotNull(),) if t.apart else ())]:
+                ok = ok if c is None else ok & c
+            each.append(F.when(ok, F.struct(F.lit(k).alias("tier"), F.array(*values).cast("array<string>").alias("same"), other.alias("apart"))))
+        return df.select(key, *kept, F.explode(F.array(*each)).alias("_t")).filter("_t is not null").select(key, *kept, F.col("_t.tier").alias("_tier"), F.col("_t.same").alias("_same"), F.col("_t.apart").alias("_apart"))
+
+    at = [key, "_tier", "_same"]
+    lasts = [k for k, t in enumerate(tiers) if t.last]
+    one = F.struct(F.col(order).alias("_order"), F.col(result).alias("_result"))
+    mine = candidates.select(key, one.alias("_c"), *(c for c in candidates.columns if c != key))
+    best = F.min("_c")
+    best = F.when(F.first("_tier").isin(*lasts), F.max("_c")).otherwise(best) if lasts else best
+    first = told(mine, 1, "_c").groupBy(*at, F.col("_apart").alias("_other")).agg(best.alias("_c"))
+    if any(t.apart for t in tiers):
+        # The first of the two differs from the use, or the second does.
+        first = first.withColumn("_n", F.row_number().over(W.partitionBy(*at).orderBy("_c"))).filter("_n <= 2").drop("_n")
+    met = told(uses, 0, use_id).join(sized(first), at).filter("_apart is null or _apart <> _other")
+    chosen = met.groupBy(use_id).agg(F.min(F.struct("_tier", "_c")).alias("m"))
+    names = F.array(*(F.lit(t.name) for t in tiers))
+    return chosen.select(use_id, F.col("m._c._result").alias(result), F.get(names, F.col("m._tier")).alias("tier"))
 
 
 def with_cardinality(uses: DataFrame, candidates: DataFrame, key: str, use_id: str, result: str) -> DataFrame:

@@ -189,7 +189,7 @@ SELECT s_suppkey, CASE WHEN s_suppkey = u.p_partkey % 100 THEN 0 WHEN s_suppkey
 def call_resolution_priority(t: Tables) -> DataFrame:
     uses = t.part.select(F.col("p_partkey").alias("use_id"), (F.col("p_size") % 25).alias("s_nationkey"))
     own, key = F.col("use_id"), F.col("s_suppkey")
-    tiers = [("same_key", key == own % 100), ("same_digit", key % 10 == own % 10), ("any", F.lit(True))]
+    tiers = [resolve.Tier("same_key", ((own % 100, key),)), resolve.Tier("same_digit", ((own % 10, key % 10),)), resolve.Tier("any")]
     found = resolve.by_priority(uses, t.supplier.select("s_nationkey", "s_suppkey", F.col("s_suppkey").alias("supplier")), "s_nationkey", "use_id", "s_suppkey", tiers, "supplier")
     return found.select("use_id", "supplier", "tier")
 
