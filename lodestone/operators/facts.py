@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.ids import evidence_id, ranked, stable_id
+from .graph import sized
 
 
 def _fact(df: DataFrame, kind: str, name: Column, qualified: Column, file: Column, line: Column, confidence: Column, *text: Column) -> DataFrame:
@@ -57,5 +58,5 @@ def evidence(rows: DataFrame, files: DataFrame) -> DataFrame:
     rows: file, line, analyzer, method, reason; a row of an unknown file gives none.
     """
     known = files.select(F.col("path").alias("file"), "sha256")
-    parts = rows.select("file", "line", "analyzer", "method", "reason").distinct().join(known, "file")
+    parts = rows.select("file", "line", "analyzer", "method", "reason").distinct().join(sized(known), "file")
     return parts.withColumn("evidence_id", evidence_id(*(F.col(c) for c in ("file", "line", "analyzer", "method", "reason", "sha256"))))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.ids import stable_id
+from .graph import sized
 from .masking import arguments, closing, code_only, without_comments
 from .sequence import first_per_key
 
@@ -193,7 +194,7 @@ def endpoints(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     found = _path_values(mapping["args"])
     each = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
     rows = own.select(*keys, "path", "owner", "name", "line", "type", F.explode(verbs).alias("http_method"), each.alias("each")).select("*", F.explode("each").alias("sub"))
-    joined = rows.join(types, [*keys, "path", "owner"])
+    joined = rows.join(sized(types), [*keys, "path", "owner"])
     return joined.select(*keys, "http_method", paths.normalise(F.concat_ws("/", "base", "sub")).alias("path"), F.col("owner").alias("controller"), F.col("name").alias("method"), joined["path"].alias("file"), "line", F.col("type").alias("return_type"))
 
 
@@ -209,7 +210,7 @@ def dependencies(records: DataFrame) -> DataFrame:
     """(from, to, field, injection): fields whose type is declared in the project."""
     types = records.filter("record = 'type'").select(F.col("name").alias("type"), F.col("path").alias("to_file"))
     built = records.filter("record = 'type'").filter(has("RequiredArgsConstructor")).select(F.col("name").alias("owner")).distinct().withColumn("_built", F.lit(True))
-    fields = records.filter("record = 'field' and owner <> ''").join(first_per_key(types, ["type"], [F.desc("to_file")]), "type").join(built, "owner", "left")
+    fields = records.filter("record = 'field' and owner <> ''").join(sized(first_per_key(types, ["type"], [F.desc("to_file")])), "type").join(sized(built), "owner", "left")
     injection = F.when(F.col("final") & F.coalesce("_built", F.lit(False)), "constructor").otherwise("field")
     return fields.select(F.col("owner").alias("from"), F.col("type").alias("to"), F.col("name").alias("field"), injection.alias("injection"), F.col("path").alias("from_file"), "to_file", "line")
 
@@ -225,14 +226,14 @@ def call_edges(records: DataFrame) -> DataFrame:
     types = first_per_key(records.filter("record = 'type'").select(F.col("name").alias("to_owner"), F.col("path").alias("t_file"), F.col("line").alias("t_line")), ["to_owner"], [F.desc("t_file"), F.desc("t_line")])
     calls = records.filter("record = 'call'").select("path", "owner", F.col("type").alias("from_name"), F.col("name").alias("to_name"), F.regexp_replace("receiver", r"^this\.", "").alias("receiver"), F.col("line").alias("call_line"))
     own = methods.select(F.col("to_owner").alias("owner"), "to_name", F.lit(True).alias("own"))
-    joined = calls.join(fields, ["owner", "receiver"], "left").join(own, ["owner", "to_name"], "left")
+    joined = calls.join(sized(fields), ["owner", "receiver"], "left").join(sized(own), ["owner", "to_name"], "left")
     to_owner = (
         F.when(F.col("receiver") == "this", F.col("owner"))
         .when(F.col("field_type").isNotNull(), F.col("field_type"))
         .when(F.col("receiver").rlike("^[A-Z]"), F.col("receiver"))
         .when((F.col("receiver") == "") & F.col("own"), F.col("owner"))
     )
-    resolved = joined.withColumn("to_owner", to_owner).filter("to_owner is not null").join(methods, ["to_owner", "to_name"], "left").join(types, "to_owner", "left")
+    resolved = joined.withColumn("to_owner", to_owner).filter("to_owner is not null").join(sized(methods), ["to_owner", "to_name"], "left").join(sized(types), "to_owner", "left")
     kept = resolved.filter("m_file is not null or t_file is not null")
     exact = F.col("m_file").isNotNull()
     rows = kept.select(
@@ -254,7 +255,7 @@ def imports(records: DataFrame) -> DataFrame:
     types = records.filter("record = 'type'").select(F.concat_ws(".", F.nullif("package", F.lit("")), "name").alias("target"), F.col("path").alias("file"))
     types = types.groupBy("target").agg(F.min("file").alias("file"))
     own = records.filter("record = 'import'").select(F.col("path").alias("from"), F.col("name").alias("target"), "line")
-    found = own.join(types, "target", "left")
+    found = own.join(sized(types), "target", "left")
     return found.select("from", F.coalesce("file", "target").alias("to"), F.when(F.col("file").isNotNull(), "imports_internal").otherwise("imports_external").alias("type"), "line")
 
 

@@ -208,10 +208,19 @@ def tokens(sources: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split(" ")[0] for c in TOKENS.split(", ")]
         kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*held)) or [()] * len(names)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                columns = list(zip(*_File(content or "").rows(path))) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                held += _File(content or "").rows(path)
+                if len(held) >= 16384:  # many small files share a batch
+                    yield out()
+        yield out()
 
     return sources.filter("language in ('javascript', 'typescript')").select("path", "content").mapInArrow(run, TOKENS)
 

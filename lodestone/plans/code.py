@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import aggregate, capabilities, clients, extract, facts, flows, java, resolve, sequence
+from ..operators import aggregate, capabilities, clients, extract, facts, flows, graph, java, resolve, sequence
 from ..sources import files, sinks
 from .registry import Tables, query
 
@@ -82,7 +82,7 @@ def code(t: Tables) -> DataFrame:
     """(path, language, content)."""
     key = F.col("p_partkey")
     pick = lambda values: F.when(key % LANGUAGES == 0, values[0]).when(key % LANGUAGES == 1, values[1]).when(key % LANGUAGES == 2, values[2]).otherwise(values[3])
-    rows = t.part.select(pick([_filled(p, key) for p in _PATHS]).alias("path"), pick([_filled(c, key) for c in (GO, PYTHON, SCRIPT, JAVA)]).alias("content"))
+    rows = t.dealt("part", "p_partkey").select(pick([_filled(p, key) for p in _PATHS]).alias("path"), pick([_filled(c, key) for c in (GO, PYTHON, SCRIPT, JAVA)]).alias("content"))
     return rows.withColumn("language", files.language(F.col("path")))
 
 
@@ -148,7 +148,7 @@ COMPONENT = """export function Page~() {
 @query("SELECT 'c' || s_suppkey || '.tsx' AS file, 3 AS line, 'load' || s_suppkey AS name, 'effect' AS usage FROM supplier UNION ALL SELECT 'c' || s_suppkey || '.tsx', 6, 'post' || s_suppkey, 'event_handler' FROM supplier")
 def call_usage_kinds(t: Tables) -> DataFrame:
     key = F.col("s_suppkey")
-    own = t.supplier.select(_filled("c~.tsx", key).alias("path"), F.lit("typescript").alias("language"), _filled(COMPONENT, key).alias("content"))
+    own = t.dealt("supplier", "s_suppkey").select(_filled("c~.tsx", key).alias("path"), F.lit("typescript").alias("language"), _filled(COMPONENT, key).alias("content"))
     fns = extract.functions_with_ends(own).withColumnsRenamed({"path": "file", "line_no": "line"})
     points = extract.calls(own).select(F.col("path").alias("file"), F.concat_ws(":", "line_no", "name").alias("point_id"), F.col("line_no").alias("line"), "name")
     return points.join(extract.call_usage(own, fns, points), ["file", "point_id"]).select("file", "line", "name", "usage")
@@ -172,7 +172,7 @@ function main~() {
 def call_receiver_owner(t: Tables) -> DataFrame:
     """Calls on a receiver that names a class go to the class's method."""
     key = F.col("s_suppkey")
-    own = t.supplier.select(_filled("r~.php", key).alias("path"), F.lit("php").alias("language"), _filled(PHP, key).alias("content"))
+    own = t.dealt("supplier", "s_suppkey").select(_filled("r~.php", key).alias("path"), F.lit("php").alias("language"), _filled(PHP, key).alias("content"))
     fns = extract.functions_with_ends(own).withColumnsRenamed({"path": "file", "line_no": "line"}).select(F.concat_ws(":", "file", "name").alias("fn_id"), F.lit("php").alias("language"), "file", "owner", "name", "kind", "line", "end_line")
     found = extract.calls(own).select(F.col("path").alias("file"), F.concat_ws(":", "path", "line_no", "receiver", "name").alias("point_id"), "receiver", F.col("name").alias("method"), F.col("line_no").alias("line"))
     inside = sequence.enclosing(found, fns.select("file", F.col("line").alias("low"), F.col("end_line").alias("high"), "fn_id"), "file", "line", "low", "high", "fn_id")
@@ -198,19 +198,29 @@ def code_routes(t: Tables) -> DataFrame:
     return extract.routes(code(t)).select("path", "http_method", "route", "handler", "framework")
 
 
+def java_records(t: Tables) -> DataFrame:
+    """Scanned once: the steps that follow read them several times."""
+    return graph.written(java.java_records(code(t)))
+
+
 def functions(t: Tables) -> DataFrame:
     own = code(t)
     bodies = extract.functions_with_ends(own).withColumnsRenamed({"path": "file", "line_no": "line"})
     order = F.concat_ws(":", "file", F.lpad(F.col("line").cast("string"), 8, "0"), "name")
-    return bodies.select(order.alias("fn_id"), files.language(F.col("file")).alias("language"), "file", "owner", "name", "kind", "line", "end_line")
+    # Kept once: calls, their callers and their targets all read it.
+    return graph.written(bodies.select(order.alias("fn_id"), files.language(F.col("file")).alias("language"), "file", "owner", "name", "kind", "line", "end_line"))
 
 
 def edges(t: Tables) -> DataFrame:
-    fns = functions(t)
+    return call_edges(t, functions(t))
+
+
+def call_edges(t: Tables, fns: DataFrame) -> DataFrame:
     found = extract.calls(code(t)).filter("language <> 'java'").select(F.col("path").alias("file"), F.concat_ws(":", "path", "line_no", "receiver", "name").alias("point_id"), "receiver", F.col("name").alias("method"), F.col("line_no").alias("line"))
+    found = graph.written(found)  # the lines are searched once
     inside = sequence.enclosing(found, fns.select("file", F.col("line").alias("low"), F.col("end_line").alias("high"), "fn_id"), "file", "line", "low", "high", "fn_id")
-    calls = found.join(inside, ["file", "point_id"]).select(F.col("point_id").alias("call_id"), "fn_id", "receiver", F.lit("").alias("owner"), "method", "line", F.lit("").alias("usage"))
-    return flows.call_edges(fns, calls)
+    calls = found.join(graph.sized(inside), ["file", "point_id"]).select(F.col("point_id").alias("call_id"), "fn_id", "receiver", F.lit("").alias("owner"), "method", "line", F.lit("").alias("usage"))
+    return flows.call_edges(fns, graph.written(calls))
 
 
 _CALL_EDGES = f"""{_FILES}, e AS (
@@ -232,8 +242,8 @@ _JAVA_EDGES = """SELECT path AS from_file, 'get' || k AS from_name, next AS to_f
 
 @query(f"WITH {_CALL_EDGES} SELECT * FROM e UNION ALL {_JAVA_EDGES}")
 def code_call_graph(t: Tables) -> DataFrame:
-    own = edges(t)
-    both = flows.union_call_graphs(own.drop("call_id", "from_kind", "to_kind", "from_line"), java.call_edges(java.java_records(code(t))), own.drop("call_id", "from_kind", "to_kind", "from_line"))
+    own = graph.written(edges(t))
+    both = flows.union_call_graphs(own.drop("call_id", "from_kind", "to_kind", "from_line"), java.call_edges(java_records(t)), own.drop("call_id", "from_kind", "to_kind", "from_line"))
     return both.select("from_file", "from_name", "to_file", "to_name", "call_line", "reason")
 
 
@@ -253,9 +263,8 @@ def routes(t: Tables) -> DataFrame:
     return plain.select(F.trim(F.concat_ws(" ", "http_method", "path")).alias("route_id"), "*", paths.app_of(F.col("file")).alias("app"), paths.package_of(F.col("file")).alias("package"))
 
 
-def handlers(t: Tables) -> DataFrame:
-    fns = functions(t)
-    return flows.route_handlers(routes(t), fns).join(fns, "fn_id").select("route_id", flows.method_key(F.col("file"), F.col("owner"), F.col("name")).alias("key"))
+def handlers(t: Tables, fns: DataFrame) -> DataFrame:
+    return flows.route_handlers(routes(t), fns).join(graph.sized(fns), "fn_id").select("route_id", flows.method_key(F.col("file"), F.col("owner"), F.col("name")).alias("key"))
 
 
 _ROUTE = "CASE l WHEN 0 THEN '/go/' || k || '/{id}' WHEN 1 THEN 'GET /items/' || k || '/{id}' ELSE 'GET /users/' || k END"
@@ -263,7 +272,7 @@ _ROUTE = "CASE l WHEN 0 THEN '/go/' || k || '/{id}' WHEN 1 THEN 'GET /items/' ||
 
 @query(f"WITH {_FILES} SELECT {_ROUTE} AS route_id, path || '##' || CASE l WHEN 0 THEN 'Run' WHEN 1 THEN 'items' ELSE 'list' END || k AS key FROM f WHERE l < 3")
 def code_route_handlers(t: Tables) -> DataFrame:
-    return handlers(t)
+    return handlers(t, functions(t))
 
 
 _STEPS = f"""WITH {_FILES} SELECT {_ROUTE} AS route_id, 1 AS pos, 'load' || k AS name, 'Run' || k AS caller FROM f WHERE l = 0
@@ -273,17 +282,20 @@ UNION ALL SELECT {_ROUTE}, 1, 'get' || k, 'items' || k FROM f WHERE l = 1"""
 
 @query(_STEPS)
 def code_flow_steps(t: Tables) -> DataFrame:
-    return flows.code_flows(handlers(t), edges(t)).select("route_id", "pos", "name", "caller")
+    fns = functions(t)
+    return flows.code_flows(handlers(t, fns), call_edges(t, fns)).select("route_id", "pos", "name", "caller")
 
 
 @query(_STEPS)
 def endpoint_flow_steps(t: Tables) -> DataFrame:
-    return flows.endpoint_flows(handlers(t), edges(t)).select("route_id", "pos", "name", "caller")
+    fns = functions(t)
+    return flows.endpoint_flows(handlers(t, fns), call_edges(t, fns)).select("route_id", "pos", "name", "caller")
 
 
 @query(f"""WITH {_FILES}, g AS (SELECT {_ROUTE} AS route_id FROM f WHERE l = 2 ORDER BY 1 LIMIT 10) SELECT route_id, 'WEAK_MATCH' AS confidence, 'flow has no resolved handler or call steps' AS reason FROM g""")
 def weak_flows_first10(t: Tables) -> DataFrame:
-    return capabilities.weak_flows(routes(t), flows.code_flows(handlers(t), edges(t)))
+    fns = functions(t)
+    return capabilities.weak_flows(routes(t), flows.code_flows(handlers(t, fns), call_edges(t, fns)))
 
 
 @query(f"""WITH {_FILES} SELECT path, CASE WHEN linked THEN next ELSE './t' || n END AS target, linked AS local FROM f WHERE l = 2 UNION ALL SELECT path, 'express', false FROM f WHERE l = 2
@@ -296,17 +308,17 @@ def code_local_imports(t: Tables) -> DataFrame:
 
 @query(f"WITH {_FILES} SELECT path AS \"from\", CASE WHEN linked THEN next ELSE 'shop.S' || n END AS \"to\", CASE WHEN linked THEN 'imports_internal' ELSE 'imports_external' END AS type, 2 AS line FROM f WHERE l = 3")
 def java_imports(t: Tables) -> DataFrame:
-    return java.imports(java.java_records(code(t)))
+    return java.imports(java_records(t))
 
 
 @query(f"WITH {_FILES} SELECT 'GET' AS http_method, '/j' || k || '/{{id}}' AS path, 'S' || k AS controller, 'get' || k AS method, path AS file FROM f WHERE l = 3")
 def java_endpoints(t: Tables) -> DataFrame:
-    return java.endpoints(java.java_records(code(t))).select("http_method", "path", "controller", "method", "file")
+    return java.endpoints(java_records(t)).select("http_method", "path", "controller", "method", "file")
 
 
 @query(f"WITH {_FILES} SELECT 'S' || k AS \"from\", 'S' || n AS \"to\", 'next' AS field, 'field' AS injection, path AS from_file, next AS to_file FROM f WHERE l = 3 AND linked")
 def java_dependencies(t: Tables) -> DataFrame:
-    return java.dependencies(java.java_records(code(t))).select("from", "to", "field", "injection", "from_file", "to_file")
+    return java.dependencies(java_records(t)).select("from", "to", "field", "injection", "from_file", "to_file")
 
 
 @query(f"WITH {_FILES} SELECT 'S' || k AS name, 'rest_controller' AS kind, path AS file, 'shop' AS package FROM f WHERE l = 3")

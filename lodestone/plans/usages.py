@@ -45,7 +45,7 @@ def script_sources(t: Tables) -> DataFrame:
     providers = t.nation.select(name("lib/n", nation).alias("path"), fill(PROVIDER, nation).alias("content"))
     line = F.concat(F.lit("export * from './n"), nation.cast("string"), F.lit("';\n"))
     barrels = t.nation.groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("content")).select(name("lib/r", F.col("n_regionkey")).alias("path"), "content")
-    who = t.customer.join(t.nation, F.col("c_nationkey") == nation)
+    who = t.dealt("customer", "c_custkey", "c_nationkey").join(t.nation, F.col("c_nationkey") == nation)
     text = F.replace(F.replace(fill(CONSUMER, nation), F.lit("^"), F.col("n_regionkey").cast("string")), F.lit("@"), F.col("c_custkey").cast("string"))
     consumers = who.select(name("app/c", F.col("c_custkey")).alias("path"), text.alias("content"))
     return providers.unionByName(barrels).unionByName(consumers).withColumn("language", F.lit("typescript")).select("path", "language", "content")
@@ -140,7 +140,7 @@ def java_sources(t: Tables) -> DataFrame:
     text = F.lit(CONTROLLER)
     for mark, value in (("@\n", F.concat(pick(ABOVE, key), F.lit("\n"))), ("&", pick(PATHS, F.floor(key / 4))), ("^", size.cast("string")), ("~", key.cast("string"))):
         text = F.replace(text, F.lit(mark), value)
-    controllers = t.part.select(F.concat(F.lit("m"), size.cast("string"), F.lit("/src/main/java/C"), key.cast("string"), F.lit(".java")).alias("path"), text.alias("content"))
+    controllers = t.dealt("part", "p_partkey", "p_size").select(F.concat(F.lit("m"), size.cast("string"), F.lit("/src/main/java/C"), key.cast("string"), F.lit(".java")).alias("path"), text.alias("content"))
     method = lambda n, order, matcher, rule: f"  @Order({order})\n  SecurityFilterChain c{n}(HttpSecurity http) {{\n" + (f"    http.securityMatcher({matcher});\n" if matcher else "") + f"    http.authorize(r -> r.anyRequest().{rule});\n    return http.build();\n  }}\n"
     head = "import org.springframework.security.config.annotation.web.builders.HttpSecurity;\nimport org.springframework.security.web.SecurityFilterChain;\n@Configuration\nclass Config {\n"
     configs = [head + "".join(method(n, *chain) for n, chain in enumerate(chains)) + "}\n" for chains in CHAINS]
