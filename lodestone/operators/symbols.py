@@ -149,30 +149,50 @@ def reached_through_api(matches: DataFrame, flows: DataFrame, origins: DataFrame
 
     matches: match_id, backend_project (resolved ones); flows: flow_id, match_id; origins: flow_id,
     consumer_id; steps: flow_id, step_id, file, owner; java: symbols as in named.
-    Each link is a left join, and how many the ones before it had is carried along: a missing link leaves
-    one row with its reason, several flows or origins of a match make all of its rows ambiguous, and
-    several declarations of a step give a row each.
+    A missing link leaves one row with its reason, several flows or origins of a match make all of its
+    rows ambiguous, and several declarations of a step give a row each.
     """
-    f = flows.select("match_id", "flow_id").distinct()
-    o = origins.select("flow_id", "consumer_id").distinct()
-    led = matches.join(f, "match_id", "left").join(o, "flow_id", "left")
-    # Without any origin a match has one row, whatever its flows are.
-    counts = led.groupBy("match_id").agg(F.count_distinct("flow_id").alias("n_flows"), F.count_distinct("consumer_id").alias("n_origins"), F.min("flow_id").alias("first_flow"))
-    led = led.join(counts, "match_id")
-    lost = led.filter("n_origins = 0").select("match_id", "backend_project", F.col("first_flow").alias("flow_id"), F.lit(None).cast(o.schema["consumer_id"].dataType).alias("consumer_id"), "n_flows", "n_origins").distinct()
-    led = led.filter("consumer_id is not null").select(lost.columns).unionByName(lost)
-    known = named(java).select(F.col("project").alias("backend_project"), "file", F.col("called").alias("owner"), F.col("id").alias("provider_id")).distinct()
-    s = steps.select("flow_id", "step_id", "file", "owner").distinct()
-    # A step meets its declarations once for each project that has the flow, before it meets the flow's origins.
-    placed = s.join(led.select("flow_id", "backend_project").distinct(), "flow_id").join(known, ["backend_project", "file", "owner"], "left")
-    n = placed.groupBy("backend_project", "flow_id", "step_id").agg(F.count("provider_id").alias("candidates"), F.collect_set("provider_id").alias("ids"))
-    rows = led.join(n, ["flow_id", "backend_project"], "left").withColumn("provider_id", F.explode_outer("ids"))
-    far = F.col("consumer_id").isNotNull()
-    reason = (
-        F.when(F.col("n_flows") == 0, "workspace_feature_flow_missing").when(~far, "frontend_origin_unresolved").when(F.col("step_id").isNull(), "backend_implementation_steps_missing")
-        .when(F.col("candidates") == 0, "declaration_missing").when(F.col("candidates") > 1, "several_declarations").when((F.col("n_flows") > 1) | (F.col("n_origins") > 1), "several_origins").otherwise("")
+    # Rows are moved by one key at a time and made distinct where they then lie.
+    f = flows.select("flow_id", "match_id").repartition("flow_id").distinct()
+    o = origins.select("flow_id", "consumer_id").repartition("flow_id").distinct()
+    m = matches.select("match_id", "backend_project").repartition("match_id").distinct()
+    w, project = W.partitionBy("match_id"), F.struct("backend_project")
+    led = m.join(f.join(o, "flow_id", "left"), "match_id", "left").withColumns({
+        "first_flow": F.min("flow_id").over(w), "far": F.min("consumer_id").over(w).isNotNull(), "several_projects": F.min(project).over(w) != F.max(project).over(w),
+        "several": (F.min("flow_id").over(w) != F.max("flow_id").over(w)) | (F.min("consumer_id").over(w) != F.max("consumer_id").over(w)),
+    })
+    # Without any origin a match has one row, whatever its flows are, and needs no steps. All branches read the same columns, so they share what was moved.
+    one = led.withColumn("n", F.row_number().over(w.orderBy("flow_id", "backend_project"))).filter("n = 1 and not far")
+    none = lambda c: F.lit(None).cast(c)
+    lost = one.select(
+        "match_id", F.col("first_flow").alias("flow_id"), none(o.schema["consumer_id"].dataType).alias("consumer_id"), none(steps.schema["step_id"].dataType).alias("step_id"), none(java.schema["id"].dataType).alias("provider_id"),
+        F.when(F.col("first_flow").isNull(), "workspace_feature_flow_missing").otherwise("frontend_origin_unresolved").alias("reason"),
     )
-    rows = rows.withColumn("reason", reason)
+    sized = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
+    place = lambda file, owner: F.concat(sized(F.col(file)), sized(F.col(owner))).alias("place")
+    s = steps.filter("flow_id is not null").select("flow_id", "step_id", place("file", "owner")).repartition("flow_id").groupBy("flow_id", "step_id").agg(F.sort_array(F.collect_set("place")).alias("each"))
+    s = s.withColumn("places", F.array_join("each", ""))
+    known = named(java).select(F.col("project").alias("backend_project"), place("file", "called"), "id").groupBy("backend_project", "place").agg(F.collect_set("id").alias("ids"))
+    known = known.withColumn("candidates", F.size("ids"))
+    # What a step that has several places means, once for each such set of places.
+    sets = s.filter(F.size("each") > 1).select("places", "each").distinct().select("places", F.explode("each").alias("place")).join(known, "place")
+    sets = sets.groupBy("backend_project", "places").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"), F.sum("candidates").cast("int").alias("candidates"))
+    means = known.withColumnRenamed("place", "places").unionByName(sets)
+
+    def reached(led: DataFrame) -> DataFrame:
+        led = led.select("match_id", "backend_project", "flow_id", "consumer_id", "several")
+        on = (led["flow_id"] == s["flow_id"]) & led["backend_project"].isNotNull()
+        # Without a place there is nothing to look up: such rows are spread by their match, under what no place begins with.
+        spread = F.when(F.coalesce("places", F.lit("")) == "", F.concat(F.lit("-"), F.col("match_id").cast("string"))).otherwise(F.col("places")).alias("places")
+        rows = led.join(s, on, "left").select(led["*"], "step_id", spread).join(means, ["backend_project", "places"], "left")
+        reason = (
+            F.when(F.col("step_id").isNull(), "backend_implementation_steps_missing").when(F.coalesce("candidates", F.lit(0)) == 0, "declaration_missing")
+            .when(F.col("candidates") > 1, "several_declarations").when(F.col("several"), "several_origins").otherwise("")
+        )
+        return rows.select("match_id", "flow_id", "consumer_id", "step_id", F.explode_outer("ids").alias("provider_id"), reason.alias("reason"))
+
+    near = led.filter("consumer_id is not null")
+    # Only projects of one match can say the same twice.
+    rows = reached(near.filter("not several_projects")).unionByName(reached(near.filter("several_projects")).distinct()).unionByName(lost)
     resolution = F.when(F.col("reason") == "", "EXACT").when(F.col("reason").startswith("several"), "AMBIGUOUS").otherwise("UNRESOLVED")
-    shown = F.when(far, F.col("step_id"))
-    return rows.select("match_id", "flow_id", "consumer_id", shown.alias("step_id"), F.when(far, F.col("provider_id")).alias("provider_id"), resolution.alias("resolution"), usage_category(resolution, F.lit(True)).alias("category"), "reason").distinct()
+    return rows.select("match_id", "flow_id", "consumer_id", "step_id", "provider_id", resolution.alias("resolution"), usage_category(resolution, F.lit(True)).alias("category"), "reason")

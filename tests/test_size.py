@@ -1,9 +1,13 @@
 """What keeps large tables within limits: work dealt over cores, reduced candidates, no guessed broadcasts, rows moved once."""
 
+import random
+import re
+from itertools import product
+
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import extract, flows, resolve
+from lodestone.operators import extract, flows, resolve, symbols
 from lodestone.plans import code, features, usages
 from lodestone.plans.registry import Tables
 
@@ -70,3 +74,65 @@ def test_nodes_of_a_trace_that_come_again(spark):
     nodes, _ = flows.directed_traces(steps)
     got = sorted((r["trace_id"], r["n"], r["is_entry"], r["is_exit"]) for r in nodes.collect())
     assert got == [("t", 1, False, False), ("t", 2, False, False), ("t", 3, False, False), ("u", 1, True, True)]
+
+
+def moves(df):
+    """Keys of the shuffles that a query has run, each once however often it is read."""
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0].split("\n")
+    return [re.sub(r"#\d+L?", "", x.group(1)) for line in final if "ReusedExchange" not in line and (x := re.search(r"Exchange hashpartitioning\((.*), \d+\)", line))]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def api_links(spark, some):
+    """Small tables of all four links, dealt by chance: with equal rows, projects of one match, places of one step, and nulls."""
+    pick = lambda n, *of: [tuple(some.choice(x) for x in of) for _ in range(n)]
+    matches, flows_ = pick(9, range(8), ("p", "q", None)), pick(12, range(8), range(9))
+    origins, steps = pick(9, range(9), ("a", "b", None)), pick(25, range(9), range(4), ("f", "g", None), ("A", "x.A", "B"))
+    java = [(f"j{i}", *r, "") for i, r in enumerate(pick(6, ("p", "q"), ("f", "g"), ("A", "")))]
+    java = [(*r, "x.A" if r[3] else "x.B") for r in java]
+    table = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    return (matches, flows_, origins, steps, java), (
+        table(matches, "match_id long, backend_project string"), table(flows_, "match_id long, flow_id long"), table(origins, "flow_id long, consumer_id string"),
+        table(steps, "flow_id long, step_id long, file string, owner string"), table(java, "id string, project string, file string, name string, export_name string, qualified_name string"),
+    )
+
+
+def api_rows(matches, flows_, origins, steps, java):
+    """reached_through_api by loops."""
+    out = set()
+    for m, p in set(matches):
+        fs = {f for k, f in flows_ if k == m}
+        led = {(f, c) for f, c in origins if f in fs and c is not None}
+        if not led:
+            out.add((m, min(fs, default=None), None, None, None, "frontend_origin_unresolved" if fs else "workspace_feature_flow_missing"))
+        several = len(fs) > 1 or len({c for _, c in led}) > 1
+        for f, c in led:
+            mine = {s for k, s, _, _ in steps if k == f} if p is not None else set()
+            if not mine:
+                out.add((m, f, c, None, None, "backend_implementation_steps_missing"))
+            for s in mine:
+                places = {(file, owner) for k, t, file, owner in steps if (k, t) == (f, s)}
+                hits = [j[0] for (file, owner), j in product(places, java) if (j[1], j[2]) == (p, file) and owner in (j[3], j[5], j[5][2:])]
+                reason = "declaration_missing" if not hits else "several_declarations" if len(hits) > 1 else "several_origins" if several else ""
+                out |= {(m, f, c, s, j, reason) for j in hits or [None]}
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_symbols_reached_through_api_by_loops(spark, seed):
+    rows, tables = api_links(spark, random.Random(seed))
+    got = symbols.reached_through_api(*tables).select("match_id", "flow_id", "consumer_id", "step_id", "provider_id", "reason").collect()
+    assert sorted(repr(tuple(r)) for r in got) == api_rows(*rows)
+
+
+def test_links_through_api_are_moved_once(spark, data, no_broadcast):
+    found = usages.api_symbol_usages(Tables(spark, data))
+    keys = moves(found)
+    assert len(keys) <= 12 and keys.count("flow_id") <= 4 and not any("reason" in k for k in keys)
