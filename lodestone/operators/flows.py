@@ -383,13 +383,20 @@ def data_flow(stages: DataFrame) -> tuple[DataFrame, DataFrame]:
     flow without request fields leaves one.
     """
     rank = F.when(F.col("stage") == "request", 0).when(F.col("stage") == "request_field", 1).when(F.col("stage") == "persistence", 2).otherwise(3)
+    # All stages are sorted, so they are dealt finely: a task's sort grows with its share, and few large partitions would fill it.
+    spark = stages.sparkSession
+    parts = max(16 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     w = W.partitionBy("flow_id").orderBy("_r", "pos", "label")
-    rows = stages.withColumn("_r", rank).withColumn("_before", F.lag("label").over(w))
-    relation = F.when(F.col("stage") == "request_field", "binds").when(F.col("stage") == "persistence", "persists").otherwise("returns")
+    rows = stages.select("flow_id", rank.cast("byte").alias("_r"), "pos", "label").repartition(parts, "flow_id").withColumn("_before", F.lag("label").over(w))
+    relation = F.when(F.col("_r") == 1, "binds").when(F.col("_r") == 2, "persists").otherwise("returns")
     edges = rows.filter("_before is not null").select("flow_id", F.col("_before").alias("from_label"), F.col("label").alias("to_label"), relation.alias("relation"))
-    crossing = edges.filter("relation = 'persists'").select("flow_id", F.lit("transformation").alias("stage"), "from_label", "to_label")
-    bare = stages.groupBy("flow_id").agg(F.count_if(F.col("stage") == "request_field").alias("n"), F.min(F.when(F.col("stage") == "request", F.col("label"))).alias("from_label")).filter("n = 0")
-    return edges, crossing.unionByName(bare.select("flow_id", F.lit("request").alias("stage"), "from_label", F.lit("").alias("to_label")))
+    # The last row of a flow has seen all of it, so both kinds of gaps come from one sorted stream.
+    seen = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    ends = rows.withColumns({"_next": F.lead(F.lit(True)).over(w), "_fields": F.count_if(F.col("_r") == 1).over(seen), "_request": F.min(F.when(F.col("_r") == 0, F.col("label"))).over(seen)})
+    gap = lambda stage, a, b: F.struct(F.lit(stage).alias("stage"), a.alias("from_label"), b.alias("to_label"))
+    crossing = F.when((F.col("_r") == 2) & F.col("_before").isNotNull(), gap("transformation", F.col("_before"), F.col("label")))
+    bare = F.when(F.col("_next").isNull() & (F.col("_fields") == 0), gap("request", F.col("_request"), F.lit("")))
+    return edges, ends.select("flow_id", F.explode(F.array_compact(F.array(crossing, bare))).alias("gap")).select("flow_id", "gap.*")
 
 
 def impact_summary(nodes: DataFrame, edges: DataFrame, depth: int, uncertain: bool = False) -> DataFrame:

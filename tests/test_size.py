@@ -136,3 +136,27 @@ def test_links_through_api_are_moved_once(spark, data, no_broadcast):
     found = usages.api_symbol_usages(Tables(spark, data))
     keys = moves(found)
     assert len(keys) <= 12 and keys.count("flow_id") <= 4 and not any("reason" in k for k in keys)
+
+
+@pytest.mark.parametrize("part", [0, 1])
+def test_stages_of_a_flow_are_moved_once_and_dealt_finely(spark, data, part):
+    found = flows.data_flow(features.stages(Tables(spark, data)))[part]
+    assert plan(found).count("Exchange hashpartitioning(flow_id") == 1
+    assert found.rdd.getNumPartitions() >= 16 * spark.sparkContext.defaultParallelism
+
+
+def test_data_flow_by_loops(spark):
+    some, kinds = random.Random(1), ("request", "request_field", "persistence", "response_field")
+    rows = [(some.randrange(40), some.choice(kinds), some.randrange(3), some.choice(("a", "b", "c", None))) for _ in range(120)]
+    edges, gaps = flows.data_flow(spark.createDataFrame(rows, "flow_id long, stage string, pos int, label string"))
+    steps, holes = [], []
+    for flow in {r[0] for r in rows}:
+        mine = sorted((kinds.index(k), p, label is not None, label or "") for f, k, p, label in rows if f == flow)
+        for (_, _, there, a), (r, _, known, b) in zip(mine, mine[1:], strict=False):
+            if there:
+                steps.append((flow, a, b if known else None, ("returns", "binds", "persists", "returns")[r]))
+                holes += [(flow, "transformation", a, b if known else None)] if r == 2 else []
+        if all(r != 1 for r, *_ in mine):
+            holes.append((flow, "request", min((b for r, _, known, b in mine if r == 0 and known), default=None), ""))
+    said = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    assert said(edges) == sorted(map(repr, steps)) and said(gaps) == sorted(map(repr, holes))
