@@ -383,11 +383,8 @@ def data_flow(stages: DataFrame) -> tuple[DataFrame, DataFrame]:
     flow without request fields leaves one.
     """
     rank = F.when(F.col("stage") == "request", 0).when(F.col("stage") == "request_field", 1).when(F.col("stage") == "persistence", 2).otherwise(3)
-    # All stages are sorted, so they are dealt finely: a task's sort grows with its share, and few large partitions would fill it.
-    spark = stages.sparkSession
-    parts = max(16 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     w = W.partitionBy("flow_id").orderBy("_r", "pos", "label")
-    rows = stages.select("flow_id", rank.cast("byte").alias("_r"), "pos", "label").repartition(parts, "flow_id").withColumn("_before", F.lag("label").over(w))
+    rows = graph.finely(stages.select("flow_id", rank.cast("byte").alias("_r"), "pos", "label"), "flow_id").withColumn("_before", F.lag("label").over(w))
     relation = F.when(F.col("_r") == 1, "binds").when(F.col("_r") == 2, "persists").otherwise("returns")
     edges = rows.filter("_before is not null").select("flow_id", F.col("_before").alias("from_label"), F.col("label").alias("to_label"), relation.alias("relation"))
     # The last row of a flow has seen all of it, so both kinds of gaps come from one sorted stream.

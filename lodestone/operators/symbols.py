@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.ids import stable_id
-from .graph import settle
+from .graph import finely, settle
 from .resolve import clean_path, folder
 
 
@@ -153,9 +153,9 @@ def reached_through_api(matches: DataFrame, flows: DataFrame, origins: DataFrame
     rows ambiguous, and several declarations of a step give a row each.
     """
     # Rows are moved by one key at a time and made distinct where they then lie.
-    f = flows.select("flow_id", "match_id").repartition("flow_id").distinct()
-    o = origins.select("flow_id", "consumer_id").repartition("flow_id").distinct()
-    m = matches.select("match_id", "backend_project").repartition("match_id").distinct()
+    f = finely(flows.select("flow_id", "match_id"), "flow_id").distinct()
+    o = finely(origins.select("flow_id", "consumer_id"), "flow_id").distinct()
+    m = finely(matches.select("match_id", "backend_project"), "match_id").distinct()
     w, project = W.partitionBy("match_id"), F.struct("backend_project")
     led = m.join(f.join(o, "flow_id", "left"), "match_id", "left").withColumns({
         "first_flow": F.min("flow_id").over(w), "far": F.min("consumer_id").over(w).isNotNull(), "several_projects": F.min(project).over(w) != F.max(project).over(w),
@@ -170,7 +170,7 @@ def reached_through_api(matches: DataFrame, flows: DataFrame, origins: DataFrame
     )
     sized = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
     place = lambda file, owner: F.concat(sized(F.col(file)), sized(F.col(owner))).alias("place")
-    s = steps.filter("flow_id is not null").select("flow_id", "step_id", place("file", "owner")).repartition("flow_id").groupBy("flow_id", "step_id").agg(F.sort_array(F.collect_set("place")).alias("each"))
+    s = finely(steps.filter("flow_id is not null").select("flow_id", "step_id", place("file", "owner")), "flow_id").groupBy("flow_id", "step_id").agg(F.sort_array(F.collect_set("place")).alias("each"))
     s = s.withColumn("places", F.array_join("each", ""))
     known = named(java).select(F.col("project").alias("backend_project"), place("file", "called"), "id").groupBy("backend_project", "place").agg(F.collect_set("id").alias("ids"))
     known = known.withColumn("candidates", F.size("ids"))
