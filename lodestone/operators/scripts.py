@@ -1,8 +1,8 @@
 """Declarations, imports, exports and references of JavaScript and TypeScript, as tables over tokens.
 
 A tokenizer gives every token of a file its brackets: the partner, the one around it, and the innermost
-scope (a block, a function with its parameters, or a loop head).  What follows is relational: statements
-are found by a token's neighbours in one window for each file, names are bound to intervals of tokens,
+scope (a block, a function with its parameters, or a loop head), and the texts of its neighbours.  What follows
+is relational: statements are found by a token's neighbours, names are bound to intervals of tokens,
 and a reference belongs to the innermost interval of its name that holds it, so a parameter or variable
 of an inner scope hides an import.  Imports meet what a module exports by equality of module and name.
 
@@ -13,15 +13,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
 from . import sequence, symbols
-from .graph import written
+from .graph import sized, written
 
 _TOKEN = re.compile(r"""\s+|//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<s>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<t>`(?:\\.|[^`\\])*`)|(?P<w>[A-Za-z_$][\w$]*)|(?P<d>\d[\w.]*)|(?P<p>=>|\.\.\.|.)""", re.S)
 _REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])*/[a-z]*")
@@ -33,7 +33,11 @@ _STATEMENT = frozenset("const let var function class export import return if for
 KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "typeof", "await", "new", "throw", "function", "super", "import", "with", "delete", "void", "in", "of", "case", "do", "else", "yield", "instanceof", "constructor", "require")
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
 LAST = 2**31 - 1
-TOKENS = "path string, n int, kind string, text string, line int, around int, around_text string, around_closes int, listed boolean, closes int, then string, low int, high int, function boolean, binds boolean"
+TOKENS = (
+    "path string, n int, text string, line int, around int, around_text string, around_closes int, listed boolean, low int, high int, binds boolean, "
+    "b1 string, b2 string, b3 string, a1 string, a2 string, a3 string, a4 string, a5 string, from_line int, then_next string, function_next boolean, function_3 boolean, next_brace int, next_string string, next_from int, "
+    "next_source string, head int, head_word string, head_line int, head_a1 string, head_source string, ended int"
+)
 
 
 class _File:
@@ -52,6 +56,8 @@ class _File:
                 self._put(m.lastgroup, m[0][1:-1] if m.lastgroup == "s" else "" if m.lastgroup == "t" else m[0], line)
             line += m[0].count("\n")
             at = m.end()
+        each = list(zip(self.kind, self.text))
+        self.marks, self.words = [x if c == "p" else "" for c, x in each], [x if c == "w" else "" for c, x in each]
         self._brackets()
         self._scopes()
 
@@ -67,17 +73,16 @@ class _File:
         return text in _BEFORE_PATTERN if kind == "w" else kind == "p" and text not in ")]}"
 
     def _mark(self, k: int) -> str:
-        return self.text[k] if 0 <= k < len(self.text) and self.kind[k] == "p" else ""
+        return self.marks[k] if 0 <= k < len(self.marks) else ""
 
     def _word(self, k: int) -> str:
-        return self.text[k] if 0 <= k < len(self.text) and self.kind[k] == "w" else ""
+        return self.words[k] if 0 <= k < len(self.words) else ""
 
     def _brackets(self) -> None:
         n = len(self.kind)
         self.around, self.partner = [-1] * n, [-1] * n
         stack: list[int] = []
-        for k in range(n):
-            mark = self._mark(k)
+        for k, mark in enumerate(self.marks):
             if mark in _CLOSE:
                 while stack and self.text[stack[-1]] != _CLOSE[mark]:
                     stack.pop()
@@ -87,8 +92,8 @@ class _File:
             self.around[k] = stack[-1] if stack else -1
             if mark in _OPEN:
                 stack.append(k)
-        for k in range(n):  # brackets that nothing closes reach to the end
-            if self._mark(k) in _OPEN and self.partner[k] < 0:
+        for k, mark in enumerate(self.marks):  # brackets that nothing closes reach to the end
+            if mark in _OPEN and self.partner[k] < 0:
                 self.partner[k] = n
 
     def _arrow_end(self, arrow: int) -> int:
@@ -131,8 +136,7 @@ class _File:
         n = len(self.kind)
         self.low, self.high, self.function, self.binds = [-1] * n, [LAST] * n, [False] * n, [False] * n
         holds: dict[int, tuple[int, int]] = {}
-        for k in range(n):
-            mark = self._mark(k)
+        for k, mark in enumerate(self.marks):
             if mark == "{":
                 holds[k] = (k, self.partner[k])
             elif mark == "(":
@@ -143,18 +147,18 @@ class _File:
                 elif self._word(k - 1) == "for" or self._word(k - 2) == "for":
                     last = self.partner[k] + 1
                     holds[k] = (k, self.partner[last] if self._mark(last) == "{" else last)
-        for k in range(n):
-            around = self.around[k]
-            while around >= 0 and around not in holds:
-                around = self.around[around]
-            if around >= 0:
-                self.low[k], self.high[k] = holds[around]
-        for k in range(n):
-            if self._mark(k) == "(" and self.function[k]:
+        scope = {-1: -1}  # of what stands in a bracket, which comes before it
+        for k, around in enumerate(self.around):
+            if (own := scope[around]) >= 0:
+                self.low[k], self.high[k] = holds[own]
+            if self.marks[k] in _OPEN:
+                scope[k] = k if k in holds else own
+        for k, (mark, word) in enumerate(zip(self.marks, self.words)):
+            if mark == "(" and self.function[k]:
                 self._pattern(k + 1, self.partner[k], holds[k])
-            elif self._word(k) in ("const", "let", "var") and self._mark(k - 1) != ".":
+            elif word in ("const", "let", "var") and self._mark(k - 1) != ".":
                 self._declarators(k + 1, (self.low[k], self.high[k]))
-            elif self._mark(k) == "=>" and self._word(k - 1):
+            elif mark == "=>" and self._word(k - 1):
                 self._bind(k - 1, (k - 1, self._arrow_end(k)))
 
     def _bind(self, k: int, scope: tuple[int, int]) -> None:
@@ -192,33 +196,68 @@ class _File:
                     self._bind(k, scope)
             k = self.partner[k] + 1 if mark in _OPEN else k + 1
 
-    def rows(self, path: str) -> list[tuple]:
-        n = len(self.kind)
-        around = lambda k, of, none: of[self.around[k]] if self.around[k] >= 0 else none
-        closes = [self.partner[k] if self._mark(k) in _OPEN else -1 for k in range(n)]
-        return [
-            (path, k, self.kind[k], self.text[k], self.line[k], self.around[k], self._mark(self.around[k]), around(k, self.partner, -1), around(k, self.function, False), closes[k], self._mark(closes[k] + 1) if closes[k] >= 0 else "", self.low[k], self.high[k], self.function[k], self.binds[k])
-            for k in range(n)
+    def _after(self, values: dict[int, object]) -> list:
+        """For each token the value of the next one that has any."""
+        out, last = [None] * len(self.kind), None
+        for k in range(len(out) - 1, -1, -1):
+            out[k] = last
+            last = values.get(k, last)
+        return out
+
+    def _since(self, marked: set[int]) -> list[int | None]:
+        """For each token the last marked one, itself included."""
+        out, last = [], None
+        for k in range(len(self.kind)):
+            last = k if k in marked else last
+            out.append(last)
+        return out
+
+    def columns(self, path: str) -> list[list]:
+        """The words as TOKENS: with the texts of the tokens before (b1 ..) and after (a1 ..), and what comes next; a string's
+        text there is a quote and what it holds."""
+        n, text = len(self.kind), self.text
+        closes = [self.partner[k] if x in _OPEN else -1 for k, x in enumerate(self.marks)]
+        then = [self._mark(c + 1) if c >= 0 else "" for c in closes]
+        of = lambda values, none: [values[k] if k >= 0 else none for k in self.around]
+        shown = [f'"{x}' if c == "s" else x for c, x in zip(self.kind, text)]
+        before = lambda k: [""] * min(k, n) + shown[: max(n - k, 0)]
+        after = lambda values, k, none: values[k:] + [none] * min(k, n)
+        b1, a1 = before(1), after(shown, 1, "")
+        # Where the next bracket on the file's own level ends, the next string, and the next source of a list in braces.
+        brace = self._after({k: closes[k] for k, x in enumerate(self.marks) if x == "{" and self.around[k] == -1})
+        string = self._after({k: text[k] for k, c in enumerate(self.kind) if c == "s"})
+        source = self._after({k: k for k, x in enumerate(text) if x == "from" and b1[k] == "}"})
+        # Items of braces belong to the latest import or export before them, if no other statement came between.
+        head = self._since({k for k, x in enumerate(self.words) if x in ("import", "export") and b1[k] not in (".", "...")})
+        ended = self._since({k for k, x in enumerate(self.marks) if x in (";", "=", "(")})
+        at = lambda values, places: [None if k is None else values[k] for k in places]
+        every = [
+            [path] * n, range(n), text, self.line, self.around, of(self.marks, ""), of(self.partner, -1), of(self.function, False), self.low, self.high, self.binds,
+            b1, before(2), before(3), a1, *(after(shown, k, "") for k in range(2, 6)), [None, *self.line[:-1]][:n], after(then, 1, None), after(self.function, 1, None), after(self.function, 3, None), brace, string, source,
+            at(a1, source), head, at(text, head), at(self.line, head), at(a1, head), at(string, head), ended,
         ]
+        return [list(compress(c, self.words)) for c in every]
 
 
 def tokens(sources: DataFrame) -> DataFrame:
-    """The tokens of the script files of (path, language, content)."""
+    """The words of the script files of (path, language, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split(" ")[0] for c in TOKENS.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
-        held: list[tuple] = []
+        kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+        schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in TOKENS.split(", "))])
+        held: list[list] = [[] for _ in schema]
 
         def out() -> pa.RecordBatch:
-            columns = list(zip(*held)) or [()] * len(names)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, schema)], schema=schema)
+            for c in held:
+                c.clear()
+            return batch
 
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held += _File(content or "").rows(path)
-                if len(held) >= 16384:  # many small files share a batch
+                for c, more in zip(held, _File(content or "").columns(path)):
+                    c.extend(more)
+                if len(held[0]) >= 16384:  # many small files share a batch
                     yield out()
         yield out()
 
@@ -229,35 +268,14 @@ def module_of(path: Column) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"\.[^./]*$", "")
 
 
-def _neighbours(t: DataFrame, before: int = 4, after: int = 5) -> DataFrame:
-    """Tokens with the texts of those before (b1 ..) and after (a1 ..); a string's text is a quote and what it holds."""
-    w = W.partitionBy("path").orderBy("n")
-    shown = F.when(F.col("kind") == "s", F.concat(F.lit('"'), "text")).otherwise(F.col("text"))
-    t = t.withColumn("shown", shown)
-    for k in range(1, before + 1):
-        t = t.withColumn(f"b{k}", F.coalesce(F.lag("shown", k).over(w), F.lit("")))
-    for k in range(1, after + 1):
-        t = t.withColumn(f"a{k}", F.coalesce(F.lead("shown", k).over(w), F.lit("")))
-    t = t.withColumns({"from_line": F.lag("line").over(w), "then_next": F.lead("then", 1).over(w), "function_next": F.lead("function", 1).over(w), "function_3": F.lead("function", 3).over(w)})
-    # What comes next is the last seen from the end.
-    to_come = W.partitionBy("path").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
-    return t.withColumns({
-        # Where the next bracket on the file's own level ends.
-        "next_brace": F.last(F.when((F.col("text") == "{") & (F.col("kind") == "p") & (F.col("around") == -1), F.col("closes")), True).over(to_come),
-        "next_string": F.last(F.when(F.col("kind") == "s", F.col("text")), True).over(to_come),
-        "next_from": F.last(F.when((F.col("text") == "from") & (F.col("b1") == "}"), F.struct("n", "a1")), True).over(to_come),
-    })
-
-
 def declarations(t: DataFrame) -> DataFrame:
-    """(path, module, name, kind, export_name, line, n, stop, qualified_name, id) on the file's own level; t: neighbours."""
-    word = F.col("kind") == "w"
+    """(path, module, name, kind, export_name, line, n, stop, qualified_name, id) on the file's own level; t: tokens."""
     fresh = (F.col("b1").isin("", ";", "}", "export", "default", "async", "abstract", "declare")) | (F.col("from_line") < F.col("line"))
     name = F.when(F.col("text") == "const", F.col("a1")).when(F.col("a1") == "*", F.col("a2")).otherwise(F.col("a1"))
     type_like = F.col("text").isin("class", "interface", "enum") | ((F.col("text") == "type") & F.col("a2").isin("=", "<"))
     plain = (F.col("text") == "function") & ((F.col("a2") == "(") | (F.col("a2") == "<") | (F.col("a1") == "*"))
     arrow = F.col("text").isin("const", "let", "var") & (F.col("a2") == "=") & (((F.col("a3") == "(") & F.col("function_3")) | ((F.col("a3") == "async") & ((F.col("a4") == "(") | (F.col("a5") == "=>"))) | (F.col("a4") == "=>"))
-    rows = t.filter(word & (F.col("around") == -1) & fresh & (type_like | plain | arrow) & name.rlike(r"^[A-Za-z_$]"))
+    rows = t.filter((F.col("around") == -1) & fresh & (type_like | plain | arrow) & name.rlike(r"^[A-Za-z_$]"))
     shown = F.array("b1", "b2", "b3")
     default = F.array_contains(shown, "default") & F.array_contains(shown, "export") & (F.col("b1").isin("default", "async", "abstract"))
     exported = (F.col("b1") == "export") | (F.col("b1").isin("async", "abstract", "declare") & (F.col("b2") == "export"))
@@ -269,14 +287,8 @@ def declarations(t: DataFrame) -> DataFrame:
 
 
 def module_references(t: DataFrame) -> DataFrame:
-    """(path, line, type, module, target_export, local_name, export_alias, type_only) of imports and exports; t: neighbours."""
-    statement = (F.col("kind") == "w") & F.col("text").isin("import", "export") & ~F.col("b1").isin(".", "...")
-    # Items of braces belong to the latest import or export before them, if no other statement came between.
-    w = W.partitionBy("path").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    head = F.struct(F.col("n").alias("at"), F.col("text").alias("word"), F.col("line").alias("line"), F.col("a1").alias("a1"), F.col("next_string").alias("source"))
-    t = t.withColumn("head", F.last(F.when(statement, head), True).over(w))
-    ended = F.max(F.when((F.col("kind") == "p") & F.col("text").isin(";", "=", "("), F.col("n"))).over(w)
-    t = t.withColumn("ended", ended)
+    """(path, line, type, module, target_export, local_name, export_alias, type_only) of imports and exports; t: tokens."""
+    statement = F.col("text").isin("import", "export") & ~F.col("b1").isin(".", "...")
     module, none = module_of(F.col("path")), F.lit("")
     found = []
 
@@ -296,23 +308,23 @@ def module_references(t: DataFrame) -> DataFrame:
     add(static & (F.col("a1") == "*") & (F.col("a2") == "as"), F.lit("imports_namespace"), text, F.lit("*"), local=F.col("a3"))
     add(static & named(F.col("a1")) & (F.col("a2") == ",") & (F.col("a3") == "*") & (F.col("a4") == "as"), F.lit("imports_namespace"), text, F.lit("*"), local=F.col("a5"))
     # Items: a name after { or , (or after type there), with what it is called by "as".
-    inside = (F.col("kind") == "w") & (F.col("around_text") == "{") & F.col("head").isNotNull() & (F.col("around") > F.col("head.at")) & (F.coalesce("ended", F.lit(-1)) < F.col("head.at"))
+    inside = (F.col("around_text") == "{") & F.col("head").isNotNull() & (F.col("around") > F.col("head")) & (F.coalesce("ended", F.lit(-1)) < F.col("head"))
     marked = (F.col("b1") == "type") & F.col("b2").isin("{", ",")
     item = inside & ((F.col("b1").isin("{", ",") & ~((F.col("text") == "type") & named(F.col("a1")) & (F.col("a1") != "as"))) | marked)
     called = F.when(F.col("a1") == "as", F.col("a2")).otherwise(F.col("text"))
-    is_type = (F.col("head.a1") == "type") | marked
-    add(item & (F.col("head.word") == "import"), F.when(is_type, F.lit("imports_type")).otherwise(F.lit("imports_value")), F.coalesce("head.source", none), F.col("text"), local=called, only=is_type, line=F.col("head.line"))
+    is_type = (F.col("head_a1") == "type") | marked
+    add(item & (F.col("head_word") == "import"), F.when(is_type, F.lit("imports_type")).otherwise(F.lit("imports_value")), F.coalesce("head_source", none), F.col("text"), local=called, only=is_type, line=F.col("head_line"))
     # An export list has a source if "from" follows its closing brace.
-    again = F.coalesce(F.col("next_from.n") == F.col("around_closes") + 1, F.lit(False))
+    again = F.coalesce(F.col("next_from") == F.col("around_closes") + 1, F.lit(False))
     kind = F.when(again & is_type, "reexports_type").when(again, "reexports_value").otherwise("exports_local")
-    listing = item & (F.col("head.word") == "export") & (F.col("around") <= F.col("head.at") + 2)
-    add(listing, kind, F.when(again, F.substring("next_from.a1", 2, 1 << 20)).otherwise(module), F.col("text"), alias=called, only=is_type, line=F.col("head.line"))
+    listing = item & (F.col("head_word") == "export") & (F.col("around") <= F.col("head") + 2)
+    add(listing, kind, F.when(again, F.substring("next_source", 2, 1 << 20)).otherwise(module), F.col("text"), alias=called, only=is_type, line=F.col("head_line"))
     exporting = statement & (F.col("text") == "export")
     add(exporting & (F.col("a1") == "*"), F.lit("reexports_all"), text, F.lit("*"), alias=F.when(F.col("a2") == "as", F.col("a3")).otherwise(none))
     bare = (F.col("a1") == "default") & named(F.col("a2")) & ~F.col("a2").isin("class", "function", "async", "abstract", "new", "interface") & ~F.col("a3").isin("(", ".", "=>")
     add(exporting & bare, F.lit("exports_local"), module, F.col("a2"), alias=F.lit("default"))
-    # One pass over the tokens, whatever they begin.
-    return t.select("path", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select("path", "x.*")
+    # One pass over the words of statements, whatever they begin.
+    return t.filter(statement | item).select("path", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select("path", "x.*")
 
 
 def bindings(t: DataFrame, declared: DataFrame, references: DataFrame) -> DataFrame:
@@ -325,7 +337,7 @@ def bindings(t: DataFrame, declared: DataFrame, references: DataFrame) -> DataFr
     own = imported.select("path", F.col("local_name").alias("name"), F.lit(-1).alias("low"), F.lit(LAST).alias("high"), kind.alias("kind"), F.concat_ws("\n", "module", "target_export", F.col("type_only").cast("string")).alias("says"))
     top = declared.select("path", "name", F.lit(-1).alias("low"), F.lit(LAST).alias("high"), F.lit("local").alias("kind"), F.col("id").alias("says"))
     inner = t.filter("binds and low >= 0").select("path", F.col("text").alias("name"), "low", "high", F.lit("inner").alias("kind"), F.lit("").alias("says"))
-    nested = t.filter(F.col("text").isin("function", "class", "interface", "enum") & (F.col("kind") == "w") & (F.col("low") >= 0) & F.col("a1").rlike(r"^[A-Za-z_$]") & (F.col("b1") != "."))
+    nested = t.filter(F.col("text").isin("function", "class", "interface", "enum") & (F.col("low") >= 0) & F.col("a1").rlike(r"^[A-Za-z_$]") & (F.col("b1") != "."))
     nested = nested.select("path", F.col("a1").alias("name"), "low", "high", F.lit("inner").alias("kind"), F.lit("").alias("says"))
     every = own.unionByName(top).unionByName(inner).unionByName(nested)
     # One binding for each interval: an import before a declaration.
@@ -333,13 +345,13 @@ def bindings(t: DataFrame, declared: DataFrame, references: DataFrame) -> DataFr
 
 
 def usages(t: DataFrame, declared: DataFrame, references: DataFrame) -> DataFrame:
-    """(path, line, n, type, name, owner_id, module, target_export, local_id, type_only, reason) of names in use; t: neighbours.
+    """(path, line, n, type, name, owner_id, module, target_export, local_id, type_only, reason) of names in use; t: tokens.
 
     Names are bound to an import, a namespace (by member call) or a declaration of the file; one that
     an inner scope hides, a constructor without an import, and a computed call have a reason and no target.
     """
-    name, word = F.col("text"), F.col("kind") == "w"
-    is_name = word & ~F.col("text").isin(*KEYWORDS)
+    name = F.col("text")
+    is_name = ~F.col("text").isin(*KEYWORDS)
     is_type = is_name & name.rlike("^[A-Z]") & (F.col("b1") == ":")
     in_variable = F.col("b3").isin("const", "let", "var")
     in_parameter = (F.col("around_text") == "(") & F.col("listed")
@@ -352,12 +364,13 @@ def usages(t: DataFrame, declared: DataFrame, references: DataFrame) -> DataFram
         .when(is_name & called & ~F.col("b1").isin(".", "function", "new", "class"), "calls")
         .when(is_name & (F.col("b1") != ".") & (F.col("a1") == "[") & (F.col("then_next") == "("), "computed")
     )
-    seen = t.select("path", "n", "line", "text", "a2", how.alias("how")).filter("how is not null").withColumn("point_id", F.col("n"))
+    # Both are read more than once below, and a word in use is one of many tokens.
+    seen = written(t.select("path", "n", "line", "text", "a2", how.alias("how")).filter("how is not null")).withColumn("point_id", F.col("n"))
     key = lambda c: F.concat_ws("\n", "path", c)
-    bound = bindings(t, declared, references).withColumn("k", key("name")).withColumn("binding", F.concat_ws("\n", "kind", "says"))
+    bound = written(bindings(t, declared, references)).withColumn("k", key("name")).withColumn("binding", F.concat_ws("\n", "kind", "says"))
     inner = sequence.enclosing(seen.withColumn("k", key("text")), bound, "k", "n", "low", "high", "binding").withColumn("part", F.split("binding", "\n"))
     known = bound.filter("kind <> 'inner'").groupBy("k").agg(F.min("kind").alias("outer"), F.min_by("says", "kind").alias("says"))
-    rows = seen.withColumn("k", key("text")).join(inner, ["k", "point_id"], "left").join(known, "k", "left")
+    rows = seen.withColumn("k", key("text")).join(sized(inner), ["k", "point_id"], "left").join(sized(known), "k", "left")
     outer, kind = F.col("outer"), F.coalesce(F.col("part")[0], F.lit(""))
     hidden = outer.isNotNull() & (kind == "inner")
     imported = outer == "import"
@@ -380,17 +393,18 @@ def usages(t: DataFrame, declared: DataFrame, references: DataFrame) -> DataFram
     )
     spans = declared.select("path", F.col("n").alias("low"), F.col("stop").alias("high"), F.col("id").alias("owner_id"))
     owners = sequence.enclosing(out.select("path", F.col("n"), "point_id"), spans, "path", "n", "low", "high", "owner_id")
-    return out.join(owners, ["path", "point_id"], "left").drop("point_id").fillna({"owner_id": ""})
+    return out.join(sized(owners), ["path", "point_id"], "left").drop("point_id").fillna({"owner_id": ""})
 
 
 def exports(declared: DataFrame, references: DataFrame, targets: DataFrame) -> DataFrame:
     """What each file exports, as symbols.exported takes it; targets: path, module, target (the file meant)."""
+    targets = sized(targets)
     own = declared.filter("export_name <> ''").select(F.col("path").alias("module"), F.col("export_name").alias("name"), F.lit("declared").alias("kind"), F.lit(None).cast("string").alias("source_module"), F.lit(None).cast("string").alias("source_name"), F.col("id").alias("symbol_id"))
     listed = references.filter("type = 'exports_local'").select("path", F.col("target_export").alias("name"), "export_alias")
     # A name that is exported by a list is a declaration of the file, or an import that is passed on.
-    local = listed.join(declared.select("path", "name", "id"), ["path", "name"]).select(F.col("path").alias("module"), F.col("export_alias").alias("name"), F.lit("declared").alias("kind"), F.lit(None).cast("string").alias("source_module"), F.lit(None).cast("string").alias("source_name"), F.col("id").alias("symbol_id"))
+    local = listed.join(sized(declared.select("path", "name", "id")), ["path", "name"]).select(F.col("path").alias("module"), F.col("export_alias").alias("name"), F.lit("declared").alias("kind"), F.lit(None).cast("string").alias("source_module"), F.lit(None).cast("string").alias("source_name"), F.col("id").alias("symbol_id"))
     imported = references.filter("local_name <> '' and type in ('imports_value', 'imports_type')").select("path", F.col("local_name").alias("name"), "module", "target_export").join(targets, ["path", "module"])
-    passed = listed.join(imported, ["path", "name"]).select(F.col("path").alias("module"), F.col("export_alias").alias("name"), F.lit("named").alias("kind"), F.col("target").alias("source_module"), F.col("target_export").alias("source_name"), F.lit(None).cast("string").alias("symbol_id"))
+    passed = listed.join(sized(imported), ["path", "name"]).select(F.col("path").alias("module"), F.col("export_alias").alias("name"), F.lit("named").alias("kind"), F.col("target").alias("source_module"), F.col("target_export").alias("source_name"), F.lit(None).cast("string").alias("symbol_id"))
     again = references.filter("type like 'reexports%' and export_alias <> '' and type <> 'reexports_all'").join(targets, ["path", "module"])
     named = again.select(F.col("path").alias("module"), F.col("export_alias").alias("name"), F.lit("named").alias("kind"), F.col("target").alias("source_module"), F.col("target_export").alias("source_name"), F.lit(None).cast("string").alias("symbol_id"))
     stars = references.filter("type = 'reexports_all' and export_alias = ''").join(targets, ["path", "module"])
@@ -404,16 +418,20 @@ def resolve(used: DataFrame, declared: DataFrame, exported: DataFrame, targets:
     A type counts for types only, a class or enumeration for both, anything else for values; a type-only
     import is no value.  Several symbols stay ambiguous, none is unresolved.
     """
-    needs_type = F.col("type") == "type_reference"
-    means = lambda kind: F.when(kind.isin("class", "enum"), F.lit(True)).when(kind.isin("interface", "type"), needs_type).otherwise(~needs_type)
+    means = lambda kind: F.when(kind.isin("class", "enum"), F.lit(True)).when(kind.isin("interface", "type"), F.col("needs_type")).otherwise(~F.col("needs_type"))
     kinds = declared.select(F.col("id").alias("symbol_id"), F.col("kind").alias("symbol_kind"))
-    rows = used.withColumn("usage_id", stable_id(F.lit("usage"), F.col("path"), F.col("n"), F.col("type"), F.col("name")))
-    known = exported.select(F.col("module").alias("target"), F.col("name").alias("target_export"), "symbol_id")
-    far = rows.filter("module <> '' and (not type_only or type = 'type_reference')").join(targets, ["path", "module"]).join(known, ["target", "target_export"]).select("usage_id", "type", "symbol_id")
-    near = rows.filter("local_id <> ''").select("usage_id", "type", F.col("local_id").alias("symbol_id"))
-    fit = far.unionByName(near).join(kinds, "symbol_id").filter(means(F.col("symbol_kind")))
-    found = fit.groupBy("usage_id").agg(F.count_distinct("symbol_id").alias("candidates"), F.min("symbol_id").alias("one"))
-    out = rows.join(found, "usage_id", "left").fillna({"candidates": 0})
+    # What a name means is found once for types and once for values, not for each usage; a local name stands alone, under no file.
+    known = exported.select(F.col("module").alias("place"), F.col("name").alias("asked"), "symbol_id").join(sized(kinds), "symbol_id")
+    known = known.unionByName(kinds.select(F.lit("").alias("place"), F.col("symbol_id").alias("asked"), "symbol_id", "symbol_kind"))
+    known = known.withColumn("needs_type", F.explode(F.array(F.lit(True), F.lit(False)))).filter(means(F.col("symbol_kind")))
+    found = known.groupBy("place", "asked", "needs_type").agg(F.count_distinct("symbol_id").alias("candidates"), F.min("symbol_id").alias("one"))
+    rows = used.withColumn("usage_id", stable_id(F.lit("usage"), F.col("path"), F.col("n"), F.col("type"), F.col("name"))).withColumn("needs_type", F.col("type") == "type_reference")
+    rows = rows.join(sized(targets), ["path", "module"], "left")
+    near, far = F.col("local_id") != "", F.col("target").isNotNull() & (F.col("module") != "") & (~F.col("type_only") | F.col("needs_type"))
+    # What asks for nothing is spread by its file.
+    place = F.when(near, "").when(far, F.col("target")).otherwise(F.col("path"))
+    rows = rows.withColumns({"place": place, "asked": F.when(near, F.col("local_id")).when(far, F.col("target_export"))}).drop("target")
+    out = rows.join(sized(found), ["place", "asked", "needs_type"], "left").drop("place", "asked", "needs_type").fillna({"candidates": 0})
     resolution = F.when(F.col("candidates") == 0, "UNRESOLVED").when(F.col("candidates") == 1, "EXACT").otherwise("AMBIGUOUS")
     out = out.withColumn("symbol_id", F.when(F.col("candidates") == 1, F.col("one"))).withColumn("resolution", resolution).drop("one")
     return out.withColumn("category", symbols.usage_category(F.col("resolution"), F.lit(False)))
@@ -424,8 +442,7 @@ def script_usages(sources: DataFrame, aliases: DataFrame, packages: DataFrame) -
 
     aliases and packages as in symbols.module_targets.
     """
-    # What stands alone is kept: words, and marks that open or end something.
-    t = written(_neighbours(tokens(sources)).filter("kind = 'w' or (kind = 'p' and text in (';', '=', '(', '[', '{'))"))
+    t = written(tokens(sources))
     declared, references = written(declarations(t)), written(module_references(t))
     wanted = references.filter("module <> '' and type <> 'exports_local'").select("path", "module").distinct()
     asked = wanted.select(F.concat_ws("\n", "path", "module").alias("import_id"), F.col("path").alias("file"), "module")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.ids import stable_id
-from .graph import finely, settle
+from .graph import finely, settle, sized
 from .resolve import clean_path, folder
 
 
@@ -58,11 +58,11 @@ def module_targets(imports: DataFrame, files: DataFrame, aliases: DataFrame, pac
     # Aliases are the few of the configuration; the join is on the module's first segment.
     first = lambda c: F.regexp_extract(c, r"^([^/]*)", 1)
     other = imports.filter("module not like '.%'").withColumn("_s", first("module"))
-    by_alias = other.join(aliases.withColumn("_s", first("prefix")), "_s").filter(F.startswith("module", F.col("prefix")))
+    by_alias = other.join(sized(aliases.withColumn("_s", first("prefix"))), "_s").filter(F.startswith("module", F.col("prefix")))
     by_alias = by_alias.select("import_id", clean_path(F.concat("replacement", F.expr("substring(module, length(prefix) + 1)"))).alias("key"), F.lit(1).alias("rank"))
-    files_found = near.unionByName(by_alias).join(known, "key").groupBy("import_id").agg(F.min(F.struct("rank", "target")).alias("m"))
+    files_found = near.unionByName(by_alias).join(sized(known), "key").groupBy("import_id").agg(F.min(F.struct("rank", "target")).alias("m"))
     entry = packages.groupBy("name").agg(F.count_distinct("entry").alias("n"), F.min("entry").alias("entry"))
-    out = imports.join(files_found, "import_id", "left").join(entry, imports["module"] == entry["name"], "left")
+    out = imports.join(sized(files_found), "import_id", "left").join(entry, imports["module"] == entry["name"], "left")
     how = F.when(F.col("m.rank") == 0, "relative").when(F.col("m.rank") == 1, "alias").when(F.col("n") == 1, "package").when(F.col("n") > 1, "ambiguous").otherwise("external")
     return out.select("import_id", F.coalesce("m.target", F.when(F.col("n") == 1, F.col("entry"))).alias("target"), how.alias("how"))
 
@@ -72,18 +72,18 @@ def exported(exports: DataFrame, depth: int = 8) -> DataFrame:
 
     exports: module, name, kind (declared, named, star), source_module, source_name, symbol_id.  A direct
     declaration hides re-exports of the name; a star passes on every name but default; cycles end by
-    the depth.
+    the depth.  Any side of a join may hold every export of a workspace, so none is broadcast by a guess.
     """
     direct = exports.filter("kind = 'declared'").select("module", "name", "symbol_id")
     known = settle(direct.distinct())
     frontier = known
     for _ in range(depth):
         named = exports.filter("kind = 'named'").select("module", "name", F.col("source_module").alias("sm"), F.col("source_name").alias("sn"))
-        step = named.join(frontier.select(F.col("module").alias("sm"), F.col("name").alias("sn"), "symbol_id"), ["sm", "sn"]).select("module", "name", "symbol_id")
+        step = named.join(sized(frontier.select(F.col("module").alias("sm"), F.col("name").alias("sn"), "symbol_id")), ["sm", "sn"]).select("module", "name", "symbol_id")
         star = exports.filter("kind = 'star'").select("module", F.col("source_module").alias("sm"))
-        step = step.unionByName(star.join(frontier.filter("name <> 'default'").select(F.col("module").alias("sm"), "name", "symbol_id"), "sm").select("module", "name", "symbol_id"))
-        hidden = step.join(direct.select("module", "name"), ["module", "name"], "left_anti")
-        frontier = settle(hidden.distinct().join(known, ["module", "name", "symbol_id"], "left_anti"))
+        step = step.unionByName(star.join(sized(frontier.filter("name <> 'default'").select(F.col("module").alias("sm"), "name", "symbol_id")), "sm").select("module", "name", "symbol_id"))
+        hidden = step.join(sized(direct.select("module", "name")), ["module", "name"], "left_anti")
+        frontier = settle(hidden.distinct().join(sized(known), ["module", "name", "symbol_id"], "left_anti"))
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
@@ -168,8 +168,8 @@ def reached_through_api(matches: DataFrame, flows: DataFrame, origins: DataFrame
         "match_id", F.col("first_flow").alias("flow_id"), none(o.schema["consumer_id"].dataType).alias("consumer_id"), none(steps.schema["step_id"].dataType).alias("step_id"), none(java.schema["id"].dataType).alias("provider_id"),
         F.when(F.col("first_flow").isNull(), "workspace_feature_flow_missing").otherwise("frontend_origin_unresolved").alias("reason"),
     )
-    sized = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
-    place = lambda file, owner: F.concat(sized(F.col(file)), sized(F.col(owner))).alias("place")
+    counted = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
+    place = lambda file, owner: F.concat(counted(F.col(file)), counted(F.col(owner))).alias("place")
     s = finely(steps.filter("flow_id is not null").select("flow_id", "step_id", place("file", "owner")), "flow_id").groupBy("flow_id", "step_id").agg(F.sort_array(F.collect_set("place")).alias("each"))
     s = s.withColumn("places", F.array_join("each", ""))
     known = named(java).select(F.col("project").alias("backend_project"), place("file", "called"), "id").groupBy("backend_project", "place").agg(F.collect_set("id").alias("ids"))

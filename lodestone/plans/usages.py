@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import java, scripts, security, symbols
-from ..operators.graph import written
+from ..operators.graph import sized, written
 from .registry import Tables, query
 
 PROVIDER = """export function load~() {}
@@ -77,7 +77,9 @@ def script_symbol_usages(t: Tables) -> DataFrame:
     none = t.spark.createDataFrame([], "prefix string, replacement string"), t.spark.createDataFrame([], "name string, entry string")
     declared, _, used = scripts.script_usages(script_sources(t), *none)
     named = declared.select(F.col("id").alias("symbol_id"), F.col("qualified_name").alias("symbol"))
-    return used.join(named, "symbol_id", "left").select("path", "line", "type", "name", "resolution", "symbol", "reason")
+    # Usages without a symbol are spread by their file.
+    used = used.withColumn("symbol_id", F.coalesce("symbol_id", F.concat(F.lit("-"), "path")))
+    return used.join(sized(named), "symbol_id", "left").select("path", "line", "type", "name", "resolution", "symbol", "reason")
 
 
 @query(

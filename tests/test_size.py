@@ -7,7 +7,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import extract, flows, resolve, symbols
+from lodestone.operators import extract, flows, resolve, scripts, symbols
 from lodestone.plans import code, features, usages
 from lodestone.plans.registry import Tables
 
@@ -160,3 +160,28 @@ def test_data_flow_by_loops(spark):
             holes.append((flow, "request", min((b for r, _, known, b in mine if r == 0 and known), default=None), ""))
     said = lambda df: sorted(repr(tuple(r)) for r in df.collect())
     assert said(edges) == sorted(map(repr, steps)) and said(gaps) == sorted(map(repr, holes))
+
+
+@pytest.fixture
+def eager(spark, monkeypatch):
+    """Plans of the tables that a query writes or settles on its way."""
+    plans = []
+    for place, name in ((scripts, "written"), (symbols, "settle")):
+        keep = getattr(place, name)
+        monkeypatch.setattr(place, name, lambda df, keep=keep: plans.append(plan(df)) or keep(df))
+    return plans
+
+
+def test_names_of_scripts_are_not_broadcast_by_a_guessed_size(spark, eager):
+    texts = {"src/a.ts": "export function load() {}\nexport class Box {}\n", "src/b.ts": "export * from './a';\n", "src/c.ts": "import { load as x, Box } from './b';\nexport { load as y } from './a';\nexport { x };\nfunction f() { x(); new Box(); f(); far(); }\n"}
+    sources = spark.createDataFrame([(p, "typescript", c) for p, c in texts.items()], "path string, language string, content string")
+    none = spark.createDataFrame([], "prefix string, replacement string"), spark.createDataFrame([], "name string, entry string")
+    _, _, used = scripts.script_usages(sources, *none)
+    assert len(eager) > 6 and not [x for x in [*eager, plan(used)] if "BroadcastHashJoin" in x]
+    assert not any("Window" in x for x in eager)  # tokens are not moved to find their neighbours
+    assert sorted((r["name"], r["resolution"]) for r in used.collect()) == [("Box", "EXACT"), ("f", "EXACT"), ("x", "EXACT")]
+
+
+def test_usages_of_scripts_meet_names_that_are_reduced(spark, data):
+    said = plan(usages.script_symbol_usages(Tables(spark, data)))
+    assert "BroadcastHashJoin" not in said and "hashpartitioning(usage_id" not in said
